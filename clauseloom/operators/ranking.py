@@ -25,9 +25,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _single_ranking(attributes: DataFrame, chunks: DataFrame, ranking: str, score: str, k: int, metric: str) -> DataFrame:
-    best = _union(
-        [task_best(chunks, block.scorer, k, (ranking,)) for block in scored_blocks(attributes, chunks, metric)]
-    )
+    blocks = scored_blocks(attributes, chunks, metric, lexical=ranking == "bm25")
+    best = _union([task_best(chunks, block.scorer, k, (ranking,)) for block in blocks])
     order = [F.desc(score), F.asc("doc_idx")]
     return merge_top_k(best, ["attribute_number"], order, k).select("attribute_number", "doc_idx", score, "rank")
 

@@ -86,10 +86,14 @@ class Scorer:
         return np.round(totals.reshape(shape), DIGITS) + 0.0
 
     def batches(self, frames: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        """Batches with both score tables; a column that was not read gives NaN or 0.0."""
         for frame in frames:
             for start in range(0, len(frame), BATCH_ROWS):
                 part = frame.iloc[start : start + BATCH_ROWS]
-                yield part, self.dense(part["embedding"]), self.lexical(part["content"])
+                shape = (len(part), len(self.numbers))
+                dense = self.dense(part["embedding"]) if "embedding" in part else np.full(shape, np.nan)
+                lexical = self.lexical(part["content"]) if "content" in part else np.zeros(shape)
+                yield part, dense, lexical
 
 
 @dataclass(frozen=True)
@@ -100,9 +104,12 @@ class ScoredBlock:
 
 def scored_blocks(
     attributes: DataFrame, chunks: DataFrame, metric: str = "l2sq", k1: float = K1, b: float = B,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, lexical: bool = True,
 ) -> Iterator[ScoredBlock]:
-    """Scorers that together cover the whole dictionary, ``block_rows`` attributes each."""
+    """Scorers that together cover the whole dictionary, about ``block_rows`` attributes each.
+
+    ``lexical=False`` skips the corpus counts where only vectors are compared.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     columns = attributes.select("attribute_number", "content", "embedding")
@@ -112,10 +119,12 @@ def scored_blocks(
         block = columns
         if blocks > 1:
             block = columns.where(F.pmod(F.xxhash64("attribute_number"), F.lit(blocks)) == index)
-        yield _scored_block(block, chunks, metric, k1, b)
+        yield _scored_block(block, chunks, metric, k1, b, lexical)
 
 
-def _scored_block(block: DataFrame, chunks: DataFrame, metric: str, k1: float, b: float) -> ScoredBlock:
+def _scored_block(
+    block: DataFrame, chunks: DataFrame, metric: str, k1: float, b: float, lexical: bool
+) -> ScoredBlock:
     attributes = sorted(block.select("attribute_number", "embedding").collect(), key=lambda row: row[0])
     column = {row.attribute_number: position for position, row in enumerate(attributes)}
     has_vector = np.array([row.embedding is not None for row in attributes], dtype=bool)
@@ -124,9 +133,9 @@ def _scored_block(block: DataFrame, chunks: DataFrame, metric: str, k1: float, b
         width = len(next(row.embedding for row in attributes if row.embedding is not None))
         vectors = np.array([row.embedding if row.embedding is not None else [0.0] * width for row in attributes])
 
-    query = query_terms(block).collect()
+    query = query_terms(block).collect() if lexical else []
     vocabulary = sorted({row.term for row in query})
-    stats = corpus_stats(chunks, vocabulary)
+    stats = corpus_stats(chunks, vocabulary) if lexical else CorpusStats(0, 0.0, {})
     used: dict[str, list[tuple[int, float]]] = {}
     for row in query:
         frequency = stats.document_frequency.get(row.term)
@@ -219,7 +228,8 @@ def task_best(chunks: DataFrame, scorer: Scorer, k: int, rankings: tuple[str, ..
                     }
                 )
 
-    return chunks.select("doc_idx", "content", "embedding").mapInPandas(emit, BEST_SCHEMA)
+    columns = {"dense": "embedding", "bm25": "content"}
+    return chunks.select("doc_idx", *[columns[ranking] for ranking in rankings]).mapInPandas(emit, BEST_SCHEMA)
 
 
 @dataclass(frozen=True)

@@ -16,3 +16,14 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a measured-small side; a larger one takes a shuffle join with AQE skew splitting."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan that is too small to occupy the cores; leave larger ones alone.
+
+    A table of many files already gives enough tasks and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, key)

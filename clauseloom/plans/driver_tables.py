@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.operators.sizing import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document is a chunk; those with an ``embeddings`` row have a vector."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return documents.join(vectors, "doc_id", "left").select(
         F.col("doc_id").alias("doc_idx"),
