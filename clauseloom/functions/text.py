@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +27,11 @@ WORD = r"([\p{L}\p{N}_]+)"
 NFKC_STABLE = r"\x00-\x7F\u00C0-\u00FF\u2013\u2014\u2018\u2019\u201c\u201d\u2588"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Apply ``body`` to a value that it uses many times, computing the value once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
@@ -117,17 +122,21 @@ def sha256(text: Column) -> Column:
 
 def redaction(text: Column, patterns: Iterable[str] = REDACTION_PATTERNS, margin: int = 20) -> Column:
     """STRUCT<has_redaction, redaction_snippet>; the first pattern that hits wins."""
-    text = F.coalesce(text, F.lit(""))
-    snippet = None
-    for pattern in patterns:
-        before = F.regexp_extract(text, f"^((?s:.*?))(?:{pattern})", 1)
-        hit = F.regexp_extract(text, pattern, 0)
+
+    def window(value: Column, pattern: str) -> Column:
+        before = F.regexp_extract(value, f"^((?s:.*?))(?:{pattern})", 1)
+        hit = F.regexp_extract(value, pattern, 0)
         start = F.greatest(F.char_length(before) - margin, F.lit(0))
         end = F.char_length(before) + F.char_length(hit) + margin
-        window = F.substring(F.substring(text, start + 1, end - start), 1, 200)
-        condition = text.rlike(pattern)
-        snippet = F.when(condition, window) if snippet is None else snippet.when(condition, window)
-    return F.struct(snippet.isNotNull().alias("has_redaction"), snippet.alias("redaction_snippet"))
+        return F.substring(F.substring(value, start + 1, end - start), 1, 200)
+
+    def snippet(value: Column) -> Column:
+        return F.coalesce(*[F.when(value.rlike(pattern), window(value, pattern)) for pattern in patterns])
+
+    def finding(found: Column) -> Column:
+        return F.struct(found.isNotNull().alias("has_redaction"), found.alias("redaction_snippet"))
+
+    return once(once(F.coalesce(text, F.lit("")), snippet), finding)
 
 
 def preview(text: Column, length: int) -> Column:

@@ -221,7 +221,8 @@ def processing_timeline(timings: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def word_cloud(clauses: DataFrame, stop_words: Iterable[str] = WORDCLOUD_STOP_WORDS, top: int = 50) -> DataFrame:
     """Most frequent words longer than three characters; ties by word."""
-    word = F.explode(words(F.lower("text_snippet"))).alias("text")
+    # The outer form avoids splitting twice; its NULLs fail the length filter.
+    word = F.explode_outer(words(F.lower("text_snippet"))).alias("text")
     counted = (
         clauses.select(word)
         .where((F.char_length("text") > 3) & ~F.col("text").isin(list(stop_words)))

@@ -26,7 +26,8 @@ def split_pages(documents: DataFrame) -> DataFrame:
     """(source_file, page_number, content) per page marker; blank documents are skipped."""
     return (
         documents.where(strip(F.col("value")) != "")
-        .select("source_file", F.inline(pages(F.col("value"))))
+        .select("source_file", F.inline_outer(pages(F.col("value"))))
+        .where(F.col("page_number").isNotNull())
         .select("source_file", "page_number", clean_page(F.col("content")).alias("content"))
     )
 

@@ -27,7 +27,8 @@ class CorpusStats:
 def query_terms(attributes: DataFrame) -> DataFrame:
     """(attribute_number, term, query_frequency) of every attribute text."""
     return (
-        attributes.select("attribute_number", F.explode(tokens(F.col("content"))).alias("term"))
+        attributes.select("attribute_number", F.explode_outer(tokens(F.col("content"))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("attribute_number", "term")
         .agg(F.count("*").alias("query_frequency"))
     )
@@ -48,7 +49,8 @@ def corpus_counts(chunks: DataFrame, vocabulary: DataFrame, small: bool) -> Data
             F.array_distinct("terms"), lambda term: F.struct(term.alias("term"), F.lit(0).alias("length"))
         ),
     )
-    rows = chunks.select(terms.alias("terms")).select(F.inline(counted))
+    # The outer form, here and below, keeps Spark from tokenizing a second time for a size filter.
+    rows = chunks.select(terms.alias("terms")).select(F.inline_outer(counted))
     kept = vocabulary.select("term").distinct()
     kept = kept.unionByName(kept.sparkSession.sql("SELECT '' AS term"))
     return (
@@ -105,7 +107,7 @@ def bm25_scores(attributes: DataFrame, chunks: DataFrame, k1: float = K1, b: flo
     )
     frequencies = (
         chunks.select("doc_idx", tokens(F.col("content")).alias("terms"))
-        .select("doc_idx", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+        .select("doc_idx", F.size("terms").alias("length"), F.explode_outer("terms").alias("term"))
         .join(hinted(queries.select("term").distinct()), "term", "left_semi")
         .groupBy("doc_idx", "length", "term")
         .agg(F.count("*").alias("frequency"))

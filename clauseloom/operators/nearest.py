@@ -113,6 +113,8 @@ def _with_blocks(
 
     left = split(clauses, "clause_id", "clause", "template")
     right = split(templates, "template_id", "template", "clause")
+    # Fresh column identities, since both sides may stem from one table.
+    right = right.toDF(*right.columns)
 
     def emit(clause_group: pd.DataFrame, template_group: pd.DataFrame) -> pd.DataFrame:
         if clause_group.empty or template_group.empty:

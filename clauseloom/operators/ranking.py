@@ -220,9 +220,9 @@ def dense_matches(attributes: DataFrame, chunks: DataFrame, k: int = 10, metric:
     )
 
 
-def dense_match_stats(matches: DataFrame, threshold: float = 0.7) -> DataFrame:
+def dense_match_stats(matches: DataFrame, threshold: float = 0.7, digits: int = 4) -> DataFrame:
     return matches.groupBy("attribute_number").agg(
-        F.round(F.avg("similarity"), 4).alias("avg_similarity"),
+        F.round(F.avg("similarity"), digits).alias("avg_similarity"),
         F.max("similarity").alias("max_similarity"),
         F.count_if(F.col("similarity") > threshold).alias("high_confidence_matches"),
     )

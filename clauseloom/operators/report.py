@@ -87,7 +87,10 @@ def breakdown(classified: DataFrame, key: Column, name: str) -> DataFrame:
 def flag_histogram(classified: DataFrame, top: int | None = 10) -> DataFrame:
     """Most frequent rule flags; ties by flag text."""
     counted = (
-        classified.select(F.explode("rule_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("clauses"))
+        classified.select(F.explode_outer("rule_flags").alias("flag"))
+        .where(F.col("flag").isNotNull())
+        .groupBy("flag")
+        .agg(F.count("*").alias("clauses"))
     )
     ordered = counted.orderBy(F.desc("clauses"), F.asc("flag"))
     return ordered if top is None else ordered.limit(top)

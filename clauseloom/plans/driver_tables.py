@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.functions.lexicon import RULE_PATTERNS
+from clauseloom.functions.text import preprocess_text, token_count
+from clauseloom.operators.classify import rule_flags
 from clauseloom.operators.sizing import spread
 
 
@@ -38,3 +41,181 @@ def attributes(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("content"),
         "embedding",
     )
+
+
+# Rules that occur in the test tables, checked after the regular vocabulary.
+TABLE_RULES = (
+    ("exceptions", r"\bder\b"),
+    ("exceptions", r"\bque\b"),
+    ("methodology_shift", r"\btion\b"),
+    ("reanchoring", r"\bnum\b"),
+    ("forbidden_conditions", r"\ben.un\b"),
+)
+TABLE_NEGATORS = ("tion", "que", "der", "les", "los")
+
+
+def collection_key(lang: Column) -> Column:
+    """Two template and two contract collections."""
+    return (
+        F.when(lang == "en", F.lit("TNredacted"))
+        .when(lang == "fr", F.lit("WAredacted"))
+        .when(lang == "de", F.lit("TNstandard"))
+        .otherwise(F.lit("WAstandard"))
+    )
+
+
+def clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a clause, with its label where there is one."""
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    labels = table(spark, folder, "labels")
+    number = (F.col("n_chars") % 5 + 1).cast("int")
+    return (
+        documents.join(labels, "doc_id", "left")
+        .join(vectors, "doc_id", "left")
+        .select(
+            F.col("doc_id").alias("clause_id"),
+            F.col("source").alias("contract"),
+            F.col("lang").alias("state"),
+            collection_key(F.col("lang")).alias("collection_key"),
+            number.alias("attribute_number"),
+            F.concat(F.lit("attribute_"), number.cast("string")).alias("attribute_name"),
+            F.col("text").alias("raw_text"),
+            "n_chars",
+            F.col("quality").alias("is_standard"),
+            "toxic",
+            "embedding",
+        )
+    )
+
+
+def templates_and_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clauses labelled 1 act as templates, all others are classified."""
+    prepared = rows.withColumn("text", preprocess_text(F.col("raw_text"))).withColumn(
+        "paraphrase_embedding", F.slice("embedding", 1, 32)
+    )
+    columns = ["state", "attribute_number", "text", "embedding", "paraphrase_embedding"]
+    is_template = F.coalesce(F.col("is_standard") == 1, F.lit(False))
+    templates = prepared.where(is_template).select(F.col("clause_id").alias("template_id"), *columns)
+    candidates = prepared.where(~is_template).select("clause_id", "contract", *columns)
+    return templates, candidates
+
+
+def classified(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses with a classification outcome taken from the labels."""
+    rows = clauses(spark, folder)
+    step = (
+        F.when(F.col("toxic") == 1, F.lit("step6_rule_flags"))
+        .when(F.col("is_standard") == 1, F.lit("step1_exact_match"))
+        .when(F.col("is_standard") == 0, F.lit("step3_paraphrase_failed"))
+    )
+    return rows.select(
+        "clause_id",
+        "contract",
+        "state",
+        "attribute_number",
+        "is_standard",
+        step.alias("classification_step"),
+        rule_flags(preprocess_text(F.col("raw_text")), (*RULE_PATTERNS, *TABLE_RULES)).alias("rule_flags"),
+        F.round(F.element_at("embedding", 1).cast("double"), 6).alias("semantic_similarity"),
+        F.round(F.element_at("embedding", 2).cast("double"), 6).alias("paraphrase_similarity"),
+    )
+
+
+def metric_clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses as the dashboard sees them; the first vector component stands for the similarity."""
+    rows = clauses(spark, folder)
+    outcome = F.when(F.col("is_standard") == 1, F.lit("standard")).when(F.col("is_standard") == 0, F.lit("nonstandard"))
+    return rows.select(
+        F.concat(F.lit("doc_"), F.col("clause_id").cast("string")).alias("chunk_id"),
+        F.concat(F.lit("contract_"), F.col("contract")).alias("contract_id"),
+        F.when(F.col("n_chars") % 7 != 0, F.col("attribute_name")).alias("assigned_attribute"),
+        token_count(F.col("raw_text")).alias("token_length"),
+        F.round(F.element_at("embedding", 1).cast("double"), 6).alias("similarity"),
+        outcome.alias("classification"),
+        F.col("raw_text").alias("text_snippet"),
+    )
+
+
+def metric_contracts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-contract totals; the contract of each source."""
+    return (
+        clauses(spark, folder)
+        .groupBy(F.concat(F.lit("contract_"), F.col("contract")).alias("contract_id"))
+        .agg(
+            F.min_by("state", F.struct("n_chars", "clause_id")).alias("state"),
+            F.count_if(F.col("is_standard") == 1).alias("standard_count"),
+            F.count_if(F.col("is_standard") == 0).alias("nonstandard_count"),
+            F.count("*").alias("num_chunks"),
+        )
+    )
+
+
+def timings(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds per contract from the text sizes; one key has no contract."""
+    documents = table(spark, folder, "documents")
+    by_source = documents.groupBy(F.concat(F.lit("contract_"), F.col("source")).alias("contract_id")).agg(
+        (F.sum("n_chars") / 1000.0).alias("seconds")
+    )
+    by_language = documents.groupBy(F.concat(F.lit("lang_"), F.col("lang")).alias("contract_id")).agg(
+        (F.sum("n_chars") / 1000.0).alias("seconds")
+    )
+    return by_source.unionByName(by_language)
+
+
+def search_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses as the chat search sees them."""
+    return clauses(spark, folder).select(
+        F.col("contract").alias("source_filename"),
+        F.col("clause_id").alias("row_index"),
+        "attribute_name",
+        "attribute_number",
+        F.floor(F.col("n_chars") / 1000).cast("int").alias("page"),
+        F.concat(
+            F.lit("section:"), F.col("state"), F.lit(" > Clause: "), F.col("attribute_number").cast("string"), F.lit(".1")
+        ).alias("section"),
+        "is_standard",
+        F.col("raw_text").alias("text"),
+        F.col("raw_text").alias("full_content_raw"),
+    )
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns; every few turns ask about contracts."""
+    suffix = (
+        F.when(F.col("turn") % 6 == 1, F.concat(F.lit(" show TN contract "), (F.col("conv_id") % 13).cast("string")))
+        .when(F.col("turn") % 6 == 2, F.lit(" which are non-standard in WA ?"))
+        .when(F.col("turn") % 6 == 3, F.lit(" Non standard terms in tn"))
+        .when(F.col("turn") % 6 == 4, F.lit(" are standard in contract1"))
+        .otherwise(F.lit(""))
+    )
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("seq"),
+        "role",
+        F.concat("text", suffix).alias("text"),
+    )
+
+
+def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a markdown file: page markers, headers and blank lines between its own lines."""
+
+    def render(line: Column, index: Column) -> Column:
+        page = F.when(
+            index % 7 == 0, F.concat(F.lit("--- Page "), (F.floor(index / 7) + 1).cast("string"), F.lit(" ---\n"))
+        ).otherwise(F.lit(""))
+        header = (
+            F.when(index % 11 == 4, F.lit("### "))
+            .when(index % 5 == 1, F.lit("# "))
+            .when(index % 5 == 3, F.lit("## "))
+            .otherwise(F.lit(""))
+        )
+        blank = F.when(index % 3 == 0, F.lit("\n")).otherwise(F.lit(""))
+        return F.concat(page, header, line, blank)
+
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    return documents.select(
+        "doc_id",
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"),
+        F.array_join(F.transform(F.split("text", "\n"), render), "\n").alias("value"),
+    )

@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.functions.text import state_of_collection
 from clauseloom.models import embed
 from clauseloom.operators import classify as cascade
 from clauseloom.operators import ranking
 from clauseloom.operators.chunking import chunk_documents
 from clauseloom.operators.clauses import clauses_from_matches, with_row_id
+from clauseloom.operators.ordered import group_rank
 from clauseloom.operators.report import summary
-from clauseloom.functions.text import state_of_collection
 
 STEPS = ("chunk", "rank", "prepare", "classify", "summarise")
 
@@ -45,9 +46,9 @@ class Pipeline:
         keys = documents.select("source_file", "collection_key")
         chunks = chunk_documents(documents.select("source_file", "value")).join(keys, "source_file")
         # The order of a collection: file name, then position in the file.
-        position = F.struct("source_file", "page_number", "chunk_id")
-        chunks = self.embedder(chunks).withColumn("doc_idx", F.xxhash64(position))
-        self.store("chunks", chunks)
+        number = F.regexp_extract("chunk_id", "_c([0-9]+)$", 1).cast("int")
+        ordered = group_rank(chunks, ["collection_key"], [F.col("source_file").asc(), number.asc()], "doc_idx")
+        self.store("chunks", self.embedder(ordered))
         self.store("attributes", self.embedder(attributes))
 
     def rank(self, collections: dict[str, bool]) -> None:
@@ -84,7 +85,7 @@ class Pipeline:
             rows = frames[0]
             for frame in frames[1:]:
                 rows = rows.unionByName(frame)
-            return rows.select(F.xxhash64("row_id").alias(row_id), "*", text)
+            return group_rank(rows.select("*", text), [], [F.col("row_id").asc()], row_id)
 
         template_rows = load(templates, "template_id")
         clause_rows = load(contracts, "clause_id").withColumn("contract", F.col("source_file"))

@@ -27,10 +27,10 @@ def prepare_stream(chunks: DataFrame) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, path: str, schema: str, output: str, checkpoint: str) -> StreamingQuery:
-    """Prepare all files that have not been processed yet, then stop."""
+def ingest(chunks: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Prepare everything a chunk stream has not delivered before, then stop."""
     return (
-        prepare_stream(stream_chunks(spark, path, schema))
+        prepare_stream(chunks)
         .writeStream.format("parquet")
         .option("path", output)
         .option("checkpointLocation", checkpoint)
