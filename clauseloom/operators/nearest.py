@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from clauseloom.functions.vectors import METRICS
 from clauseloom.operators.sizing import broadcast_if_small, fits
 
-# Templates that may be sent to every task, and block sizes of the shuffled plan.
-BROADCAST_TEMPLATES = 20_000
+# Vector components that may be sent to every task, and block sizes of the shuffled plan.
+BROADCAST_COMPONENTS = 4_000_000
 TEMPLATE_BLOCK = 4096
 CLAUSE_BLOCK = 16384
 DIGITS = 6
@@ -44,7 +44,7 @@ def nearest_template(
     templates: DataFrame,
     cell: Sequence[str],
     metric: str = "l2sq",
-    broadcast_limit: int = BROADCAST_TEMPLATES,
+    broadcast_limit: int = BROADCAST_COMPONENTS,
     template_block: int = TEMPLATE_BLOCK,
     clause_block: int = CLAUSE_BLOCK,
 ) -> DataFrame:
@@ -57,7 +57,8 @@ def nearest_template(
         raise ValueError(f"metric must be one of {METRICS}")
     clauses = clauses.where(F.col("embedding").isNotNull()).select("clause_id", *cell, "embedding")
     templates = templates.where(F.col("embedding").isNotNull()).select("template_id", *cell, "embedding")
-    if fits(templates, broadcast_limit):
+    widest = templates.select(F.size("embedding").alias("width")).head()
+    if widest is None or fits(templates, broadcast_limit // max(widest.width, 1)):
         return _with_broadcast_templates(clauses, templates, cell, metric)
     return _with_blocks(clauses, templates, cell, metric, template_block, clause_block)
 

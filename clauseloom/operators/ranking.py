@@ -14,6 +14,7 @@ from clauseloom.functions.text import preview
 from clauseloom.functions.vectors import similarity
 from clauseloom.operators.ordered import group_rank, merge_top_k, top_k
 from clauseloom.operators.scoring import Contenders, pairs, place_counts, scored_blocks, task_best
+from clauseloom.operators.sizing import BROADCAST_ROWS, fits
 
 RRF_K = 20
 GLOBAL_TOP_K = 20
@@ -168,8 +169,21 @@ def rrf_per_source(
     return top_k(fused, ["attribute_number", "source_file"], fused_order(), k, "rank_in_source")
 
 
-def format_matches(matches: DataFrame, chunks: DataFrame, attributes: DataFrame, preview_length: int = 150) -> DataFrame:
-    """Matches with the chunk's text and metadata and the attribute's name."""
+def format_matches(
+    matches: DataFrame,
+    chunks: DataFrame,
+    attributes: DataFrame,
+    preview_length: int = 150,
+    per_attribute: int | None = None,
+) -> DataFrame:
+    """Matches with the chunk's text and metadata and the attribute's name.
+
+    ``per_attribute`` states how many matches an attribute has at most.  When that
+    bounds the matches tightly enough they are broadcast and the chunk texts are
+    not shuffled.
+    """
+    if per_attribute is not None and fits(attributes, BROADCAST_ROWS // per_attribute):
+        matches = F.broadcast(matches)
     details = chunks.select(
         "doc_idx",
         F.coalesce("page_number", F.lit(0)).cast("int").alias("page"),
@@ -182,7 +196,7 @@ def format_matches(matches: DataFrame, chunks: DataFrame, attributes: DataFrame,
     if "source_file" in matches.columns:
         matches = matches.drop("source_file")
     names = attributes.select("attribute_number", "attribute_name")
-    return matches.join(details, "doc_idx").join(names, "attribute_number")
+    return details.join(matches, "doc_idx").join(names, "attribute_number")
 
 
 def match_stats(matches: DataFrame, threshold: float = 0.01) -> DataFrame:

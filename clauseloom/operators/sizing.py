@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; stops counting one row later."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has at most ``rows`` rows.
+
+    ``take`` reads partition by partition and stops one row later, so a large
+    table is not scanned to learn that it is large.
+    """
+    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

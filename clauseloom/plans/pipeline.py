@@ -34,6 +34,8 @@ class Pipeline:
     metric: str = "l2sq"
     thresholds: cascade.Thresholds = field(default_factory=cascade.Thresholds)
     embedder: Callable[[DataFrame], DataFrame] = embed
+    # A second model for the paraphrase gate; without one both gates share vectors.
+    paraphrase_embedder: Callable[[DataFrame], DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -62,7 +64,8 @@ class Pipeline:
             else:
                 found = ranking.rrf_top_k(attributes, part, metric=self.metric)
                 rank = "rank"
-            matches = ranking.format_matches(found, part, attributes)
+            per_attribute = None if per_source else ranking.GLOBAL_TOP_K
+            matches = ranking.format_matches(found, part, attributes, per_attribute=per_attribute)
             self.store(f"matches/{key}", matches.withColumnRenamed(rank, "rank"))
 
     def prepare(self, collections: Iterable[str]) -> None:
@@ -74,8 +77,12 @@ class Pipeline:
 
     def embedder_of_text(self, clauses: DataFrame) -> DataFrame:
         texts = clauses.withColumn("content", F.col("preprocessed_final_content"))
-        embedded = self.embedder(texts).drop("content")
-        return embedded.withColumn("paraphrase_embedding", F.col("embedding"))
+        embedded = self.embedder(texts)
+        if self.paraphrase_embedder is None:
+            return embedded.withColumn("paraphrase_embedding", F.col("embedding")).drop("content")
+        first = embedded.withColumnRenamed("embedding", "_first")
+        second = self.paraphrase_embedder(first).withColumnRenamed("embedding", "paraphrase_embedding")
+        return second.withColumnRenamed("_first", "embedding").drop("content")
 
     def classify(self, templates: Iterable[str], contracts: Iterable[str]) -> None:
         text = F.col("preprocessed_final_content").alias("text")

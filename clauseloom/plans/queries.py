@@ -96,7 +96,7 @@ def rrf_per_source_topk(spark, folder):
 
 def format_matches(spark, folder):
     attributes, chunks = tables.attributes(spark, folder), tables.chunks(spark, folder)
-    found = ranking.format_matches(ranking.rrf_top_k(attributes, chunks), chunks, attributes)
+    found = ranking.format_matches(ranking.rrf_top_k(attributes, chunks), chunks, attributes, per_attribute=20)
     return found.select(
         "attribute_number", "attribute_name", _long("rank"), "chunk_id", "source_file", _long("page"), "section",
         "content_preview", text.sha256(F.col("full_content")).alias("content_sha"),
@@ -140,7 +140,7 @@ def nearest_three(spark, folder):
 
 def similarity_json(spark, folder):
     attributes, chunks = tables.attributes(spark, folder), tables.chunks(spark, folder)
-    matches = ranking.format_matches(ranking.rrf_top_k(attributes, chunks), chunks, attributes)
+    matches = ranking.format_matches(ranking.rrf_top_k(attributes, chunks), chunks, attributes, per_attribute=20)
     documents = similarity_documents(matches, ranking.match_stats(matches), "rank")
     return documents.select("attribute_number", "attribute_name", "document")
 

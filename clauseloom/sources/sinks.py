@@ -9,8 +9,12 @@ from clauseloom.functions.text import file_slug
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk rows as JSON, one folder per source file."""
-    chunks.write.mode("overwrite").partitionBy("source_file").json(path)
+    """Chunk rows as JSON, one folder per source file.
+
+    Range partitioning keeps a file's chunks together and still splits a large one.
+    """
+    ordered = chunks.repartitionByRange("source_file", "chunk_id")
+    ordered.write.mode("overwrite").partitionBy("source_file").json(path)
 
 
 def replace_collection(rows: DataFrame, path: str) -> None:
@@ -42,7 +46,8 @@ def write_datasets(clauses: DataFrame, path: str) -> None:
     named = clauses.withColumn(
         "dataset", F.concat("collection_key", F.lit("_"), file_slug(F.col("source_file")), F.lit("_dataset"))
     )
-    named.write.mode("overwrite").partitionBy("dataset").json(path)
+    ordered = named.repartitionByRange("dataset", "chunk_id")
+    ordered.write.mode("overwrite").partitionBy("dataset").json(path)
 
 
 def write_classified(classified: DataFrame, path: str, standard_path: str) -> None:

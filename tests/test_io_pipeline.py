@@ -102,7 +102,7 @@ def test_collections(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    rows = spark.createDataFrame([("TN", "a b.md", "c1", 1), ("TN", "c.md", "c2", 0)], "collection_key string, source_file string, contract string, is_standard int")
+    rows = spark.createDataFrame([("TN", "a b.md", "c1", 1), ("TN", "c.md", "c2", 0)], "collection_key string, source_file string, chunk_id string, is_standard int").withColumn("contract", F.col("chunk_id"))
     sinks.write_datasets(rows, str(tmp_path / "sets"))
     names = {p.name for p in (tmp_path / "sets").iterdir() if p.is_dir()}
     assert names == {"dataset=TN_a_b_dataset", "dataset=TN_c_dataset"}
