@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions.lexicon import WORDCLOUD_STOP_WORDS
 from clauseloom.functions.text import words
 from clauseloom.operators.ordered import group_rank, take_positions
+from clauseloom.operators.sizing import broadcast_if_small
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -169,7 +170,7 @@ def _box(ranked: DataFrame) -> DataFrame:
 def similarity_box(clauses: DataFrame) -> DataFrame:
     """Quartiles without interpolation (sorted[n//4], [n//2], [3n//4]), mean and outlier count."""
     ranked = _ranked_similarities(clauses)
-    box = _box(ranked)
+    box = broadcast_if_small(_box(ranked))
     spread = F.col("q3") - F.col("q1")
     outside = (F.col("similarity") < F.col("q1") - 1.5 * spread) | (F.col("similarity") > F.col("q3") + 1.5 * spread)
     rest = (
@@ -184,7 +185,7 @@ def similarity_box(clauses: DataFrame) -> DataFrame:
 def similarity_outliers(clauses: DataFrame) -> DataFrame:
     """The outliers themselves, one row each."""
     ranked = _ranked_similarities(clauses)
-    box = _box(ranked).select("attribute", "q1", "q3")
+    box = broadcast_if_small(_box(ranked).select("attribute", "q1", "q3"))
     spread = F.col("q3") - F.col("q1")
     outside = (F.col("similarity") < F.col("q1") - 1.5 * spread) | (F.col("similarity") > F.col("q3") + 1.5 * spread)
     return ranked.join(box, "attribute").where(outside).select("attribute", "chunk_id", F.round("similarity", 3).alias("similarity"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.operators.sizing import broadcast_if_small
 from clauseloom.session import cut_lineage
 
 _POSITION = "_position"
@@ -18,8 +19,9 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], out
     ``order`` must end in a unique key.  Rows are range-partitioned by group and
     order, so a large group covers many partitions.  A position inside the sorted
     partitions is stored, and each (group, partition) block learns how many rows
-    of its group lie in earlier blocks.  One shuffle of the rows; the block table
-    has at most one row per partition plus one per group.
+    of its group lie in earlier blocks.  The block table has at most one row per
+    partition plus one per group: measured small it is broadcast and the rows are
+    shuffled once, otherwise the join spreads them by group and block.
     """
     keys = [F.col(name) for name in group] + list(order)
     positioned = cut_lineage(
@@ -35,7 +37,7 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], out
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     return (
         positioned.withColumn("_block", block)
-        .join(blocks, [*group, "_block"])
+        .join(broadcast_if_small(blocks), [*group, "_block"])
         .withColumn(output, F.col(_POSITION) - F.col("_first") + F.col("_before") + 1)
         .select(*df.columns, output)
     )
@@ -70,7 +72,7 @@ def take_positions(ranked: DataFrame, group: Sequence[str], rank: str, value: st
     ``ranked`` carries the position of each row in its group in ``rank``.
     """
     sizes = ranked.groupBy(*group).agg(F.count("*").alias("n"))
-    sized = ranked.join(sizes, list(group))
+    sized = ranked.join(broadcast_if_small(sizes), list(group))
     picks = [
         F.max(F.when(F.col(rank) == position, F.col(value))).alias(name) for name, position in positions.items()
     ]

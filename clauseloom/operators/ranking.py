@@ -70,6 +70,9 @@ def rrf_scores(attributes: DataFrame, chunks: DataFrame, rrf_k: int = RRF_K, met
     lengths = ranked.groupBy("attribute_number").agg(
         F.count("dense_similarity").alias("_dense"), F.count("*").alias("_all")
     )
+    if fits(attributes):
+        # One row per attribute; a join by attribute would gather whole lists.
+        lengths = F.broadcast(lengths)
     behind = F.when(F.col("_dense") > 0, F.col("_dense")).otherwise(F.col("_all")) + 1
     ranked = ranked.join(lengths, "attribute_number").withColumn(
         "dense_rank", F.when(F.col("dense_similarity").isNull(), behind).otherwise(F.col("dense_rank"))

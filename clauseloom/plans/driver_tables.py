@@ -9,6 +9,7 @@ from clauseloom.functions.lexicon import RULE_PATTERNS
 from clauseloom.functions.text import preprocess_text, token_count
 from clauseloom.operators.classify import rule_flags
 from clauseloom.operators.sizing import spread
+from clauseloom.session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +96,8 @@ def templates_and_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "paraphrase_embedding", F.slice("embedding", 1, 32)
     )
     columns = ["state", "attribute_number", "text", "embedding", "paraphrase_embedding"]
+    # Stands for the stored clause table, which every later step reads.
+    prepared = cut_lineage(prepared.select("clause_id", "contract", "is_standard", *columns))
     is_template = F.coalesce(F.col("is_standard") == 1, F.lit(False))
     templates = prepared.where(is_template).select(F.col("clause_id").alias("template_id"), *columns)
     candidates = prepared.where(~is_template).select("clause_id", "contract", *columns)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.functions.text import state_of_collection
+from clauseloom.functions.text import state_of_collection, text_to_embed
 from clauseloom.models import embed
 from clauseloom.operators import classify as cascade
 from clauseloom.operators import ranking
@@ -50,7 +50,12 @@ class Pipeline:
         # The order of a collection: file name, then position in the file.
         number = F.regexp_extract("chunk_id", "_c([0-9]+)$", 1).cast("int")
         ordered = group_rank(chunks, ["collection_key"], [F.col("source_file").asc(), number.asc()], "doc_idx")
-        self.store("chunks", self.embedder(ordered))
+        # Vectors are made from the content with its header context in front.
+        shown = ordered.withColumnRenamed("content", "_content").withColumn(
+            "content", text_to_embed(F.col("header_path"), F.col("_content"))
+        )
+        embedded = self.embedder(shown).drop("content").withColumnRenamed("_content", "content")
+        self.store("chunks", embedded)
         self.store("attributes", self.embedder(attributes))
 
     def rank(self, collections: dict[str, bool]) -> None:

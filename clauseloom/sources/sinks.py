@@ -108,6 +108,24 @@ def write_markdown_pages(pages: DataFrame, path: str) -> None:
     )
 
 
+def dense_report(matches: DataFrame, stats: DataFrame, top: int = 3) -> str:
+    """Markdown report of the dense-only matcher: statistics and best matches per attribute."""
+    best = matches.where(F.col("rank") <= top).select("attribute_number", "rank", "doc_idx", "similarity").collect()
+    lines = ["# Dense matching report", ""]
+    for found in sorted(stats.collect(), key=lambda row: row.attribute_number):
+        lines += [
+            f"### Attribute {found.attribute_number}",
+            "",
+            f"- Average Similarity: {found.avg_similarity}",
+            f"- Best Similarity: {found.max_similarity}",
+            f"- High Confidence Matches: {found.high_confidence_matches}",
+            "",
+        ]
+        rows = sorted((row for row in best if row.attribute_number == found.attribute_number), key=lambda row: row.rank)
+        lines += [f"{row.rank}. chunk {row.doc_idx} - Similarity: {row.similarity}" for row in rows]
+    return "\n".join(lines)
+
+
 def match_report(matches: DataFrame, stats: DataFrame, rank: str = "rank", top: int = 3, digits: int = 6) -> str:
     """Markdown report with the best ``top`` matches per attribute.
 
