@@ -6,6 +6,8 @@ from collections.abc import Mapping
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from clauseloom.functions.lexicon import ATTRIBUTE_CAPS
 from clauseloom.functions.text import preview
 from clauseloom.functions.vectors import similarity
 from clauseloom.operators.ordered import group_rank, merge_top_k, top_k
-from clauseloom.operators.scoring import Contenders, pairs, place_counts, scored_blocks, task_best
+from clauseloom.operators.scoring import Contenders, ScoredBlock, pairs, place_counts, scored_blocks, task_best
 from clauseloom.operators.sizing import BROADCAST_ROWS, fits
+from clauseloom.session import cut_lineage
 
 RRF_K = 20
 GLOBAL_TOP_K = 20
@@ -58,11 +61,12 @@ def rrf_scores(attributes: DataFrame, chunks: DataFrame, rrf_k: int = RRF_K, met
     """Both ranks and the fused score of every (attribute, chunk) pair.
 
     Needed where the depth of the answer is not bounded, as in the per-source
-    selection.  The narrow pair rows pass two range shuffles, one per ranking;
+    selection.  The narrow pair rows are stored, so that every text is
+    scored once, and pass two range shuffles, one per ranking;
     no attribute's list is gathered in one task.  A chunk without a vector gets
     the rank behind the last dense one and similarity 0.0.
     """
-    scored = _union([pairs(chunks, block.scorer) for block in scored_blocks(attributes, chunks, metric)])
+    scored = cut_lineage(_union([pairs(chunks, block.scorer) for block in scored_blocks(attributes, chunks, metric)]))
     by_dense = group_rank(
         scored, ["attribute_number"], [F.col("dense_similarity").desc_nulls_last(), F.col("doc_idx").asc()], "dense_rank"
     )
@@ -102,43 +106,33 @@ def rrf_top_k(
             heads.withColumn("_score", score), ["ranking", "attribute_number"], [F.desc("_score"), F.asc("doc_idx")], depth
         )
         # At most 2 * depth rows per attribute of the block.
-        rows = heads.select("attribute_number", "doc_idx", "dense_similarity", "bm25_score").distinct().collect()
+        rows = heads.select("attribute_number", "doc_idx", "dense_similarity", "bm25_score").toArrow().to_pandas()
+        rows = rows.drop_duplicates(["attribute_number", "doc_idx"], ignore_index=True)
         results.append(_ranked_candidates(chunks, block, rows))
     return top_k(_fused(_union(results), rrf_k), ["attribute_number"], fused_order(), k)
 
 
-def _ranked_candidates(chunks: DataFrame, block, rows: list) -> DataFrame:
-    spark = chunks.sparkSession
+def _ranked_candidates(chunks: DataFrame, block: ScoredBlock, rows: pd.DataFrame) -> DataFrame:
+    """Exact ranks of candidate rows, counted over all chunks."""
     contenders: dict[tuple[str, int], Contenders] = {}
-    places: dict[str, dict[tuple[int, int], int]] = {"dense": {}, "bm25": {}}
-    by_attribute: dict[int, list] = {}
-    for row in rows:
-        by_attribute.setdefault(row.attribute_number, []).append(row)
-    for number, found in by_attribute.items():
+    places = {ranking: pd.array([None] * len(rows), dtype="Int64") for ranking in ("dense", "bm25")}
+    for number, found in rows.groupby("attribute_number"):
         for ranking, field in (("dense", "dense_similarity"), ("bm25", "bm25_score")):
-            usable = sorted((row for row in found if row[field] is not None), key=lambda row: (-row[field], row.doc_idx))
-            if usable:
-                contenders[ranking, number] = Contenders(
-                    np.array([row[field] for row in usable]), np.array([row.doc_idx for row in usable], dtype=np.int64)
-                )
-            for place, row in enumerate(usable):
-                places[ranking][number, row.doc_idx] = place
+            usable = found[found[field].notna()]
+            if usable.empty:
+                continue
+            ids, score = usable["doc_idx"].to_numpy(), usable[field].to_numpy()
+            order = np.lexsort((ids, -score))
+            contenders[ranking, int(number)] = Contenders(score[order], ids[order])
+            places[ranking][usable.index.to_numpy()[order]] = np.arange(len(order))
 
     counts = place_counts(chunks, block.scorer, contenders)
-    candidates = spark.createDataFrame(
-        [
-            (
-                row.attribute_number,
-                row.doc_idx,
-                row.dense_similarity,
-                row.bm25_score,
-                places["dense"].get((row.attribute_number, row.doc_idx)),
-                places["bm25"].get((row.attribute_number, row.doc_idx)),
-            )
-            for row in rows
-        ],
-        "attribute_number long, doc_idx long, dense_similarity double, bm25_score double, dense_place long, bm25_place long",
-    )
+    placed = rows.assign(dense_place=places["dense"], bm25_place=places["bm25"])
+    columns = pa.schema(
+        [("attribute_number", pa.int64()), ("doc_idx", pa.int64()), ("dense_similarity", pa.float64()),
+         ("bm25_score", pa.float64()), ("dense_place", pa.int64()), ("bm25_place", pa.int64())]
+    )
+    candidates = chunks.sparkSession.createDataFrame(pa.Table.from_pandas(placed, columns, preserve_index=False))
     # One row per attribute: at most 2 * depth + 1 counters per ranking.
     histogram = counts.groupBy("attribute_number").agg(
         *[

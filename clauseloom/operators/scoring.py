@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from clauseloom.functions.vectors import METRICS
@@ -113,19 +113,22 @@ def scored_blocks(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     columns = attributes.select("attribute_number", "content", "embedding")
-    total = columns.count()
-    blocks = math.ceil(total / block_rows)
+    head = columns.select("attribute_number", "embedding").take(block_rows + 1)
+    if len(head) <= block_rows:
+        yield _scored_block(columns, head, chunks, metric, k1, b, lexical)
+        return
+    blocks = math.ceil(columns.count() / block_rows)
     for index in range(blocks):
-        block = columns
-        if blocks > 1:
-            block = columns.where(F.pmod(F.xxhash64("attribute_number"), F.lit(blocks)) == index)
-        yield _scored_block(block, chunks, metric, k1, b, lexical)
+        block = columns.where(F.pmod(F.xxhash64("attribute_number"), F.lit(blocks)) == index)
+        rows = block.select("attribute_number", "embedding").collect()
+        if rows:
+            yield _scored_block(block, rows, chunks, metric, k1, b, lexical)
 
 
 def _scored_block(
-    block: DataFrame, chunks: DataFrame, metric: str, k1: float, b: float, lexical: bool
+    block: DataFrame, rows: list[Row], chunks: DataFrame, metric: str, k1: float, b: float, lexical: bool
 ) -> ScoredBlock:
-    attributes = sorted(block.select("attribute_number", "embedding").collect(), key=lambda row: row[0])
+    attributes = sorted(rows, key=lambda row: row.attribute_number)
     column = {row.attribute_number: position for position, row in enumerate(attributes)}
     has_vector = np.array([row.embedding is not None for row in attributes], dtype=bool)
     vectors = None

@@ -14,6 +14,7 @@ from clauseloom.functions.lexicon import ATTRIBUTE_TERMS, CHUNK_CONTENT_TERMS, R
 from clauseloom.operators import charts, chunking, classify, clauses, lexical, ranking, report, search
 from clauseloom.operators.nearest import nearest_template
 from clauseloom.operators.ordered import top_k
+from clauseloom.operators.sizing import fits
 from clauseloom.plans import driver_tables as tables
 from clauseloom.session import ensure_checkpoint_dir
 from clauseloom.sources.scans import not_processed
@@ -41,7 +42,7 @@ def _long(name: str) -> Column:
 def corpus_counts(spark, folder):
     attributes, chunks = tables.attributes(spark, folder), tables.chunks(spark, folder)
     terms = lexical.query_terms(attributes)
-    return lexical.corpus_counts(chunks, terms, small=True)
+    return lexical.corpus_counts(chunks, terms, small=fits(terms))
 
 
 def bm25_scores(spark, folder):

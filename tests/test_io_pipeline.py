@@ -189,7 +189,7 @@ def test_reports_and_json(spark):
     assert "### 1. Fee" in report and report.count("**Page 1**") == 3
     dense = ranking.dense_matches(attributes, chunks, 4)
     report = sinks.dense_report(dense, ranking.dense_match_stats(dense))
-    assert report.count("- Similarity") == 3 and "High Confidence Matches: 1" in report
+    assert report.count("- Similarity") == 3 and "High Confidence Matches: 4" in report
 
 
 def test_small_column_helpers(spark):
