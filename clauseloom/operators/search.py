@@ -16,6 +16,14 @@ EVIDENCE_ITEMS = 6
 HISTORY_LENGTH = 20
 SNIPPET_LENGTH = 220
 
+# Wording of the prompt.
+PROMPT_INSTRUCTIONS = (
+    "Answer the user in ONE SHORT LINE of plain text (<= 20 words).\n"
+    "Do NOT output JSON, lists, markdown, or multiple lines.\n"
+    "Use only the provided evidence. If counting non-standard, isStandard=0.\n"
+)
+PROMPT_END = "\nReturn exactly one concise line."
+
 
 def search(
     clauses: DataFrame,
@@ -94,14 +102,7 @@ def prompt(found: DataFrame, query: str) -> DataFrame:
     """The instruction for an answering model; earlier messages are not part of it."""
     return evidence(found).select(
         F.concat(
-            F.lit("Answer the user in ONE SHORT LINE of plain text (<= 20 words).\n"),
-            F.lit("Do NOT output JSON, lists, markdown, or multiple lines.\n"),
-            F.lit("Use only the provided evidence. If counting non-standard, isStandard=0.\n"),
-            F.lit("Question: "),
-            F.lit(query),
-            F.lit("\nEvidence: "),
-            F.col("evidence"),
-            F.lit("\nReturn exactly one concise line."),
+            F.lit(PROMPT_INSTRUCTIONS), F.lit(f"Question: {query}\nEvidence: "), F.col("evidence"), F.lit(PROMPT_END)
         ).alias("prompt")
     )
 
