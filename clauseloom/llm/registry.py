@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import packing, secrets, token_counts
+from clauseloom.llm import mixing, packing, secrets, token_counts, toxicity, url_reputation
 from clauseloom.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), mixing.Target(repetitions=4.0))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents")).drop("n_spans")
 
@@ -24,5 +28,17 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_reputation.judge(table(spark, folder, "pages"), outcomes).drop("reputation")
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {name: run for name, run in globals().items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_url_reputation": url_reputation.oracle_sql()}
