@@ -12,6 +12,7 @@ corpus is padded.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,21 +29,22 @@ from clauseloom.operators.sizing import broadcast_if_small
 
 WINDOW = 2048
 END_ID = 1
-CACHED_WORDS = 500_000  # entries a Python worker keeps
+CACHED_WORDS = 900_000  # entries a Python worker keeps
 CACHED_LENGTH = 64
 STEPS = 200  # of the least-squares solver
 
 _PART_BITS = 40
-_TRAILING = ".,;:!?"
+_ENDING = re.compile(rb"([a-z0-9])([.,;:!?]+)(?=[ \n])")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of whole texts, encoding each distinct word once.
 
-    The tokenizer's pre-tokens never contain a space or line break, and letters are
-    never in one pre-token with the punctuation behind them, so words and trailing
-    punctuation can be encoded by themselves.
+    The tokenizer drops white space, ignores case, and never has a letter or digit in one
+    pre-token with the punctuation behind it.  So texts can be cut at spaces, line breaks
+    and before such punctuation, and ASCII letters lowered, without another result.  A text
+    that may hold special tokens keeps its case, as theirs counts.
     """
 
     def __init__(self, path: str):
@@ -50,41 +52,30 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update(zip(words, [array("I", x.ids).tobytes() for x in found], strict=True))
-
-    def _learn(self, words: list[str]) -> list[str]:
-        """Add words to ``known``; returns the entries that are too long to keep."""
-        known, pairs, fresh = self.known, [], set()
-        for word in words:
-            core = word.rstrip(_TRAILING)
-            if core and len(core) < len(word) and core[-1].isalnum() and len(core[-1].lower()) == 1:
-                tail = word[len(core) :]
-                core = core.lower() if core.isascii() else core
-                pairs.append((word, core, tail))
-                fresh.add(core)
-                fresh.add(tail)
-            else:
-                fresh.add(word)
-        self._encode([word for word in fresh if word not in known])
-        for word, core, tail in pairs:
-            known[word] = known[core] + known[tail]
-        return [word for word in (*words, *fresh) if len(word) > CACHED_LENGTH]
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _words(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        data = text.encode()
+        data = data if b"<|" in data else data.lower()
+        return _ENDING.sub(rb"\1 \2", data).replace(b"\n", b" ").split(b" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, END_ID behind them."""
-        split = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        words = set().union(*split)
+        split = [self._words(text) for text in texts]
+        distinct = set().union(*split)
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""} | {word: self.known[word] for word in words if word in self.known}
-        long = self._learn([word for word in words if word not in self.known])
-        known, end = self.known, array("I", [END_ID]).tobytes()
+            self.known = {b"": b""} | {word: self.known[word] for word in distinct if word in self.known}
+        known = self.known
+        fresh = [word for word in distinct if word not in known]
+        found = self.tokenizer.encode_batch_fast([word.decode() for word in fresh], add_special_tokens=False)
+        known.update(zip(fresh, [array("I", x.ids).tobytes() for x in found], strict=True))
+        end = array("I", [END_ID]).tobytes()
         ids = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        for word in long:
-            known.pop(word, None)
+        for word in fresh:
+            if len(word) > CACHED_LENGTH:
+                del known[word]
         return ids
 
 

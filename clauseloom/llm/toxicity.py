@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import slices
+from clauseloom.llm.common import slices, stored
 
+LIMIT = 30.0  # of a feature; log odds beyond it tell nothing more
 CACHED_WORDS = 300_000  # entries a Python worker keeps
 WORD = re.compile(r"[^\W_]+")
 EDGES = ".,;:!?\"'()“”„«»‹›"
@@ -33,27 +35,40 @@ class Options:
     """``sample_rows``: most labelled documents that the model is fitted on (about; chosen by hash).
     ``entries``: most lexicon entries.  ``stems``: lengths of word beginnings that may become
     entries.  ``evidence``: how far the likelihood ratio of an entry must exceed chance.
-    ``edit_length``: shortest entry that may be misspelled.  ``context``: characters on each
+    ``edit_length``: shortest entry that may be misspelled; ``edit_share``: what a misspelled
+    hit counts of the entry's weight before any were seen.  ``context``: characters on each
     side of a hit that are searched for quotation marks."""
 
     sample_rows: int = 20_000
     entries: int = 4_000
     stems: tuple[int, ...] = (4, 5, 6, 7)
-    evidence: float = 10.0
+    evidence: float = 4.0
     edit_length: int = 5
+    edit_share: float = 0.8
     context: int = 80
 
 
+Hit = tuple[float, float, int]
+NO_HIT: Hit = (0.0, 0.0, -1)
+
+
+def joined(a: Hit, b: Hit) -> Hit:
+    return (max(a[0], b[0]), *(a[1:] if a[1] >= b[1] else b[1:]))
+
+
 class Lexicon:
-    """Trie of entries, each with a weight; finds the best entry within one edit of a word.
+    """Trie of entries with a weight for exact and one for misspelled hits; finds the best within one edit.
 
-    An entry that ends in ``*`` is a stem: it fits words that begin with it.
+    An entry that ends in ``*`` is a stem: it fits words that begin with it.  A weight of 0
+    for misspelled hits allows none.
     """
 
-    def __init__(self, entries: dict[str, float], edit_length: int = 5):
+    def __init__(self, entries: dict[str, tuple[float, float]]):
+        self.names = sorted(entries)
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[list[tuple[float, bool, bool]]] = [[]]
-        for entry, weight in sorted(entries.items()):
+        self.ends: list[list[tuple[int, bool]]] = [[]]
+        self.weights = [entries[name] for name in self.names]
+        for number, entry in enumerate(self.names):
             stem = entry.endswith("*")
             node = 0
             for char in entry.rstrip("*"):
@@ -62,11 +77,11 @@ class Lexicon:
                     self.children.append({})
                     self.ends.append([])
                 node = self.children[node][char]
-            self.ends[node].append((weight, stem, len(entry.rstrip("*")) >= edit_length))
+            self.ends[node].append((number, stem))
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.found: list[tuple[float, float]] = []
+        self.found: list[tuple[Hit, Hit]] = []  # for each state: hits of words that end there, and of all that pass
         self.start = self._state({(0, 0)})
 
     def _state(self, places: set[tuple[int, int]]) -> int:
@@ -85,21 +100,25 @@ class Lexicon:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.found.append(self._best(full, at_end=True))
+            self.found.append((self._best(full, False), self._best(full, True)))
         return self.states[key]
 
-    def _best(self, full: dict[int, int], at_end: bool) -> tuple[float, float]:
-        """Greatest weights (exact, misspelled) among entries that end here."""
-        best = [0.0, 0.0]
+    def _best(self, full: dict[int, int], stems_only: bool) -> Hit:
+        exact, near, which = 0.0, 0.0, -1
         for node, edits in full.items():
-            for weight, stem, editable in self.ends[node]:
-                if (at_end or stem) and (edits == 0 or editable):
-                    best[edits] = max(best[edits], weight)
-        return best[0], best[1]
-
-    def match(self, word: str) -> tuple[float, float]:
-        """Greatest weights of an exact and of a misspelled hit of the word; 0 for none."""
-        state, exact, near = self.start, 0.0, 0.0
+            for number, stem in self.ends[node]:
+                if stems_only and not stem:
+                    continue
+                weight = self.weights[number][edits]
+                if edits == 0:
+                    exact = max(exact, weight)
+                elif weight > near:
+                    near, which = weight, number
+        return (exact, near, which) if exact or near else NO_HIT
+
+    def match(self, word: str) -> Hit:
+        """Greatest weights of an exact and of a misspelled hit of the word, and the latter's entry."""
+        state, best = self.start, NO_HIT
         for char in word:
             following = self.moves[state].get(char)
             if following is None:
@@ -114,17 +133,11 @@ class Lexicon:
                 following = self.moves[state][char] = self._state(places) if places else -1
             state = following
             if state < 0:
-                return exact, near
-            a, b = self._stem(state)
-            exact, near = max(exact, a), max(near, b)
-        a, b = self.found[state]
-        return max(exact, a), max(near, b)
-
-    def _stem(self, state: int) -> tuple[float, float]:
-        memo = self.__dict__.setdefault("_stems", {})
-        if state not in memo:
-            memo[state] = self._best(dict(self.sets[state]), at_end=False)
-        return memo[state]
+                return best
+            passing = self.found[state][1]
+            if passing is not NO_HIT:
+                best = joined(best, passing)
+        return joined(best, self.found[state][0])
 
 
 def words_of(text: str) -> list[str]:
@@ -144,41 +157,46 @@ def quoted(text: str, start: int, end: int, context: int) -> bool:
 
 
 class Scorer:
-    """Features of texts: for (exact, misspelled) x (abuse, quotation) the sum of hit weights, damped."""
+    """Features of texts: for (exact, misspelled) x (abuse, quotation) the sum of the distinct hits' weights."""
 
     def __init__(self, lexicon: Lexicon, context: int):
         self.lexicon = lexicon
         self.context = context
-        self.known: dict[str, tuple[float, float] | None] = {}
+        self.known: dict[str, Hit | None] = {}
 
-    def _look(self, token: str) -> tuple[float, float] | None:
+    def _look(self, token: str) -> Hit | None:
         parts = WORD.findall(token)
         if len(parts) > 1 or (parts and len(parts[0]) < len(token.strip(EDGES))):
             parts.append("".join(parts))
-        hits = [self.lexicon.match(part) for part in parts]
-        exact = max((h[0] for h in hits), default=0.0)
-        near = max((h[1] for h in hits), default=0.0)
-        return (exact, near) if exact or near else None
-
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        sums = [0.0, 0.0, 0.0, 0.0]
-        tokens = words_of(text) if text else []
-        distinct = set(tokens)
+        best = NO_HIT
+        for part in parts:
+            best = joined(best, self.lexicon.match(part))
+        return best if best[0] or best[1] else None
+
+    def hits(self, text: str | None) -> tuple[str, list[tuple[str, Hit]]]:
+        """Lower-case text and its distinct tokens that hit."""
+        lower = text.lower() if text else ""
+        distinct = set(lower.split())
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
         for token in distinct:
             if token not in known:
                 known[token] = self._look(token)
-        hits = [token for token in distinct if known[token]]
-        for token in hits:
-            exact, near = known[token]
-            slot = 0 if exact else 1
-            for place in _places(text.lower(), token):
-                sums[slot + 2 * quoted(text, place, place + len(token), self.context)] += exact or near
+        found = [(token, known[token]) for token in sorted(t for t in distinct if known[t])]
+        for token in distinct:
             if len(token) > 64:
                 known.pop(token)
-        return tuple(math.log1p(x) for x in sums)
+        return lower, found
+
+    def features(self, text: str | None) -> list[float]:
+        sums = [0.0, 0.0, 0.0, 0.0]
+        lower, found = self.hits(text)
+        for token, (exact, near, _) in found:
+            # Abuse if any of its places is not a quotation.
+            inside = all(quoted(lower, at, at + len(token), self.context) for at in _places(lower, token))
+            sums[(not exact) + 2 * inside] += exact or near
+        return [min(x, LIMIT) for x in sums]
 
 
 def _places(text: str, token: str) -> list[int]:
@@ -204,9 +222,31 @@ def _sample(docs: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     # At most about sample_rows narrow rows: the bound of the broadcast side.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", (F.col("toxic") > 0).cast("int").alias("toxic"), (fold == 4).alias("tuning")
-    )
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), (fold == 4).alias("tuning"))
+    keys = stored(texts.mapInArrow(_likeness, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, keys array<long>"))
+    for i in range(LIKENESS_KEYS):
+        keys = keys.groupBy(F.col("keys")[i]).agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))
+    # Of copies and near copies one speaks; their words would pass for evidence otherwise.
+    return stored(texts.join(F.broadcast(keys.select("doc_id").distinct()), "doc_id").drop("doc_id"))
+
+
+LIKENESS_KEYS = 6
+
+
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest hashes of a text's word triples under different multipliers; alike texts share most."""
+    odd = np.arange(1, LIKENESS_KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
+    for batch in slices(batches, "text", 4 << 20):
+        rows = []
+        for text in batch.column("text").to_pylist():
+            words = words_of(text or "") or [""]
+            runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+            hashes = np.fromiter((zlib.crc32(r.encode()) for r in runs), np.uint64, len(runs))
+            rows.append([int(((hashes * m) >> np.uint64(32)).min()) for m in odd])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "keys"]
+        )
 
 
 def _terms(options: Options):
@@ -257,28 +297,97 @@ def learn_lexicon(sample: DataFrame, options: Options) -> dict[str, float]:
         .limit(options.entries)
         .collect()
     )
-    found = {row["term"]: row["weight"] for row in rows}
-    stems = {term[:-1]: weight for term, weight in found.items() if term.endswith("*")}
+    return _without_covered(rows, bad, total, options)
+
+
+def _odds(a: float, b: float, bad: int, total: int) -> float:
+    """Smoothed log of how much more frequent a term is in toxic than in clean documents."""
+    return math.log(((a + 0.5) / (bad + 1)) / ((b + 0.5) / (total - bad + 1)))
+
+
+def _without_covered(rows: list, bad: int, total: int, options: Options, slack: float = 0.5) -> dict[str, float]:
+    """Drop terms that a stem as sure covers, and stems that are sure only through their surer terms.
+
+    Covered whole words that may be misspelled stay: the stem says nothing of their end.
+    """
+    weights = {row["term"]: row["weight"] for row in rows}
+    finer: dict[str, list] = {}
+    for row in rows:
+        base = row["term"].rstrip("*")
+        for n in range(1, len(base) + (row["term"][-1] != "*")):
+            stem = f"{base[:n]}*"
+            if stem in weights and row["weight"] > weights[stem] + slack:
+                finer.setdefault(stem, []).append(row)
+    kept = {}
+    for row in rows:
+        # Of the surer terms only the longest stems count, so that no document is taken off twice for one word.
+        own = finer.get(row["term"], [])
+        own = [r for r in own if not any(r is not s and s["term"].endswith("*") and r["term"].startswith(s["term"][:-1]) for s in own)]
+        rest = _odds(max(0, row["a"] - sum(r["a"] for r in own)), max(0, row["b"] - sum(r["b"] for r in own)), bad, total)
+        if not own or rest > 1.5:
+            kept[row["term"]] = rest if own else row["weight"]
     return {
         term: weight
-        for term, weight in found.items()
-        if not any(
-            stems.get(term.rstrip("*")[:n], -1.0) >= weight - 0.5 for n in range(1, len(term.rstrip("*")) + (term[-1] != "*"))
-        )
+        for term, weight in kept.items()
+        if (term[-1] != "*" and len(term) >= options.edit_length)
+        or not any(kept.get(f"{term.rstrip('*')[:n]}*", -1.0) >= weight - slack for n in range(1, len(term)) if f"{term[:n]}*" != term)
     }
 
 
-def fit(features: np.ndarray, labels: np.ndarray, prior: np.ndarray, pull: float = 0.05, steps: int = 60) -> np.ndarray:
+def weigh_misspellings(sample: DataFrame, entries: dict[str, float], options: Options) -> dict[str, tuple[float, float]]:
+    """Entries with the weights of exact and of misspelled hits.
+
+    Misspelled hits are counted in the documents the entries were learnt from: an entry
+    whose neighbours are ordinary words loses them.
+    """
+    editable = {e: (w, options.edit_share * w if len(e.rstrip("*")) >= options.edit_length else 0.0) for e, w in entries.items()}
+    counts = sample.groupBy().agg(F.sum("toxic"), F.count("*")).first()
+    bad, total = int(counts[0] or 0), int(counts[1])
+    if not entries:
+        return editable
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Lexicon(editable), options.context)
+        names = scorer.lexicon.names
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in slices(batches, "text", 4 << 20):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                seen[label].update({names[which] for _, (exact, _, which) in scorer.hits(text)[1] if not exact})
+        every = sorted(set().union(*seen))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(every, pa.string()), *(pa.array([own[e] for e in every], pa.int64()) for own in seen)],
+            names=["entry", "clean", "toxic"],
+        )
+
+    seen = sample.select("text", "toxic").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    )
+    for entry, clean, toxic in seen.collect():  # at most one row for each entry
+        exact, near = editable[entry]
+        odds = _odds(toxic, clean, bad, total)
+        editable[entry] = (exact, min(near, odds) if odds > 1.0 else 0.0)
+    return editable
+
+
+def fit(features: np.ndarray, labels: np.ndarray, prior: np.ndarray, pull: float = 0.5, steps: int = 60) -> np.ndarray:
     """Logistic regression by Newton steps, drawn towards ``prior`` (intercept first)."""
     x = np.concatenate([np.ones((len(features), 1)), features], axis=1)
-    w = prior.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - labels @ z + pull / 2 * ((w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - labels) + pull * (w - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), grad)
+        scale = 1.0
+        while scale > 1e-6 and loss(w - scale * step) > now:
+            scale /= 2
+        w = w - scale * step
+        before, now = now, loss(w)
+        if before - now < 1e-9:
             break
     w[1:] = np.maximum(w[1:], 0.0)  # a hit never speaks for a document
     return w
@@ -288,21 +397,22 @@ def fit(features: np.ndarray, labels: np.ndarray, prior: np.ndarray, pull: float
 class Model:
     """A bounded lexicon and five weights; small enough to travel with the tasks."""
 
-    entries: dict[str, float]
+    entries: dict[str, tuple[float, float]]
     weights: tuple[float, ...]
     options: Options
 
 
-PRIOR = np.array([-2.2, 2.0, 1.0, 0.5, 0.25])  # intercept, exact, misspelled, exact quoted, misspelled quoted
+PRIOR = np.array([-2.2, 1.0, 0.8, 0.5, 0.4])  # intercept, exact, misspelled, exact quoted, misspelled quoted
 
 
 def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
     """Lexicon from most of the sampled documents, weights from those kept apart for tuning."""
     sample = _sample(docs, labels, options)
-    entries = learn_lexicon(sample.where("not tuning"), options)
+    learning = sample.where("not tuning")
+    entries = weigh_misspellings(learning, learn_lexicon(learning, options), options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Lexicon(entries, options.edit_length), options.context)
+        scorer = Scorer(Lexicon(entries), options.context)
         for batch in slices(batches, "text", 4 << 20):
             rows = [scorer.features(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "f"])
@@ -326,7 +436,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = ("exact", "misspelled", "exact_quoted", "misspelled_quoted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Lexicon(model.entries, model.options.edit_length), model.options.context)
+        scorer = Scorer(Lexicon(model.entries), model.options.context)
         weights = np.array(model.weights)
         for batch in slices(batches, "text", 4 << 20):
             rows = np.array([scorer.features(text) for text in batch.column("text").to_pylist()]).reshape(-1, 4)
