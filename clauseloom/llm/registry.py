@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import mixing, packing, secrets, token_counts, toxicity, url_reputation
+from clauseloom.llm import embedding_dedup, mixing, neighbours, packing, secrets, token_counts, toxicity, url_reputation
 from clauseloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents")).drop("n_spans")
 
 
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     tokens = packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -28,6 +32,10 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op9_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
