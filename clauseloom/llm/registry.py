@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import embedding_dedup, mixing, neighbours, packing, secrets, token_counts, toxicity, url_reputation
+from clauseloom.llm import embedding_dedup, mixing, near_dedup, neighbours, packing, secrets, token_counts, toxicity, url_reputation
 from clauseloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), mixing.Target(repetitions=4.0))
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), near_dedup.Options(words=4))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents")).drop("n_spans")
 
