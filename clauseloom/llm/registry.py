@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import embedding_dedup, mixing, near_dedup, neighbours, packing, secrets, token_counts, toxicity, url_reputation
+from clauseloom.llm import embedding_dedup, mixing, near_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, url_reputation
 from clauseloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.checksummed(packing.pack(tokens), tokens).drop("row")
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("spans", "kept")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
