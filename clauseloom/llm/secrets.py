@@ -416,3 +416,24 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool
 
     schema = f"doc_id {kind}, {''.join(f'{n} long, ' for n in names)}base_sha256 string, spans string, n_spans long"
     return docs.select("doc_id", "text").mapInArrow(run, schema + (", text string" if redact else ""))
+
+
+def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` with every secret in ``text`` replaced and ``n_chars``, if there, counted anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(rules)
+        for batch in slices(batches, "text", 4 << 20):
+            texts = batch.column("text").to_pylist()
+            found = scanner.scan(texts)
+            at = batch.schema.get_field_index("text")
+            new = [redacted(t, spans, rules) if spans else t for t, spans in zip(texts, found, strict=True)]
+            batch = batch.set_column(at, "text", pa.array(new, pa.string()))
+            if "n_chars" in batch.schema.names and any(found):
+                counts = batch.column("n_chars").to_pylist()
+                counts = [len(t) if spans else n for t, n, spans in zip(new, counts, found, strict=True)]
+                at = batch.schema.get_field_index("n_chars")
+                batch = batch.set_column(at, "n_chars", pa.array(counts, batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

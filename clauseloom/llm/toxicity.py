@@ -455,3 +455,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         *names,
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns.  Map-only; order kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Lexicon(model.entries), model.options.context)
+        weights = np.array(model.weights)
+        for batch in slices(batches, "text", 4 << 20):
+            rows = np.array([scorer.features(text) for text in batch.column("text").to_pylist()]).reshape(-1, 4)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-(weights[0] + rows @ weights[1:]))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
