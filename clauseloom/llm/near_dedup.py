@@ -168,6 +168,14 @@ def plausible(pairs: DataFrame, signatures: DataFrame, options: Options) -> Data
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """True if the similarity of two sorted sets reaches ``percent``."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 256):
     """Few rows per Arrow batch while jobs run whose rows hold whole texts."""
@@ -196,8 +204,7 @@ def linked(pairs: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
                 if one != last[0]:
                     last = (one, shingles.of(one))
                 x, y = last[1], shingles.of(two)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= options.percent * (len(x) + len(y) - both) and both > 0)
+                keep.append(alike(x, y, options.percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with short_batches(docs.sparkSession):
@@ -212,37 +219,45 @@ def linked(pairs: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
     return found
 
 
-def _more_pairs(batches: Iterator[pa.RecordBatch], options: Options, most: int) -> Iterator[pa.RecordBatch]:
-    """Of each block: untied pairs of different components that outlast the comparison, best first.
+def _links_in(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """Links between the components of each block, verified on full sets; only links leave the task.
 
-    ``most`` pairs for each two components are named; ``more`` tells that there are others.
+    A pair is looked at in the first band that it shares, in the block where it is at home,
+    and no more once its components have been joined.
     """
     needed = needed_matches(options)
+    shingles = Shingles(options.words)
     for table in runs(batches, ("bucket", "block")):
         sig = matrix(table.column("sig"), "<u4")
-        node, component, minor, leader = (
-            table.column(name).to_numpy() for name in ("node", "component", "minor", "leader")
-        )
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i in np.flatnonzero(minor):
-            other = np.flatnonzero((component != component[i]) & (node != leader))
-            if node[i] == leader[i] or not len(other):
-                continue
+        bands = sig.reshape(len(sig), options.bands, options.rows)
+        names = ("node", "component", "minor", "leader", "home", "band")
+        node, component, minor, leader, home, band = (table.column(name).to_numpy() for name in names)
+        component, texts = component.copy(), table.column("text")
+        sets: dict[int, np.ndarray] = {}
+        links: list[tuple[int, int]] = []
+        for i in np.flatnonzero((minor > 0) & (node != leader)):
+            # With two outsiders the smaller one has to be at home, else the other.
+            placed = np.where(minor > 0, np.where(node < node[i], home, home[i]), home) > 0
+            once = (minor == 0) | (node < node[i])
+            other = np.flatnonzero((component != component[i]) & (node != leader) & placed & once)
+            other = other[(bands[other] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]
             matches = _agreeing(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], needed)
-            for j in np.flatnonzero(matches >= 0):
-                a, b = sorted((int(node[i]), int(node[other[j]])))
-                pair = tuple(sorted((int(component[i]), int(component[other[j]]))))
-                found.setdefault(pair, []).append((-int(matches[j]), a, b))
-        rows = [(a, b, len(own) > most) for own in found.values() for _, a, b in sorted(set(own))[:most]]
-        if rows:
-            a, b, more = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], names=["a", "b", "more"]
-            )
-
-
-def _untied(shared: DataFrame, component: DataFrame, signatures: DataFrame, options: Options, most: int) -> DataFrame:
-    """Stored pairs (a, b, more) still to be verified in buckets that hold several components.
+            for j in other[np.argsort(-matches, kind="stable")][: int((matches >= 0).sum())].tolist():
+                if component[j] == component[i]:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingles.of(texts[int(k)].as_py())
+                if alike(sets[i], sets[j], options.percent):
+                    links.append((int(node[i]), int(node[j])))
+                    component[component == component[j]] = component[i]
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _remaining(shared: DataFrame, component: DataFrame, signatures: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
+    """Stored links (a, b) in buckets that hold several components.
 
     Every pair of different components has a member outside its bucket's largest one.  Those
     few are sent to every block of the bucket, the rest to one block each.
@@ -256,17 +271,27 @@ def _untied(shared: DataFrame, component: DataFrame, signatures: DataFrame, opti
     blocks = F.ceil(F.col("size") / options.block).cast("int")
     own = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
     minor = F.col("component") != F.col("largest")
-    spread = (
+    spread = stored(
         placed.join(largest, "bucket")
+        .withColumn("own", own)
         .withColumn("minor", minor.cast("int"))
-        .withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-        .select("bucket", "block", "node", "component", "minor", "leader")
-        .join(signatures.select("node", "sig"), "node")
-        .repartition("bucket", "block")
-        .sortWithinPartitions("bucket", "block")
+        .withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
+        .withColumn("home", (F.col("own") == F.col("block")).cast("int"))
+        .select("bucket", "block", "band", "node", "component", "minor", "leader", "home")
     )
-    found = spread.mapInArrow(lambda batches: _more_pairs(batches, options, most), "a long, b long, more boolean")
-    return stored(found.groupBy("a", "b").agg(F.max("more").alias("more")))
+    wanted = stored(spread.select("node").distinct())
+    texts = docs.join(broadcast_if_small(wanted), "node", "left_semi").dropDuplicates(["node"])
+    carried = stored(texts.join(signatures, "node"))
+    with short_batches(docs.sparkSession):
+        found = stored(
+            spread.join(carried, "node")
+            .repartition("bucket", "block")
+            .sortWithinPartitions("bucket", "block", "node")
+            .mapInArrow(lambda batches: _links_in(batches, options), "a long, b long")
+        )
+    for table in (spread, wanted, carried):
+        discard(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,13 +300,14 @@ def near_duplicates(docs: DataFrame, options: Options = Options(), key: str = "d
     ``component_id`` is the smallest key reachable by links of similarity ``percent`` or
     more; ``kept`` tells that it is the row's own.  Rows with equal shingle sets are one
     node.  The first pairs to be verified are each bucket's smallest key with the others.
-    Buckets whose members then lie in several components are searched for further pairs
-    until none is left, so no link is lost however large a bucket; pairs within a
-    component are never made.
+    In buckets whose members then lie in several components, all pairs of different
+    components are compared, block by block and inside the tasks; only links leave them.
+    So no link is lost however large a bucket, and pairs within a component are never made.
 
     Words are runs of characters other than ASCII white space, A-Z lowered.  Null and
     empty texts have an empty set, link with nothing and are kept; so are rows with a null
-    key, whose component is null.  Rows that share a key are linked whatever their texts.
+    key, whose component is null.  Rows that share a key are linked whatever their texts;
+    for further links one of the texts counts.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = signed(docs, options, key, text)
@@ -294,7 +320,7 @@ def near_duplicates(docs: DataFrame, options: Options = Options(), key: str = "d
         F.sequence(F.lit(0), F.lit(options.bands - 1)),
         lambda i: F.xxhash64(i, F.col("sig").substr(i * width + 1, F.lit(width))),
     )
-    cells = signatures.select("node", F.explode(bands).alias("bucket"))
+    cells = signatures.select("node", F.posexplode(bands).alias("band", "bucket"))
     sizes = cells.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
     shared = stored(cells.join(sizes, "bucket"))
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).where("node is not null")
@@ -312,21 +338,9 @@ def near_duplicates(docs: DataFrame, options: Options = Options(), key: str = "d
     several = same_key.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("a", "b")
     links = linked(tested, texts, options)
     component = components(links.unionByName(clash).unionByName(several))
-    most = 8
-    while True:
-        pairs = _untied(shared.where("size > 2"), component, signatures, options, most)
-        fresh = stored(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        cut = not pairs.where("more").isEmpty()
-        if fresh.isEmpty():
-            if not cut:
-                break
-            most *= 8
-            continue
-        tested = tested.unionByName(fresh)
-        links = linked(fresh, texts, options)
-        if not links.isEmpty():
-            component = _merged(component, links)
-        most *= 8
+    more = _remaining(shared.where("size > 2"), component, signatures, texts, options)
+    if not more.isEmpty():
+        component = _merged(component, more)
     nodes = copies.select("class", "node").join(component, "node", "left")
     nodes = nodes.select("class", F.coalesce("component", "node").alias("component"))
     return rows.join(nodes, "class", "left").select(
@@ -351,3 +365,20 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     every = component.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
     return stored(every.join(joined, "component", "left").select("node", F.coalesce("low", "component").alias("component")))
+
+
+def without_near_duplicates(docs: DataFrame, options: Options = Options(), key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: the one with the smallest key.
+
+    Of rows that repeat a key one stays.  Rows with a null key stay.
+    """
+    found = near_duplicates(docs, options, key)
+    gone = stored(found.where("not kept").select(key).distinct())
+    rest = docs.join(broadcast_if_small(gone), key, "left_anti")
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    repeated = stored(repeated)
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        once = rest.join(repeated, key, "left_semi").dropDuplicates([key])
+        rest = rest.join(repeated, key, "left_anti").unionByName(once)
+    return rest.select(docs.columns)
