@@ -107,4 +107,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -194,7 +194,8 @@ class Scorer:
         lower, found = self.hits(text)
         for token, (exact, near, _) in found:
             # Abuse if any of its places is not a quotation.
-            inside = all(quoted(lower, at, at + len(token), self.context) for at in _places(lower, token))
+            head, tail = len(token) - len(token.lstrip(EDGES)), len(token.rstrip(EDGES))
+            inside = all(quoted(lower, at + head, at + tail, self.context) for at in _places(lower, token))
             sums[(not exact) + 2 * inside] += exact or near
         return [min(x, LIMIT) for x in sums]
 
