@@ -12,7 +12,6 @@ corpus is padded.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,8 @@ CACHED_LENGTH = 64
 STEPS = 200  # of the least-squares solver
 
 _PART_BITS = 40
-_ENDING = re.compile(rb"([a-z0-9])([.,;:!?]+)(?=[ \n])")
+_ENDING = ("([a-z0-9])([.,;:!?]+) ", r"\1 \2 ")
+_PART = b"|"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -54,29 +55,46 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
 
-    def _words(self, text: str | None) -> list[bytes]:
-        if not text:
-            return []
-        data = text.encode()
+    def _clean(self, text: str | None) -> bytes:
+        data = text.encode() if text else b""
         data = data if b"<|" in data else data.lower()
-        return _ENDING.sub(rb"\1 \2", data).replace(b"\n", b" ").split(b" ")
+        return data.replace(b"\n", b" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, END_ID behind them."""
-        split = [self._words(text) for text in texts]
-        distinct = set().union(*split)
+        data = pa.array([self._clean(text) for text in texts], pa.large_binary())
+        split = pc.split_pattern(pc.replace_substring_regex(data, *_ENDING), b" ")
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        ids = pa.array([self.known[word] for word in distinct], pa.large_binary()).take(coded.indices)
+        starts = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()]
+        view, end = memoryview(ids.buffers()[2] or b""), array("I", [END_ID]).tobytes()
+        for word in distinct:
+            if len(word) > CACHED_LENGTH:
+                del self.known[word]
+        return [bytes(view[i:j]) + end for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+    def _learn(self, distinct: list[bytes]) -> None:
+        """Add the ids of new words; many are encoded at once, parted by a word whose id none of them has."""
+        # Special tokens hold that word's character too, so they are encoded alone.
         if len(self.known) > CACHED_WORDS:
             self.known = {b"": b""} | {word: self.known[word] for word in distinct if word in self.known}
-        known = self.known
-        fresh = [word for word in distinct if word not in known]
-        found = self.tokenizer.encode_batch_fast([word.decode() for word in fresh], add_special_tokens=False)
-        known.update(zip(fresh, [array("I", x.ids).tobytes() for x in found], strict=True))
-        end = array("I", [END_ID]).tobytes()
-        ids = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        for word in fresh:
-            if len(word) > CACHED_LENGTH:
-                del known[word]
-        return ids
+        fresh = [word for word in distinct if word not in self.known]
+        alone = [word for word in fresh if _PART in word]
+        plain = [word for word in fresh if _PART not in word]
+        between = self.tokenizer.encode(_PART.decode(), add_special_tokens=False).ids
+        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        joined = (b" " + _PART + b" ").join
+        found = self.tokenizer.encode_batch_fast([joined(g).decode() for g in groups], add_special_tokens=False)
+        for words, x in zip(groups, found, strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == between[0])).tolist()
+            data = ids.tobytes()
+            starts = [0, *(e + 4 for e in ends)]
+            self.known.update(zip(words, map(data.__getitem__, map(slice, starts, [*ends, len(data)])), strict=True))
+        found = self.tokenizer.encode_batch_fast([word.decode() for word in alone], add_special_tokens=False)
+        self.known.update(zip(alone, [array("I", x.ids).tobytes() for x in found], strict=True))
 
 
 def _encoder(path: str) -> WordEncoder:
