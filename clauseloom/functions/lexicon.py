@@ -128,3 +128,15 @@ CONTRACT_HINTS = (
     (" wa ", "WA"),
     (" tn ", "TN"),
 )
+
+# Sentences that explain a decision; users match on them.
+NLI_UNAVAILABLE_HIGH = "NLI unavailable, high paraphrase similarity: "
+NLI_UNAVAILABLE_LOW = "NLI unavailable, moderate paraphrase similarity"
+NLI_ALIGNED = "Both-way entailment: meanings aligned"
+NLI_CONTRADICTION = "Contradiction detected"
+NLI_NEUTRAL_HIGH = "Neutral NLI but high paraphrase similarity: "
+NLI_ONE_WAY = "One-way or neutral entailment (pred1=%s, pred2=%s)"
+NEGATION_UNAVAILABLE = "Negation analysis unavailable"
+NEGATION_COUNTS = "Different negation counts: candidate=%d, template=%d"
+NEGATION_NONE = "No negations in either text"
+NEGATION_SCOPE = "Negation scope similarity: %.2f"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +25,35 @@ def l2_normalize(vector: Column) -> Column:
     return F.when(usable, F.transform(vector, lambda value: value.cast("double") / length))
 
 
-def similarity_from_cosine(cosine: Column, metric: str = "l2sq") -> Column:
-    """``1 - distance`` of unit vectors; squared L2 is the default distance."""
+def finite(vector: Column) -> Column:
+    """True for vectors without null or non-finite components."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(fine, F.lit(False))
+
+
+def similarity(left: Column, right: Column, metric: str = "l2sq") -> Column:
+    """``1 - distance`` by squared L2, or the cosine, of any two vectors.
+
+    NULL for non-finite vectors, and for the cosine of a zero vector.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    return cosine * 2 - 1 if metric == "l2sq" else cosine
+    both = dot(left, right)
+    value = (
+        1 - (dot(left, left) + dot(right, right) - 2 * both)
+        if metric == "l2sq"
+        else both / F.nullif(norm(left) * norm(right), F.lit(0.0))
+    )
+    return F.when(finite(left) & finite(right), value)
 
 
-def similarity(left: Column, right: Column, metric: str = "l2sq") -> Column:
-    return similarity_from_cosine(dot(left, right), metric)
+def similarities(left: np.ndarray, right: np.ndarray, metric: str = "l2sq") -> np.ndarray:
+    """``similarity`` of all rows of two matrices; NaN where it is NULL."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    a, b = (left * left).sum(axis=1)[:, None], (right * right).sum(axis=1)[None, :]
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        both = left @ right.T
+        value = 1 - (a + b - 2 * both) if metric == "l2sq" else both / np.sqrt(a * b)
+    value[~(np.isfinite(left).all(axis=1)[:, None] & np.isfinite(right).all(axis=1)[None, :])] = np.nan
+    return value

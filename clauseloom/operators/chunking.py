@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 from clauseloom.functions.markdown import clean_page, large_file_fields, pages
 from clauseloom.functions.text import clean_text, file_stem, strip, token_count
 
+# Header levels, sizes, overlaps and separators of the chunk formats.
 LEVELS = ("section", "clause", "subclause")
 NO_HEADER = "document_content"
 CHUNK_SIZE = 300
@@ -22,32 +23,44 @@ LARGE_CHUNK_OVERLAP = 200
 LARGE_SEPARATORS = ("\n\n", "\n", " ", "")
 
 
+def document_key(documents: DataFrame) -> Column:
+    """What names a document: ``document_id`` where the table has it, else the file name."""
+    return F.col("document_id" if "document_id" in documents.columns else "source_file").cast("string")
+
+
 def split_pages(documents: DataFrame) -> DataFrame:
-    """(source_file, page_number, content) per page marker; blank documents are skipped."""
+    """(document_id, source_file, segment_no, page_number, content) per page marker; blank documents are skipped.
+
+    Every marker begins a segment of its own, also where a page number comes again.
+    """
     return (
         documents.where(strip(F.col("value")) != "")
-        .select("source_file", F.inline_outer(pages(F.col("value"))))
-        .where(F.col("page_number").isNotNull())
-        .select("source_file", "page_number", clean_page(F.col("content")).alias("content"))
+        .select(
+            document_key(documents).alias("document_id"),
+            "source_file",
+            F.posexplode_outer(pages(F.col("value"))).alias("segment_no", "page"),
+        )
+        .where(F.col("page.page_number").isNotNull())
+        .select("document_id", "source_file", "segment_no", "page.page_number", clean_page(F.col("page.content")).alias("content"))
     )
 
 
 def header_sections(page_rows: DataFrame) -> DataFrame:
-    """(source_file, page_number, section_no, section, clause, subclause, content).
+    """(document_id, source_file, segment_no, page_number, section_no, section, clause, subclause, content).
 
-    A new header closes deeper levels within its page.  Lines under the same
+    A new header closes deeper levels within its segment.  Lines under the same
     headers form one section; blank lines separate its paragraphs.  All steps
-    work per page of one document, which is never larger than one input row,
+    work per segment of one document, which is never larger than one input row,
     and share a single shuffle by document.
     """
     # Control and format characters are dropped before a line is looked at.
+    page = ["document_id", "source_file", "segment_no", "page_number"]
     line_text = strip(F.regexp_replace("line", r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]", ""))
     lines = (
-        page_rows.repartition("source_file")
-        .select("source_file", "page_number", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+        page_rows.repartition("document_id")
+        .select(*page, F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
         .withColumn("line", line_text)
     )
-    page = ["source_file", "page_number"]
     so_far = Window.partitionBy(*page).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     fence = F.col("line").rlike("^```") & (F.size(F.split("line", "```")) == 2)
@@ -96,15 +109,15 @@ def header_sections(page_rows: DataFrame) -> DataFrame:
 def carry_headers(sections: DataFrame) -> DataFrame:
     """Give sections without any header the last known header of every level."""
     earlier = (
-        Window.partitionBy("source_file")
-        .orderBy("page_number", "section_no")
+        Window.partitionBy("document_id")
+        .orderBy("segment_no", "section_no")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     bare = F.col(LEVELS[0]).isNull() & F.col(LEVELS[1]).isNull() & F.col(LEVELS[2]).isNull()
     carried = [
         F.when(bare, F.last(name, ignorenulls=True).over(earlier)).otherwise(F.col(name)).alias(name) for name in LEVELS
     ]
-    return sections.select("source_file", "page_number", "section_no", *carried, "content")
+    return sections.select("document_id", "source_file", "segment_no", "page_number", "section_no", *carried, "content")
 
 
 def header_path() -> Column:
@@ -191,12 +204,13 @@ def recursive_splits(
 
 
 def number_chunks(pieces: DataFrame) -> DataFrame:
-    """Assign chunk ids; ``pieces`` has source_file, page_number, section_no, header_path, piece_no, content.
+    """Assign chunk ids; ``pieces`` has document_id, source_file, segment_no, page_number, section_no,
+    header_path, piece_no, content.
 
     The running number restarts per document, so the window never spans more
     than the chunks of one input row.
     """
-    window = Window.partitionBy("source_file").orderBy("page_number", "section_no", "piece_no")
+    window = Window.partitionBy("document_id").orderBy("segment_no", "section_no", "piece_no")
     kept = pieces.withColumn("content", strip(F.col("content"))).where(F.col("content") != "")
     number = F.row_number().over(window).cast("string")
     return kept.select(
@@ -209,14 +223,20 @@ def number_chunks(pieces: DataFrame) -> DataFrame:
         "content",
         token_count(F.col("content")).alias("token_count"),
         "source_file",
+        "document_id",
     )
 
 
 def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(source_file, value) markdown documents to chunk rows."""
+    """(source_file, value) markdown documents to chunk rows.
+
+    A column ``document_id`` keeps apart documents with the same file name.
+    """
     sections = carry_headers(header_sections(split_pages(documents)))
     pieces = sections.select(
+        "document_id",
         "source_file",
+        "segment_no",
         "page_number",
         "section_no",
         header_path().alias("header_path"),
@@ -230,8 +250,8 @@ def chunk_large_documents(
 ) -> DataFrame:
     """Character-sized chunks of whole documents; page, section and clause come from each chunk's text."""
     splits = recursive_splits(F.col("value"), size, overlap, LARGE_SEPARATORS, len)
-    pieces = documents.select("source_file", splits.alias("pieces")).select(
-        "source_file", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "piece")
+    pieces = documents.select("source_file", document_key(documents).alias("document_id"), splits.alias("pieces")).select(
+        "source_file", "document_id", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "piece")
     )
     return pieces.select(
         F.concat(
@@ -244,6 +264,7 @@ def chunk_large_documents(
         "source_file",
         "chunk_index",
         "total_chunks",
+        "document_id",
     )
 
 

@@ -12,6 +12,7 @@ from clauseloom.operators.sizing import fits
 
 K1 = 1.2
 B = 0.75
+SCALE = 1e12  # a term's share of a score is a whole number of these parts
 EPSILON = 1e-9
 
 
@@ -80,7 +81,7 @@ def saturation(frequency: Column, length: Column, average_length: Column, k1: fl
     return frequency * (k1 + 1) / (frequency + k1 * pivot + EPSILON)
 
 
-def bm25_scores(attributes: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+def bm25_scores(attributes: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(attribute_number, doc_idx, bm25_score) of every pair that shares a term.
 
     A pair without a row has score 0.0.  Texts are exploded once; query terms
@@ -116,6 +117,6 @@ def bm25_scores(attributes: DataFrame, chunks: DataFrame, k1: float = K1, b: flo
     return (
         frequencies.join(hinted(weights), "term")
         .groupBy("doc_idx", "attribute_number")
-        .agg(F.round(F.sum(part), digits).alias("bm25_score"))
+        .agg((F.sum(F.round(part * SCALE).cast("long")) / SCALE).alias("bm25_score"))
         .select("attribute_number", "doc_idx", "bm25_score")
     )

@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.vectors import METRICS
+from clauseloom.functions.vectors import METRICS, similarities
 from clauseloom.operators.sizing import broadcast_if_small, fits
 
 # Vector components that may be sent to every task, and block sizes of the shuffled plan.
 BROADCAST_COMPONENTS = 4_000_000
 TEMPLATE_BLOCK = 4096
 CLAUSE_BLOCK = 16384
-DIGITS = 6
+DIGITS = 12  # of compared scores
 
 _OUTPUT = "clause_id long, similarity double, template_id long"
 
@@ -31,14 +31,23 @@ def _stack(vectors: pd.Series) -> np.ndarray:
 
 
 def _best(clause_vectors: np.ndarray, template_vectors: np.ndarray, template_ids: np.ndarray, metric: str):
-    """Best similarity and template per clause; ties go to the smaller id."""
-    order = np.argsort(template_ids)
-    cosine = clause_vectors @ template_vectors[order].T
-    scores = np.round(2 * cosine - 1 if metric == "l2sq" else cosine, DIGITS)
-    position = scores.argmax(axis=1)
+    """Best similarity and template per clause; ties go to the smaller id, and NaN to none."""
+    order = np.argsort(template_ids, kind="stable")
+    scores = np.round(similarities(clause_vectors, template_vectors[order], metric), DIGITS)
+    position = np.where(np.isnan(scores), -np.inf, scores).argmax(axis=1)
     return scores[np.arange(len(scores)), position], template_ids[order][position]
 
 
+def _winners(clause_ids: np.ndarray, score: np.ndarray, template: np.ndarray) -> pd.DataFrame:
+    known = ~np.isnan(score)
+    return pd.DataFrame({"clause_id": clause_ids[known], "similarity": score[known], "template_id": template[known]})
+
+
+def _one_per_clause(winners: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct("similarity", "template_id"), F.struct(F.col("similarity"), -F.col("template_id")))
+    return winners.groupBy("clause_id").agg(best.alias("best")).select("clause_id", "best.*")
+
+
 def nearest_template(
     clauses: DataFrame,
     templates: DataFrame,
@@ -51,7 +60,8 @@ def nearest_template(
     """(clause_id, similarity, template_id) for every clause with a vector and a template in its cell.
 
     ``clauses`` has clause_id, the cell columns and ``embedding``; ``templates``
-    has template_id, the cell columns and ``embedding``.
+    has template_id, the cell columns and ``embedding``.  Both plans compare doubles
+    and give one row per clause_id, its best over all rows with that id.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -67,7 +77,7 @@ def _with_broadcast_templates(clauses: DataFrame, templates: DataFrame, cell: Se
     cells: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     frame = templates.toPandas()
     for key, group in frame.groupby(list(cell), dropna=True):
-        cells[key] = (_stack(group["embedding"]).astype(np.float32), group["template_id"].to_numpy())
+        cells[key] = (_stack(group["embedding"]), group["template_id"].to_numpy())
 
     def emit(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in frames:
@@ -75,12 +85,10 @@ def _with_broadcast_templates(clauses: DataFrame, templates: DataFrame, cell: Se
                 known = cells.get(key)
                 if known is None:
                     continue
-                score, template = _best(_stack(group["embedding"]), known[0].astype(np.float64), known[1], metric)
-                yield pd.DataFrame(
-                    {"clause_id": group["clause_id"].to_numpy(), "similarity": score, "template_id": template}
-                )
+                score, template = _best(_stack(group["embedding"]), known[0], known[1], metric)
+                yield _winners(group["clause_id"].to_numpy(), score, template)
 
-    return clauses.mapInPandas(emit, _OUTPUT)
+    return _one_per_clause(clauses.mapInPandas(emit, _OUTPUT))
 
 
 def _with_blocks(
@@ -126,11 +134,7 @@ def _with_blocks(
             template_group["template_id"].to_numpy(),
             metric,
         )
-        return pd.DataFrame(
-            {"clause_id": clause_group["clause_id"].to_numpy(), "similarity": score, "template_id": template}
-        )
+        return _winners(clause_group["clause_id"].to_numpy(), score, template)
 
     block_keys = [*keys, "_clause", "_template"]
-    winners = left.groupBy(*block_keys).cogroup(right.groupBy(*block_keys)).applyInPandas(emit, _OUTPUT)
-    best = F.max_by(F.struct("similarity", "template_id"), F.struct(F.col("similarity"), -F.col("template_id")))
-    return winners.groupBy("clause_id").agg(best.alias("best")).select("clause_id", "best.*")
+    return _one_per_clause(left.groupBy(*block_keys).cogroup(right.groupBy(*block_keys)).applyInPandas(emit, _OUTPUT))

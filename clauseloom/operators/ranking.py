@@ -243,6 +243,6 @@ def nearest_chunks(chunks: DataFrame, vector: list[float], k: int = 3, metric: s
     """The ``k`` chunks nearest to one query vector."""
     query = F.array(*[F.lit(float(value)) for value in vector])
     scored = chunks.where(F.col("embedding").isNotNull()).select(
-        "doc_idx", F.round(similarity(F.col("embedding"), query, metric), 6).alias("similarity")
-    )
+        "doc_idx", F.round(similarity(F.col("embedding"), query, metric), 12).alias("similarity")
+    ).where("similarity is not null")
     return scored.orderBy(F.desc("similarity"), F.asc("doc_idx")).limit(k)

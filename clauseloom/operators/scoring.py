@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from clauseloom.functions.vectors import METRICS
-from clauseloom.operators.lexical import B, EPSILON, K1, CorpusStats, corpus_stats, query_terms
+from clauseloom.functions.vectors import METRICS, similarities
+from clauseloom.operators.lexical import B, EPSILON, K1, SCALE, CorpusStats, corpus_stats, query_terms
 
 # Attributes scored together. Bounds what is collected and sent to the tasks;
 # larger dictionaries are scored block by block.
 BLOCK_ROWS = 512
 BATCH_ROWS = 2048
-DIGITS = 6
+DIGITS = 12  # of ranked scores: equal texts rank as equal whatever the order of a sum
 
 _WORD = re.compile(r"\w+")
 
@@ -53,9 +53,9 @@ class Scorer:
         if self.vectors is None or not present.any():
             return scores
         matrix = np.stack(embeddings[present].to_numpy()).astype(np.float64)
-        cosine = matrix @ self.vectors.T
-        cosine[:, ~self.has_vector] = np.nan
-        scores[present] = np.round(2 * cosine - 1 if self.metric == "l2sq" else cosine, DIGITS)
+        found = similarities(matrix, self.vectors, self.metric)
+        found[:, ~self.has_vector] = np.nan
+        scores[present] = np.round(found, DIGITS)
         return scores
 
     def lexical(self, texts: pd.Series) -> np.ndarray:
@@ -81,9 +81,10 @@ class Scorer:
         offset = np.arange(fan_out.sum()) - np.repeat(np.cumsum(fan_out) - fan_out, fan_out)
         entry = np.repeat(self.term_start[term], fan_out) + offset
         cell = np.repeat(row, fan_out) * shape[1] + self.term_attribute[entry]
-        value = np.repeat(saturated, fan_out) * self.term_weight[entry]
+        # Whole numbers add up alike in any order, so equal texts get equal scores.
+        value = np.rint(np.repeat(saturated, fan_out) * self.term_weight[entry] * SCALE)
         totals = np.bincount(cell, weights=value, minlength=shape[0] * shape[1])
-        return np.round(totals.reshape(shape), DIGITS) + 0.0
+        return totals.reshape(shape) / SCALE + 0.0
 
     def batches(self, frames: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
         """Batches with both score tables; a column that was not read gives NaN or 0.0."""

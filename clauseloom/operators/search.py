@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions.text import clause_number, contract_hint, query_keywords, single_line, standard_hint
 from clauseloom.operators.ordered import top_k
 
-ROWS_PER_FILE = 30
+ROWS_PER_FILE = 30  # of the quick look at each file's beginning
 SEARCH_RESULTS = 12
 EVIDENCE_ITEMS = 6
 HISTORY_LENGTH = 20
@@ -25,32 +25,43 @@ PROMPT_INSTRUCTIONS = (
 PROMPT_END = "\nReturn exactly one concise line."
 
 
-def search(
+def matching(
     clauses: DataFrame,
     query: str,
     contract: str | None = None,
     is_standard: int | None = None,
-    rows_per_file: int = ROWS_PER_FILE,
-    results: int = SEARCH_RESULTS,
+    rows_per_file: int | None = None,
 ) -> DataFrame:
-    """First clauses whose attribute name or text contains any keyword of the query.
+    """All clauses whose attribute name or text contains any keyword of the query.
 
-    Each file contributes its first ``rows_per_file`` rows *before* the filters
-    apply; the order is file name, then row index.
+    ``rows_per_file`` looks only at the first rows of each file, before the other
+    filters apply; by default all rows are searched.
     """
     rows = clauses
     if contract is not None:
         rows = rows.where(F.lower("source_filename").contains(contract.lower()))
-    rows = top_k(rows, ["source_filename"], [F.asc("row_index")], rows_per_file, "_row")
+    if rows_per_file is not None:
+        rows = top_k(rows, ["source_filename"], [F.asc("row_index")], rows_per_file, "_row").drop("_row")
     if is_standard in (0, 1):
         rows = rows.where(F.col("is_standard") == is_standard)
     keywords = query_keywords(F.lit(query))
     haystack = F.lower(
         F.concat(F.coalesce("attribute_name", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
     )
-    wanted = (F.size(keywords) == 0) | F.exists(keywords, lambda keyword: F.contains(haystack, keyword))
+    return rows.where((F.size(keywords) == 0) | F.exists(keywords, lambda keyword: F.contains(haystack, keyword)))
+
+
+def search(
+    clauses: DataFrame,
+    query: str,
+    contract: str | None = None,
+    is_standard: int | None = None,
+    rows_per_file: int | None = None,
+    results: int = SEARCH_RESULTS,
+) -> DataFrame:
+    """The first ``results`` of the ``matching`` clauses, by file name, then row index."""
     return (
-        rows.where(wanted)
+        matching(clauses, query, contract, is_standard, rows_per_file)
         .orderBy("source_filename", "row_index")
         .limit(results)
         .select(
@@ -75,6 +86,7 @@ def intents(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def evidence_item() -> Column:
+    # Names of the fields in an item.
     shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("N/A"))
     return F.concat(
         F.lit("Contract="),
@@ -108,9 +120,14 @@ def prompt(found: DataFrame, query: str) -> DataFrame:
 
 
 def fallback_answer(found: DataFrame, is_standard: int | None) -> DataFrame:
-    """One line derived from the search result, used when no model answers."""
+    """One line derived from the clauses found, used when no model answers.
+
+    ``found`` holds all ``matching`` clauses: the count in the line is theirs.
+    """
+    number = F.col("clause_number") if "clause_number" in found.columns else clause_number(F.col("section"))
     first = F.min_by(
-        F.struct("source_filename", "clause_number", "page", "attribute_name"), F.struct("source_filename", "row_index")
+        F.struct("source_filename", number.alias("clause_number"), "page", "attribute_name"),
+        F.struct("source_filename", "row_index"),
     )
     summary = found.agg(first.alias("first"), F.count("*").alias("rows"))
     shown = lambda name: F.coalesce(F.col(f"first.{name}").cast("string"), F.lit("N/A"))
@@ -148,7 +165,8 @@ def chat(clauses: DataFrame, message: str, answer: Callable[[str], str] | None =
         row = line.select("line", needs_fallback(F.col("line")).alias("failed")).first()
         if not row.failed:
             return row.line
-    return fallback_answer(found, asked.standard_filter).first().answer
+    every = matching(clauses, message, asked.contract_filter, asked.standard_filter)
+    return fallback_answer(every, asked.standard_filter).first().answer
 
 
 def recent_messages(messages: DataFrame, keep: int = HISTORY_LENGTH) -> DataFrame:

@@ -222,3 +222,25 @@ def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"),
         F.array_join(F.transform(F.split("text", "\n"), render), "\n").alias("value"),
     )
+
+
+def repeated_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as markdown whose page numbers come again, with OCR marks, empty table heads and shared file names."""
+
+    def render(line: Column, index: Column) -> Column:
+        number = F.pmod(F.floor(index / 3), F.lit(2)) + 1
+        page = F.when(index % 3 == 0, F.concat(F.lit("--- Page "), number.cast("string"), F.lit(" ---\n"))).otherwise(F.lit(""))
+        header = F.when(index % 5 == 1, F.lit("# ")).when(index % 5 == 3, F.lit("## ")).otherwise(F.lit(""))
+        marks = (
+            F.when(index % 4 == 2, F.lit("\n--- Page 9 (OCR) ---"))
+            .when(index % 4 == 3, F.lit("\n| | |\n| --- | --- |"))
+            .otherwise(F.lit(""))
+        )
+        return F.concat(page, header, line, marks)
+
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    return documents.select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.concat(F.lit("file_"), (F.col("doc_id") % 7).cast("string"), F.lit(".md")).alias("source_file"),
+        F.array_join(F.transform(F.split("text", "\n"), render), "\n").alias("value"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from clauseloom.functions.lexicon import (
     NUMBER_WORDS,
     RULE_PATTERNS,
@@ -63,11 +65,16 @@ tf AS (SELECT doc_idx, term, count(*) AS tf FROM (SELECT doc_idx, unnest(t) AS t
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, sum(len(t))::DOUBLE / count(*) AS avgdl FROM toks)"""
 
+def _l2(a: str, b: str) -> str:
+    """1 - squared distance, from the vectors' own lengths."""
+    return f"1 - (list_dot_product({a}, {a}) + list_dot_product({b}, {b}) - 2 * list_dot_product({a}, {b}))"
+
+
 BM25 = f"""{COUNTS},
 bm AS (
   SELECT q.attribute_number, tf.doc_idx,
-    round(sum(q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1e-9) * tf * 2.2
-      / (tf + 1.2 * (0.25 + 0.75 * len(toks.t) / (avgdl + 1e-9)) + 1e-9)), 6) AS bm25_score
+    sum(round((q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1e-9) * tf * 2.2
+      / (tf + 1.2 * (0.25 + 0.75 * len(toks.t) / (avgdl + 1e-9)) + 1e-9)) * 1e12)::HUGEINT)::DOUBLE / 1e12 AS bm25_score
   FROM q JOIN tf USING (term) JOIN df USING (term) JOIN toks USING (doc_idx), st GROUP BY ALL)"""
 
 
@@ -75,7 +82,7 @@ def _fused(rrf_k: int) -> str:
     return f"""{BM25},
 pairs AS (
   SELECT a.attribute_number, c.doc_idx, c.source_file,
-    round(2 * list_dot_product(a.v, c.v) - 1, 6) AS dense, coalesce(bm.bm25_score, 0.0) + 0.0 AS bm25
+    round({_l2('a.v', 'c.v')}, 12) AS dense, coalesce(bm.bm25_score, 0.0) + 0.0 AS bm25
   FROM attrs a CROSS JOIN chunks c
   LEFT JOIN bm ON bm.attribute_number = a.attribute_number AND bm.doc_idx = c.doc_idx),
 ranked AS (
@@ -98,14 +105,14 @@ per_source AS (
 
 
 FUSED = _fused(20)
-FUSED_COLUMNS = "dense_similarity, bm25_score, dense_rank, bm25_rank, round(rrf, 10) AS rrf_score"
+FUSED_COLUMNS = "round(dense_similarity, 6) AS dense_similarity, round(bm25_score, 6) AS bm25_score, dense_rank, bm25_rank, round(rrf, 10) AS rrf_score"
 STATS = """SELECT attribute_number, count(*) AS matches, round(avg(rrf), 8) AS avg_rrf_score,
   round(max(rrf), 8) AS max_rrf_score, round(avg(dense_similarity), 8) AS avg_dense_score,
   round(avg(bm25_score), 8) AS avg_bm25_score, count(*) FILTER (rrf > 0.01) AS high_rrf_matches"""
 
 DENSE = f"""{CHUNKS},
 dense AS (
-  SELECT a.attribute_number, c.doc_idx, round(2 * list_dot_product(a.v, c.v) - 1, 6) AS dense_similarity
+  SELECT a.attribute_number, c.doc_idx, round({_l2('a.v', 'c.v')}, 12) AS dense_similarity
   FROM attrs a, chunks c WHERE a.v IS NOT NULL AND c.v IS NOT NULL),
 dense_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY attribute_number ORDER BY dense_similarity DESC, doc_idx) AS rank FROM dense)"""
@@ -134,19 +141,47 @@ flagged AS (
     THEN 1 ELSE 0 END AS exact FROM candidates c)"""
 
 
-def _nearest(name: str, vector: str, scale: str) -> str:
+def _cosine(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+
+
+def _dense_scaled(similarity: Callable[[str, str], str]) -> str:
+    return f"""WITH {CHUNKS},
+a AS (SELECT attribute_number, list_transform(v, lambda x: x * (attribute_number % 3 + 1)) AS v FROM attrs WHERE v IS NOT NULL),
+c AS (SELECT doc_idx, list_transform(v, lambda x: x * (doc_idx % 4)) AS v FROM chunks WHERE v IS NOT NULL),
+dense AS (SELECT attribute_number, doc_idx, round({similarity('a.v', 'c.v')}, 12) AS s FROM a, c)
+SELECT attribute_number, doc_idx, round(s, 6) AS dense_similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY attribute_number ORDER BY s DESC, doc_idx) AS rank FROM dense
+  WHERE s IS NOT NULL AND NOT isnan(s)) WHERE rank <= 20"""
+
+
+def _nearest_scaled(similarity: Callable[[str, str], str]) -> str:
+    return f"""WITH {SPLIT},
+t AS (SELECT clause_id AS template_id, state, attribute_number, list_transform(v, lambda x: x * (clause_id % 4)) AS v
+  FROM templates WHERE v IS NOT NULL),
+once AS (SELECT clause_id, state, attribute_number, list_transform(v, lambda x: x * (clause_id % 4)) AS v
+  FROM candidates WHERE v IS NOT NULL),
+both_ways AS (SELECT * FROM once UNION ALL SELECT clause_id, state, attribute_number, list_reverse(v) FROM once),
+s AS (SELECT c.clause_id, t.template_id, round({similarity('c.v', 't.v')}, 12) AS s
+  FROM both_ways c JOIN t ON t.state = c.state AND t.attribute_number = c.attribute_number)
+SELECT plan, clause_id, round(s, 6) AS similarity, template_id FROM s, (VALUES ('broadcast'), ('blocks')) p(plan)
+WHERE s IS NOT NULL AND NOT isnan(s)
+QUALIFY row_number() OVER (PARTITION BY plan, clause_id ORDER BY s DESC, template_id) = 1"""
+
+
+def _nearest(name: str, vector: str, scale: Callable[[str, str], str]) -> str:
     return f"""{name} AS (
   SELECT clause_id, similarity, template_id, template_text FROM (
     SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY similarity DESC, template_id) AS rn FROM (
       SELECT c.clause_id, t.clause_id AS template_id, t.text AS template_text,
-        round({scale.format(f'list_dot_product(c.{vector}, t.{vector})')}, 6) AS similarity
+        round({scale(f'c.{vector}', f't.{vector}')}, 12) AS similarity
       FROM candidates c JOIN templates t ON t.state = c.state AND t.attribute_number = c.attribute_number
       WHERE c.v IS NOT NULL AND t.v IS NOT NULL)) WHERE rn = 1)"""
 
 
 SCORED = f"""{SPLIT},
-{_nearest('semantic', 'v', '{}')},
-{_nearest('paraphrase', 'v[1:32]', '{}')},
+{_nearest('semantic', 'v', _cosine)},
+{_nearest('paraphrase', 'v[1:32]', _cosine)},
 scored AS (
   SELECT f.*, coalesce(s.similarity, 0.0) AS semantic_similarity, coalesce(p.similarity, 0.0) AS paraphrase_similarity,
     coalesce(p.template_text, '') AS template_text
@@ -200,9 +235,9 @@ SELECT clause_id,
     WHEN len(flags) = 0 AND kept AND passed THEN 1 ELSE 0 END::BIGINT AS is_standard,
   coalesce(early, CASE WHEN len(flags) > 0 THEN 'step6_rule_flags' WHEN NOT kept THEN 'step5_negation'
     ELSE 'step4_nli' END) AS classification_step,
-  CASE WHEN early IS NULL OR early IN ('step2_semantic', 'step3_paraphrase_failed') THEN semantic_similarity END
+  CASE WHEN early IS NULL OR early IN ('step2_semantic', 'step3_paraphrase_failed') THEN round(semantic_similarity, 6) END
     AS semantic_similarity,
-  CASE WHEN early IS NULL OR early = 'step3_paraphrase_failed' THEN paraphrase_similarity END AS paraphrase_similarity,
+  CASE WHEN early IS NULL OR early = 'step3_paraphrase_failed' THEN round(paraphrase_similarity, 6) END AS paraphrase_similarity,
   CASE WHEN early IS NULL THEN nli END AS nli_reasoning,
   CASE WHEN early IS NULL THEN negation END AS negation_reasoning,
   CASE WHEN early IS NULL THEN array_to_string(flags, '; ') END AS rule_flags
@@ -273,7 +308,7 @@ first_rows AS (
   SELECT *, row_number() OVER (PARTITION BY source_filename ORDER BY row_index) AS position FROM rows
   QUALIFY position <= 30),
 hits AS (
-  SELECT * FROM first_rows
+  SELECT * FROM rows
   WHERE contains(lower(attribute_name || ' ' || text), 'attention') OR contains(lower(attribute_name || ' ' || text), 'que'))"""
 
 ITEM = """'Contract=' || source_filename || '; Attr=' || attribute_name || '; Clause=' || clause_number || '; Page=' || page
@@ -292,25 +327,39 @@ msg AS (
 
 MARKDOWN = """
 md AS (
-  SELECT doc_id, 'doc_' || doc_id || '.md' AS source_file,
+  SELECT doc_id, 'doc_' || doc_id || '.md' AS document_id, 'doc_' || doc_id || '.md' AS source_file,
     array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
       CASE WHEN (i - 1) % 7 = 0 THEN '--- Page ' || ((i - 1) // 7 + 1) || ' ---' || chr(10) ELSE '' END
       || CASE WHEN (i - 1) % 11 = 4 THEN '### ' WHEN (i - 1) % 5 = 1 THEN '# ' WHEN (i - 1) % 5 = 3 THEN '## ' ELSE '' END
       || x || CASE WHEN (i - 1) % 3 = 0 THEN chr(10) ELSE '' END), chr(10)) AS value
   FROM documents)"""
 
-PAGES = rf"""{MARKDOWN},
+CLEAN = r"regexp_replace(regexp_replace({}, '--- Page [0-9]+ \(OCR\) ---', '', 'g'), '\|\s*\|\s*\|\s*\n\|\s*---\s*\|\s*---\s*\|', '', 'g')"
+
+# Page numbers that come again, OCR marks, empty table heads, and file names that documents share.
+REPEATED = """
+md AS (
+  SELECT doc_id::VARCHAR AS document_id, 'file_' || (doc_id % 7) || '.md' AS source_file,
+    array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+      CASE WHEN (i - 1) % 3 = 0 THEN '--- Page ' || (((i - 1) // 3) % 2 + 1) || ' ---' || chr(10) ELSE '' END
+      || CASE WHEN (i - 1) % 5 = 1 THEN '# ' WHEN (i - 1) % 5 = 3 THEN '## ' ELSE '' END || x
+      || CASE WHEN (i - 1) % 4 = 2 THEN chr(10) || '--- Page 9 (OCR) ---' WHEN (i - 1) % 4 = 3
+        THEN chr(10) || '| | |' || chr(10) || '| --- | --- |' ELSE '' END), chr(10)) AS value
+  FROM documents)"""
+
+PAGES_OF = rf"""
 page_lists AS (
-  SELECT source_file, regexp_extract_all(value, '--- Page ([0-9]+) ---', 1) AS numbers,
+  SELECT document_id, source_file, regexp_extract_all(value, '--- Page ([0-9]+) ---', 1) AS numbers,
     regexp_split_to_array(value, '--- Page [0-9]+ ---') AS parts
   FROM md WHERE {_strip('value')} <> ''),
 page_rows AS (
-  SELECT source_file, numbers[i]::BIGINT AS page_number, {_strip('parts[i + 1]')} AS content
+  SELECT document_id, source_file, i AS segment_no, numbers[i]::BIGINT AS page_number,
+    {_strip(CLEAN.format('parts[i + 1]'))} AS content
   FROM (SELECT *, unnest(range(1, len(numbers) + 1)) AS i FROM page_lists))"""
 
-SECTIONS = rf"""{PAGES},
+SECTIONS_OF = rf"""
 lines AS (
-  SELECT source_file, page_number, i AS line_no,
+  SELECT document_id, source_file, segment_no, page_number, i AS line_no,
     {_strip(r"regexp_replace(l[i], '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]', '', 'g')")} AS line
   FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i
         FROM (SELECT *, string_split(content, chr(10)) AS l FROM page_rows))),
@@ -321,7 +370,7 @@ stated AS (
   SELECT *,
     max(CASE WHEN lvl = 1 THEN line_no END) OVER w AS a1, max(CASE WHEN lvl = 2 THEN line_no END) OVER w AS a2,
     max(CASE WHEN lvl = 3 THEN line_no END) OVER w AS a3
-  FROM marked WINDOW w AS (PARTITION BY source_file, page_number ORDER BY line_no
+  FROM marked WINDOW w AS (PARTITION BY document_id, segment_no ORDER BY line_no
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 titled AS (
   SELECT s.*, {_strip("regexp_replace(h1.line, '^#+', '')")} AS section,
@@ -329,37 +378,42 @@ titled AS (
     CASE WHEN s.a3 > greatest(coalesce(s.a1, 0), coalesce(s.a2, 0))
       THEN {_strip("regexp_replace(h3.line, '^#+', '')")} END AS subclause
   FROM stated s
-  LEFT JOIN marked h1 ON h1.source_file = s.source_file AND h1.page_number = s.page_number AND h1.line_no = s.a1
-  LEFT JOIN marked h2 ON h2.source_file = s.source_file AND h2.page_number = s.page_number AND h2.line_no = s.a2
-  LEFT JOIN marked h3 ON h3.source_file = s.source_file AND h3.page_number = s.page_number AND h3.line_no = s.a3),
+  LEFT JOIN marked h1 ON h1.document_id = s.document_id AND h1.segment_no = s.segment_no AND h1.line_no = s.a1
+  LEFT JOIN marked h2 ON h2.document_id = s.document_id AND h2.segment_no = s.segment_no AND h2.line_no = s.a2
+  LEFT JOIN marked h3 ON h3.document_id = s.document_id AND h3.segment_no = s.segment_no AND h3.line_no = s.a3),
 body AS (
   SELECT *, coalesce(section, chr(1)) || chr(2) || coalesce(clause, chr(1)) || chr(2) || coalesce(subclause, chr(1)) AS meta
   FROM titled WHERE lvl = 0 AND line <> ''),
 stepped AS (
   SELECT *, CASE WHEN meta IS DISTINCT FROM lag(meta) OVER w THEN 1 ELSE 0 END AS fresh,
     line_no - lag(line_no) OVER w AS gap
-  FROM body WINDOW w AS (PARTITION BY source_file, page_number ORDER BY line_no)),
+  FROM body WINDOW w AS (PARTITION BY document_id, segment_no ORDER BY line_no)),
 numbered AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY source_file, page_number ORDER BY line_no
+  SELECT *, sum(fresh) OVER (PARTITION BY document_id, segment_no ORDER BY line_no
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no FROM stepped),
 sections AS (
-  SELECT source_file, page_number, section_no, any_value(section) AS section, any_value(clause) AS clause,
+  SELECT document_id, source_file, segment_no, page_number, section_no, any_value(section) AS section, any_value(clause) AS clause,
     any_value(subclause) AS subclause,
     string_agg(CASE WHEN fresh = 1 THEN '' WHEN gap > 1 THEN '  ' || chr(10) ELSE chr(10) END || line, '' ORDER BY line_no)
       AS content
-  FROM numbered GROUP BY source_file, page_number, section_no),
+  FROM numbered GROUP BY document_id, source_file, segment_no, page_number, section_no),
 carried AS (
   SELECT *, section IS NULL AND clause IS NULL AND subclause IS NULL AS bare,
     last_value(section IGNORE NULLS) OVER w AS s0, last_value(clause IGNORE NULLS) OVER w AS c0,
     last_value(subclause IGNORE NULLS) OVER w AS u0
-  FROM sections WINDOW w AS (PARTITION BY source_file ORDER BY page_number, section_no
+  FROM sections WINDOW w AS (PARTITION BY document_id ORDER BY segment_no, section_no
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 paths AS (
-  SELECT source_file, page_number, section_no, content, coalesce(nullif(concat_ws(' > ',
+  SELECT document_id, source_file, segment_no, page_number, section_no, content, coalesce(nullif(concat_ws(' > ',
     'section:' || CASE WHEN bare THEN s0 ELSE section END, 'clause:' || CASE WHEN bare THEN c0 ELSE clause END,
     'subclause:' || CASE WHEN bare THEN u0 ELSE subclause END), ''), 'document_content') AS header_path
   FROM carried)"""
 
+PAGES = f"{MARKDOWN},{PAGES_OF}"
+SECTIONS = f"{PAGES},{SECTIONS_OF}"
+REPEATED_SECTIONS = f"{REPEATED},{PAGES_OF},{SECTIONS_OF}"
+
+
 
 def _redaction() -> str:
     text = "text"
@@ -421,10 +475,12 @@ ORACLES: dict[str, str] = {
     "corpus_counts": f"""WITH {COUNTS}
 SELECT term, df AS documents, 0::BIGINT AS tokens FROM df WHERE term IN (SELECT term FROM q)
 UNION ALL SELECT '', count(*), sum(len(t))::BIGINT FROM toks""",
-    "bm25_scores": f"WITH {BM25} SELECT attribute_number, doc_idx, bm25_score FROM bm",
-    "bm25_topk": f"""WITH {FUSED} SELECT attribute_number, doc_idx, bm25_score, bm25_rank AS rank FROM fused
+    "bm25_scores": f"WITH {BM25} SELECT attribute_number, doc_idx, round(bm25_score, 6) AS bm25_score FROM bm",
+    "bm25_topk": f"""WITH {FUSED} SELECT attribute_number, doc_idx, round(bm25_score, 6) AS bm25_score, bm25_rank AS rank FROM fused
 WHERE bm25_rank <= 20""",
-    "dense_topk": f"WITH {DENSE} SELECT attribute_number, doc_idx, dense_similarity, rank FROM dense_ranked WHERE rank <= 20",
+    "dense_topk": f"WITH {DENSE} SELECT attribute_number, doc_idx, round(dense_similarity, 6) AS dense_similarity, rank FROM dense_ranked WHERE rank <= 20",
+    "dense_topk_scaled": _dense_scaled(_l2),
+    "dense_topk_scaled_cosine": _dense_scaled(_cosine),
     "rrf_topk": f"WITH {FUSED} SELECT attribute_number, doc_idx, rank, {FUSED_COLUMNS} FROM top WHERE rank <= 20",
     "rrf_all_in_one": f"WITH {_fused(60)} SELECT attribute_number, doc_idx, rank, {FUSED_COLUMNS} FROM top WHERE rank <= 10",
     "rrf_scores": f"WITH {FUSED} SELECT attribute_number, doc_idx, {FUSED_COLUMNS} FROM fused",
@@ -445,8 +501,8 @@ FROM dense_ranked WHERE rank <= 10""",
   max(round(dense_similarity, 4)) AS max_similarity,
   count(*) FILTER (round(dense_similarity, 4) > 0.7) AS high_confidence_matches
 FROM dense_ranked WHERE rank <= 10 GROUP BY attribute_number""",
-    "nearest_three": f"""WITH {CHUNKS} SELECT doc_idx, round(2 * list_dot_product(v, {QUERY_VECTOR}) - 1, 6) AS similarity
-FROM chunks WHERE v IS NOT NULL ORDER BY similarity DESC, doc_idx LIMIT 3""",
+    "nearest_three": f"""WITH {CHUNKS} SELECT doc_idx, round(s, 6) AS similarity
+FROM (SELECT doc_idx, round({_l2('v', QUERY_VECTOR)}, 12) AS s FROM chunks WHERE v IS NOT NULL) ORDER BY s DESC, doc_idx LIMIT 3""",
     "tokens": f"""SELECT doc_id, len({_tokens('text')})::BIGINT AS tokens,
   sha256(array_to_string({_tokens('text')}, ' ')) AS token_sha FROM documents""",
     "clean_text": rf"""SELECT doc_id, {_strip(f"regexp_replace(replace(text, '{BLOCK}', ''), '{SPACE}+', ' ', 'g')")} AS cleaned
@@ -489,7 +545,7 @@ SELECT key[1:2] AS state, key[1:2] AS state_in_name, CASE WHEN key LIKE '%standa
   list_transform(embedding::DOUBLE[], lambda x: x * label) AS v FROM embeddings),
 n AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM s)
 SELECT vec_id, CASE WHEN norm > 0 THEN round(v[1] / norm, 6) END AS first, CASE WHEN norm > 0 THEN round(v[-1] / norm, 6) END
-  AS last, CASE WHEN norm > 0 THEN round(2 * list_dot_product(e, v) / norm - 1, 4) END AS similarity FROM n""",
+  AS last, CASE WHEN norm > 0 THEN round(1 - (list_dot_product(e, e) + 1 - 2 * list_dot_product(e, v) / norm), 4) END AS similarity FROM n""",
     "clause_number": """SELECT doc_id AS row_index, CASE WHEN doc_id % 3 > 0 THEN (n_chars % 5 + 1) || '.1' ELSE 'N/A' END
   AS clause_number FROM documents""",
     "query_keywords": f"""WITH {MESSAGES} SELECT session_id, seq,
@@ -511,6 +567,8 @@ r AS (SELECT doc_id, list_transform(l, lambda x: '| ' || array_to_string(string_
 SELECT doc_id, array_to_string(list_concat([r[1], rule], r[2:]), chr(10)) AS markdown FROM r""",
     "parse_pages": f"WITH {PAGES} SELECT source_file, page_number, content FROM page_rows",
     "header_paths": f"WITH {SECTIONS} SELECT source_file, page_number, section_no::BIGINT AS section_no, header_path, content FROM paths",
+    "header_paths_repeated": f"""WITH {REPEATED_SECTIONS} SELECT document_id, source_file, segment_no::BIGINT - 1 AS segment_no,
+  page_number, section_no::BIGINT AS section_no, header_path, content FROM paths""",
     "chunk_ids": f"""WITH {SECTIONS}, kept AS (
   SELECT source_file, page_number, section_no, {_strip('content')} AS content FROM paths WHERE {_strip('content')} <> '')
 SELECT regexp_replace(source_file, '\\.md$', '') || '_p' || page_number || '_c'
@@ -549,10 +607,13 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 SELECT doc_id, len({_words('t')})::BIGINT AS token_count, sha256(t) AS preprocessed_sha256 FROM p""",
     "exact_match_flag": f"WITH {SPLIT} SELECT clause_id, exact::BIGINT AS is_standard FROM flagged",
     "exact_match_only": f"WITH {SPLIT} SELECT clause_id, state, attribute_number FROM flagged WHERE exact = 1",
-    "nearest_template": f"""WITH {SPLIT}, {_nearest('n', 'v', '2 * {} - 1')}
-SELECT clause_id, similarity, template_id FROM n""",
-    "nearest_template_blocks": f"WITH {SPLIT}, {_nearest('n', 'v', '{}')} SELECT clause_id, similarity, template_id FROM n",
-    "best_template": f"""WITH {SCORED} SELECT clause_id, semantic_similarity, paraphrase_similarity,
+    "nearest_template": f"""WITH {SPLIT}, {_nearest('n', 'v', _l2)}
+SELECT clause_id, round(similarity, 6) AS similarity, template_id FROM n""",
+    "nearest_template_blocks": f"WITH {SPLIT}, {_nearest('n', 'v', _cosine)} SELECT clause_id, round(similarity, 6) AS similarity, template_id FROM n",
+    "nearest_template_scaled": _nearest_scaled(_l2),
+    "nearest_template_scaled_cosine": _nearest_scaled(_cosine),
+    "best_template": f"""WITH {SCORED} SELECT clause_id, round(semantic_similarity, 6) AS semantic_similarity,
+  round(paraphrase_similarity, 6) AS paraphrase_similarity,
   sha256(template_text) AS template_sha FROM scored""",
     "rule_flags": f"""WITH f AS (SELECT doc_id, {_flags(_preprocess('text'), (*RULE_PATTERNS, *TABLE_RULES))} AS f FROM documents)
 SELECT doc_id, len(f)::BIGINT AS hits, array_to_string(f, '; ') AS flags FROM f""",
@@ -632,6 +693,9 @@ WHERE len(text) > 3 AND text NOT IN {_list(WORDCLOUD_STOP_WORDS)} GROUP BY text
     "keyword_search": f"""WITH {SEARCH} SELECT source_filename, row_index, attribute_name, page, clause_number,
   is_standard::BIGINT AS is_standard, substring(text, 1, 220) AS full_content_raw
 FROM hits WHERE contains(lower(source_filename), 'src1') AND is_standard = 1 ORDER BY source_filename, row_index LIMIT 12""",
+    "keyword_search_first_rows": f"""WITH {SEARCH} SELECT source_filename, row_index, attribute_name, page, clause_number,
+  is_standard::BIGINT AS is_standard, substring(text, 1, 220) AS full_content_raw
+FROM hits SEMI JOIN first_rows USING (source_filename, row_index) ORDER BY source_filename, row_index LIMIT 12""",
     "evidence_prompt": f"""WITH {SEARCH}, six AS (SELECT * FROM hits ORDER BY source_filename, row_index LIMIT 6)
 SELECT 'Answer the user in ONE SHORT LINE of plain text (<= 20 words).' || chr(10)
   || 'Do NOT output JSON, lists, markdown, or multiple lines.' || chr(10)
@@ -640,7 +704,7 @@ SELECT 'Answer the user in ONE SHORT LINE of plain text (<= 20 words).' || chr(1
   || coalesce(string_agg({ITEM}, ' | ' ORDER BY source_filename, row_index), '(no items)')
   || chr(10) || 'Return exactly one concise line.' AS prompt FROM six""",
     "fallback_answer": f"""WITH {SEARCH},
-zeros AS (SELECT * FROM hits WHERE is_standard = 0 ORDER BY source_filename, row_index LIMIT 12),
+zeros AS (SELECT * FROM hits WHERE is_standard = 0),
 ordered AS (SELECT * FROM hits ORDER BY source_filename, row_index LIMIT 1)
 SELECT 'count' AS kind, first(source_filename ORDER BY source_filename, row_index) || ': ' || count(*)
   || ' non-standard clauses' AS answer FROM zeros
@@ -648,6 +712,10 @@ UNION ALL SELECT 'item', 'Clause ' || clause_number || ' page ' || page || ' - '
 UNION ALL SELECT 'nothing', 'No relevant information found'""",
     "last_20_messages": f"""WITH {MESSAGES} SELECT role AS session_id, session_id * 100 + seq AS seq, text FROM msg
 QUALIFY row_number() OVER (PARTITION BY role ORDER BY session_id * 100 + seq DESC) <= 20""",
+    "history_read": f"""WITH {MESSAGES} SELECT session_id, seq, text FROM msg
+WHERE session_id = (SELECT min(session_id) FROM msg)""",
+    "history_clear": f"""WITH {MESSAGES} SELECT session_id, seq, text FROM msg
+WHERE session_id <> (SELECT min(session_id) FROM msg)""",
     "session_history": """SELECT conv_id AS session_id, turn AS seq, role FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3""",
     "first_rows_per_file": f"WITH {SEARCH} SELECT source_filename, row_index, position FROM first_rows",

@@ -45,11 +45,14 @@ class Pipeline:
         return self.table(name)
 
     def chunk(self, documents: DataFrame, attributes: DataFrame) -> None:
-        keys = documents.select("source_file", "collection_key")
-        chunks = chunk_documents(documents.select("source_file", "value")).join(keys, "source_file")
+        # A file name may come in several collections, so documents are named by both.
+        own = documents["document_id"] if "document_id" in documents.columns else documents["source_file"]
+        named = documents.withColumn("document_id", F.concat_ws("/", "collection_key", own))
+        keys = named.select("document_id", "collection_key").distinct()
+        chunks = chunk_documents(named.select("document_id", "source_file", "value")).join(keys, "document_id")
         # The order of a collection: file name, then position in the file.
         number = F.regexp_extract("chunk_id", "_c([0-9]+)$", 1).cast("int")
-        ordered = group_rank(chunks, ["collection_key"], [F.col("source_file").asc(), number.asc()], "doc_idx")
+        ordered = group_rank(chunks, ["collection_key"], [F.col("source_file").asc(), F.col("document_id").asc(), number.asc()], "doc_idx")
         # Vectors are made from the content with its header context in front.
         shown = ordered.withColumnRenamed("content", "_content").withColumn(
             "content", text_to_embed(F.col("header_path"), F.col("_content"))

@@ -36,6 +36,11 @@ def _long(name: str) -> Column:
     return F.col(name).cast("long").alias(name)
 
 
+def _six(name: str) -> Column:
+    """Scores are shown with six digits; they are ranked with twelve."""
+    return F.round(name, 6).alias(name)
+
+
 # --- ranking -------------------------------------------------------------------
 
 
@@ -46,17 +51,45 @@ def corpus_counts(spark, folder):
 
 
 def bm25_scores(spark, folder):
-    return lexical.bm25_scores(tables.attributes(spark, folder), tables.chunks(spark, folder))
+    found = lexical.bm25_scores(tables.attributes(spark, folder), tables.chunks(spark, folder))
+    return found.withColumn("bm25_score", _six("bm25_score"))
 
 
 def bm25_topk(spark, folder):
     found = ranking.bm25_top_k(tables.attributes(spark, folder), tables.chunks(spark, folder))
-    return found.select("attribute_number", "doc_idx", "bm25_score", _long("rank"))
+    return found.select("attribute_number", "doc_idx", _six("bm25_score"), _long("rank"))
 
 
 def dense_topk(spark, folder):
     found = ranking.dense_top_k(tables.attributes(spark, folder), tables.chunks(spark, folder))
-    return found.select("attribute_number", "doc_idx", "dense_similarity", _long("rank"))
+    return found.select("attribute_number", "doc_idx", _six("dense_similarity"), _long("rank"))
+
+
+def _scaled(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Attributes and chunks whose vectors have other lengths than one, zero among them."""
+    times = lambda factor: F.transform("embedding", lambda x: x.cast("double") * factor)
+    attributes = tables.attributes(spark, folder).withColumn("embedding", times(F.col("attribute_number") % 3 + 1))
+    return attributes, tables.chunks(spark, folder).withColumn("embedding", times(F.col("doc_idx") % 4))
+
+
+def dense_topk_scaled(spark, folder, metric="l2sq"):
+    found = ranking.dense_top_k(*_scaled(spark, folder), metric=metric)
+    return found.select("attribute_number", "doc_idx", _six("dense_similarity"), _long("rank"))
+
+
+def nearest_template_scaled(spark, folder, metric="l2sq"):
+    """Scaled vectors, every clause twice under one id; both plans, told apart by ``plan``."""
+    templates, candidates = tables.templates_and_candidates(tables.clauses(spark, folder))
+    scaled = lambda name: F.transform("embedding", lambda x: x.cast("double") * (F.col(name) % 4))
+    templates = templates.withColumn("embedding", scaled("template_id"))
+    once = candidates.withColumn("embedding", scaled("clause_id"))
+    again = once.withColumn("embedding", F.reverse("embedding"))
+    cell = ["state", "attribute_number"]
+    frames = []
+    for plan, sizes in (("broadcast", {}), ("blocks", {"broadcast_limit": 0, "template_block": 8, "clause_block": 16})):
+        found = nearest_template(once.unionByName(again), templates, cell, metric, **sizes)
+        frames.append(found.select(F.lit(plan).alias("plan"), "clause_id", _six("similarity"), "template_id"))
+    return frames[0].unionByName(frames[1])
 
 
 def _fused_columns(found: DataFrame, *extra: str) -> DataFrame:
@@ -64,8 +97,8 @@ def _fused_columns(found: DataFrame, *extra: str) -> DataFrame:
         "attribute_number",
         "doc_idx",
         *extra,
-        "dense_similarity",
-        "bm25_score",
+        _six("dense_similarity"),
+        _six("bm25_score"),
         "dense_rank",
         "bm25_rank",
         F.round("rrf_score", 10).alias("rrf_score"),
@@ -136,7 +169,8 @@ def dense_only_stats(spark, folder):
 
 
 def nearest_three(spark, folder):
-    return ranking.nearest_chunks(tables.chunks(spark, folder), [(-1.0) ** i / 8 for i in range(64)])
+    found = ranking.nearest_chunks(tables.chunks(spark, folder), [(-1.0) ** i / 8 for i in range(64)])
+    return found.withColumn("similarity", _six("similarity"))
 
 
 def similarity_json(spark, folder):
@@ -315,6 +349,14 @@ def header_paths(spark, folder):
     )
 
 
+def header_paths_repeated(spark, folder):
+    sections = chunking.header_sections(chunking.split_pages(tables.repeated_pages(spark, folder)))
+    return chunking.carry_headers(sections).select(
+        "document_id", "source_file", _long("segment_no"), _long("page_number"), _long("section_no"),
+        chunking.header_path().alias("header_path"), "content",
+    )
+
+
 def chunk_ids(spark, folder):
     """Header sections as whole pieces, so that ids can be checked without the splitter."""
     sections = chunking.carry_headers(
@@ -412,7 +454,7 @@ def exact_match_only(spark, folder):
 def nearest_template_query(spark, folder):
     templates, candidates = tables.templates_and_candidates(tables.clauses(spark, folder))
     return nearest_template(candidates, templates, ["state", "attribute_number"]).select(
-        "clause_id", "similarity", "template_id"
+        "clause_id", _six("similarity"), "template_id"
     )
 
 
@@ -421,14 +463,14 @@ def nearest_template_blocks(spark, folder):
     templates, candidates = tables.templates_and_candidates(tables.clauses(spark, folder))
     cell = ["state", "attribute_number"]
     found = nearest_template(candidates, templates, cell, "cosine", broadcast_limit=0, template_block=8, clause_block=16)
-    return found.select("clause_id", "similarity", "template_id")
+    return found.select("clause_id", _six("similarity"), "template_id")
 
 
 def best_template(spark, folder):
     templates, candidates = tables.templates_and_candidates(tables.clauses(spark, folder))
     scored = classify.score_against_templates(candidates, templates, "cosine")
     return scored.select(
-        "clause_id", "semantic_similarity", "paraphrase_similarity", text.sha256(F.col("template_text")).alias("template_sha")
+        "clause_id", _six("semantic_similarity"), _six("paraphrase_similarity"), text.sha256(F.col("template_text")).alias("template_sha")
     )
 
 
@@ -481,8 +523,8 @@ def classify_cascade(spark, folder):
         "clause_id",
         _long("is_standard"),
         "classification_step",
-        "semantic_similarity",
-        "paraphrase_similarity",
+        _six("semantic_similarity"),
+        _six("paraphrase_similarity"),
         F.regexp_replace("nli_reasoning", r"[0-9.]+$", "").alias("nli_reasoning"),
         F.regexp_replace("negation_reasoning", r"[0-9.]+$", "").alias("negation_reasoning"),
         F.array_join("rule_flags", "; ").alias("rule_flags"),
@@ -605,15 +647,22 @@ def keyword_search(spark, folder):
     )
 
 
+def keyword_search_first_rows(spark, folder):
+    found = search.search(tables.search_rows(spark, folder), QUERY_TEXT, rows_per_file=search.ROWS_PER_FILE)
+    return found.select(
+        "source_filename", "row_index", "attribute_name", _long("page"), "clause_number", _long("is_standard"), "full_content_raw"
+    )
+
+
 def evidence_prompt(spark, folder):
     return search.prompt(search.search(tables.search_rows(spark, folder), QUERY_TEXT), QUERY_TEXT)
 
 
 def fallback_answer(spark, folder):
     rows = tables.search_rows(spark, folder)
-    counted = search.fallback_answer(search.search(rows, QUERY_TEXT, is_standard=0), 0)
-    item = search.fallback_answer(search.search(rows, QUERY_TEXT), None)
-    nothing = search.fallback_answer(search.search(rows, "zzzz unknownword"), None)
+    counted = search.fallback_answer(search.matching(rows, QUERY_TEXT, is_standard=0), 0)
+    item = search.fallback_answer(search.matching(rows, QUERY_TEXT), None)
+    nothing = search.fallback_answer(search.matching(rows, "zzzz unknownword"), None)
     kinds = [("count", counted), ("item", item), ("nothing", nothing)]
     frames = [frame.select(F.lit(kind).alias("kind"), "answer") for kind, frame in kinds]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
@@ -632,6 +681,20 @@ def session_history(spark, folder):
     return recent.select("session_id", "seq", "role")
 
 
+def _first_session(messages: DataFrame) -> str:
+    return messages.agg(F.min(F.col("session_id").cast("long"))).first()[0]
+
+
+def history_read(spark, folder):
+    messages = tables.messages(spark, folder)
+    return search.session_history(messages, _first_session(messages)).select(_long("session_id"), "seq", "text")
+
+
+def history_clear(spark, folder):
+    messages = tables.messages(spark, folder)
+    return search.clear_session(messages, _first_session(messages)).select(_long("session_id"), "seq", "text")
+
+
 def first_rows_per_file(spark, folder):
     rows = tables.search_rows(spark, folder)
     found = top_k(rows, ["source_filename"], [F.asc("row_index")], search.ROWS_PER_FILE, "position")
@@ -643,6 +706,8 @@ QUERIES: dict[str, Query] = {
     "bm25_scores": bm25_scores,
     "bm25_topk": bm25_topk,
     "dense_topk": dense_topk,
+    "dense_topk_scaled": dense_topk_scaled,
+    "dense_topk_scaled_cosine": partial(dense_topk_scaled, metric="cosine"),
     "rrf_topk": rrf_topk,
     "rrf_all_in_one": rrf_all_in_one,
     "rrf_scores": rrf_scores,
@@ -678,6 +743,7 @@ QUERIES: dict[str, Query] = {
     "parse_pages": parse_pages,
     "header_paths": header_paths,
     "chunk_ids": chunk_ids,
+    "header_paths_repeated": header_paths_repeated,
     "chunk_documents": chunk_documents,
     "chunk_large_documents": chunk_large_documents,
     "wa_chunk_metadata": wa_chunk_metadata,
@@ -690,6 +756,8 @@ QUERIES: dict[str, Query] = {
     "exact_match_only": exact_match_only,
     "nearest_template": nearest_template_query,
     "nearest_template_blocks": nearest_template_blocks,
+    "nearest_template_scaled": nearest_template_scaled,
+    "nearest_template_scaled_cosine": partial(nearest_template_scaled, metric="cosine"),
     "best_template": best_template,
     "rule_flags": rule_flags,
     "nli_truth_table": nli_truth_table,
@@ -719,7 +787,10 @@ QUERIES: dict[str, Query] = {
     "processing_timeline": processing_timeline,
     "wordcloud": wordcloud,
     "keyword_search": keyword_search,
+    "keyword_search_first_rows": keyword_search_first_rows,
     "evidence_prompt": evidence_prompt,
+    "history_read": history_read,
+    "history_clear": history_clear,
     "fallback_answer": fallback_answer,
     "last_20_messages": last_20_messages,
     "session_history": session_history,

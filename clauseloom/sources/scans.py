@@ -16,9 +16,11 @@ FILE_NAME = "source_file"
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, value): one row per non-blank markdown file."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.where(strip(F.col("value")) != "").select(F.col("_metadata.file_name").alias(FILE_NAME), "value")
+    """(source_file, document_id, value): one row per non-blank markdown file; the id is its path."""
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.where(strip(F.col("value")) != "").select(
+        F.col("_metadata.file_name").alias(FILE_NAME), F.col("_metadata.file_path").alias("document_id"), "value"
+    )
 
 
 def _read_rows(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.operators.report import table_text
+
 from clauseloom.functions.text import file_slug
 
 
@@ -109,64 +111,31 @@ def write_markdown_pages(pages: DataFrame, path: str) -> None:
 
 
 def dense_report(matches: DataFrame, stats: DataFrame, top: int = 3) -> str:
-    """Markdown report of the dense-only matcher: statistics and best matches per attribute."""
+    """Markdown tables of the dense-only matcher: one line per attribute, then the best matches."""
     best = matches.where(F.col("rank") <= top).select("attribute_number", "rank", "doc_idx", "similarity").collect()
-    lines = ["# Dense matching report", ""]
-    for found in sorted(stats.collect(), key=lambda row: row.attribute_number):
-        lines += [
-            f"### Attribute {found.attribute_number}",
-            "",
-            f"- Average Similarity: {found.avg_similarity}",
-            f"- Best Similarity: {found.max_similarity}",
-            f"- High Confidence Matches: {found.high_confidence_matches}",
-            "",
-        ]
-        rows = sorted((row for row in best if row.attribute_number == found.attribute_number), key=lambda row: row.rank)
-        lines += [f"{row.rank}. chunk {row.doc_idx} - Similarity: {row.similarity}" for row in rows]
-    return "\n".join(lines)
+    summary = stats.select("attribute_number", "avg_similarity", "max_similarity", "high_confidence_matches").collect()
+    parts = [
+        table_text("Dense ranking by attribute", ("attribute", "mean", "best", "confident"), sorted(map(tuple, summary))),
+        table_text("Best chunks", ("attribute", "place", "chunk", "similarity"), sorted(map(tuple, best))),
+    ]
+    return "\n".join(part for part in parts if part)
 
 
 def match_report(matches: DataFrame, stats: DataFrame, rank: str = "rank", top: int = 3, digits: int = 6) -> str:
-    """Markdown report with the best ``top`` matches per attribute.
+    """Markdown tables of the fused ranking: one line per attribute, then the best ``top`` matches.
 
     Only ``top`` rows per attribute of the dictionary are collected.
     """
-    best = matches.where(F.col(rank) <= top).select(
-        "attribute_number",
-        "attribute_name",
-        rank,
-        "page",
-        "section",
-        F.round("rrf_score", digits).alias("rrf_score"),
-        "dense_similarity",
-        "dense_rank",
-        "bm25_score",
-        "bm25_rank",
-        "content_preview",
-    )
-    summary = {row.attribute_number: row for row in stats.collect()}
-    rows = sorted(best.collect(), key=lambda row: (row.attribute_number, row[rank]))
-    lines = ["# Attribute matching report", "", f"- **Total Attributes**: {len(summary)}", ""]
-    current = None
-    for row in rows:
-        if row.attribute_number != current:
-            current = row.attribute_number
-            found = summary[current]
-            lines += [
-                f"### {current}. {row.attribute_name}",
-                "",
-                f"- Average RRF Score: {found.avg_rrf_score:.{digits}f}",
-                f"- Best RRF Score: {found.max_rrf_score:.{digits}f}",
-                f"- Average Dense Score: {found.avg_dense_score:.{digits}f}",
-                f"- Average BM25 Score: {found.avg_bm25_score:.{digits}f}",
-                f"- High Quality Matches: {found.high_rrf_matches}",
-                "",
-            ]
-        lines += [
-            f"{row[rank]}. **Page {row.page}** - RRF Score: {row.rrf_score}",
-            f"   - Section: {row.section}",
-            f"   - Dense Similarity: {row.dense_similarity} (Rank: {row.dense_rank})",
-            f"   - BM25 Score: {row.bm25_score} (Rank: {row.bm25_rank})",
-            f"   - Content: {row.content_preview}",
-        ]
-    return "\n".join(lines)
+    shown = lambda name: F.format_string(f"%.{digits}f", name).alias(name)
+    means = ("avg_rrf_score", "max_rrf_score", "avg_dense_score", "avg_bm25_score")
+    summary = stats.select("attribute_number", *map(shown, means), "high_rrf_matches").collect()
+    columns = ("attribute_number", "attribute_name", rank, "page", "section", shown("rrf_score"), "dense_rank", "bm25_rank", "content_preview")
+    best = matches.where(F.col(rank) <= top).select(*columns).collect()
+    parts = [
+        table_text("Fused ranking by attribute", ("attribute", "mean", "best", "dense mean", "BM25 mean", "strong"), sorted(map(tuple, summary))),
+        table_text(
+            "Best chunks", ("attribute", "name", "place", "page", "section", "score", "dense place", "BM25 place", "text"),
+            sorted(map(tuple, best), key=lambda row: (row[0], row[2])),
+        ),
+    ]
+    return "\n".join(part for part in parts if part)

@@ -140,3 +140,15 @@ def test_recombine_counts_pages_through(spark):
     assert "".join(r.value for r in rows) == (
         "# f\n\n\n\n--- Batch 1 ---\n\n--- Page 1 ---\na\n\n--- Batch 2 ---\n\n--- Page 11 ---\nb\n--- Page 12 (OCR) ---\nc"
     )
+
+
+def test_repeated_page_numbers_are_segments_of_their_own(spark):
+    text = "--- Page 1 ---\n# one\nalpha\nbeta\n--- Page 1 ---\n# two\ngamma\ndelta"
+    assert sections(spark, text) == [(1, "section:one", "alpha\nbeta"), (1, "section:two", "gamma\ndelta")]
+
+
+def test_equal_file_names_stay_apart(spark):
+    rows = [("a/x.md", "x.md", "--- Page 1 ---\n# A\nfirst"), ("b/x.md", "x.md", "--- Page 1 ---\nsecond")]
+    documents = spark.createDataFrame(rows, "document_id string, source_file string, value string")
+    found = sorted((r.document_id, r.chunk_id, r.header_path, r.content) for r in C.chunk_documents(documents).collect())
+    assert found == [("a/x.md", "x_p1_c1", "section:A", "first"), ("b/x.md", "x_p1_c1", "document_content", "second")]

@@ -186,10 +186,10 @@ def test_reports_and_json(spark):
     assert [m["rank"] for m in tree["top_matches"]] == [1, 2, 3, 4] and tree["attribute_info"]["number"] == 1
     assert tree["top_matches"][0]["score_breakdown"]["bm25_rank"] >= 1
     report = sinks.match_report(matches, stats)
-    assert "### 1. Fee" in report and report.count("**Page 1**") == 3
+    assert report.count("| 1 | Fee |") == 3 and "## Best chunks" in report
     dense = ranking.dense_matches(attributes, chunks, 4)
     report = sinks.dense_report(dense, ranking.dense_match_stats(dense))
-    assert report.count("- Similarity") == 3 and "High Confidence Matches: 4" in report
+    assert report.count("\n| 1 |") == 4 and "| 1 | -2.500 | 1.000 | 1 |" in report
 
 
 def test_small_column_helpers(spark):

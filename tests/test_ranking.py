@@ -192,3 +192,17 @@ def test_plan_has_no_cross_join_and_no_text_shuffle(data):
     found = scoring.task_best(chunk_rows, next(iter(scoring.scored_blocks(attribute_rows, chunk_rows))).scorer, 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_similarity_of_vectors_of_any_length(spark):
+    import numpy as np
+
+    from clauseloom.functions.vectors import similarities, similarity
+
+    pairs = [([3.0, 4.0], [3.0, 4.0]), ([3.0, 4.0], [30.0, 40.0]), ([0.0, 0.0], [3.0, 4.0]), ([float("nan"), 1.0], [1.0, 0.0])]
+    rows = spark.createDataFrame(pairs, "a array<double>, b array<double>")
+    got = [tuple(r) for r in rows.select(similarity(rows.a, rows.b), similarity(rows.a, rows.b, "cosine")).collect()]
+    assert got == [(1.0, 1.0), (-2024.0, 1.0), (-24.0, None), (None, None)]
+    for metric, at in (("l2sq", 0), ("cosine", 1)):
+        table = similarities(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), metric)
+        assert [None if np.isnan(x) else x for x in np.diag(table)] == [g[at] for g in got]

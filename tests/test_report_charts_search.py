@@ -48,14 +48,15 @@ def test_missing_flags_count_differently(classified):
 def test_flags_and_text_report(classified):
     assert [(r.flag, r.clauses) for r in report.flag_histogram(classified).collect()] == [("a", 2), ("b", 1)]
     text = report.text_report(classified)
-    assert "Total Clauses Analyzed: 5" in text and "Standard Clauses: 2 (40.0%)" in text
+    assert "| all | 5 | 2 | 3 | 40.000 |" in text
     # Attribute keys sort as text.
-    assert text.index("Attribute 1:") < text.index("Attribute 10:") < text.index("Attribute 2:")
-    assert "Average Semantic Similarity: 0.500 (n=3)" in text
+    lines = text[text.index("## Attributes") :]
+    assert lines.index("\n| 1 |") < lines.index("\n| 10 |") < lines.index("\n| 2 |")
+    assert "| semantic | 0.500 | 3 |" in text
 
 
 def test_empty_report(spark):
-    assert "Total Clauses Analyzed: 0" in report.text_report(spark.createDataFrame([], CLASSIFIED))
+    assert report.text_report(spark.createDataFrame([], CLASSIFIED)).strip() == "# Classified clauses"
 
 
 def test_histogram_like_numpy(spark):
@@ -144,9 +145,10 @@ def rows(spark):
     return spark.createDataFrame(data, ROWS)
 
 
-def test_search_limits_before_filtering(rows):
-    found = search.search(rows, "RATE35").collect()
-    assert found == []  # row 35 is behind the first 30 rows of its file
+def test_search_looks_at_all_rows(rows):
+    assert [r.row_index for r in search.search(rows, "RATE35").collect()] == [35, 35]
+    # Row 35 is behind the first 30 rows of its file.
+    assert search.search(rows, "RATE35", rows_per_file=search.ROWS_PER_FILE).collect() == []
     found = search.search(rows, "rate is", is_standard=0).collect()
     assert len(found) == 12 and [r.row_index for r in found[:3]] == [2, 4, 6]
     assert found[0].clause_number == "2.1" and len(found[0].full_content_raw) == 220
@@ -155,7 +157,7 @@ def test_search_limits_before_filtering(rows):
 
 
 def test_chat(rows):
-    assert search.chat(rows, "rate non-standard") == "f1.json: 12 non-standard clauses"
+    assert search.chat(rows, "rate non-standard") == "f1.json: 32 non-standard clauses"  # all, not only the 12 that are shown
     assert search.chat(rows, "rate7") == "Clause 7.1 page 7 - Fee"
     assert search.chat(rows, "nothing-like-this") == "No relevant information found"
     asked = []
