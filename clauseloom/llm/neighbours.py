@@ -30,8 +30,8 @@ class Options:
     k: int = 5
     directions: int = 96
     width: float = 2.4
-    first: float = 0.15
-    growth: float = 1.12
+    first: float = 0.2
+    growth: float = 1.25
     slack: float = 2.3
     block: int = 32_768
     query_block: int = 2_048
@@ -69,23 +69,28 @@ class Index:
         options, n = self.options, len(self.ids)
         units = _units(queries)
         at = units @ self.directions
+        radii = self._radii()
+        reach = np.array([options.width * radius / 2 for radius in radii])
+        # Where the windows of all queries and radii begin and end in every sorted array.
+        begins = np.stack([line.searchsorted(at[:, j, None] - reach) for j, line in enumerate(self.sorted)], axis=1)
+        ends = np.stack([line.searchsorted(at[:, j, None] + reach, "right") for j, line in enumerate(self.sorted)], axis=1)
+        lines = list(self.order)
         for q in range(len(queries)):
             counts = np.zeros(n, np.int16)
-            open_ = np.ones(n, bool)
-            open_[self.ids == own[q]] = False
+            open_ = self.ids != own[q]
             best_ids, best = np.zeros(0, self.ids.dtype), np.zeros(0)
-            low = np.array([np.searchsorted(self.sorted[j], at[q, j]) for j in range(options.directions)])
-            high = low.copy()
-            radius = options.first
-            while True:
-                reach = options.width * radius / 2
-                for j in range(options.directions):
-                    line, order = self.sorted[j], self.order[j]
-                    a = line.searchsorted(at[q, j] - reach)
-                    b = line.searchsorted(at[q, j] + reach, side="right")
-                    counts[order[a : low[j]]] += 1
-                    counts[order[high[j] : b]] += 1
-                    low[j], high[j] = min(a, low[j]), max(b, high[j])
+            low = high = [0] * len(lines)
+            for step, radius in enumerate(radii):
+                a, b = begins[q, :, step].tolist(), ends[q, :, step].tolist()
+                for order, i, j, k, m in zip(lines, a, low, high, b, strict=True):
+                    if step == 0:
+                        counts[order[i:m]] += 1
+                        continue
+                    if i < j:
+                        counts[order[i:j]] += 1
+                    if k < m:
+                        counts[order[k:m]] += 1
+                low, high = a, b
                 fresh = np.flatnonzero((counts >= self.least) & open_)
                 if len(fresh):
                     open_[fresh] = False
@@ -93,15 +98,15 @@ class Index:
                     scores = np.concatenate([best, self.unit[fresh] @ units[q]])
                     order = np.lexsort((ids, -scores))[: options.k]
                     best_ids, best = ids[order], scores[order]
-                # Distances of unit vectors end at 2.
-                done = len(best) == options.k and math.sqrt(max(0.0, 2 - 2 * best[-1])) <= radius
-                if done or radius > 2.0 and not (open_ & (counts < self.least)).any():
+                if len(best) == options.k and math.sqrt(max(0.0, 2 - 2 * best[-1])) <= radius:
                     break
-                if radius > 64:  # all windows hold everything by now
-                    break
-                radius *= options.growth if radius <= 2.0 else 4.0
             yield q, best_ids, best
 
+    def _radii(self) -> list[float]:
+        """Radii of the rehashing up to 2, the greatest distance of unit vectors, and one that holds all."""
+        steps = math.ceil(math.log(2 / self.options.first) / math.log(self.options.growth))
+        return [*(self.options.first * self.options.growth**i for i in range(steps + 1)), 1e9]
+
 
 def _search(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
     for table in runs(batches, ("dim", "data_block", "query_block")):
