@@ -16,6 +16,7 @@ from clauseloom.functions.lexicon import WORDCLOUD_STOP_WORDS
 from clauseloom.functions.text import words
 from clauseloom.operators.ordered import group_rank, take_positions
 from clauseloom.operators.sizing import broadcast_if_small
+from clauseloom.session import cut_lineage
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -47,27 +48,29 @@ def standard_pie(contracts: DataFrame) -> DataFrame:
 
 def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed, empty bins kept."""
+    # One pass over the rows counts the distinct values; bounds, bins and total come from those.
     known = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value"))
-    bounds = known.agg(F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("low").isNotNull())
+    known = cut_lineage(known.groupBy("value").agg(F.count("*").alias("rows")))
+    bounds = known.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("rows").alias("total"))
     flat = F.col("low") == F.col("high")
-    bounds = bounds.select(
+    bounds = bounds.where(F.col("low").isNotNull()).select(
         F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
+        "total",
     )
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
     position = F.least(F.floor((F.col("value") - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    counts = known.groupBy(position.alias("bin")).agg(F.count("*").alias("count"))
+    counts = known.groupBy(position.alias("bin")).agg(F.sum("rows").alias("count"))
     edges = bounds.withColumn("width", (F.col("high") - F.col("low")) / bins).withColumn(
         "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
     )
-    total = known.agg(F.count("*")).scalar()
     return edges.join(counts, "bin", "left").select(
         "bin",
         F.round(F.col("low") + F.col("bin") * F.col("width"), 1).alias("bin_start"),
         F.round(F.col("low") + (F.col("bin") + 1) * F.col("width"), 1).alias("bin_end"),
         F.round(F.col("low") + (F.col("bin") + 0.5) * F.col("width"), 1).alias("bin_center"),
         F.coalesce("count", F.lit(0)).alias("count"),
-        share(F.coalesce("count", F.lit(0)), total).alias("percentage"),
+        share(F.coalesce("count", F.lit(0)), F.col("total")).alias("percentage"),
     )
 
 

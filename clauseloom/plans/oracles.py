@@ -490,6 +490,15 @@ FROM per_source WHERE rank_in_source <= 15""",
   'doc_' || t.doc_idx AS chunk_id, t.source_file, n_chars // 1000 AS page, 'section:' || state AS section,
   CASE WHEN len(content) > 150 THEN substring(content, 1, 150) || '...' ELSE content END AS content_preview,
   sha256(content) AS content_sha FROM top t JOIN chunks c ON c.doc_idx = t.doc_idx WHERE rank <= 20""",
+    "similarity_roundtrip": f"""WITH {FUSED} SELECT 'tables' AS collection_key, attribute_number,
+  'attribute_' || attribute_number AS attribute_name, rank AS position, rank, 'doc_' || doc_idx AS chunk_id, source_file,
+  round(rrf, 10) AS rrf_score, round(dense_similarity, 6) AS dense_similarity, round(bm25_score, 6) AS bm25_score
+FROM top WHERE rank <= 20""",
+    "similarity_roundtrip_per_source": f"""WITH {FUSED} SELECT 'tables' AS collection_key, attribute_number,
+  'attribute_' || attribute_number AS attribute_name, rank_in_source AS position, rank_in_source AS rank,
+  'doc_' || doc_idx AS chunk_id, source_file, round(rrf, 10) AS rrf_score,
+  round(dense_similarity, 6) AS dense_similarity, round(bm25_score, 6) AS bm25_score
+FROM per_source WHERE rank_in_source <= 2""",
     "match_stats": f"WITH {FUSED} {STATS} FROM top WHERE rank <= 20 GROUP BY attribute_number",
     "per_source_match_stats": f"WITH {FUSED} {STATS} FROM per_source WHERE rank_in_source <= 15 GROUP BY attribute_number",
     "attribute_caps": f"""WITH {FUSED} SELECT attribute_number, source_file, doc_idx, rank_in_source FROM per_source

@@ -17,8 +17,8 @@ from clauseloom.operators.ordered import top_k
 from clauseloom.operators.sizing import fits
 from clauseloom.plans import driver_tables as tables
 from clauseloom.session import ensure_checkpoint_dir
-from clauseloom.sources.scans import not_processed
-from clauseloom.sources.sinks import similarity_documents
+from clauseloom.sources.scans import not_processed, read_similarities
+from clauseloom.sources.sinks import collection_documents, similarity_documents, write_similarities
 from clauseloom.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,30 @@ def similarity_json(spark, folder):
     return documents.select("attribute_number", "attribute_name", "document")
 
 
+def _written_and_read(documents: DataFrame) -> DataFrame:
+    """The matches of similarity documents after a round trip through files in the shared folder."""
+    spark = documents.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/similarities-{uuid.uuid4().hex}"
+    write_similarities(documents, path)
+    return read_similarities(spark, path, lines=True).select(
+        "collection_key", _long("attribute_number"), "attribute_name", _long("position"), _long("rank"), "chunk_id", "source_file",
+        F.round("rrf_score", 10).alias("rrf_score"), _six("dense_similarity"), _six("bm25_score"),
+    )
+
+
+def similarity_roundtrip(spark, folder):
+    attributes, chunks = tables.attributes(spark, folder), tables.chunks(spark, folder)
+    matches = ranking.format_matches(ranking.rrf_top_k(attributes, chunks), chunks, attributes, per_attribute=20)
+    return _written_and_read(collection_documents(matches, ranking.match_stats(matches), "rank", "tables", "Tables", 20))
+
+
+def similarity_roundtrip_per_source(spark, folder):
+    attributes, chunks = tables.attributes(spark, folder), tables.chunks(spark, folder)
+    matches = ranking.format_matches(ranking.rrf_per_source(attributes, chunks, k=2), chunks, attributes, per_attribute=None)
+    stats = ranking.match_stats(matches)
+    return _written_and_read(collection_documents(matches, stats, "rank_in_source", "tables", "Tables", 2, per_source=True))
+
+
 # --- text ------------------------------------------------------------------------
 
 
@@ -720,6 +744,8 @@ QUERIES: dict[str, Query] = {
     "dense_only_stats": dense_only_stats,
     "nearest_three": nearest_three,
     "similarity_json": similarity_json,
+    "similarity_roundtrip": similarity_roundtrip,
+    "similarity_roundtrip_per_source": similarity_roundtrip_per_source,
     "tokens": tokens,
     "clean_text": clean_text,
     "preprocess_text": preprocess_text,

@@ -52,13 +52,15 @@ def read_clauses(spark: SparkSession, path: str, contracts_only: bool = False) -
     return rows.where(F.lower("file_name").contains("redacted")) if contracts_only else rows
 
 
-def read_similarities(spark: SparkSession, path: str) -> DataFrame:
+def read_similarities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Ranking results flattened to one row per match, in file order.
 
+    Each file holds one document, or with ``lines`` one document per line.
+
     Template results list matches per attribute; contract results nest them
     once more per source file.
     """
-    documents = spark.read.schema(schemas.SIMILARITY).option("multiLine", True).json(path)
+    documents = spark.read.schema(schemas.SIMILARITY).option("multiLine", not lines).json(path)
     by_attribute = documents.select("collection_info", F.explode("matches").alias("attribute_name", "found"))
     listed = F.coalesce("found.top_matches", "found.matches")
     base = [

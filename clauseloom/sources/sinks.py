@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.operators.report import table_text
-
 from clauseloom.functions.text import file_slug
+from clauseloom.operators.report import table_text
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -98,6 +97,41 @@ def similarity_documents(matches: DataFrame, stats: DataFrame, rank: str, per_so
     return listed.join(stats, "attribute_number").select(*keys, F.to_json(tree).alias("document"))
 
 
+def collection_documents(
+    matches: DataFrame, stats: DataFrame, rank: str, key: str, name: str, top_k: int, per_source: bool = False
+) -> DataFrame:
+    """(attribute_number, document): the layout that ``read_similarities`` reads, one document per attribute.
+
+    Each has ``collection_info`` and a ``matches`` map with the attribute's entry: its
+    info, statistics, and the matches in order, per source if asked.
+    """
+    entry = F.struct(F.col(rank).alias("_order"), match_struct(rank).withField("rank", F.col(rank)).alias("match"))
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda row: row["match"])
+    by = ["attribute_number", "attribute_name"]
+    if per_source:
+        listed = matches.groupBy(*by, "source_file").agg(ordered.alias("found")).groupBy(*by).agg(
+            F.map_from_entries(F.collect_list(F.struct("source_file", "found"))).alias("per_source_top_matches")
+        )
+    else:
+        listed = matches.groupBy(*by).agg(ordered.alias("top_matches"))
+    mode = "per_source" if per_source else "global"
+    info = F.struct(
+        F.lit(key).alias("collection_key"), F.lit(name).alias("collection_name"), F.lit(mode).alias("mode"), F.lit(top_k).alias("top_k")
+    )
+    found = F.struct(
+        F.struct(F.col("attribute_number").alias("number"), F.col("attribute_name").alias("name")).alias("attribute_info"),
+        F.struct(*[column for column in stats.columns if column != "attribute_number"]).alias("statistics"),
+        listed.columns[-1],
+    )
+    tree = F.struct(info.alias("collection_info"), F.create_map(F.col("attribute_name"), found).alias("matches"))
+    return listed.join(stats, "attribute_number").select("attribute_number", F.to_json(tree).alias("document"))
+
+
+def write_similarities(documents: DataFrame, path: str) -> None:
+    """Documents as JSON lines; ``read_similarities`` reads them with ``lines=True``."""
+    documents.select("document").write.mode("overwrite").text(path)
+
+
 def write_markdown_pages(pages: DataFrame, path: str) -> None:
     """Page texts in page order, one folder per source file."""
     (
