@@ -10,18 +10,21 @@ neighbours that agree in ``length`` bytes which is the smallest document of each
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import slices
+from clauseloom.llm.common import slices, stored
 from clauseloom.llm.suffix_sort import suffix_array
 from clauseloom.llm.vectors import runs
+from clauseloom.operators.sizing import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,7 @@ class Options:
     gram: int = 16
     parts: int = 4
     sorted_bytes: int = 1 << 20
-    flush_bytes: int = 24 << 20
+    flush_bytes: int = 12 << 20
     buckets: int = 256
 
     @property
@@ -92,106 +95,119 @@ def _anchor_blocks(batches: Iterator[pa.RecordBatch], options: Options) -> Itera
     into the exchange; the others are shared already and ride along apart.
     """
     held: list[tuple[np.ndarray, ...]] = []
+    docs: list[np.ndarray] = []
     size = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
         nonlocal size
-        h, doc, mark, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, which, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc = np.concatenate(docs)[which]
         held.clear()
+        docs.clear()
         size = 0
         order = np.lexsort((doc, h))
-        h, doc, mark, place = h[order], doc[order], mark[order], place[order]
+        h, doc, place = h[order], doc[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         last = np.append(first[1:], len(h)) - 1
         shared = np.repeat(doc[first] != doc[last], last - first + 1)
-        # One row of each hash asks for others; all rows of a shared hash are known to be wanted.
-        ask = np.zeros(len(h), bool)
+        # One row of each shared hash asks for others; all its rows are known to be wanted.
+        ask = ~shared
         ask[first] = True
-        ask |= ~shared
-        bucket = (h >> np.uint64(40)) % np.uint64(options.buckets)
-        order = np.argsort(bucket, kind="stable")
+        bucket = (h >> np.uint64(48)) % np.uint64(options.buckets)
+        order = np.lexsort((place, doc, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(options.buckets + 1, dtype=np.uint64))
         rows: dict[str, list] = {"bucket": [], "asked": [], "known": []}
         for b in range(options.buckets):
             own = order[cuts[b] : cuts[b + 1]]
-            if not len(own):
-                continue
-            asked, known = own[ask[own]], own[shared[own]]
-            rows["bucket"].append(b)
-            rows["asked"].append(_pack(h[asked], doc[asked], mark[asked], place[asked], shared[asked].astype(np.uint8)))
-            rows["known"].append(_pack(doc[known], mark[known], place[known]))
-        yield pa.RecordBatch.from_arrays(
+            if len(own):
+                asked, known = own[ask[own]], own[shared[own]]
+                rows["bucket"].append(b)
+                rows["asked"].append(_packed(doc[asked], place[asked], h[asked], shared[asked]))
+                rows["known"].append(_packed(doc[known], place[known]))
+        return pa.RecordBatch.from_arrays(
             [pa.array(rows["bucket"], pa.int32()), pa.array(rows["asked"], pa.binary()), pa.array(rows["known"], pa.binary())],
             names=["bucket", "asked", "known"],
         )
 
     for batch in slices(batches, "text", 4 << 20):
         texts = [t.encode() for t in batch.column("text").to_pylist()]
-        data, starts = _joined(texts)
+        data, starts = b"".join(texts), np.cumsum([0, *map(len, texts)])
         place, h = anchors(data, options)
-        if not len(place):
-            continue
         owner = np.searchsorted(starts, place, side="right") - 1
         inside = place + options.gram <= starts[owner + 1]
         place, h, owner = place[inside], h[inside], owner[inside]
-        docs = batch.column("doc").to_numpy()
-        marks = np.array([_mark(t) for t in texts], np.uint32)
-        held.append((h, docs[owner], marks[owner], (place - starts[owner]).astype(np.int32)))
+        held.append((h, owner + sum(map(len, docs)), place - starts[owner]))
+        docs.append(batch.column("doc").to_numpy())
         size += len(data)
         if size > options.flush_bytes:
-            yield from flush()
+            yield flush()
     if held:
-        yield from flush()
-
+        yield flush()
 
-def _mark(text: bytes) -> int:
-    """Tells texts with the same key apart."""
-    return xxhash.xxh32_intdigest(text)
 
+def _packed(doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> bytes:
+    """Anchors sorted by document, compressed: steps from document to document, counts, places, 48 bits of hashes, flags.
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join([len(columns[0]).to_bytes(8, "little"), *(c.tobytes() for c in columns)])
+    A hash that agrees by chance only makes a piece that nothing matches.
+    """
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(doc)))
+    columns = [np.diff(doc[first], prepend=np.int64(0)), counts.astype("<u4"), (place & 0xFFFF).astype("<u2"), (place >> 16).astype("<u2")]
+    if more:
+        h, flag = more
+        columns += [(h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2"), flag.astype("u1")]
+    head = len(first).to_bytes(8, "little") + len(doc).to_bytes(8, "little")
+    return zstandard.compress(b"".join([head, *(c.tobytes() for c in columns)]), 1)
+
+
+def _unpacked(data: bytes, full: bool) -> list[np.ndarray]:
+    """doc, place and, if ``full``, hash and flag of every packed anchor."""
+    data = zstandard.decompress(data)
+    docs, n = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    at, out = 16, []
+    for kind, count in (("<i8", docs), ("<u4", docs), ("<u2", n), ("<u2", n), *((("<u4", n), ("<u2", n), ("u1", n)) if full else ())):
+        out.append(np.frombuffer(data, kind, count, at))
+        at += count * np.dtype(kind).itemsize
+    step, counts, low, high = out[:4]
+    found = [np.repeat(np.cumsum(step), counts), low.astype(np.int64) | high.astype(np.int64) << 16]
+    return found + ([out[4].astype(np.uint64) | out[5].astype(np.uint64) << np.uint64(32), out[6]] if full else [])
 
 
-def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
-    for kind in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
+def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, places) of anchors that several documents share, bucket by bucket."""
+    held: list[list[np.ndarray]] = []
 
+    def flush() -> pa.RecordBatch:
+        doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[cuts[:-1]]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place, pa.int32()))],
+            names=["doc", "places"],
+        )
 
-def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, mark, places) of anchors that several documents share, bucket by bucket."""
     for table in runs(batches, ("bucket",)):
-        asked = [_unpack(x, np.uint64, np.int64, np.uint32, np.int32, np.uint8) for x in table.column("asked").to_pylist()]
-        h, doc, mark, place, known = (np.concatenate(x) for x in zip(*asked, strict=True))
+        asked = [_unpacked(x, True) for x in table.column("asked").to_pylist()]
+        doc, place, h, known = (np.concatenate(x) for x in zip(*asked, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, mark, place, known = h[order], doc[order], mark[order], place[order], known[order]
+        doc, place, h, known = doc[order], place[order], h[order], known[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         counts = np.diff(np.append(first, len(h)))
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         wanted = np.repeat(several, counts) & (known == 0)
-        rest = [_unpack(x, np.int64, np.uint32, np.int32) for x in table.column("known").to_pylist()]
-        doc, mark, place = (
-            np.concatenate([own[wanted], *(r[i] for r in rest)]) for i, own in enumerate((doc, mark, place))
-        )
-        if not len(doc):
-            continue
-        order = np.lexsort((mark, doc))
-        doc, mark, place = doc[order], mark[order], place[order]
-        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])) + 1
-        cuts = np.concatenate([[0], cuts, [len(doc)]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[cuts[:-1]]), pa.array(mark[cuts[:-1]].astype(np.int64)),
-             pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place))],
-            names=["doc", "mark", "places"],
-        )
+        held.append([doc[wanted], place[wanted]])
+        held += [_unpacked(x, False) for x in table.column("known").to_pylist()]
+        if sum(len(x[0]) for x in held) > 1_000_000:
+            yield flush()
+    if sum(len(x[0]) for x in held):
+        yield flush()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
-    """Surroundings of shared anchors; equal ones of a task are one row with all their places."""
-    held: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
+    """Surroundings of shared anchors; equal ones of a task are one row with all their (doc, mark, place)."""
+    held: dict[tuple[bytes, int], list[int]] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -202,27 +218,27 @@ def _pieces(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.
         for at in range(0, len(items), 20_000):
             part = items[at : at + 20_000]
             h = [xxhash.xxh64_intdigest(piece[left : left + options.gram]) for (piece, left), _ in part]
-            where = [np.array(own, np.int64).T for _, own in part]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x % options.buckets for x in h], pa.int32()),
                     pa.array(np.array(h, np.uint64).view(np.int64)),
                     pa.array([piece for (piece, _), _ in part], pa.binary()),
                     pa.array([left for (_, left), _ in part], pa.int32()),
-                    pa.array([_pack(w[0], w[1].astype(np.uint32), w[2].astype(np.int32)) for w in where], pa.binary()),
+                    pa.array([array("q", own).tobytes() for _, own in part], pa.binary()),
                 ],
-                names=["bucket", "anchor", "piece", "left", "where"],
+                names=["anchor", "piece", "left", "own"],
             )
 
+    reach, length = options.reach, options.length
     for batch in slices(batches, "text", 4 << 20):
         columns = (batch.column(name).to_pylist() for name in ("doc", "mark", "text", "places"))
         for doc, mark, text, places in zip(*columns, strict=True):
             data = text.encode()
-            for place in {p for some in places for p in some}:
-                start = max(0, place - options.reach)
-                held.setdefault((data[start : place + options.length], place - start), []).append((doc, mark, place))
+            # Places of another text with the same doc_id may lie beyond this one.
+            for place in {p for some in places for p in some if p + length - reach <= len(data)}:
+                start = place - reach if place > reach else 0
+                held.setdefault((data[start : place + length], place - start), []).extend((doc, mark, place))
                 size += 1
-        if size > 200_000:
+        if size > 150_000:
             yield from flush()
     yield from flush()
 
@@ -284,26 +300,25 @@ class _Sorter:
 def _spans(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
     """(doc, mark, start, end) of bytes whose strings a smaller document holds, anchor by anchor."""
     sorter = _Sorter(options)
-    waiting: list[tuple] = []
+    waiting: list[tuple[list[int], int, list[int]]] = []
     found: dict[tuple[int, int], list[int]] = {}
+    length = options.length
     step = -(-(options.reach + 1) // options.parts)
     ranges = [(low, min(low + step, options.reach + 1)) for low in range(0, options.reach + 1, step)]
 
     def settle() -> None:
         sorter.finish()
-        for places, most, lows in waiting:
+        for own, most, lows in waiting:
             # lows[i] is of the string that starts most - i bytes before the anchor.
-            for doc, mark, place in places:
-                i = 0
-                while i < len(lows):
-                    if lows[i] >= doc:
-                        i += 1
-                        continue
-                    j = i
-                    while j + 1 < len(lows) and lows[j + 1] < doc:
-                        j += 1
-                    found.setdefault((doc, mark), []).extend((place - most + i, place - most + j + options.length))
-                    i = j + 1
+            if min(lows) == max(lows):
+                stretches = [(lows[0], 0, len(lows))]
+            else:
+                cuts = [0, *(i for i in range(1, len(lows)) if lows[i] != lows[i - 1]), len(lows)]
+                stretches = [(lows[i], i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
+            for doc, mark, place in zip(own[::3], own[1::3], own[2::3], strict=True):
+                for low, i, j in stretches:
+                    if low < doc:
+                        found.setdefault((doc, mark), []).extend((place - most + i, place - most + j - 1 + length))
         waiting.clear()
 
     def flush() -> pa.RecordBatch:
@@ -315,36 +330,49 @@ def _spans(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.R
             names=["doc", "mark", "spans"],
         )
 
-    for table in runs(batches, ("bucket", "anchor")):
-        pieces: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
-        for piece, left, where in zip(*(table.column(n).to_pylist() for n in ("piece", "left", "where")), strict=True):
-            own = pieces.setdefault((piece, left), [])
-            own += zip(*(x.tolist() for x in _unpack(where, np.int64, np.uint32, np.int32)), strict=True)
-        lowest = {key: min(own)[0] for key, own in pieces.items()}
-        if len(set(lowest.values())) < 2 and all(len({o[0] for o in own}) < 2 for own in pieces.values()):
-            continue
+    def take(pieces: dict[tuple[bytes, int], list[int]]) -> None:
+        """Sort out the strings around one anchor."""
+        lowest = {key: min(own[::3]) for key, own in pieces.items()}
+        if len(pieces) == 1:
+            # One piece alone: its strings are those of its smallest document.
+            ((piece, left), own), doc = next(iter(pieces.items())), min(lowest.values())
+            if doc != max(own[::3]):
+                most, least = left, max(0, left + length - len(piece))
+                waiting.append((own, most, [doc] * (most - least + 1)))
+            return
         for low, high in ranges:
-            groups: dict[bytes, dict[tuple[bytes, int], list]] = {}
-            for (piece, left), own in pieces.items():
+            groups: dict[bytes, dict[tuple[bytes, int], list[tuple[bytes, int]]]] = {}
+            for key in pieces:
+                piece, left = key
                 # Strings that start ``least`` to ``most`` bytes before the anchor and lie in the piece.
-                most, least = min(high - 1, left), max(low, left + options.length - len(piece))
-                if most < least:
-                    continue
-                shared = piece[left - low : left + options.length - high + 1]
-                part = (piece[left - most : left - least + options.length], most)
-                groups.setdefault(shared, {}).setdefault(part, []).append((own, lowest[piece, left]))
+                most, least = min(high - 1, left), max(low, left + length - len(piece))
+                if most >= least:
+                    shared = piece[left - low : left + length - high + 1]
+                    part = (piece[left - most : left - least + length], most)
+                    groups.setdefault(shared, {}).setdefault(part, []).append(key)
             for parts in groups.values():
-                owners = [(own, doc) for some in parts.values() for own, doc in some]
-                if len(owners) == 1 and len({o[0] for o in owners[0][0]}) < 2:
+                keys = [key for some in parts.values() for key in some]
+                if len(keys) == 1 and lowest[keys[0]] == max(pieces[keys[0]][::3]):
                     continue
                 for (part, most), some in parts.items():
-                    doc = min(doc for _, doc in some)
-                    lows = sorter.add(part, doc) if len(parts) > 1 else [doc] * (len(part) - options.length + 1)
-                    waiting.extend((own, most, lows) for own, _ in some)
-        if sorter.size > options.sorted_bytes or len(waiting) > 100_000:
-            settle()
-        if len(found) > 20_000:
-            yield flush()
+                    doc = min(map(lowest.__getitem__, some))
+                    lows = sorter.add(part, doc) if len(parts) > 1 else [doc] * (len(part) - length + 1)
+                    waiting.extend((pieces[key], most, lows) for key in some)
+
+    current, pieces = None, {}
+    for batch in batches:
+        for anchor, piece, left, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if anchor != current:
+                if pieces:
+                    take(pieces)
+                current, pieces = anchor, {}
+                if sorter.size > options.sorted_bytes or len(waiting) > 100_000:
+                    settle()
+                    if len(found) > 20_000:
+                        yield flush()
+            pieces.setdefault((piece, left), []).extend(array("q", own))
+    if pieces:
+        take(pieces)
     settle()
     yield flush()
 
@@ -361,11 +389,13 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", 2 << 20):
         out: dict[str, list] = {name: [] for name in ("n_bytes", "n_removed", "n_spans", "kept")}
         spans_of = []
-        for text, some in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        columns = (batch.column(name).to_pylist() for name in ("text", "usable", "copy", "spans"))
+        for text, usable, copy, some in zip(*columns, strict=True):
             data = text.encode() if text else b""
+            some = [[0, len(data)]] if copy else some if usable else []
             flat = [x for own in some or [] for x in own]
             spans = merged(np.array(flat, np.int64).reshape(-1, 2)).tolist()
             at, kept = 0, []
@@ -406,38 +436,52 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     texts; other columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), "text")
-    usable = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= options.length)).select("doc", "text")
-    mark = "doc long, mark long"
-    blocks = usable.mapInArrow(lambda b: _anchor_blocks(b, options), "bucket int, asked binary, known binary")
-    places = (
-        blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_places, f"{mark}, places array<int>")
+    # A key without nulls: else Spark filters one side of the two joins and deals the texts twice.
+    rows = docs.select(
+        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text",
+        F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(1), "text").alias("check"),
+    )
+    usable = F.col("doc_id").isNotNull() & F.coalesce(F.octet_length("text") >= options.length, F.lit(False))
+    # Of equal texts the smallest document speaks; the others lose all their bytes.
+    names = rows.where(usable).select("doc", "mark", "check")
+    same = names.groupBy("mark", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    same = stored(same.where("first <> last").select("mark", "check", "first"))
+    # Only where texts share a doc_id does a mark tell them apart.
+    twice = names.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    twice = stored(twice.where("low <> high").select("doc", F.lit(True).alias("twice")))
+    flagged = rows.join(broadcast_if_small(same), ["mark", "check"], "left").join(broadcast_if_small(twice), "doc", "left")
+    flagged = flagged.select(
+        "doc_id", "doc", F.when(F.col("twice"), F.col("mark")).otherwise(F.lit(0).cast("long")).alias("mark"), "text",
+        (usable & F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).alias("copy"), usable.alias("usable"),
+    )
+    blocks = flagged.where("usable and not copy").select("doc", "text").mapInArrow(
+        lambda b: _anchor_blocks(b, options), "bucket int, asked binary, known binary"
+    )
+    places = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _shared_places, "doc long, places array<int>"
     )
-    places = places.groupBy("doc", "mark").agg(F.collect_list("places").alias("places"))
-    pieces = _marked(usable).join(places, ["doc", "mark"]).mapInArrow(
-        lambda b: _pieces(b, options), "bucket int, anchor long, piece binary, left int, where binary"
+    places = places.groupBy("doc").agg(F.collect_list("places").alias("places"))
+    # Dealt once for both joins: each reads all columns, so that Spark sees one exchange.
+    texts = flagged.repartition("doc")
+    pieces = texts.join(places, "doc").select(*texts.columns, "places").mapInArrow(
+        lambda b: _pieces(b, options), "anchor long, piece binary, left int, own binary"
     )
     spans = (
-        pieces.repartition("bucket", "anchor")
-        .sortWithinPartitions("bucket", "anchor")
-        .mapInArrow(lambda b: _spans(b, options), f"{mark}, spans array<long>")
+        pieces.repartition("anchor")
+        .sortWithinPartitions("anchor")
+        .mapInArrow(lambda b: _spans(b, options), "doc long, mark long, spans array<long>")
+    )
+    spans = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans")).select(
+        "doc", F.struct("mark", "spans").alias("of_mark")
+    )
+    # Few texts share a doc_id: their spans are gathered per doc_id and told apart by the mark.
+    spans = spans.groupBy("doc").agg(F.collect_list("of_mark").alias("marked"))
+    own = F.filter("marked", lambda x: x["mark"] == F.col("mark"))
+    marked = texts.join(spans, "doc", "left").select(
+        *texts.columns, F.flatten(F.transform(own, lambda x: x["spans"])).alias("spans")
     )
-    spans = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
-    marked = _marked(rows).join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
     return marked.mapInArrow(
         _kept,
         f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:long,end:long>>, kept binary",
     )
-
-
-def _marked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``mark``, the hash that ``_mark`` gives their texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [_mark(t.encode()) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "mark"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, mark long")

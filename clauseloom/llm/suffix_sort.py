@@ -25,10 +25,25 @@ def suffix_array(symbols: list[int]) -> list[int]:
     end = n
     while end > 0:
         start = group[order[end - 1]]
-        if end - start == 1:
-            _process_one(order[start], start, order, place, group, size, previous)
-        else:
+        if end - start > 1:
             _process_many(sorted(order[start:end]), start, order, place, group, size, previous)
+        else:
+            suffix = order[start]
+            at = suffix - 1
+            while at >= 0 and group[at] >= start:
+                at = previous[at]
+            previous[suffix] = at
+            if at >= 0:
+                old = group[at]
+                last = size[old] - 1
+                if last:  # the pointed suffix moves to the end of its group and leaves it
+                    size[old] = last
+                    last += old
+                    size[last] = 1
+                    group[at] = last
+                    here, other = place[at], order[last]
+                    order[here], place[other] = other, here
+                    order[last], place[at] = at, last
         end = start
     return _emit(n, group, previous)[1:]
 
@@ -49,35 +64,42 @@ def _by_symbol(text: list[int]) -> tuple[list[int], list[int], list[int]]:
     return order, group, size
 
 
-def _process_one(suffix, start, order, place, group, size, previous) -> None:
-    at = suffix - 1
-    while at >= 0 and group[at] >= start:
-        at = previous[at]
-    previous[suffix] = at
-    if at >= 0 and size[group[at]] > 1:
-        _split([at], order, place, group, size)
-
-
 def _process_many(suffixes, start, order, place, group, size, previous) -> None:
     """Set the pointers of one group and split off the suffixes they point at, the most pointed at first."""
-    count: dict[int, int] = {}
+    pointed: list[int] = []
     for suffix in suffixes:
         at = suffix - 1
         while at >= 0 and group[at] >= start:
             at = previous[at]
         previous[suffix] = at
         if at >= 0:
-            count[at] = count.get(at, 0) + 1
-    by_count: dict[int, dict[int, list[int]]] = {}
+            pointed.append(at)
+    if len(set(pointed)) == len(pointed):
+        _split_all(pointed, order, place, group, size)
+        return
+    count: dict[int, int] = {}
+    for at in pointed:
+        count[at] = count.get(at, 0) + 1
+    by_count: dict[int, list[int]] = {}
     for at, times in count.items():
-        by_count.setdefault(times, {}).setdefault(group[at], []).append(at)
+        by_count.setdefault(times, []).append(at)
     for times in sorted(by_count, reverse=True):
-        for members in by_count[times].values():
-            if size[group[members[0]]] > len(members):
-                _split(members, order, place, group, size)
+        _split_all(by_count[times], order, place, group, size)
+
+
+def _split_all(pointed, order, place, group, size) -> None:
+    """Split equally pointed suffixes off their groups; a group that is pointed at as a whole stays."""
+    members: dict[int, list[int]] = {}
+    for at in pointed:
+        old = group[at]
+        if size[old] > 1:
+            if old in members:
+                members[old].append(at)
             else:
-                # The whole rest of the group is pointed at equally often and stays as it is.
-                continue
+                members[old] = [at]
+    for old, own in members.items():
+        if size[old] > len(own):
+            _split(own, order, place, group, size)
 
 
 def _split(members, order, place, group, size) -> None:
