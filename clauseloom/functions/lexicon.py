@@ -140,3 +140,8 @@ NEGATION_UNAVAILABLE = "Negation analysis unavailable"
 NEGATION_COUNTS = "Different negation counts: candidate=%d, template=%d"
 NEGATION_NONE = "No negations in either text"
 NEGATION_SCOPE = "Negation scope similarity: %.2f"
+EXACT_MATCH = "Exact structural match with template"
+NO_CONTENT = "No preprocessed content"
+UNKNOWN_STATE = "Unknown state for collection"
+SEMANTIC_SCORE = "Semantic similarity: "
+PARAPHRASE_SCORE = "Paraphrase similarity: "

@@ -206,8 +206,9 @@ def _negations(x: str, negators) -> str:
 
 
 NEGATION_CASE = """CASE
-  WHEN len(cn) <> len(tn) THEN 'Different negation counts: candidate=' || len(cn) || ', template='
-  WHEN len(cn) = 0 THEN 'No negations in either text' ELSE 'Negation scope similarity: ' END"""
+  WHEN len(cn) <> len(tn) THEN 'Different negation counts: candidate=' || len(cn) || ', template=' || len(tn)
+  WHEN len(cn) = 0 THEN 'No negations in either text' ELSE 'Negation scope similarity: ' || printf('%.2f', floor(100.0::DOUBLE
+    * len(list_intersect(list_distinct(cn), list_distinct(tn))) / len(list_distinct(list_concat(cn, tn))) + 0.5::DOUBLE) / 100) END"""
 NEGATION_KEPT = """(len(cn) = len(tn) AND (len(cn) = 0 OR
   len(list_intersect(list_distinct(cn), list_distinct(tn)))::DOUBLE / len(list_distinct(list_concat(cn, tn))) >= 0.5))"""
 
@@ -227,6 +228,7 @@ judged AS (
     CASE WHEN f = 0 AND b = 0 THEN 'Both-way entailment: meanings aligned'
       WHEN f = 2 OR b = 2 THEN 'Contradiction detected'
       WHEN f = 1 AND b = 1 AND paraphrase_similarity >= 0.12 THEN 'Neutral NLI but high paraphrase similarity: '
+        || printf('%.3f', floor(paraphrase_similarity * 1000 + 0.5::DOUBLE) / 1000)
       ELSE 'One-way or neutral entailment (pred1=' || f || ', pred2=' || b || ')' END AS nli,
     (f = 0 AND b = 0) OR (f = 1 AND b = 1 AND paraphrase_similarity >= 0.12) AS passed
   FROM staged)

@@ -105,8 +105,8 @@ class Pipeline:
         template_rows = load(templates, "template_id")
         clause_rows = load(contracts, "clause_id").withColumn("contract", F.col("source_file"))
         exact = cascade.exact_match(clause_rows, template_rows)
-        scored = cascade.score_against_templates(exact, template_rows, self.metric)
-        result = cascade.classify(scored, self.thresholds)
+        scored = cascade.score_against_templates(exact, template_rows, self.metric, with_text=False)
+        result = cascade.classify(scored, self.thresholds, templates=template_rows)
         self.store("classified", result.drop("embedding", "paraphrase_embedding"))
 
     def summarise(self) -> None:

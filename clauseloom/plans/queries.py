@@ -528,18 +528,17 @@ def negation_jaccard(spark, folder):
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("template_text"))
     paired = classify.add_following_word_negations(turns.join(before, ["conv_id", "turn"]), tables.TABLE_NEGATORS)
     verdict = classify.negation_verdict(F.col("candidate_negations"), F.col("template_negations"))
-    return paired.select("conv_id", "turn", F.inline(F.array(verdict))).select(
-        "conv_id", "turn", "maintains", F.regexp_replace("reason", r"[0-9.]+$", "").alias("reason")
-    )
+    return paired.select("conv_id", "turn", F.inline(F.array(verdict)))
 
 
 def classify_cascade(spark, folder):
     templates, candidates = tables.templates_and_candidates(tables.clauses(spark, folder))
     exact = classify.exact_match(candidates, templates)
-    scored = classify.score_against_templates(exact, templates, "cosine")
+    scored = classify.score_against_templates(exact, templates, "cosine", with_text=False)
     found = classify.classify(
         scored,
         TABLE_THRESHOLDS,
+        templates=templates,
         negation=partial(classify.add_following_word_negations, negators=("el", "eau", "ment")),
         rules=(*RULE_PATTERNS, ("exceptions", r"\bzu\b"), ("reanchoring", r"\bnum\b")),
     )
@@ -549,8 +548,8 @@ def classify_cascade(spark, folder):
         "classification_step",
         _six("semantic_similarity"),
         _six("paraphrase_similarity"),
-        F.regexp_replace("nli_reasoning", r"[0-9.]+$", "").alias("nli_reasoning"),
-        F.regexp_replace("negation_reasoning", r"[0-9.]+$", "").alias("negation_reasoning"),
+        "nli_reasoning",
+        "negation_reasoning",
         F.array_join("rule_flags", "; ").alias("rule_flags"),
     )
 

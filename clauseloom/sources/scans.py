@@ -132,16 +132,14 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 PageParser = Callable[[str, bytes], Iterable[tuple[int, list[str], bool]]]
 
 
-def parse_documents(spark: SparkSession, path: str, parser: PageParser, max_bytes: int | None = None) -> DataFrame:
+def parse_documents(spark: SparkSession, path: str, parser: PageParser) -> DataFrame:
     """(source_file, page_number, value) from binary documents.
 
     ``parser(name, content)`` yields (page number, text blocks, came from OCR)
-    and runs inside the tasks, one document at a time.  Files above ``max_bytes``
-    are left to the batched path.
+    and runs inside the tasks, one document at a time.  Large files that were cut
+    into batches of pages come back together by ``chunking.recombine_batches``.
     """
     files = spark.read.format("binaryFile").load(path)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
 
     def parse(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -43,23 +43,30 @@ HISTORY_SCHEMA = "session_id string, seq long, role string, content string"
 _STATE_SCHEMA = "seq array<long>, role array<string>, content array<string>"
 
 
-def session_histories(messages: DataFrame, keep: int = HISTORY_LENGTH) -> DataFrame:
+def session_histories(messages: DataFrame, keep: int = HISTORY_LENGTH, idle_ms: int | None = None) -> DataFrame:
     """The last ``keep`` messages of every session touched by a micro-batch.
 
     The state of a session is bounded by ``keep`` messages, and each Arrow batch
-    is cut to ``keep`` before the next one is read.
+    is cut to ``keep`` before the next one is read.  With ``idle_ms`` a session without
+    messages for so long is dropped; such a query runs batches without data, too.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         columns = ["seq", "role", "content"]
         kept = pd.DataFrame(columns=columns)
         if state.exists:
             kept = pd.DataFrame(dict(zip(columns, state.get)))
         for frame in frames:
             kept = pd.concat([part for part in (kept, frame[columns]) if len(part)]).sort_values("seq").tail(keep)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         state.update((kept["seq"].astype(int).tolist(), kept["role"].tolist(), kept["content"].tolist()))
         yield kept.assign(session_id=key[0])[["session_id", *columns]]
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return messages.groupBy("session_id").applyInPandasWithState(
-        update, HISTORY_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+        update, HISTORY_SCHEMA, _STATE_SCHEMA, "update", timeout
     )
