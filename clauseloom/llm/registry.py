@@ -57,4 +57,39 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {name: run for name, run in globals().items() if name.startswith("op")}
-ORACLES = {"op9_url_reputation": url_reputation.oracle_sql()}
+_REACHED = """reach AS (SELECT id AS x, id AS y FROM ids UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+lowest AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)"""
+
+_NEAR_DEDUP = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{url_reputation.UPPER}', '{url_reputation.LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4
+    THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+ids AS (SELECT doc_id AS id FROM documents),
+{_REACHED}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN lowest ON x = doc_id"""
+
+_EMBEDDING_DEDUP = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ids AS (SELECT vec_id AS id FROM embeddings),
+{_REACHED},
+counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) JOIN lowest ON lowest.x = vec_id"""
+
+ORACLES = {
+    "op2_near_dedup": _NEAR_DEDUP,
+    "op8_embedding_dedup": _EMBEDDING_DEDUP,
+    "op9_url_reputation": url_reputation.oracle_sql(),
+}
