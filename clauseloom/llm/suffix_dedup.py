@@ -30,13 +30,14 @@ from clauseloom.operators.sizing import broadcast_if_small
 @dataclass(frozen=True)
 class Options:
     """``length`` of a repeated string in bytes, ``gram`` of an anchor.  ``parts``: ranges of a string's
-    start before its anchor that are sorted apart.  ``sorted_bytes``: text of one suffix array.
+    start before its anchor that are sorted apart.  ``sorted_bytes``: text of one suffix array, about
+    (short ones stay in the processor's cache; the pieces of one anchor stay together).
     ``buckets``: shares of the anchors; each is held by one task at a time."""
 
     length: int = 50
     gram: int = 16
     parts: int = 4
-    sorted_bytes: int = 1 << 20
+    sorted_bytes: int = 1 << 14
     flush_bytes: int = 12 << 20
     buckets: int = 256
 
@@ -238,7 +239,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.
                 start = place - reach if place > reach else 0
                 held.setdefault((data[start : place + length], place - start), []).extend((doc, mark, place))
                 size += 1
-        if size > 150_000:
+        if size > 200_000:
             yield from flush()
     yield from flush()
 
@@ -368,7 +369,7 @@ def _spans(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.R
                 current, pieces = anchor, {}
                 if sorter.size > options.sorted_bytes or len(waiting) > 100_000:
                     settle()
-                    if len(found) > 20_000:
+                    if len(found) > 60_000:
                         yield flush()
             pieces.setdefault((piece, left), []).extend(array("q", own))
     if pieces:
