@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import slices, stored
+from clauseloom.llm import near_dedup
+from clauseloom.llm.common import discard, slices, stored
 
 LIMIT = 30.0  # of a feature; log odds beyond it tell nothing more
 CACHED_WORDS = 300_000  # entries a Python worker keeps
@@ -224,30 +224,21 @@ def _sample(docs: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     # At most about sample_rows narrow rows: the bound of the broadcast side.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), (fold == 4).alias("tuning"))
-    keys = stored(texts.mapInArrow(_likeness, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, keys array<long>"))
-    for i in range(LIKENESS_KEYS):
-        keys = keys.groupBy(F.col("keys")[i]).agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))
-    # Of copies and near copies one speaks; their words would pass for evidence otherwise.
-    return stored(texts.join(F.broadcast(keys.select("doc_id").distinct()), "doc_id").drop("doc_id"))
-
-
-LIKENESS_KEYS = 6
-
-
-def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest hashes of a text's word triples under different multipliers; alike texts share most."""
-    odd = np.arange(1, LIKENESS_KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
-    for batch in slices(batches, "text", 4 << 20):
-        rows = []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text or "") or [""]
-            runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-            hashes = np.fromiter((zlib.crc32(r.encode()) for r in runs), np.uint64, len(runs))
-            rows.append([int(((hashes * m) >> np.uint64(32)).min()) for m in odd])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "keys"]
+    # Texts that share a doc_id are told apart: only what they say makes them copies.
+    texts = stored(
+        texts.select(
+            "doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), (fold == 4).alias("tuning"),
+            F.xxhash64("doc_id", "text").alias("row"),
         )
+    )
+    # Of near copies with one label one speaks; their words would pass for evidence otherwise.
+    alike = near_dedup.near_duplicates(texts.select("row", "text").dropDuplicates(["row"]), key="row")
+    groups = texts.select("row", "doc_id", "toxic").join(alike.select("row", "component_id"), "row")
+    speakers = groups.groupBy("component_id", "toxic").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row"))
+    speakers = F.broadcast(speakers.select("row", "toxic"))
+    sample = stored(texts.join(speakers, ["row", "toxic"]).dropDuplicates(["row", "toxic"]).drop("doc_id", "row"))
+    discard(texts)
+    return sample
 
 
 def _terms(options: Options):

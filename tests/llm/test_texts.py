@@ -212,6 +212,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.without_toxic(docs, model).count() == 902 - sum(r["predicted"] for r in got.values())
 
 
+def test_toxicity_sample_drops_only_near_copies(spark):
+    """Texts of similarity 0.5 and copies with another label all count; of real copies one does."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(words, k=60)
+    texts = [" ".join(passage + rng.choices(words, k=30)) for _ in range(60)]
+    # The copy of a text that was labelled clean is toxic; the last five say the same.
+    own = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = list(zip(own, texts, [i % 2 for i in range(60)], strict=False))
+    rows += [(own[60], texts[0], 1), *((own[61 + i], "one two three four five six seven", 0) for i in range(5))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = sorted((r["text"], r["toxic"]) for r in toxicity._sample(docs, labels, toxicity.Options()).collect())
+    assert got == sorted({r[1:] for r in rows}) and len(got) == 62
+
+
 def test_toxicity_of_awkward_rows(spark):
     labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(awkward(spark), labels)
