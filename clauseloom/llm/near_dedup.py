@@ -35,7 +35,7 @@ class Options:
 
     With the defaults a pair at the threshold shares no band with a chance of 5e-8.
     ``miss``: chance at which a pair is dropped after ``step`` more hashes.  ``block``: members
-    of a bucket that are compared at a time.
+    of a bucket in one block (about); a task compares two blocks at a time.
     """
 
     words: int = 5
@@ -219,35 +219,57 @@ def linked(pairs: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
     return found
 
 
+def _candidates(table: pa.Table, sig: np.ndarray, component: np.ndarray, options: Options) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its partners in another component) of a block pair; one of each pair is minor.
+
+    A pair is looked at in the first band that it shares, in the one block pair where it meets.
+    Components that the caller joins meanwhile count.
+    """
+    bands = sig.reshape(len(sig), options.bands, options.rows)
+    node, minor, leader, side, band = (table.column(name).to_numpy() for name in ("node", "minor", "leader", "side", "band"))
+    apart = table.column("i")[0] != table.column("j")[0]
+    for x in np.flatnonzero((minor > 0) & (node != leader)):
+        other = (component != component[x]) & (node != leader) & ((minor == 0) | (node < node[x]))
+        if apart:
+            other &= side != side[x]
+        other = np.flatnonzero(other)
+        yield int(x), other[(bands[other] == bands[x]).all(axis=2).argmax(axis=1) == band[x]]
+
+
+def _plausible_members(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """The rows of each block pair whose signature stays plausible with some partner's, without the signatures."""
+    needed = needed_matches(options)
+    for table in runs(batches, ("bucket", "i", "j")):
+        sig = matrix(table.column("sig"), "<u4")
+        wanted = np.zeros(len(sig), bool)
+        for x, other in _candidates(table, sig, table.column("component").to_numpy(), options):
+            found = other[_agreeing(np.broadcast_to(sig[x], (len(other), sig.shape[1])), sig[other], needed) >= 0]
+            wanted[found] = True
+            wanted[x] |= len(found) > 0
+        yield from table.drop_columns(["sig"]).filter(pa.array(wanted)).to_batches()
+
+
 def _links_in(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
-    """Links between the components of each block, verified on full sets; only links leave the task.
+    """Links between the components of each block pair, verified on full sets; only links leave the task.
 
-    A pair is looked at in the first band that it shares, in the block where it is at home,
-    and no more once its components have been joined.
+    A pair is looked at no more once its components have been joined.
     """
     needed = needed_matches(options)
     shingles = Shingles(options.words)
-    for table in runs(batches, ("bucket", "block")):
+    for table in runs(batches, ("bucket", "i", "j")):
         sig = matrix(table.column("sig"), "<u4")
-        bands = sig.reshape(len(sig), options.bands, options.rows)
-        names = ("node", "component", "minor", "leader", "home", "band")
-        node, component, minor, leader, home, band = (table.column(name).to_numpy() for name in names)
-        component, texts = component.copy(), table.column("text")
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
+        texts = table.column("text")
         sets: dict[int, np.ndarray] = {}
         links: list[tuple[int, int]] = []
-        for i in np.flatnonzero((minor > 0) & (node != leader)):
-            # With two outsiders the smaller one has to be at home, else the other.
-            placed = np.where(minor > 0, np.where(node < node[i], home, home[i]), home) > 0
-            once = (minor == 0) | (node < node[i])
-            other = np.flatnonzero((component != component[i]) & (node != leader) & placed & once)
-            other = other[(bands[other] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]
+        for i, other in _candidates(table, sig, component, options):
             matches = _agreeing(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], needed)
             for j in other[np.argsort(-matches, kind="stable")][: int((matches >= 0).sum())].tolist():
                 if component[j] == component[i]:
                     continue
                 for k in (i, j):
                     if k not in sets:
-                        sets[k] = shingles.of(texts[int(k)].as_py())
+                        sets[k] = shingles.of(texts[k].as_py())
                 if alike(sets[i], sets[j], options.percent):
                     links.append((int(node[i]), int(node[j])))
                     component[component == component[j]] = component[i]
@@ -256,38 +278,55 @@ def _links_in(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _remaining(shared: DataFrame, component: DataFrame, signatures: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
-    """Stored links (a, b) in buckets that hold several components.
+def _block_pairs(shared: DataFrame, component: DataFrame, options: Options) -> DataFrame:
+    """Members of buckets with several components, dealt to pairs of blocks: of each pair of
+    components one is outside the bucket's largest.
 
-    Every pair of different components has a member outside its bucket's largest one.  Those
-    few are sent to every block of the bucket, the rest to one block each.
+    The members outside it and those inside have blocks of their own, of about ``block`` each.
+    Every block of the former meets every block, so a block pair holds about two blocks at most.
     """
     placed = shared.drop("size").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("members"))
     largest = counts.groupBy("bucket").agg(
         F.max_by("component", F.struct("members", "component")).alias("largest"),
-        F.sum("members").alias("size"), F.count("*").alias("parts"),
+        F.max("members").alias("inside"), F.sum("members").alias("size"), F.count("*").alias("parts"),
     ).where("parts > 1")
-    blocks = F.ceil(F.col("size") / options.block).cast("int")
-    own = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
     minor = F.col("component") != F.col("largest")
-    spread = stored(
+    deal = F.xxhash64("node", "bucket")
+    return (
         placed.join(largest, "bucket")
-        .withColumn("own", own)
+        .withColumn("outer", F.ceil((F.col("size") - F.col("inside")) / options.block).cast("int"))
+        .withColumn("inner", F.ceil(F.col("inside") / options.block).cast("int"))
         .withColumn("minor", minor.cast("int"))
-        .withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-        .withColumn("home", (F.col("own") == F.col("block")).cast("int"))
-        .select("bucket", "block", "band", "node", "component", "minor", "leader", "home")
-    )
+        .withColumn("own", F.when(minor, F.pmod(deal, "outer")).otherwise(F.col("outer") + F.pmod(deal, "inner")).cast("int"))
+        .withColumn("last", F.when(minor, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        .select(
+            "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") <= F.col("other")).cast("int").alias("side"), "band", "node", "component", "minor", "leader",
+        )
+    )
+
+
+def _remaining(shared: DataFrame, component: DataFrame, signatures: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
+    """Stored links (a, b) in buckets that hold several components.
+
+    Block pairs are screened on signatures alone; texts are fetched only for the members that
+    stay plausible with another.
+    """
+    dealt = _block_pairs(shared, component, options)
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+    screened = gathered(dealt.join(signatures, "node").select(*dealt.columns, "sig"))
+    spread = stored(screened.mapInArrow(lambda batches: _plausible_members(batches, options), dealt.schema))
     wanted = stored(spread.select("node").distinct())
     texts = docs.join(broadcast_if_small(wanted), "node", "left_semi").dropDuplicates(["node"])
     carried = stored(texts.join(signatures, "node"))
     with short_batches(docs.sparkSession):
         found = stored(
-            spread.join(carried, "node")
-            .repartition("bucket", "block")
-            .sortWithinPartitions("bucket", "block", "node")
-            .mapInArrow(lambda batches: _links_in(batches, options), "a long, b long")
+            gathered(spread.join(carried, "node")).mapInArrow(lambda batches: _links_in(batches, options), "a long, b long")
         )
     for table in (spread, wanted, carried):
         discard(table)

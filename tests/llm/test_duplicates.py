@@ -68,6 +68,30 @@ def test_near_duplicates_equal_brute_force(spark, block):
     assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (want[i] == i) for i in sets)
 
 
+def test_near_duplicates_gather_two_blocks_at_most(spark):
+    """No task gathers a bucket of many components, and each pair of them meets once."""
+    rows = [(n, 7, 3, 0, 60) for n in range(60)] + [(n, 8, 3, 100, 60) for n in range(100, 160)]
+    shared = spark.createDataFrame(rows, "node long, bucket long, band int, leader long, size long")
+    joined = spark.createDataFrame([(n, 0) for n in range(20)], "node long, component long")
+    options = near_dedup.Options(block=8)
+    dealt = near_dedup._block_pairs(shared, joined, options)
+    gathered = [r["count"] for r in dealt.groupBy("bucket", "i", "j").count().collect()]
+    assert gathered and max(gathered) <= 40 < 60
+    # Every pair of different components meets in one block pair, once.
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault((r["bucket"], r["i"], r["j"]), []).append(r)
+    met = {}
+    for (_, i, j), own in groups.items():
+        for a in own:
+            for b in own:
+                if a["node"] < b["node"] and a["component"] != b["component"] and (i == j or a["side"] != b["side"]):
+                    met[a["node"], b["node"]] = met.get((a["node"], b["node"]), 0) + 1
+    part = {n: 0 if n < 20 else n for n in (*range(60), *range(100, 160))}
+    want = {(a, b) for a in part for b in part if a < b and part[a] != part[b] and (a < 60) == (b < 60)}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = near_dedup.near_duplicates(awkward(spark)).collect()
     assert len(rows) == 7 and sum(r["kept"] for r in rows) == 7
