@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import embedding_dedup, mixing, near_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, url_reputation
+from clauseloom.llm import (
+    embedding_dedup,
+    mixing,
+    near_dedup,
+    neighbours,
+    packing,
+    periodic_runs,
+    prefix_trie,
+    quality,
+    secrets,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_reputation,
+)
 from clauseloom.llm.common import table
 
 
@@ -56,6 +70,23 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(table(spark, folder, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    turns = prefix_trie.with_borrowed_heads(prefix_trie.ordered_turns(conversations))
+    return prefix_trie.prefix_trie(turns, conversations.where("conv_id is not null").select("conv_id"))
+
+
 QUERIES = {name: run for name, run in globals().items() if name.startswith("op")}
 _REACHED = """reach AS (SELECT id AS x, id AS y FROM ids UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
 lowest AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)"""
@@ -92,4 +123,5 @@ ORACLES = {
     "op2_near_dedup": _NEAR_DEDUP,
     "op8_embedding_dedup": _EMBEDDING_DEDUP,
     "op9_url_reputation": url_reputation.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
 }
