@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import stored
 from clauseloom.llm.vectors import matrix, packed, runs
 
+DIGITS = 12  # of scores that are told apart
+
 
 @dataclass(frozen=True)
 class Options:
@@ -50,6 +52,11 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def ranked(scores: np.ndarray) -> np.ndarray:
+    """What scores are ordered by: multiples of one vector differ in the last bits only and are ties."""
+    return np.round(scores, DIGITS)
+
+
 class Index:
     """Sorted projections of one block of vectors."""
 
@@ -95,8 +102,9 @@ class Index:
                 if len(fresh):
                     open_[fresh] = False
                     ids = np.concatenate([best_ids, self.ids[fresh]])
-                    scores = np.concatenate([best, self.unit[fresh] @ units[q]])
-                    order = np.lexsort((ids, -scores))[: options.k]
+                    # Row by row in one order of sums: equal vectors score alike wherever they lie.
+                    scores = np.concatenate([best, (self.unit[fresh] * units[q]).sum(axis=1)])
+                    order = np.lexsort((ids, -ranked(scores)))[: options.k]
                     best_ids, best = ids[order], scores[order]
                 if len(best) == options.k and math.sqrt(max(0.0, 2 - 2 * best[-1])) <= radius:
                     break
@@ -122,8 +130,13 @@ def _search(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.
             rows[1] += ids.tolist()
             rows[2] += scores.tolist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())],
-            names=["query_id", "vec_id", "score"],
+            [
+                pa.array(rows[0], pa.int64()),
+                pa.array(rows[1], pa.int64()),
+                pa.array(rows[2], pa.float64()),
+                pa.array(ranked(np.array(rows[2], dtype=float))),
+            ],
+            names=["query_id", "vec_id", "score", "ordered"],
         )
 
 
@@ -138,7 +151,7 @@ def nearest(
     equal length are compared.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null
-    key, take no part.  Ties go to the smaller key; a key that comes more than once counts as
+    key, take no part.  Ties (scores equal to twelve digits) go to the smaller key; a key that comes more than once counts as
     often.  Other columns are ignored; without queries or candidates there are no rows.
     """
     rows = vectors.select(
@@ -155,9 +168,9 @@ def nearest(
     )
     met = data.unionByName(wanted).repartition("dim", "data_block", "query_block")
     found = met.sortWithinPartitions("dim", "data_block", "query_block").mapInArrow(
-        lambda batches: _search(batches, options), "query_id long, vec_id long, score double"
+        lambda batches: _search(batches, options), "query_id long, vec_id long, score double, ordered double"
     )
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranks = Window.partitionBy("query_id").orderBy(F.desc("ordered"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= options.k).select(
         "query_id", "rank", "vec_id", "score"
     )

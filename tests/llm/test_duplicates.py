@@ -238,6 +238,20 @@ def test_neighbours_recall(spark, block):
     assert hits / total >= 0.97
 
 
+def test_neighbours_order_ties_by_id(spark):
+    """Copies and multiples of one vector are ties, whatever the blocks and the order of the rows."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=64)
+    rows = [(i, (base * (1.0 if i % 2 else rng.uniform(0.1, 9))).tolist(), 0) for i in range(1, 60)]
+    rows += [(100 + i, rng.normal(size=64).tolist(), 0) for i in range(60)]
+    for block in (7, 40, 32_768):
+        rng.shuffle(rows)
+        got = neighbours.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, neighbours.Options(block=block)).collect()
+        for q in (20, 40):
+            own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+            assert own == [(i, i) for i in range(1, 6)], (block, q, own)
+
+
 def test_neighbours_of_odd_tables(spark):
     assert neighbours.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     few = vectors(spark, [(20, [1.0, 0.0], 0), (1, [0.0, -1.0], 0), (2, [0.0, 2.0], 0), (3, [-1.0, 0.0], 0), *ODD[:4]])
