@@ -10,6 +10,7 @@ the run of tail characters behind it ends the match.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +44,7 @@ class Rule:
     ignore_case: bool = False
     most: int = 1 << 30
     base: bool = False
+    armoured: bool = False  # the match goes on to the line that ends the armour
 
 
 # The three base rules, then rules for well-known public token formats.
@@ -58,7 +60,7 @@ RULES = (
     Rule("slack", "xox(a|b|p|r|s)-[A-Za-z0-9-]", "A-Za-z0-9-", 1, 20),
     Rule("google", "AIza[A-Za-z0-9_-]", "A-Za-z0-9_-", 1, 35, most=35),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]", "A-Za-z0-9_.-", 1, 16),
-    Rule("private", "-----BEGIN\\x20([A-Z]+\\x20)*PRIVATE\\x20KEY-----", "", 0, 0),
+    Rule("private", "-----BEGIN\\x20([A-Z]+\\x20)*PRIVATE\\x20KEY-----", "", 0, 0, armoured=True),
 )
 
 
@@ -247,6 +249,19 @@ def minimised(following: np.ndarray, accepts: np.ndarray) -> Automaton:
     return Automaton(rank[block[following[picked]]].astype(np.int32), accepts[picked].astype(np.int64))
 
 
+_BODY = re.compile(rb"(?:\s*[A-Za-z0-9+/=]{16,})*")
+
+
+def armour_end(data: bytes, at: int, last: int) -> int:
+    """End of a key whose opening line ends at ``at``: behind its closing line or, where that is missing, its body."""
+    dashes = data.find(b"-----", at, last)  # a body has none, so each stretch is searched once
+    if dashes >= 0 and data.startswith(b"-----END ", dashes):
+        close = data.find(b"-----", dashes + 9, min(last, dashes + 128))
+        if close >= 0:
+            return close + 5
+    return _BODY.match(data, at, last).end()
+
+
 class Scanner:
     """The compiled rules; finds spans in texts."""
 
@@ -329,6 +344,8 @@ class Scanner:
                 end = place + 1
                 while end < last and end - run < rule.most and data[end] in tail:
                     end += 1
+                if rule.armoured:
+                    end = armour_end(data, end, last)
                 free = end
                 if end - run >= rule.least:
                     found.append((start, end, number))

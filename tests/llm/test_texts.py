@@ -75,6 +75,22 @@ def test_added_rules_and_redaction():
     assert secrets.redacted(text, spans) == "x [github] y [private] token: short z [assign]"
 
 
+def test_private_keys_go_whole():
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "xYz09+/" * 6 for _ in range(3))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    scanner = secrets.Scanner()
+    for text, kept in (
+        (f"a {begin}\n{body}\n{end} b", "a [private] b"),
+        (f"a {begin}\n{body}\n and words go on", "a [private]\n and words go on"),  # no closing line
+        (f"{begin}\n{body}\n{begin}\n{body}\n{end}é", "[private]\n[private]é"),
+        (f"{begin} and nothing", "[private] and nothing"),
+    ):
+        (spans,) = scanner.scan([text])
+        assert secrets.redacted(text, spans) == kept
+    many = scanner.scan([f"{begin} " * 20_000])[0]
+    assert len(many) == 20_000
+
+
 def test_minimised_automaton_is_small_and_right():
     tree = secrets.parse("(ab|cb)+")
     automaton = secrets.compiled([tree], anywhere=False)
