@@ -15,13 +15,25 @@ from clauseloom.functions.lexicon import ATTRIBUTE_CAPS
 from clauseloom.functions.text import preview
 from clauseloom.functions.vectors import similarity
 from clauseloom.operators.ordered import group_rank, merge_top_k, top_k
-from clauseloom.operators.scoring import Contenders, ScoredBlock, pairs, place_counts, scored_blocks, task_best
+from clauseloom.operators.scoring import (
+    BLOCK_ROWS,
+    Contenders,
+    ScoredBlock,
+    Scorer,
+    pairs,
+    place_counts,
+    scored_blocks,
+    source_best,
+    task_best,
+)
 from clauseloom.operators.sizing import BROADCAST_ROWS, fits
 from clauseloom.session import cut_lineage
 
 RRF_K = 20
 GLOBAL_TOP_K = 20
 SOURCE_TOP_K = 15
+FUSED_DIGITS = 12  # of fused scores that are told apart
+CANDIDATES = 1_000_000  # rows whose exact ranks are counted together
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -30,7 +42,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _single_ranking(attributes: DataFrame, chunks: DataFrame, ranking: str, score: str, k: int, metric: str) -> DataFrame:
     blocks = scored_blocks(attributes, chunks, metric, lexical=ranking == "bm25")
-    best = _union([task_best(chunks, block.scorer, k, (ranking,)) for block in blocks])
+    best = _union([task_best(block.rows, block.scorer, k, (ranking,)) for block in blocks])
     order = [F.desc(score), F.asc("doc_idx")]
     return merge_top_k(best, ["attribute_number"], order, k).select("attribute_number", "doc_idx", score, "rank")
 
@@ -54,19 +66,18 @@ def _fused(df: DataFrame, rrf_k: int) -> DataFrame:
 
 
 def fused_order() -> list[Column]:
-    return [F.round("rrf_score", 12).desc(), F.col("doc_idx").asc()]
+    return [F.round("rrf_score", FUSED_DIGITS).desc(), F.col("doc_idx").asc()]
 
 
 def rrf_scores(attributes: DataFrame, chunks: DataFrame, rrf_k: int = RRF_K, metric: str = "l2sq") -> DataFrame:
     """Both ranks and the fused score of every (attribute, chunk) pair.
 
-    Needed where the depth of the answer is not bounded, as in the per-source
-    selection.  The narrow pair rows are stored, so that every text is
-    scored once, and pass two range shuffles, one per ranking;
+    Needed where the depth of the answer is not bounded.  The narrow pair rows are stored, so that
+    every text is scored once, and pass two range shuffles, one per ranking;
     no attribute's list is gathered in one task.  A chunk without a vector gets
     the rank behind the last dense one and similarity 0.0.
     """
-    scored = cut_lineage(_union([pairs(chunks, block.scorer) for block in scored_blocks(attributes, chunks, metric)]))
+    scored = cut_lineage(_union([pairs(block.rows, block.scorer) for block in scored_blocks(attributes, chunks, metric)]))
     by_dense = group_rank(
         scored, ["attribute_number"], [F.col("dense_similarity").desc_nulls_last(), F.col("doc_idx").asc()], "dense_rank"
     )
@@ -100,72 +111,161 @@ def rrf_top_k(
     depth = rrf_k + 2 * k
     results = []
     for block in scored_blocks(attributes, chunks, metric):
-        heads = task_best(chunks, block.scorer, depth)
-        score = F.when(F.col("ranking") == "dense", F.col("dense_similarity")).otherwise(F.col("bm25_score"))
-        heads = merge_top_k(
-            heads.withColumn("_score", score), ["ranking", "attribute_number"], [F.desc("_score"), F.asc("doc_idx")], depth
-        )
+        heads = task_best(block.rows, block.scorer, depth)
+        heads = merge_top_k(_with_score(heads), ["ranking", "attribute_number"], [F.desc("_score"), F.asc("doc_idx")], depth)
         # At most 2 * depth rows per attribute of the block.
         rows = heads.select("attribute_number", "doc_idx", "dense_similarity", "bm25_score").toArrow().to_pandas()
         rows = rows.drop_duplicates(["attribute_number", "doc_idx"], ignore_index=True)
-        results.append(_ranked_candidates(chunks, block, rows))
+        results.append(_candidates(chunks, _with_ranks(block, block.scorer, rows)))
     return top_k(_fused(_union(results), rrf_k), ["attribute_number"], fused_order(), k)
 
 
-def _ranked_candidates(chunks: DataFrame, block: ScoredBlock, rows: pd.DataFrame) -> DataFrame:
-    """Exact ranks of candidate rows, counted over all chunks."""
+def _with_score(heads: DataFrame) -> DataFrame:
+    score = F.when(F.col("ranking") == "dense", F.col("dense_similarity")).otherwise(F.col("bm25_score"))
+    return heads.withColumn("_score", score)
+
+
+def _with_ranks(block: ScoredBlock, scorer: Scorer, rows: pd.DataFrame) -> pd.DataFrame:
+    """Candidate rows with ``dense_rank``, ``bm25_rank`` and ``behind``, counted over all chunks.
+
+    ``behind`` is the dense rank of a chunk without a vector.
+    """
     contenders: dict[tuple[str, int], Contenders] = {}
-    places = {ranking: pd.array([None] * len(rows), dtype="Int64") for ranking in ("dense", "bm25")}
-    for number, found in rows.groupby("attribute_number"):
+    order: dict[tuple[str, int], np.ndarray] = {}
+    for number, places in rows.groupby("attribute_number").indices.items():
         for ranking, field in (("dense", "dense_similarity"), ("bm25", "bm25_score")):
-            usable = found[found[field].notna()]
-            if usable.empty:
-                continue
-            ids, score = usable["doc_idx"].to_numpy(), usable[field].to_numpy()
-            order = np.lexsort((ids, -score))
-            contenders[ranking, int(number)] = Contenders(score[order], ids[order])
-            places[ranking][usable.index.to_numpy()[order]] = np.arange(len(order))
-
-    counts = place_counts(chunks, block.scorer, contenders)
-    placed = rows.assign(dense_place=places["dense"], bm25_place=places["bm25"])
-    columns = pa.schema(
-        [("attribute_number", pa.int64()), ("doc_idx", pa.int64()), ("dense_similarity", pa.float64()),
-         ("bm25_score", pa.float64()), ("dense_place", pa.int64()), ("bm25_place", pa.int64())]
-    )
-    candidates = chunks.sparkSession.createDataFrame(pa.Table.from_pandas(placed, columns, preserve_index=False))
-    # One row per attribute: at most 2 * depth + 1 counters per ranking.
-    histogram = counts.groupBy("attribute_number").agg(
-        *[
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("ranking") == ranking, F.struct("place", "chunks")))
-            ).alias(ranking)
-            for ranking in ("dense", "bm25")
-        ],
-        F.coalesce(F.sum(F.when(F.col("ranking") == "total", F.col("chunks"))), F.lit(0)).alias("dense_total"),
+            score = rows[field].to_numpy(dtype=float)[places]
+            usable = places[~np.isnan(score)]
+            if len(usable):
+                ids, score = rows["doc_idx"].to_numpy()[usable], rows[field].to_numpy(dtype=float)[usable]
+                best = np.lexsort((ids, -score))
+                contenders[ranking, int(number)] = Contenders(score[best], ids[best])
+                order[ranking, int(number)] = usable[best]
+
+    # At most one count for each candidate and two more for each attribute.
+    counts = place_counts(block.rows, scorer, contenders).toArrow().to_pandas()
+    ranks = {"dense": np.full(len(rows), -1, dtype=np.int64), "bm25": np.full(len(rows), -1, dtype=np.int64)}
+    totals: dict[int, int] = {}
+    for (ranking, number), found in counts.groupby(["ranking", "attribute_number"]):
+        if ranking == "total":
+            totals[int(number)] = int(found["chunks"].sum())
+            continue
+        own = order[ranking, int(number)]
+        ahead = np.zeros(len(own) + 1, dtype=np.int64)
+        ahead[found["place"].to_numpy()] = found["chunks"].to_numpy()
+        # A chunk at place p is behind p candidates, so those at places up to one's own are ahead of it.
+        ranks[ranking][own] = np.cumsum(ahead)[: len(own)] + 1
+    behind = rows["attribute_number"].map(lambda number: (totals.get(int(number)) or block.stats.documents) + 1)
+    behind = behind.to_numpy(dtype=np.int64)
+    return rows.assign(
+        behind=behind, dense_rank=np.where(ranks["dense"] < 0, behind, ranks["dense"]), bm25_rank=ranks["bm25"]
     )
 
-    def better(ranking: str) -> Column:
-        ahead = F.map_values(F.map_filter(ranking, lambda place, _: place <= F.col(f"{ranking}_place")))
-        return F.aggregate(ahead, F.lit(0).cast("long"), lambda total, value: total + value)
 
-    behind = F.when(F.col("dense_total") > 0, F.col("dense_total")).otherwise(block.stats.documents) + 1
-    return (
-        candidates.join(F.broadcast(histogram), "attribute_number")
-        .withColumn("dense_rank", F.when(F.col("dense_place").isNull(), behind).otherwise(better("dense") + 1))
-        .withColumn("bm25_rank", better("bm25") + 1)
-        .withColumn("dense_similarity", F.coalesce("dense_similarity", F.lit(0.0)))
-        .select("attribute_number", "doc_idx", "dense_similarity", "bm25_score", "dense_rank", "bm25_rank")
-    )
+CANDIDATE_COLUMNS = pa.schema(
+    [("attribute_number", pa.int64()), ("doc_idx", pa.int64()), ("dense_similarity", pa.float64()),
+     ("bm25_score", pa.float64()), ("dense_rank", pa.int64()), ("bm25_rank", pa.int64())]
+)
+
+
+def _candidates(chunks: DataFrame, rows: pd.DataFrame, extra: tuple[pa.Field, ...] = ()) -> DataFrame:
+    rows = rows.assign(dense_similarity=rows["dense_similarity"].fillna(0.0))
+    schema = pa.schema([*CANDIDATE_COLUMNS, *extra])
+    return chunks.sparkSession.createDataFrame(pa.Table.from_pandas(rows[schema.names], schema, preserve_index=False))
 
 
 def rrf_per_source(
-    attributes: DataFrame, chunks: DataFrame, k: int = SOURCE_TOP_K, rrf_k: int = RRF_K, metric: str = "l2sq"
+    attributes: DataFrame, chunks: DataFrame, k: int = SOURCE_TOP_K, rrf_k: int = RRF_K, metric: str = "l2sq",
+    limit: int = CANDIDATES,
 ) -> DataFrame:
-    """The ``k`` best fused chunks of each attribute in each source file."""
-    fused = rrf_scores(attributes, chunks, rrf_k, metric)
+    """The ``k`` best fused chunks of each attribute in each source file, by a threshold algorithm.
+
+    Ranks are those among all chunks.  Of every cell (attribute, source) the tasks hand on the
+    heads of both rankings, bounded in depth.  One pass counts the exact ranks of their rows.  A
+    chunk of the cell in neither head ranks behind the last row of both, which bounds its fused
+    score; where the k-th best row beats that bound, the cell is done.  Cells that are not are
+    asked again, alone and four times as deep.
+
+    ``limit`` bounds the candidates that are counted together: the dictionary is cut into blocks
+    by it.  Where even the cells of one attribute pass it (sources with few chunks each, whose
+    heads would be all pairs), and for cells still open at that depth, all pairs of the
+    attributes concerned are ranked (``rrf_scores``), with the same result.
+    """
+    sources = chunks.select("source_file").distinct().count()
+    depth = rrf_k + 2 * k
+    block_rows = limit // max(2 * depth * sources, 1)
+    if not block_rows:
+        return _ranked_in_source(rrf_scores(attributes, chunks, rrf_k, metric), k)
+    results, open_attributes = [], set()
+    for block in scored_blocks(attributes, chunks, metric, block_rows=min(block_rows, BLOCK_ROWS)):
+        rows, left = _source_heads(block, k, rrf_k, depth, limit)
+        open_attributes |= left
+        results.append(_candidates(chunks, rows[~rows["attribute_number"].isin(left)], (pa.field("source_file", pa.string()),)))
+    found = _fused(_union(results), rrf_k)
+    if open_attributes:
+        # Their numbers are bounded by the dictionary's blocks.
+        numbers = attributes.sparkSession.createDataFrame([(n,) for n in sorted(open_attributes)], "attribute_number long")
+        again = attributes.join(F.broadcast(numbers), "attribute_number", "left_semi")
+        full = rrf_scores(again, chunks, rrf_k, metric)
+        found = found.unionByName(full.select(found.columns))
+    return _ranked_in_source(found, k)
+
+
+def _ranked_in_source(fused: DataFrame, k: int) -> DataFrame:
     return top_k(fused, ["attribute_number", "source_file"], fused_order(), k, "rank_in_source")
 
 
+def _source_heads(block: ScoredBlock, k: int, rrf_k: int, depth: int, limit: int) -> tuple[pd.DataFrame, set[int]]:
+    """Candidates that hold the ``k`` best of every cell, and the attributes for which that stays unsure."""
+    scorer, cells, finished = block.scorer, None, []
+    while True:
+        heads = merge_top_k(
+            _with_score(source_best(block.rows, scorer, depth, cells)),
+            ["ranking", "attribute_number", "source_file"], [F.desc("_score"), F.asc("doc_idx")], depth,
+        )
+        # At most 2 * depth rows per cell, and no more than limit of them.
+        heads = heads.drop("_score", "rank").toArrow().to_pandas()
+        rows = heads.drop_duplicates(["attribute_number", "doc_idx"], ignore_index=True).drop(columns="ranking")
+        rows = _with_ranks(block, scorer, rows)
+        sure = _sure_cells(heads, rows, k, rrf_k, depth)
+        cell = pd.MultiIndex.from_frame(rows[["attribute_number", "source_file"]])
+        finished.append(rows[cell.isin(sure[sure].index)])
+        unsure = sure[~sure].index
+        if not len(unsure):
+            return pd.concat(finished, ignore_index=True), set()
+        depth *= 4
+        left = {int(number) for number in unsure.get_level_values(0)}
+        if len(unsure) * 2 * depth > limit:
+            return pd.concat(finished, ignore_index=True), left
+        scorer = scorer.only(left)
+        column = {int(number): i for i, number in enumerate(scorer.numbers)}
+        wanted: dict[str | None, list[int]] = {}
+        for number, source in unsure:
+            wanted.setdefault(None if pd.isna(source) else source, []).append(column[int(number)])
+        cells = {source: np.array(own) for source, own in wanted.items()}
+
+
+def _sure_cells(heads: pd.DataFrame, rows: pd.DataFrame, k: int, rrf_k: int, depth: int) -> pd.Series:
+    """For each cell: True where no chunk outside its heads can be among its ``k`` best."""
+    keys = ["attribute_number", "source_file"]
+    ranked = heads.merge(rows[["attribute_number", "doc_idx", "dense_rank", "bm25_rank", "behind"]], on=["attribute_number", "doc_idx"])
+    groups = {ranking: ranked[ranked["ranking"] == ranking].groupby(keys, dropna=False) for ranking in ("dense", "bm25")}
+    table = pd.DataFrame(
+        {"seen": groups["bm25"].size(), "last_bm25": groups["bm25"]["bm25_rank"].max(), "behind": groups["bm25"]["behind"].max()}
+    )
+    table["seen_dense"] = groups["dense"].size().reindex(table.index, fill_value=0)
+    last_dense = groups["dense"]["dense_rank"].max().reindex(table.index)
+    # All vectors of a head that isn't full are known; an unseen chunk then has none.
+    next_dense = np.where(table["seen_dense"] >= depth, last_dense + 1, table["behind"])
+    bound = np.round(1 / (next_dense + rrf_k) + 1 / (table["last_bm25"] + 1 + rrf_k), FUSED_DIGITS)
+    fused = np.round(1 / (rows["dense_rank"] + rrf_k) + 1 / (rows["bm25_rank"] + rrf_k), FUSED_DIGITS)
+    best = rows.assign(fused=fused).sort_values("fused", ascending=False).groupby(keys, dropna=False)["fused"]
+    worst_kept = best.nth(k - 1)
+    kept = rows.loc[worst_kept.index, keys].assign(fused=worst_kept).set_index(keys)["fused"].reindex(table.index)
+    # Equal scores go by the chunk's number, so only a clear lead settles a cell.
+    return (table["seen"] < depth) | (kept > bound + 10.0**-FUSED_DIGITS)
+
+
 def format_matches(
     matches: DataFrame,
     chunks: DataFrame,

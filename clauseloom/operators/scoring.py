@@ -1,43 +1,96 @@
-"""Score a small dictionary of attributes against every chunk in one map-only pass.
+"""Score a small dictionary of attributes against every chunk in map-only passes.
 
-The attributes (their vectors and BM25 term weights) travel to the tasks; the
-chunks are never shuffled.  Each task scores its chunks batch by batch with
-matrix arithmetic and hands on either all pairs, or only its best rows per
-attribute, or counts of chunks that beat given candidates.
+The attributes (their vectors and BM25 term weights) travel to the tasks; the chunks are
+never shuffled.  One pass over the texts leaves what BM25 needs of them: the length and the
+counts of the dictionary's terms.  Later passes read those narrow rows, score them batch by
+batch with matrix arithmetic, and hand on either all pairs, or only their best rows per
+attribute (and source), or counts of chunks that beat given candidates.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from clauseloom.functions.text import tokens
 from clauseloom.functions.vectors import METRICS, similarities
-from clauseloom.operators.lexical import B, EPSILON, K1, SCALE, CorpusStats, corpus_stats, query_terms
+from clauseloom.operators.lexical import B, EPSILON, K1, SCALE, CorpusStats, query_terms
+from clauseloom.operators.sizing import fits
+from clauseloom.session import stored
 
 # Attributes scored together. Bounds what is collected and sent to the tasks;
 # larger dictionaries are scored block by block.
 BLOCK_ROWS = 512
 BATCH_ROWS = 2048
 DIGITS = 12  # of ranked scores: equal texts rank as equal whatever the order of a sum
+VOCABULARY_ROWS = 1_000_000  # (attribute, term) rows whose terms are counted in one pass
+STATE_VALUES = 4_000_000  # scores that a task holds back before it hands them on
+COUNTED = ("length", "term_index", "term_count")
 
-_WORD = re.compile(r"\w+")
+
+def counted_terms(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """``chunks`` with ``length``, ``term_index`` and ``term_count`` in place of ``content``.
+
+    Texts are tokenized in the JVM, the one tokenizer of all lexical scores; the tokens of a
+    batch are looked up together.  Only terms of the dictionary leave a row.
+    """
+    others = [name for name in ("doc_idx", "source_file", "embedding") if name in chunks.columns]
+    kinds = {name: chunks.schema[name].dataType.simpleString() for name in others}
+    schema = "".join(f"{name} {kind}, " for name, kind in kinds.items())
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            hit = place >= 0
+            row = np.repeat(np.arange(len(length)), length)[hit]
+            keys, counts = np.unique(row * max(len(terms), 1) + place[hit], return_counts=True)
+            row, term = np.divmod(keys, max(len(terms), 1))
+            starts = pa.array(np.searchsorted(row, np.arange(len(length) + 1)), pa.int32())
+            columns = [
+                *(batch.column(name) for name in others),
+                pa.array(length),
+                pa.ListArray.from_arrays(starts, pa.array(term, pa.int32())),
+                pa.ListArray.from_arrays(starts, pa.array(counts, pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, *COUNTED])
+
+    split = chunks.select(*others, tokens(F.col("content")).alias("terms"))
+    return split.mapInArrow(count, f"{schema}length long, term_index array<int>, term_count array<int>")
+
+
+def counted_stats(counted: DataFrame, terms: list[str]) -> CorpusStats:
+    """Number of chunks, mean length, and the chunks that hold each term; the totals take one row a task."""
+    documents, average = counted.agg(F.count("*"), F.avg("length")).first()
+    rows = counted.select(F.explode("term_index").alias("term")).groupBy("term").count().collect()
+    return CorpusStats(documents, average or 0.0, {terms[row["term"]]: row["count"] for row in rows})
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Length of every list (-1: null) and the values of all, a null one as NaN."""
+    length = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    return length, column.flatten().to_numpy(zero_copy_only=False)
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """One block of attributes, ready to score batches of chunks."""
+    """One block of attributes, ready to score batches of counted chunks.
+
+    ``vectors`` holds, for each length of vectors, the attributes that have one and the matrix.
+    """
 
     numbers: np.ndarray
-    vectors: np.ndarray | None
-    has_vector: np.ndarray
-    term_index: dict[str, int]
+    vectors: Mapping[int, tuple[np.ndarray, np.ndarray]]
+    terms: tuple[str, ...]
     term_start: np.ndarray
     term_attribute: np.ndarray
     term_weight: np.ndarray
@@ -46,35 +99,42 @@ class Scorer:
     k1: float
     b: float
 
-    def dense(self, embeddings: pd.Series) -> np.ndarray:
-        """Similarities, chunks x attributes; NaN where either side has no vector."""
+    def only(self, numbers: Iterable[int]) -> Scorer:
+        """The scorer of some of its attributes."""
+        kept = np.isin(self.numbers, list(numbers))
+        place = np.cumsum(kept) - 1
+        vectors = {
+            width: (place[columns[kept[columns]]], matrix[kept[columns]]) for width, (columns, matrix) in self.vectors.items()
+        }
+        entry = kept[self.term_attribute]
+        before = np.concatenate([[0], np.cumsum(entry)])
+        return replace(
+            self, numbers=self.numbers[kept], vectors=vectors, term_start=before[self.term_start],
+            term_attribute=place[self.term_attribute[entry]], term_weight=self.term_weight[entry],
+        )
+
+    def dense(self, embeddings: pa.Array) -> np.ndarray:
+        """Similarities, chunks x attributes; NaN where a side has no vector or one of another length."""
         scores = np.full((len(embeddings), len(self.numbers)), np.nan)
-        present = embeddings.notna().to_numpy()
-        if self.vectors is None or not present.any():
-            return scores
-        matrix = np.stack(embeddings[present].to_numpy()).astype(np.float64)
-        found = similarities(matrix, self.vectors, self.metric)
-        found[:, ~self.has_vector] = np.nan
-        scores[present] = np.round(found, DIGITS)
+        length, values = _lists(embeddings)
+        size = np.maximum(length, 0)
+        start = np.cumsum(size) - size
+        for width, (columns, matrix) in self.vectors.items():
+            rows = np.flatnonzero(length == width)
+            if width and len(rows) and len(columns):
+                own = values[start[rows, None] + np.arange(width)].astype(np.float64)
+                scores[np.ix_(rows, columns)] = np.round(similarities(own, matrix, self.metric), DIGITS)
         return scores
 
-    def lexical(self, texts: pd.Series) -> np.ndarray:
+    def lexical(self, batch: pa.RecordBatch) -> np.ndarray:
         """BM25 scores, chunks x attributes; 0.0 where no term is shared."""
-        lengths = np.zeros(len(texts))
-        rows, terms = [], []
-        for position, text in enumerate(texts):
-            found = _WORD.findall(text.lower()) if text else []
-            lengths[position] = len(found)
-            hits = [self.term_index[word] for word in found if word in self.term_index]
-            rows.append(np.full(len(hits), position))
-            terms.append(np.array(hits, dtype=np.int64))
-        shape = (len(texts), len(self.numbers))
-        if not self.term_index or not len(texts):
-            return np.zeros(shape)
-        keys = np.concatenate(rows).astype(np.int64) * len(self.term_index) + np.concatenate(terms)
-        keys, frequency = np.unique(keys, return_counts=True)
-        row, term = np.divmod(keys, len(self.term_index))
-        pivot = (1 - self.b) + self.b * (lengths[row] / (self.average_length + EPSILON))
+        shape = (batch.num_rows, len(self.numbers))
+        found, term = _lists(batch.column("term_index"))
+        frequency = _lists(batch.column("term_count"))[1].astype(np.int64)
+        term = term.astype(np.int64)
+        row = np.repeat(np.arange(shape[0]), np.maximum(found, 0))
+        length = batch.column("length").to_numpy(zero_copy_only=False)[row]
+        pivot = (1 - self.b) + self.b * (length / (self.average_length + EPSILON))
         saturated = frequency * (self.k1 + 1) / (frequency + self.k1 * pivot + EPSILON)
         # Expand every (chunk, term) to the attributes that use the term.
         fan_out = self.term_start[term + 1] - self.term_start[term]
@@ -86,21 +146,42 @@ class Scorer:
         totals = np.bincount(cell, weights=value, minlength=shape[0] * shape[1])
         return totals.reshape(shape) / SCALE + 0.0
 
-    def batches(self, frames: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    def batches(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Batches with both score tables; a column that was not read gives NaN or 0.0."""
-        for frame in frames:
-            for start in range(0, len(frame), BATCH_ROWS):
-                part = frame.iloc[start : start + BATCH_ROWS]
-                shape = (len(part), len(self.numbers))
-                dense = self.dense(part["embedding"]) if "embedding" in part else np.full(shape, np.nan)
-                lexical = self.lexical(part["content"]) if "content" in part else np.zeros(shape)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                shape = (part.num_rows, len(self.numbers))
+                dense = self.dense(part.column("embedding")) if "embedding" in part.schema.names else np.full(shape, np.nan)
+                lexical = self.lexical(part) if "term_index" in part.schema.names else np.zeros(shape)
                 yield part, dense, lexical
 
 
 @dataclass(frozen=True)
 class ScoredBlock:
+    """A scorer, the corpus counts behind it, and the rows that it scores."""
+
     scorer: Scorer
     stats: CorpusStats
+    rows: DataFrame
+
+
+@dataclass(frozen=True)
+class _Lexicon:
+    """The terms of a dictionary: (attribute, term, frequency) rows, corpus counts, counted chunks."""
+
+    queries: list[Row]
+    terms: tuple[str, ...]
+    stats: CorpusStats
+    rows: DataFrame
+
+
+def _lexicon(queries: DataFrame, chunks: DataFrame, keep: bool) -> _Lexicon:
+    rows = queries.collect()
+    terms = sorted({row.term for row in rows})
+    counted = counted_terms(chunks, terms)
+    counted = stored(counted) if keep else counted
+    return _Lexicon(rows, tuple(terms), counted_stats(counted, terms), counted)
 
 
 def scored_blocks(
@@ -109,84 +190,94 @@ def scored_blocks(
 ) -> Iterator[ScoredBlock]:
     """Scorers that together cover the whole dictionary, about ``block_rows`` attributes each.
 
-    ``lexical=False`` skips the corpus counts where only vectors are compared.
+    The texts are read once for all blocks, or, where the dictionary's terms pass
+    ``VOCABULARY_ROWS``, once for each.  ``lexical=False`` doesn't read them.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     columns = attributes.select("attribute_number", "content", "embedding")
+    queries = query_terms(columns)
+    whole = _Lexicon([], (), CorpusStats(0, 0.0, {}), chunks)
+    if lexical:
+        whole = _lexicon(queries, chunks, keep=True) if fits(queries, VOCABULARY_ROWS) else None
     head = columns.select("attribute_number", "embedding").take(block_rows + 1)
     if len(head) <= block_rows:
-        yield _scored_block(columns, head, chunks, metric, k1, b, lexical)
+        yield _scored_block(head, whole or _lexicon(queries, chunks, keep=True), metric, k1, b)
         return
     blocks = math.ceil(columns.count() / block_rows)
     for index in range(blocks):
         block = columns.where(F.pmod(F.xxhash64("attribute_number"), F.lit(blocks)) == index)
         rows = block.select("attribute_number", "embedding").collect()
         if rows:
-            yield _scored_block(block, rows, chunks, metric, k1, b, lexical)
+            yield _scored_block(rows, whole or _lexicon(query_terms(block), chunks, keep=True), metric, k1, b)
 
 
-def _scored_block(
-    block: DataFrame, rows: list[Row], chunks: DataFrame, metric: str, k1: float, b: float, lexical: bool
-) -> ScoredBlock:
+def _scored_block(rows: list[Row], lexicon: _Lexicon, metric: str, k1: float, b: float) -> ScoredBlock:
     attributes = sorted(rows, key=lambda row: row.attribute_number)
     column = {row.attribute_number: position for position, row in enumerate(attributes)}
-    has_vector = np.array([row.embedding is not None for row in attributes], dtype=bool)
-    vectors = None
-    if has_vector.any():
-        width = len(next(row.embedding for row in attributes if row.embedding is not None))
-        vectors = np.array([row.embedding if row.embedding is not None else [0.0] * width for row in attributes])
-
-    query = query_terms(block).collect() if lexical else []
-    vocabulary = sorted({row.term for row in query})
-    stats = corpus_stats(chunks, vocabulary) if lexical else CorpusStats(0, 0.0, {})
+    by_width: dict[int, list[int]] = {}
+    for position, row in enumerate(attributes):
+        if row.embedding is not None:
+            by_width.setdefault(len(row.embedding), []).append(position)
+    vectors = {
+        width: (np.array(own), np.array([attributes[i].embedding for i in own], dtype=np.float64)) for width, own in by_width.items()
+    }
+    stats = lexicon.stats
     used: dict[str, list[tuple[int, float]]] = {}
-    for row in query:
+    for row in lexicon.queries:
         frequency = stats.document_frequency.get(row.term)
-        if frequency:
+        if frequency and row.attribute_number in column:
             weight = math.log((stats.documents - frequency + 0.5) / (frequency + 0.5) + EPSILON)
             used.setdefault(row.term, []).append((column[row.attribute_number], row.query_frequency * weight))
-    terms = sorted(used)
-    entries = [entry for term in terms for entry in used[term]]
-    return ScoredBlock(
-        Scorer(
-            numbers=np.array([row.attribute_number for row in attributes], dtype=np.int64),
-            vectors=vectors,
-            has_vector=has_vector,
-            term_index={term: position for position, term in enumerate(terms)},
-            term_start=np.cumsum([0] + [len(used[term]) for term in terms]),
-            term_attribute=np.array([entry[0] for entry in entries], dtype=np.int64),
-            term_weight=np.array([entry[1] for entry in entries], dtype=np.float64),
-            average_length=stats.average_length,
-            metric=metric,
-            k1=k1,
-            b=b,
-        ),
-        stats,
+    entries = [entry for term in lexicon.terms for entry in used.get(term, ())]
+    scorer = Scorer(
+        numbers=np.array([row.attribute_number for row in attributes], dtype=np.int64),
+        vectors=vectors,
+        terms=lexicon.terms,
+        term_start=np.cumsum([0] + [len(used.get(term, ())) for term in lexicon.terms]),
+        term_attribute=np.array([entry[0] for entry in entries], dtype=np.int64),
+        term_weight=np.array([entry[1] for entry in entries], dtype=np.float64),
+        average_length=stats.average_length,
+        metric=metric,
+        k1=k1,
+        b=b,
     )
+    return ScoredBlock(scorer, stats, lexicon.rows)
+
+
+def _inputs(rows: DataFrame, scorer: Scorer, *names: str, lexical: bool = True) -> DataFrame:
+    """The columns that a pass reads; texts that are not counted yet are counted on the way."""
+    if lexical and "term_index" not in rows.columns:
+        rows = counted_terms(rows, list(scorer.terms))
+    return rows.select(*names, *(COUNTED if lexical else ()))
+
+
+def _nullable(values: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.float64(), from_pandas=True)
 
 
 PAIR_SCHEMA = "attribute_number long, doc_idx long, source_file string, dense_similarity double, bm25_score double"
 
 
-def pairs(chunks: DataFrame, scorer: Scorer) -> DataFrame:
+def pairs(rows: DataFrame, scorer: Scorer) -> DataFrame:
     """Every (attribute, chunk) pair with both scores, as narrow rows."""
 
-    def emit(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(scorer.numbers)
-        for part, dense, lexical in scorer.batches(frames):
-            flat = dense.ravel()
-            yield pd.DataFrame(
-                {
-                    "attribute_number": np.tile(scorer.numbers, len(part)),
-                    "doc_idx": np.repeat(part["doc_idx"].to_numpy(), width),
-                    "source_file": np.repeat(part["source_file"].to_numpy(), width),
-                    "dense_similarity": pd.arrays.FloatingArray(np.nan_to_num(flat), np.isnan(flat)),
-                    "bm25_score": lexical.ravel(),
-                }
+        for part, dense, lexical in scorer.batches(batches):
+            each = pa.array(np.repeat(np.arange(part.num_rows), width))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.tile(scorer.numbers, part.num_rows)),
+                    part.column("doc_idx").take(each).cast(pa.int64()),
+                    part.column("source_file").take(each),
+                    _nullable(dense.ravel()),
+                    pa.array(lexical.ravel()),
+                ],
+                names=["attribute_number", "doc_idx", "source_file", "dense_similarity", "bm25_score"],
             )
 
-    return chunks.select("doc_idx", "source_file", "content", "embedding").mapInPandas(emit, PAIR_SCHEMA)
+    return _inputs(rows, scorer, "doc_idx", "source_file", "embedding").mapInArrow(emit, PAIR_SCHEMA)
 
 
 BEST_SCHEMA = "ranking string, attribute_number long, doc_idx long, dense_similarity double, bm25_score double"
@@ -202,38 +293,128 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -score[chosen]))][:k]
 
 
-def task_best(chunks: DataFrame, scorer: Scorer, k: int, rankings: tuple[str, ...] = ("dense", "bm25")) -> DataFrame:
+def task_best(rows: DataFrame, scorer: Scorer, k: int, rankings: tuple[str, ...] = ("dense", "bm25")) -> DataFrame:
     """Each task's ``k`` best chunks per attribute and ranking."""
 
-    def emit(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
-        for part, dense, lexical in scorer.batches(frames):
-            ids = part["doc_idx"].to_numpy()
+        for part, dense, lexical in scorer.batches(batches):
+            ids = part.column("doc_idx").to_numpy(zero_copy_only=False)
             for ranking in rankings:
                 table = dense if ranking == "dense" else lexical
                 for column in range(len(scorer.numbers)):
                     usable = np.flatnonzero(~np.isnan(table[:, column]))
-                    rows = (table[usable, column], ids[usable], dense[usable, column], lexical[usable, column])
+                    found = (table[usable, column], ids[usable], dense[usable, column], lexical[usable, column])
                     known = kept.get((ranking, column))
                     if known is not None:
-                        rows = tuple(np.concatenate(arrays) for arrays in zip(known, rows))
-                    best = _best(rows[0], rows[1], k)
-                    kept[ranking, column] = tuple(array[best] for array in rows)
-        for (ranking, column), (score, ids, similarity, bm25) in kept.items():
+                        found = tuple(np.concatenate(arrays) for arrays in zip(known, found, strict=True))
+                    best = _best(found[0], found[1], k)
+                    kept[ranking, column] = tuple(array[best] for array in found)
+        for (ranking, column), (_, ids, similarity, bm25) in kept.items():
             if len(ids):
-                missing = np.isnan(similarity)
-                yield pd.DataFrame(
-                    {
-                        "ranking": ranking,
-                        "attribute_number": scorer.numbers[column],
-                        "doc_idx": ids,
-                        "dense_similarity": pd.arrays.FloatingArray(np.nan_to_num(similarity), missing),
-                        "bm25_score": bm25,
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ranking] * len(ids)),
+                        pa.array(np.full(len(ids), scorer.numbers[column])),
+                        pa.array(ids, pa.int64()),
+                        _nullable(similarity),
+                        pa.array(bm25),
+                    ],
+                    names=["ranking", "attribute_number", "doc_idx", "dense_similarity", "bm25_score"],
                 )
 
-    columns = {"dense": "embedding", "bm25": "content"}
-    return chunks.select("doc_idx", *[columns[ranking] for ranking in rankings]).mapInPandas(emit, BEST_SCHEMA)
+    dense = ["embedding"] if "dense" in rankings else []
+    return _inputs(rows, scorer, "doc_idx", *dense, lexical="bm25" in rankings).mapInArrow(emit, BEST_SCHEMA)
+
+
+class _Heads:
+    """The best rows of every (source, attribute) of one ranking seen by a task.
+
+    Per source a table of at most ``depth`` rows and one column per attribute, best first.
+    """
+
+    def __init__(self, depth: int, width: int):
+        self.depth, self.width = depth, width
+        self.tables: dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.values = 0
+
+    def add(self, source: str | None, score: np.ndarray, ids: np.ndarray, other: np.ndarray) -> None:
+        known = self.tables.get(source)
+        if known is not None and len(known[0]) == self.depth:
+            # Rows that no column has room for change nothing.
+            last, last_id = known[0][-1], known[1][-1]
+            fits_in = ((score > last) | ((score == last) & (ids[:, None] < last_id))).any(axis=1)
+            score, ids, other = score[fits_in], ids[fits_in], other[fits_in]
+            if not len(ids):
+                return
+        parts = (score, np.repeat(ids[:, None], self.width, axis=1), other)
+        if known is not None:
+            parts = tuple(np.concatenate(pair) for pair in zip(known, parts, strict=True))
+        order = np.lexsort((parts[1], -parts[0]), axis=0)[: self.depth]
+        new = tuple(np.take_along_axis(part, order, axis=0) for part in parts)
+        self.values += new[0].size - (0 if known is None else known[0].size)
+        self.tables[source] = new
+
+
+HEAD_SCHEMA = (
+    "ranking string, attribute_number long, source_file string, doc_idx long, dense_similarity double, bm25_score double"
+)
+
+
+def source_best(
+    rows: DataFrame, scorer: Scorer, depth: int, cells: Mapping[str | None, np.ndarray] | None = None
+) -> DataFrame:
+    """Each task's ``depth`` best chunks per attribute, source and ranking.
+
+    ``cells`` names, for each source wanted, the columns of the scorer wanted of it.  A task
+    holds about ``STATE_VALUES`` scores; with more sources it hands heads on as it goes, and the
+    same cell may come more than once.
+    """
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = {ranking: _Heads(depth, len(scorer.numbers)) for ranking in ("dense", "bm25")}
+        for part, dense, lexical in scorer.batches(batches):
+            ids = part.column("doc_idx").to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = part.column("source_file").dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            names = coded.dictionary.to_pylist()
+            order = np.argsort(codes, kind="stable")
+            bounds = np.flatnonzero(np.diff(codes[order])) + 1
+            for own in np.split(order, bounds):
+                source = None if codes[own[0]] < 0 else names[codes[own[0]]]
+                if cells is None or source in cells:
+                    similarity = np.where(np.isnan(dense[own]), -np.inf, dense[own])
+                    heads["dense"].add(source, similarity, ids[own], lexical[own])
+                    heads["bm25"].add(source, lexical[own], ids[own], similarity)
+            if sum(head.values for head in heads.values()) > STATE_VALUES:
+                yield from _emitted(heads, scorer, cells)
+                heads = {ranking: _Heads(depth, len(scorer.numbers)) for ranking in heads}
+        yield from _emitted(heads, scorer, cells)
+
+    return _inputs(rows, scorer, "doc_idx", "source_file", "embedding").mapInArrow(emit, HEAD_SCHEMA)
+
+
+def _emitted(heads: dict[str, _Heads], scorer: Scorer, cells: Mapping[str | None, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    for ranking, head in heads.items():
+        for source, (score, ids, other) in head.tables.items():
+            wanted = score > -np.inf
+            if cells is not None:
+                wanted &= np.isin(np.arange(head.width), cells[source])
+            line, column = np.nonzero(wanted)
+            if len(line):
+                dense, lexical = (score, other) if ranking == "dense" else (other, score)
+                dense = dense[line, column]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ranking] * len(line)),
+                        pa.array(scorer.numbers[column]),
+                        pa.array([source] * len(line), pa.string()),
+                        pa.array(ids[line, column]),
+                        _nullable(np.where(np.isinf(dense), np.nan, dense)),
+                        pa.array(lexical[line, column]),
+                    ],
+                    names=["ranking", "attribute_number", "source_file", "doc_idx", "dense_similarity", "bm25_score"],
+                )
 
 
 @dataclass(frozen=True)
@@ -260,17 +441,17 @@ class Contenders:
 COUNT_SCHEMA = "ranking string, attribute_number long, place long, chunks long"
 
 
-def place_counts(chunks: DataFrame, scorer: Scorer, contenders: dict[tuple[str, int], Contenders]) -> DataFrame:
+def place_counts(rows: DataFrame, scorer: Scorer, contenders: dict[tuple[str, int], Contenders]) -> DataFrame:
     """Number of chunks per place between candidates, counted inside each task.
 
     ``contenders`` is keyed by ranking and attribute number.  Ranking ``total``
     counts the chunks that have a dense score at all, per attribute.
     """
 
-    def emit(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], np.ndarray] = {}
-        for part, dense, lexical in scorer.batches(frames):
-            ids = part["doc_idx"].to_numpy()
+        for part, dense, lexical in scorer.batches(batches):
+            ids = part.column("doc_idx").to_numpy(zero_copy_only=False)
             for column, number in enumerate(scorer.numbers):
                 for ranking, table in (("dense", dense), ("bm25", lexical)):
                     score = table[:, column]
@@ -285,9 +466,15 @@ def place_counts(chunks: DataFrame, scorer: Scorer, contenders: dict[tuple[str,
         for (ranking, number), found in counts.items():
             place = np.flatnonzero(found)
             if len(place):
-                yield pd.DataFrame(
-                    {"ranking": ranking, "attribute_number": number, "place": place, "chunks": found[place]}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ranking] * len(place)),
+                        pa.array(np.full(len(place), number)),
+                        pa.array(place, pa.int64()),
+                        pa.array(found[place], pa.int64()),
+                    ],
+                    names=["ranking", "attribute_number", "place", "chunks"],
                 )
 
-    counted = chunks.select("doc_idx", "content", "embedding").mapInPandas(emit, COUNT_SCHEMA)
+    counted = _inputs(rows, scorer, "doc_idx", "embedding").mapInArrow(emit, COUNT_SCHEMA)
     return counted.groupBy("ranking", "attribute_number", "place").agg(F.sum("chunks").alias("chunks"))

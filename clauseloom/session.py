@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STORED: dict[str, SparkSession] = {}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; the files go when the driver ends.
+
+    Where rows are read more than once, columns and row groups that a reader does not need are skipped.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STORED:
+        atexit.register(_delete_stored)
+    _STORED[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_stored() -> None:
+    for path, spark in _STORED.items():
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended before the interpreter
+            return
