@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import tokens
-from clauseloom.operators.sizing import fits
 
 K1 = 1.2
 B = 0.75
@@ -61,62 +61,17 @@ def corpus_counts(chunks: DataFrame, vocabulary: DataFrame, small: bool) -> Data
     )
 
 
-def corpus_stats(chunks: DataFrame, terms: list[str]) -> CorpusStats:
-    """Collect the counts of a dictionary's terms; their number is bounded by the dictionary."""
-    vocabulary = chunks.sparkSession.createDataFrame([(term,) for term in terms], "term string")
-    rows = corpus_counts(chunks, vocabulary, small=True).collect()
-    totals = next((row for row in rows if row.term == ""), None)
-    documents = totals.documents if totals else 0
-    average = totals.tokens / documents if documents else 0.0
-    return CorpusStats(documents, average, {row.term: row.documents for row in rows if row.term != ""})
-
-
-def idf(documents: Column, document_frequency: Column) -> Column:
-    """Not clamped: terms found in more than half of the chunks count negatively."""
-    return F.log((documents - document_frequency + 0.5) / (document_frequency + 0.5) + EPSILON)
-
-
-def saturation(frequency: Column, length: Column, average_length: Column, k1: float = K1, b: float = B) -> Column:
-    pivot = (1 - b) + b * (length / (average_length + EPSILON))
-    return frequency * (k1 + 1) / (frequency + k1 * pivot + EPSILON)
-
-
 def bm25_scores(attributes: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(attribute_number, doc_idx, bm25_score) of every pair that shares a term.
 
-    A pair without a row has score 0.0.  Texts are exploded once; query terms
-    are matched and summed per chunk before anything is shuffled.
+    A pair without a row has score 0.0.  The terms of the dictionary are counted inside the rows
+    of the chunks, once; a second pass over the counts scores each chunk where it lies, so
+    nothing but the corpus counts is shuffled.
     """
-    queries = query_terms(attributes)
-    small = fits(queries)
-
-    def hinted(df: DataFrame) -> DataFrame:
-        # No more rows than ``queries``; beyond the bound AQE splits frequent terms instead.
-        return F.broadcast(df) if small else df
-
-    counts = corpus_counts(chunks, queries, small)
-    totals = counts.where(F.col("term") == "")
-    documents = totals.select("documents").scalar()
-    average = totals.select(F.col("tokens") / F.col("documents")).scalar()
-    weights = (
-        queries.join(counts.select("term", "documents"), "term")
-        .select(
-            "attribute_number",
-            "term",
-            (F.col("query_frequency") * idf(documents, F.col("documents"))).alias("weight"),
-        )
-    )
-    frequencies = (
-        chunks.select("doc_idx", tokens(F.col("content")).alias("terms"))
-        .select("doc_idx", F.size("terms").alias("length"), F.explode_outer("terms").alias("term"))
-        .join(hinted(queries.select("term").distinct()), "term", "left_semi")
-        .groupBy("doc_idx", "length", "term")
-        .agg(F.count("*").alias("frequency"))
-    )
-    part = F.col("weight") * saturation(F.col("frequency"), F.col("length"), average, k1, b)
-    return (
-        frequencies.join(hinted(weights), "term")
-        .groupBy("doc_idx", "attribute_number")
-        .agg((F.sum(F.round(part * SCALE).cast("long")) / SCALE).alias("bm25_score"))
-        .select("attribute_number", "doc_idx", "bm25_score")
-    )
+    from clauseloom.operators import scoring  # builds on this module
+
+    found = [
+        scoring.sharing_pairs(block.rows, block.scorer)
+        for block in scoring.scored_blocks(attributes.withColumn("embedding", F.lit(None).cast("array<double>")), chunks, k1=k1, b=b)
+    ]
+    return reduce(DataFrame.unionByName, found)

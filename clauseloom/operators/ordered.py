@@ -54,13 +54,17 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 
 def merge_top_k(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, output: str = "rank", fan_out: int = 64
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, output: str = "rank", fan_out: int = 64,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``top_k`` over rows that already are per-task winners.
 
     Winners of many tasks are merged in two levels so that no single task
-    receives ``k`` rows from every task of the scan.
+    receives ``k`` rows from every task of the scan; those of at most ``fan_out``
+    ``tasks``, where their number is known, in one.
     """
+    if tasks is not None and tasks <= fan_out:
+        return top_k(df, group, order, k, output)
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan_out)))
     first = top_k(salted, [*group, "_salt"], order, k, "_salted_rank").drop("_salted_rank", "_salt")
     return top_k(first, group, order, k, output)

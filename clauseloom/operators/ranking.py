@@ -33,6 +33,7 @@ RRF_K = 20
 GLOBAL_TOP_K = 20
 SOURCE_TOP_K = 15
 FUSED_DIGITS = 12  # of fused scores that are told apart
+CELL = ["attribute_number", "source_file"]
 CANDIDATES = 1_000_000  # rows whose exact ranks are counted together
 
 
@@ -184,7 +185,7 @@ def rrf_per_source(
     heads of both rankings, bounded in depth.  One pass counts the exact ranks of their rows.  A
     chunk of the cell in neither head ranks behind the last row of both, which bounds its fused
     score; where the k-th best row beats that bound, the cell is done.  Cells that are not are
-    asked again, alone and four times as deep.
+    asked again, alone and twice as deep.
 
     ``limit`` bounds the candidates that are counted together: the dictionary is cut into blocks
     by it.  Where even the cells of one attribute pass it (sources with few chunks each, whose
@@ -192,7 +193,7 @@ def rrf_per_source(
     attributes concerned are ranked (``rrf_scores``), with the same result.
     """
     sources = chunks.select("source_file").distinct().count()
-    depth = rrf_k + 2 * k
+    depth = 2 * k
     block_rows = limit // max(2 * depth * sources, 1)
     if not block_rows:
         return _ranked_in_source(rrf_scores(attributes, chunks, rrf_k, metric), k)
@@ -218,10 +219,11 @@ def _ranked_in_source(fused: DataFrame, k: int) -> DataFrame:
 def _source_heads(block: ScoredBlock, k: int, rrf_k: int, depth: int, limit: int) -> tuple[pd.DataFrame, set[int]]:
     """Candidates that hold the ``k`` best of every cell, and the attributes for which that stays unsure."""
     scorer, cells, finished = block.scorer, None, []
+    tasks = block.rows.rdd.getNumPartitions()
     while True:
         heads = merge_top_k(
             _with_score(source_best(block.rows, scorer, depth, cells)),
-            ["ranking", "attribute_number", "source_file"], [F.desc("_score"), F.asc("doc_idx")], depth,
+            ["ranking", "attribute_number", "source_file"], [F.desc("_score"), F.asc("doc_idx")], depth, tasks=tasks,
         )
         # At most 2 * depth rows per cell, and no more than limit of them.
         heads = heads.drop("_score", "rank").toArrow().to_pandas()
@@ -229,11 +231,11 @@ def _source_heads(block: ScoredBlock, k: int, rrf_k: int, depth: int, limit: int
         rows = _with_ranks(block, scorer, rows)
         sure = _sure_cells(heads, rows, k, rrf_k, depth)
         cell = pd.MultiIndex.from_frame(rows[["attribute_number", "source_file"]])
-        finished.append(rows[cell.isin(sure[sure].index)])
+        finished.append(_leading(rows[cell.isin(sure[sure].index)], k, rrf_k))
         unsure = sure[~sure].index
         if not len(unsure):
             return pd.concat(finished, ignore_index=True), set()
-        depth *= 4
+        depth *= 2
         left = {int(number) for number in unsure.get_level_values(0)}
         if len(unsure) * 2 * depth > limit:
             return pd.concat(finished, ignore_index=True), left
@@ -245,11 +247,26 @@ def _source_heads(block: ScoredBlock, k: int, rrf_k: int, depth: int, limit: int
         cells = {source: np.array(own) for source, own in wanted.items()}
 
 
+def _kth_fused(rows: pd.DataFrame, k: int, rrf_k: int) -> pd.Series:
+    """For each row the ``k``-th best fused score of its cell; the least, where there are fewer."""
+    fused = np.round(1 / (rows["dense_rank"] + rrf_k) + 1 / (rows["bm25_rank"] + rrf_k), FUSED_DIGITS)
+    scored = rows[CELL].assign(fused=fused).sort_values("fused", ascending=False)
+    first = scored[scored.groupby(CELL, dropna=False).cumcount() < k]
+    return rows[CELL].assign(at=np.arange(len(rows))).merge(
+        first.groupby(CELL, dropna=False, as_index=False)["fused"].min(), on=CELL
+    ).set_index("at")["fused"].reindex(np.arange(len(rows))).set_axis(rows.index)
+
+
+def _leading(rows: pd.DataFrame, k: int, rrf_k: int) -> pd.DataFrame:
+    """The rows that can be among the ``k`` best of their cell; equal scores are told apart later."""
+    fused = 1 / (rows["dense_rank"] + rrf_k) + 1 / (rows["bm25_rank"] + rrf_k)
+    return rows[fused >= _kth_fused(rows, k, rrf_k) - 10 * 10.0**-FUSED_DIGITS]
+
+
 def _sure_cells(heads: pd.DataFrame, rows: pd.DataFrame, k: int, rrf_k: int, depth: int) -> pd.Series:
     """For each cell: True where no chunk outside its heads can be among its ``k`` best."""
-    keys = ["attribute_number", "source_file"]
     ranked = heads.merge(rows[["attribute_number", "doc_idx", "dense_rank", "bm25_rank", "behind"]], on=["attribute_number", "doc_idx"])
-    groups = {ranking: ranked[ranked["ranking"] == ranking].groupby(keys, dropna=False) for ranking in ("dense", "bm25")}
+    groups = {ranking: ranked[ranked["ranking"] == ranking].groupby(CELL, dropna=False) for ranking in ("dense", "bm25")}
     table = pd.DataFrame(
         {"seen": groups["bm25"].size(), "last_bm25": groups["bm25"]["bm25_rank"].max(), "behind": groups["bm25"]["behind"].max()}
     )
@@ -258,10 +275,8 @@ def _sure_cells(heads: pd.DataFrame, rows: pd.DataFrame, k: int, rrf_k: int, dep
     # All vectors of a head that isn't full are known; an unseen chunk then has none.
     next_dense = np.where(table["seen_dense"] >= depth, last_dense + 1, table["behind"])
     bound = np.round(1 / (next_dense + rrf_k) + 1 / (table["last_bm25"] + 1 + rrf_k), FUSED_DIGITS)
-    fused = np.round(1 / (rows["dense_rank"] + rrf_k) + 1 / (rows["bm25_rank"] + rrf_k), FUSED_DIGITS)
-    best = rows.assign(fused=fused).sort_values("fused", ascending=False).groupby(keys, dropna=False)["fused"]
-    worst_kept = best.nth(k - 1)
-    kept = rows.loc[worst_kept.index, keys].assign(fused=worst_kept).set_index(keys)["fused"].reindex(table.index)
+    kept = rows[["attribute_number", "source_file"]].assign(kth=_kth_fused(rows, k, rrf_k))
+    kept = kept.groupby(CELL, dropna=False)["kth"].first().reindex(table.index)
     # Equal scores go by the chunk's number, so only a clear lead settles a cell.
     return (table["seen"] < depth) | (kept > bound + 10.0**-FUSED_DIGITS)
 

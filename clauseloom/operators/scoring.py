@@ -128,6 +128,16 @@ class Scorer:
 
     def lexical(self, batch: pa.RecordBatch) -> np.ndarray:
         """BM25 scores, chunks x attributes; 0.0 where no term is shared."""
+        return self._shares(batch)[0]
+
+    def sharing(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk, attribute column and BM25 score of the pairs that share a term."""
+        scores, cells = self._shares(batch)
+        row, column = np.divmod(np.unique(cells), max(len(self.numbers), 1))
+        return row, column, scores[row, column]
+
+    def _shares(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """All scores, and the cells (row by row) of the shares that they are made of."""
         shape = (batch.num_rows, len(self.numbers))
         found, term = _lists(batch.column("term_index"))
         frequency = _lists(batch.column("term_count"))[1].astype(np.int64)
@@ -144,7 +154,7 @@ class Scorer:
         # Whole numbers add up alike in any order, so equal texts get equal scores.
         value = np.rint(np.repeat(saturated, fan_out) * self.term_weight[entry] * SCALE)
         totals = np.bincount(cell, weights=value, minlength=shape[0] * shape[1])
-        return totals.reshape(shape) / SCALE + 0.0
+        return totals.reshape(shape) / SCALE + 0.0, cell
 
     def batches(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Batches with both score tables; a column that was not read gives NaN or 0.0."""
@@ -280,6 +290,23 @@ def pairs(rows: DataFrame, scorer: Scorer) -> DataFrame:
     return _inputs(rows, scorer, "doc_idx", "source_file", "embedding").mapInArrow(emit, PAIR_SCHEMA)
 
 
+def sharing_pairs(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """BM25 scores of the (attribute, chunk) pairs that share a term."""
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                row, column, score = scorer.sharing(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(scorer.numbers[column]), part.column("doc_idx").take(pa.array(row)).cast(pa.int64()), pa.array(score)],
+                    names=["attribute_number", "doc_idx", "bm25_score"],
+                )
+
+    schema = "attribute_number long, doc_idx long, bm25_score double"
+    return _inputs(rows, scorer, "doc_idx").mapInArrow(emit, schema)
+
+
 BEST_SCHEMA = "ranking string, attribute_number long, doc_idx long, dense_similarity double, bm25_score double"
 
 

@@ -54,7 +54,7 @@ def test_hot_source_and_ties_equal_the_full_ranking(spark, rounds, k, rrf_k):
     assert_equal(ranking.rrf_per_source(items, rows, k, rrf_k), expected)
     # Shallow heads don't settle the opposed source: it is asked again, without the settled ones.
     assert len(rounds) > 1 and rounds[0][2] is None and "hot.md" in rounds[1][2]
-    assert [depth for depth, *_ in rounds] == [(rrf_k + 2 * k) * 4**i for i in range(len(rounds))]
+    assert [depth for depth, *_ in rounds] == [2 * k * 2**i for i in range(len(rounds))]
 
 
 def test_settled_cells_need_no_pairs(spark, monkeypatch, rounds):
@@ -68,7 +68,7 @@ def test_settled_cells_need_no_pairs(spark, monkeypatch, rounds):
     found = ranking.rrf_per_source(items, rows, 4, 20)
     assert_equal(found, expected)
     # The plan of the result holds candidates, not (attributes x chunks) rows.
-    assert found.count() < len(chunks) * len(attributes) and all(depth <= 28 * 4 for depth, *_ in rounds)
+    assert found.count() < len(chunks) * len(attributes) and all(depth <= 32 for depth, *_ in rounds)
 
 
 @pytest.mark.parametrize("limit", [1, 300, 1500])
