@@ -479,6 +479,8 @@ SELECT term, df AS documents, 0::BIGINT AS tokens FROM df WHERE term IN (SELECT
 UNION ALL SELECT '', count(*), sum(len(t))::BIGINT FROM toks""",
     "bm25_scores": f"WITH {BM25} SELECT attribute_number, doc_idx, round(bm25_score, 6) AS bm25_score FROM bm",
     "bm25_topk": f"""WITH {FUSED} SELECT attribute_number, doc_idx, round(bm25_score, 6) AS bm25_score, bm25_rank AS rank FROM fused
+WHERE bm25_rank <= 20""",
+    "bm25_index_topk": f"""WITH {FUSED} SELECT attribute_number, doc_idx, round(bm25_score, 6) AS bm25_score, bm25_rank AS rank FROM fused
 WHERE bm25_rank <= 20""",
     "dense_topk": f"WITH {DENSE} SELECT attribute_number, doc_idx, round(dense_similarity, 6) AS dense_similarity, rank FROM dense_ranked WHERE rank <= 20",
     "dense_topk_scaled": _dense_scaled(_l2),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import markdown, text, vectors
 from clauseloom.functions.lexicon import ATTRIBUTE_TERMS, CHUNK_CONTENT_TERMS, RULE_PATTERNS
-from clauseloom.operators import charts, chunking, classify, clauses, lexical, ranking, report, search
+from clauseloom.operators import charts, chunking, classify, clauses, lexical, postings, ranking, report, search
 from clauseloom.operators.nearest import nearest_template
 from clauseloom.operators.ordered import top_k
 from clauseloom.operators.sizing import fits
@@ -60,6 +60,23 @@ def bm25_topk(spark, folder):
     return found.select("attribute_number", "doc_idx", _six("bm25_score"), _long("rank"))
 
 
+def _postings(spark, folder) -> postings.PostingsIndex:
+    """An index of the chunks, written to the shared folder and opened from there."""
+    path = f"{ensure_checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    return postings.write_index(tables.chunks(spark, folder), path, block=256)
+
+
+def bm25_index_topk(spark, folder):
+    found = postings.bm25_top_k(_postings(spark, folder), tables.attributes(spark, folder)).top
+    return found.select("attribute_number", "doc_idx", _six("bm25_score"), _long("rank"))
+
+
+def bm25_index_skipping(spark, folder):
+    """Blocks that hold a word of the attribute, and those of them that the bounds leave to be scored."""
+    found = postings.bm25_top_k(_postings(spark, folder), tables.attributes(spark, folder), k=1).blocks
+    return found.select("attribute_number", "blocks", "scored")
+
+
 def dense_topk(spark, folder):
     found = ranking.dense_top_k(tables.attributes(spark, folder), tables.chunks(spark, folder))
     return found.select("attribute_number", "doc_idx", _six("dense_similarity"), _long("rank"))
@@ -728,6 +745,8 @@ QUERIES: dict[str, Query] = {
     "corpus_counts": corpus_counts,
     "bm25_scores": bm25_scores,
     "bm25_topk": bm25_topk,
+    "bm25_index_topk": bm25_index_topk,
+    "bm25_index_skipping": bm25_index_skipping,
     "dense_topk": dense_topk,
     "dense_topk_scaled": dense_topk_scaled,
     "dense_topk_scaled_cosine": partial(dense_topk_scaled, metric="cosine"),
