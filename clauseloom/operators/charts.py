@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.lexicon import WORDCLOUD_STOP_WORDS
 from clauseloom.functions.text import words
-from clauseloom.operators.ordered import group_rank, take_positions
+from clauseloom.operators.selection import select_positions
 from clauseloom.operators.sizing import broadcast_if_small
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, stored
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -77,17 +77,20 @@ def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
 def length_stats(clauses: DataFrame, column: str = "token_length") -> DataFrame:
     """Mean, median, range and population deviation of an integer column.
 
-    The exact median keeps one counter per distinct value, so the state is
-    bounded by the range of lengths and not by the number of clauses.
+    The median is the mean of the two middle values, selected by counting ranges of values.
     """
-    value = F.coalesce(F.col(column), F.lit(0))
-    return clauses.agg(
+    lengths = clauses.select(F.coalesce(F.col(column), F.lit(0)).alias("value"))
+    middle = {"lower": F.floor((F.col("n") + 1) / 2), "upper": F.floor(F.col("n") / 2) + 1}
+    halves = select_positions(lengths, [], "value", middle)
+    value = F.col("value")
+    stats = lengths.agg(
         F.round(F.avg(value), 1).alias("mean"),
-        F.round(F.median(value), 1).alias("median"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.round(F.stddev_pop(value), 1).alias("std"),
     )
+    median = halves.select(F.round((F.col("lower") + F.col("upper")) / 2, 1)).scalar()
+    return stats.select("mean", median.alias("median"), "min", "max", "std")
 
 
 def heatmap(clauses: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -152,46 +155,44 @@ def attribute_bars(clauses: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_similarities(clauses: DataFrame) -> DataFrame:
-    known = clauses.where(F.col("assigned_attribute").isNotNull()).select(
+def _similarities(clauses: DataFrame) -> DataFrame:
+    return clauses.where(F.col("assigned_attribute").isNotNull()).select(
         F.col("assigned_attribute").alias("attribute"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "chunk_id"
     )
-    return group_rank(known, ["attribute"], [F.col("similarity").asc(), F.col("chunk_id").asc()], "position")
 
 
-def _box(ranked: DataFrame) -> DataFrame:
+def _box(known: DataFrame) -> DataFrame:
+    """One row per attribute: n, low, high, total and the quartiles."""
     quarter = lambda numerator: F.floor(F.col("n") * numerator / 4) + 1
-    return take_positions(
-        ranked,
-        ["attribute"],
-        "position",
-        "similarity",
-        {"q1": quarter(1), "median": quarter(2), "q3": quarter(3), "min": F.lit(1), "max": F.col("n")},
+    return select_positions(
+        known, ["attribute"], "similarity", {"q1": quarter(1), "median": quarter(2), "q3": quarter(3)}
     )
 
 
-def similarity_box(clauses: DataFrame) -> DataFrame:
-    """Quartiles without interpolation (sorted[n//4], [n//2], [3n//4]), mean and outlier count."""
-    ranked = _ranked_similarities(clauses)
-    box = broadcast_if_small(_box(ranked))
+def _outside(known: DataFrame, box: DataFrame) -> DataFrame:
+    """The rows beyond one and a half times the middle half's spread; looks at every row where it lies."""
     spread = F.col("q3") - F.col("q1")
     outside = (F.col("similarity") < F.col("q1") - 1.5 * spread) | (F.col("similarity") > F.col("q3") + 1.5 * spread)
-    rest = (
-        ranked.join(box.select("attribute", "q1", "q3"), "attribute")
-        .groupBy("attribute")
-        .agg(F.avg("similarity").alias("mean"), F.count_if(outside).alias("outliers"))
-    )
+    return known.join(broadcast_if_small(box.select("attribute", "q1", "q3")), "attribute").where(outside)
+
+
+def similarity_box(clauses: DataFrame) -> DataFrame:
+    """Quartiles without interpolation (sorted[n//4], [n//2], [3n//4]), mean and outlier count."""
+    known = _similarities(clauses)
+    box = stored(_box(known))
+    outliers = _outside(known, box).groupBy("attribute").agg(F.count("*").alias("outliers"))
+    box = box.withColumn("mean", F.col("total") / F.col("n")).withColumnsRenamed({"low": "min", "high": "max"})
     rounded = [F.round(name, 3).alias(name) for name in ("min", "q1", "median", "q3", "max", "mean")]
-    return box.join(rest, "attribute").select("attribute", *rounded, F.col("n").alias("count"), "outliers")
+    return box.join(broadcast_if_small(outliers), "attribute", "left").select(
+        "attribute", *rounded, F.col("n").alias("count"), F.coalesce("outliers", F.lit(0)).alias("outliers")
+    )
 
 
 def similarity_outliers(clauses: DataFrame) -> DataFrame:
     """The outliers themselves, one row each."""
-    ranked = _ranked_similarities(clauses)
-    box = broadcast_if_small(_box(ranked).select("attribute", "q1", "q3"))
-    spread = F.col("q3") - F.col("q1")
-    outside = (F.col("similarity") < F.col("q1") - 1.5 * spread) | (F.col("similarity") > F.col("q3") + 1.5 * spread)
-    return ranked.join(box, "attribute").where(outside).select("attribute", "chunk_id", F.round("similarity", 3).alias("similarity"))
+    known = _similarities(clauses)
+    found = _outside(known, stored(_box(known)))
+    return found.select("attribute", "chunk_id", F.round("similarity", 3).alias("similarity"))
 
 
 def length_scatter(clauses: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Nearest template per clause among the templates of the same cell.
 
 A cell is a combination of equality keys, such as (state, attribute_number).
-Neither plan ever emits clause-template pairs: similarities are computed block
+No plan ever emits clause-template pairs: similarities are computed block
 by block with matrix products and only each clause's best template leaves a task.
+
+Templates too many to travel to the tasks are dealt to pivots, some of the cell's templates
+themselves.  The distance of a clause to its nearest pivot is one that its nearest template
+does not exceed, and by the triangle inequality a pivot whose distance, less the radius of
+its templates, is larger holds no nearer one: the clause is not sent there.  Squared
+distances and cosines order templates as distances do, those of unit vectors for the cosine.
 """
 
 from __future__ import annotations
@@ -15,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.vectors import METRICS, similarities
-from clauseloom.operators.sizing import broadcast_if_small, fits
+from clauseloom.operators.sizing import broadcast_if_small
+from clauseloom.session import stored
 
 # Vector components that may be sent to every task, and block sizes of the shuffled plan.
 BROADCAST_COMPONENTS = 4_000_000
 TEMPLATE_BLOCK = 4096
 CLAUSE_BLOCK = 16384
 DIGITS = 12  # of compared scores
+SLACK = 1e-5  # of distances: their last digits, as roots of differences of squares, are not sure
+WIDTH, PIVOT = "_width", "_pivot"
 
 _OUTPUT = "clause_id long, similarity double, template_id long"
 
@@ -60,19 +69,134 @@ def nearest_template(
     """(clause_id, similarity, template_id) for every clause with a vector and a template in its cell.
 
     ``clauses`` has clause_id, the cell columns and ``embedding``; ``templates``
-    has template_id, the cell columns and ``embedding``.  Both plans compare doubles
-    and give one row per clause_id, its best over all rows with that id.
+    has template_id, the cell columns and ``embedding``.  All plans compare doubles
+    and give one row per clause_id, its best over all rows with that id.  Vectors of
+    different lengths are not compared.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    clauses = clauses.where(F.col("embedding").isNotNull()).select("clause_id", *cell, "embedding")
-    templates = templates.where(F.col("embedding").isNotNull()).select("template_id", *cell, "embedding")
-    widest = templates.select(F.size("embedding").alias("width")).head()
-    if widest is None or fits(templates, broadcast_limit // max(widest.width, 1)):
+    clauses, templates = _compared(clauses, "clause_id", cell), _compared(templates, "template_id", cell)
+    cell = [*cell, WIDTH]
+    if (templates.agg(F.sum(WIDTH)).first()[0] or 0) <= broadcast_limit:
         return _with_broadcast_templates(clauses, templates, cell, metric)
+    pivots = _pivots(templates, cell, metric, template_block)
+    if pivots is not None:
+        clauses, templates = _dealt(clauses, templates, cell, metric, pivots)
+        cell = [*cell, PIVOT]
     return _with_blocks(clauses, templates, cell, metric, template_block, clause_block)
 
 
+def _compared(rows: DataFrame, row_id: str, cell: Sequence[str]) -> DataFrame:
+    rows = rows.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    return rows.select(row_id, *cell, F.size("embedding").alias(WIDTH), "embedding")
+
+
+def pruning(
+    clauses: DataFrame, templates: DataFrame, cell: Sequence[str], metric: str = "l2sq", template_block: int = TEMPLATE_BLOCK
+) -> DataFrame:
+    """Per cell: ``pairs`` of clauses and templates, and those ``compared`` that the pivots leave."""
+    clauses, templates = _compared(clauses, "clause_id", cell), _compared(templates, "template_id", cell)
+    keys = [*cell, WIDTH]
+    pivots = _pivots(templates, keys, metric, template_block)
+    if pivots is None:
+        raise ValueError("too many pivots to travel to the tasks: nothing is pruned")
+    sent, dealt = _dealt(clauses, templates, keys, metric, pivots)
+    here = sent.groupBy(*keys, PIVOT).agg(F.count("*").alias("sent"))
+    there = dealt.groupBy(*keys, PIVOT).agg(F.count("*").alias("held"))
+    compared = here.join(there, [*keys, PIVOT]).groupBy(*keys).agg(F.sum(F.col("sent") * F.col("held")).alias("compared"))
+    both = [rows.groupBy(*keys).agg(F.count("*").alias(name)) for rows, name in ((clauses, "_c"), (templates, "_t"))]
+    pairs = both[0].join(both[1], keys).withColumn("pairs", F.col("_c") * F.col("_t"))
+    return pairs.join(compared, keys).groupBy(*cell).agg(F.sum("pairs").alias("pairs"), F.sum("compared").alias("compared"))
+
+
+def _located(vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Points whose distances order the pairs as the metric does, and which of the vectors have one."""
+    usable = np.isfinite(vectors).all(axis=1)
+    if metric == "l2sq":
+        return vectors, usable
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        length = np.sqrt((vectors * vectors).sum(axis=1))
+        usable &= (length > 0) & np.isfinite(length)
+        return vectors / length[:, None], usable
+
+
+def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    squares = (points * points).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * points @ centres.T
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+Pivots = dict[tuple, np.ndarray]
+
+
+def _pivots(templates: DataFrame, cell: Sequence[str], metric: str, template_block: int) -> Pivots | None:
+    """About one template for each block of a cell, chosen by hash; None where they are too many to send."""
+    sizes = templates.groupBy(*cell).agg(F.ceil(F.count("*") / template_block).alias("_share"), F.count("*").alias("_rows"))
+    total = sizes.agg(F.sum((F.col("_share") * 2 + 2) * F.col(WIDTH))).first()[0] or 0
+    if total > BROADCAST_COMPONENTS:
+        return None
+    chance = F.pmod(F.xxhash64("template_id"), F.col("_rows")) < F.col("_share")
+    some = templates.join(F.broadcast(sizes), list(cell)).where(chance).select(*cell, "embedding")
+    frame = some.limit(max(total, 1)).toPandas()  # fewer pivots prune less, and repeated ids could make too many
+    pivots: Pivots = {}
+    for key, group in frame.groupby(list(cell), dropna=True):
+        points, usable = _located(_stack(group["embedding"]), metric)
+        points = np.unique(points[usable], axis=0)
+        if len(points):
+            pivots[key] = points
+    return pivots
+
+
+def _dealt(
+    clauses: DataFrame, templates: DataFrame, cell: Sequence[str], metric: str, pivots: Pivots
+) -> tuple[DataFrame, DataFrame]:
+    """Templates with their pivot, and a copy of each clause for every pivot that may hold its nearest.
+
+    Cells without a pivot keep all their templates together.
+    """
+    others = [*cell, PIVOT, "embedding"]
+
+    def deal(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            for key, group in batch.groupby(list(cell), dropna=True):
+                points, usable = _located(_stack(group["embedding"]), metric)
+                group, points = group[usable], points[usable]
+                if len(group) and key in pivots:
+                    away = _distances(points, pivots[key])
+                    nearest = away.argmin(axis=1)
+                    yield group.assign(**{PIVOT: nearest, "_away": away[np.arange(len(group)), nearest]})
+                elif len(group):
+                    yield group.assign(**{PIVOT: 0, "_away": 0.0})
+
+    kinds = lambda rows, row_id: ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in (row_id, *cell, "embedding"))
+    dealt = stored(templates.mapInPandas(deal, f"{kinds(templates, 'template_id')}, {PIVOT} int, _away double"))
+    # One row for each pivot.
+    radii: dict[tuple, dict[int, float]] = {}
+    for row in dealt.groupBy(*cell, PIVOT).agg(F.max("_away").alias("_radius")).collect():
+        radii.setdefault(tuple(row[name] for name in cell), {})[row[PIVOT]] = row["_radius"]
+
+    def send(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            for key, group in batch.groupby(list(cell), dropna=True):
+                known = radii.get(key)
+                points, usable = _located(_stack(group["embedding"]), metric)
+                group, points = group[usable], points[usable]
+                if known is None or not len(group):
+                    continue
+                if key not in pivots:
+                    yield group.assign(**{PIVOT: 0})
+                    continue
+                away = _distances(points, pivots[key])
+                # Every pivot is a template, so the nearest one is no farther than the nearest pivot.
+                bound = away.min(axis=1, keepdims=True)
+                radius = np.array([known.get(i, -np.inf) for i in range(len(pivots[key]))])
+                slack = SLACK * (1 + np.abs(points).max(initial=0.0) + np.abs(pivots[key]).max(initial=0.0))
+                line, pivot = np.nonzero(away - radius <= bound + slack)
+                yield group.iloc[line].assign(**{PIVOT: pivot})
+
+    sent = clauses.mapInPandas(send, f"{kinds(clauses, 'clause_id')}, {PIVOT} int")
+    return sent.select("clause_id", *others), dealt.select("template_id", *others)
+
+
 def _with_broadcast_templates(clauses: DataFrame, templates: DataFrame, cell: Sequence[str], metric: str) -> DataFrame:
     cells: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     frame = templates.toPandas()

@@ -92,9 +92,9 @@ def clauses(spark: SparkSession, folder: str) -> DataFrame:
 
 def templates_and_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clauses labelled 1 act as templates, all others are classified."""
-    prepared = rows.withColumn("text", preprocess_text(F.col("raw_text"))).withColumn(
-        "paraphrase_embedding", F.slice("embedding", 1, 32)
-    )
+    # A second measure of the whole vector: its components count one to four times.
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i % 4 + 1))
+    prepared = rows.withColumn("text", preprocess_text(F.col("raw_text"))).withColumn("paraphrase_embedding", weighted)
     columns = ["state", "attribute_number", "text", "embedding", "paraphrase_embedding"]
     # Stands for the stored clause table, which every later step reads.
     prepared = cut_lineage(prepared.select("clause_id", "contract", "is_standard", *columns))

@@ -132,7 +132,8 @@ clauses AS (
   FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 SPLIT = f"""{CLAUSES},
-prepared AS (SELECT *, {_preprocess('raw_text')} AS text FROM clauses),
+prepared AS (SELECT *, {_preprocess('raw_text')} AS text,
+  list_transform(v, lambda x, i: x * ((i - 1) % 4 + 1)) AS weighted FROM clauses),
 templates AS (SELECT * FROM prepared WHERE is_standard = 1),
 candidates AS (SELECT * FROM prepared WHERE is_standard IS DISTINCT FROM 1),
 flagged AS (
@@ -181,7 +182,7 @@ def _nearest(name: str, vector: str, scale: Callable[[str, str], str]) -> str:
 
 SCORED = f"""{SPLIT},
 {_nearest('semantic', 'v', _cosine)},
-{_nearest('paraphrase', 'v[1:32]', _cosine)},
+{_nearest('paraphrase', 'weighted', _cosine)},
 scored AS (
   SELECT f.*, coalesce(s.similarity, 0.0) AS semantic_similarity, coalesce(p.similarity, 0.0) AS paraphrase_similarity,
     coalesce(p.template_text, '') AS template_text

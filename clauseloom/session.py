@@ -58,7 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_STORED: dict[str, SparkSession] = {}
+_STORED: list[str] = []  # paths alone, since functions that use this module travel to the tasks
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -71,12 +71,13 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if not _STORED:
         atexit.register(_delete_stored)
-    _STORED[path] = spark
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete_stored() -> None:
-    for path, spark in _STORED.items():
+    spark = SparkSession.getActiveSession()
+    for path in _STORED if spark else ():
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
