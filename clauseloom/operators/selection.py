@@ -14,10 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.operators.sizing import broadcast_if_small
+from clauseloom.operators.sizing import fits
 from clauseloom.session import stored
 
-BUCKETS = 256
+BUCKETS = 2048
+FEW_GROUPS = 10_000  # groups whose ranges are kept by the driver and sent to the tasks
 
 
 def select_positions(
@@ -36,19 +37,20 @@ def select_positions(
             F.count("*").alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high"), F.sum("_value").alias("total")
         )
     )
+    few = fits(sizes, FEW_GROUPS)
     wanted = [F.struct(F.lit(name).alias("name"), position.cast("long").alias("position")) for name, position in positions.items()]
     ranges = sizes.select(*keys, "n", "low", "high", F.explode(F.array(*wanted)).alias("_wanted")).select(
         *keys, F.col("_wanted.name").alias("name"), F.col("_wanted.position").alias("position"),
         F.lit(0).cast("long").alias("below"), "low", "high", F.col("_wanted.position").between(1, F.col("n")).alias("inside"),
     )
-    ranges = stored(ranges.where("inside").drop("inside"))
+    ranges = _kept(ranges.where("inside").drop("inside"), few)
     found = [ranges.where("low = high")]
     by_magnitude = False
     while True:
         ranges = ranges.where("low < high")
         if ranges.isEmpty():
             break
-        ranges = stored(_narrowed(known, ranges, keys, buckets, by_magnitude))
+        ranges = _kept(_narrowed(known, ranges, keys, buckets, by_magnitude, few), few)
         by_magnitude = not by_magnitude
         found.append(ranges.where("low = high"))
     done = found[0]
@@ -57,7 +59,16 @@ def select_positions(
     picked = done.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in positions))
     if not keys:
         return sizes.join(F.broadcast(picked))
-    return sizes.join(broadcast_if_small(picked), keys, "left")
+    return sizes.join(_hinted(picked, few), keys, "left")
+
+
+def _kept(ranges: DataFrame, few: bool) -> DataFrame:
+    """The ranges of a round, by the driver where they are few, else in the shared folder."""
+    return ranges.sparkSession.createDataFrame(ranges.collect(), ranges.schema) if few else stored(ranges)
+
+
+def _hinted(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
 def _magnitude(value: Column) -> Column:
@@ -66,7 +77,7 @@ def _magnitude(value: Column) -> Column:
     return F.when(size < 1e-308, F.lit(0.0)).otherwise(F.signum(value) * (F.log(size) + 710.0))
 
 
-def _narrowed(known: DataFrame, ranges: DataFrame, keys: list[str], buckets: int, by_magnitude: bool) -> DataFrame:
+def _narrowed(known: DataFrame, ranges: DataFrame, keys: list[str], buckets: int, by_magnitude: bool, few: bool) -> DataFrame:
     """Each range cut down to the part that holds its position.
 
     Parts are equal in values or in magnitudes; taking turns, they soon tell apart both close
@@ -74,7 +85,7 @@ def _narrowed(known: DataFrame, ranges: DataFrame, keys: list[str], buckets: int
     """
     # One row for each group, with its few ranges side by side.
     sides = ranges.groupBy(*keys).agg(F.collect_list(F.struct("name", "low", "high")).alias("_ranges"))
-    rows = known.join(broadcast_if_small(sides), keys) if keys else known.join(F.broadcast(sides))
+    rows = known.join(_hinted(sides, few), keys) if keys else known.join(F.broadcast(sides))
     rows = rows.select(*keys, "_value", F.explode("_ranges").alias("_range"))
     low, high = F.col("_range.low"), F.col("_range.high")
     # Halves keep the width finite for the largest doubles.
@@ -96,7 +107,7 @@ def _narrowed(known: DataFrame, ranges: DataFrame, keys: list[str], buckets: int
         F.col("position") <= F.col("below") + F.col("_before") + F.col("_rows")
     )
     return (
-        counted.join(broadcast_if_small(asked), [*keys, "name"])
+        counted.join(_hinted(asked, few), [*keys, "name"])
         .where(holds)
         .select(*keys, "name", "position", (F.col("below") + F.col("_before")).alias("below"), "low", "high")
     )
