@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions.lexicon import RULE_PATTERNS
 from clauseloom.functions.text import preprocess_text, token_count
-from clauseloom.operators.classify import rule_flags
+from clauseloom.operators.classify import Thresholds, add_following_word_negations, classify, exact_match, score_against_templates
+from clauseloom.operators.nearest import nearest_template
 from clauseloom.operators.sizing import spread
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,40 +107,59 @@ def templates_and_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return templates, candidates
 
 
+# Limits and rules under which every step of the cascade decides some of the table's clauses.
+CASCADE_THRESHOLDS = Thresholds(semantic=0.30, paraphrase=0.05, high_paraphrase=0.12)
+CASCADE_RULES = (*RULE_PATTERNS, ("exceptions", r"\bzu\b"), ("reanchoring", r"\bnum\b"))
+CASCADE_NEGATORS = ("el", "eau", "ment")
+
+
+def cascade(templates: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates after exact match, both template searches and the model stages."""
+    scored = score_against_templates(exact_match(candidates, templates), templates, "cosine", with_text=False)
+    negation = partial(add_following_word_negations, negators=CASCADE_NEGATORS)
+    return classify(scored, CASCADE_THRESHOLDS, templates=templates, negation=negation, rules=CASCADE_RULES)
+
+
 def classified(spark: SparkSession, folder: str) -> DataFrame:
-    """Clauses with a classification outcome taken from the labels."""
-    rows = clauses(spark, folder)
-    step = (
-        F.when(F.col("toxic") == 1, F.lit("step6_rule_flags"))
-        .when(F.col("is_standard") == 1, F.lit("step1_exact_match"))
-        .when(F.col("is_standard") == 0, F.lit("step3_paraphrase_failed"))
-    )
-    return rows.select(
-        "clause_id",
-        "contract",
-        "state",
-        "attribute_number",
-        "is_standard",
-        step.alias("classification_step"),
-        rule_flags(preprocess_text(F.col("raw_text")), (*RULE_PATTERNS, *TABLE_RULES)).alias("rule_flags"),
-        F.round(F.element_at("embedding", 1).cast("double"), 6).alias("semantic_similarity"),
-        F.round(F.element_at("embedding", 2).cast("double"), 6).alias("paraphrase_similarity"),
-    )
+    """The clauses that are no templates, as the cascade decides them."""
+    found = cascade(*templates_and_candidates(clauses(spark, folder)))
+    six = lambda name: F.round(name, 6).alias(name)
+    return found.select(
+        "clause_id", "contract", "state", "attribute_number", "is_standard", "classification_step", "rule_flags",
+        six("semantic_similarity"), six("paraphrase_similarity"),
+    )
 
 
-def metric_clauses(spark: SparkSession, folder: str) -> DataFrame:
-    """Clauses as the dashboard sees them; the first vector component stands for the similarity."""
+def metric_clauses(spark: SparkSession, folder: str, judged: bool = False) -> DataFrame:
+    """Clauses as the dashboard sees them.
+
+    ``judged`` adds what the searches and the cascade find: ``similarity`` to the nearest
+    template, and ``classification``, where templates are standard themselves.
+    """
     rows = clauses(spark, folder)
-    outcome = F.when(F.col("is_standard") == 1, F.lit("standard")).when(F.col("is_standard") == 0, F.lit("nonstandard"))
-    return rows.select(
+    known = rows.select(
+        "clause_id",
         F.concat(F.lit("doc_"), F.col("clause_id").cast("string")).alias("chunk_id"),
         F.concat(F.lit("contract_"), F.col("contract")).alias("contract_id"),
         F.when(F.col("n_chars") % 7 != 0, F.col("attribute_name")).alias("assigned_attribute"),
         token_count(F.col("raw_text")).alias("token_length"),
-        F.round(F.element_at("embedding", 1).cast("double"), 6).alias("similarity"),
-        outcome.alias("classification"),
         F.col("raw_text").alias("text_snippet"),
+        (F.col("is_standard") == 1).alias("is_template"),
+    )
+    if not judged:
+        return known.drop("clause_id", "is_template")
+    templates, candidates = templates_and_candidates(rows)
+    cell = ["state", "attribute_number"]
+    each = candidates.select("clause_id", *cell, "embedding").unionByName(
+        templates.select(F.col("template_id").alias("clause_id"), *cell, "embedding")
     )
+    nearest = nearest_template(each, templates, cell, "cosine").select("clause_id", F.round("similarity", 6).alias("similarity"))
+    outcome = cascade(templates, candidates).select("clause_id", "is_standard")
+    standard = F.coalesce(F.col("is_template"), F.lit(False)) | (F.col("is_standard") == 1)
+    found = known.drop("text_snippet").join(nearest, "clause_id", "left").join(outcome, "clause_id", "left")
+    found = found.withColumn("classification", F.when(standard, F.lit("standard")).otherwise(F.lit("nonstandard")))
+    # Charts read these narrow rows more than once.
+    return stored(found.drop("clause_id", "is_template", "is_standard"))
 
 
 def metric_contracts(spark: SparkSession, folder: str) -> DataFrame:

@@ -215,7 +215,7 @@ NEGATION_KEPT = """(len(cn) = len(tn) AND (len(cn) = 0 OR
 
 CASCADE_RULES = (*RULE_PATTERNS, ("exceptions", r"\bzu\b"), ("reanchoring", r"\bnum\b"))
 
-CASCADE = f"""WITH {SCORED},
+JUDGED = f"""{SCORED},
 staged AS (
   SELECT *, CASE WHEN exact = 1 THEN 'step1_exact_match' WHEN text = '' THEN 'error'
     WHEN semantic_similarity >= 0.30 THEN 'step2_semantic'
@@ -232,15 +232,18 @@ judged AS (
         || printf('%.3f', floor(paraphrase_similarity * 1000 + 0.5::DOUBLE) / 1000)
       ELSE 'One-way or neutral entailment (pred1=' || f || ', pred2=' || b || ')' END AS nli,
     (f = 0 AND b = 0) OR (f = 1 AND b = 1 AND paraphrase_similarity >= 0.12) AS passed
-  FROM staged)
-SELECT clause_id,
-  CASE WHEN early IN ('step1_exact_match', 'step2_semantic') THEN 1 WHEN early IS NOT NULL THEN 0
+  FROM staged)"""
+
+DECIDED = """CASE WHEN early IN ('step1_exact_match', 'step2_semantic') THEN 1 WHEN early IS NOT NULL THEN 0
     WHEN len(flags) = 0 AND kept AND passed THEN 1 ELSE 0 END::BIGINT AS is_standard,
   coalesce(early, CASE WHEN len(flags) > 0 THEN 'step6_rule_flags' WHEN NOT kept THEN 'step5_negation'
     ELSE 'step4_nli' END) AS classification_step,
   CASE WHEN early IS NULL OR early IN ('step2_semantic', 'step3_paraphrase_failed') THEN round(semantic_similarity, 6) END
     AS semantic_similarity,
-  CASE WHEN early IS NULL OR early = 'step3_paraphrase_failed' THEN round(paraphrase_similarity, 6) END AS paraphrase_similarity,
+  CASE WHEN early IS NULL OR early = 'step3_paraphrase_failed' THEN round(paraphrase_similarity, 6) END AS paraphrase_similarity"""
+
+CASCADE = f"""WITH {JUDGED}
+SELECT clause_id, {DECIDED},
   CASE WHEN early IS NULL THEN nli END AS nli_reasoning,
   CASE WHEN early IS NULL THEN negation END AS negation_reasoning,
   CASE WHEN early IS NULL THEN array_to_string(flags, '; ') END AS rule_flags
@@ -248,13 +251,8 @@ FROM judged"""
 
 # --- classified, metrics, search rows --------------------------------------------
 
-CLASSIFIED = f"""{CLAUSES},
-classified AS (
-  SELECT clause_id, contract, state, attribute_number, is_standard,
-    CASE WHEN toxic = 1 THEN 'step6_rule_flags' WHEN is_standard = 1 THEN 'step1_exact_match'
-      WHEN is_standard = 0 THEN 'step3_paraphrase_failed' END AS classification_step,
-    round(v[1], 6) AS semantic_similarity, round(v[2], 6) AS paraphrase_similarity, raw_text
-  FROM clauses)"""
+CLASSIFIED = f"""{JUDGED},
+classified AS (SELECT clause_id, contract, state, attribute_number, {DECIDED}, CASE WHEN early IS NULL THEN flags END AS flags FROM judged)"""
 
 BREAKDOWN = """SELECT {key} AS key, count(*) AS total, count(*) FILTER (is_standard = 1) AS standard,
   round(count(*) FILTER (is_standard = 1) / count(*)::DOUBLE * 100, 6) AS standard_percentage"""
@@ -280,13 +278,17 @@ def _summary(sections) -> str:
     )
 
 
-METRICS = f"""{CLAUSES},
+METRICS = f"""{CLASSIFIED},
+nearest_of_all AS (SELECT c.clause_id, round(max(round({_cosine('c.v', 't.v')}, 12)), 6) AS similarity
+  FROM clauses c JOIN templates t ON t.state = c.state AND t.attribute_number = c.attribute_number
+  WHERE c.v IS NOT NULL AND t.v IS NOT NULL GROUP BY c.clause_id),
 m AS (
   SELECT 'doc_' || clause_id AS chunk_id, 'contract_' || contract AS contract_id,
     CASE WHEN n_chars % 7 <> 0 THEN 'attribute_' || attribute_number END AS assigned_attribute,
-    len({_words('raw_text')}) AS token_length, round(v[1], 6) AS similarity,
-    CASE is_standard WHEN 1 THEN 'standard' WHEN 0 THEN 'nonstandard' END AS classification, raw_text AS text_snippet
-  FROM clauses),
+    len({_words('raw_text')}) AS token_length, similarity, raw_text AS text_snippet,
+    CASE WHEN clauses.is_standard = 1 OR judged_as = 1 THEN 'standard' ELSE 'nonstandard' END AS classification
+  FROM clauses LEFT JOIN nearest_of_all USING (clause_id)
+  LEFT JOIN (SELECT clause_id, is_standard AS judged_as FROM classified) USING (clause_id)),
 k AS (
   SELECT 'contract_' || contract AS contract_id, first(state ORDER BY n_chars, clause_id) AS state,
     count(*) FILTER (is_standard = 1) AS standard_count, count(*) FILTER (is_standard = 0) AS nonstandard_count,
@@ -647,8 +649,7 @@ FROM classified GROUP BY ALL""",
     "summary_by_state": f"WITH {CLASSIFIED} {BREAKDOWN.format(key='state')} FROM classified GROUP BY ALL",
     "summary_by_contract": f"""WITH {CLASSIFIED} SELECT section, contract, key, total, standard
 FROM ({_summary(SUMMARY_SETS[4:])})""",
-    "rule_flag_top10": f"""WITH {CLASSIFIED}, f AS (
-  SELECT unnest({_flags(_preprocess('raw_text'), (*RULE_PATTERNS, *TABLE_RULES))}) AS flag FROM classified)
+    "rule_flag_top10": f"""WITH {CLASSIFIED}, f AS (SELECT unnest(flags) AS flag FROM classified)
 SELECT flag, count(*) AS clauses FROM f GROUP BY flag ORDER BY clauses DESC, flag LIMIT 10""",
     "similarity_means": f"""WITH {CLASSIFIED} SELECT round(avg(semantic_similarity), 6) AS avg_semantic,
   count(semantic_similarity) AS semantic_values, round(avg(paraphrase_similarity), 6) AS avg_paraphrase,
@@ -730,7 +731,7 @@ QUALIFY row_number() OVER (PARTITION BY role ORDER BY session_id * 100 + seq DES
 WHERE session_id = (SELECT min(session_id) FROM msg)""",
     "history_clear": f"""WITH {MESSAGES} SELECT session_id, seq, text FROM msg
 WHERE session_id <> (SELECT min(session_id) FROM msg)""",
-    "session_history": """SELECT conv_id AS session_id, turn AS seq, role FROM conversations
-QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3""",
+    "session_history": f"""WITH {MESSAGES} SELECT session_id, seq, role, text FROM msg
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 3""",
     "first_rows_per_file": f"WITH {SEARCH} SELECT source_filename, row_index, position FROM first_rows",
 }

@@ -24,7 +24,6 @@ from clauseloom.streaming.ingest import ingest
 Query = Callable[[SparkSession, str], DataFrame]
 
 CAPS = {1: 7, 2: 7, 3: 3, 4: 5, 5: 5}
-TABLE_THRESHOLDS = classify.Thresholds(semantic=0.30, paraphrase=0.05, high_paraphrase=0.12)
 QUERY_TEXT = "of Attention to que"
 
 
@@ -550,15 +549,7 @@ def negation_jaccard(spark, folder):
 
 def classify_cascade(spark, folder):
     templates, candidates = tables.templates_and_candidates(tables.clauses(spark, folder))
-    exact = classify.exact_match(candidates, templates)
-    scored = classify.score_against_templates(exact, templates, "cosine", with_text=False)
-    found = classify.classify(
-        scored,
-        TABLE_THRESHOLDS,
-        templates=templates,
-        negation=partial(classify.add_following_word_negations, negators=("el", "eau", "ment")),
-        rules=(*RULE_PATTERNS, ("exceptions", r"\bzu\b"), ("reanchoring", r"\bnum\b")),
-    )
+    found = tables.cascade(templates, candidates)
     return found.select(
         "clause_id",
         _long("is_standard"),
@@ -645,7 +636,7 @@ def token_stats(spark, folder):
 
 
 def heatmap_attr_state(spark, folder):
-    return charts.heatmap(tables.metric_clauses(spark, folder), tables.metric_contracts(spark, folder))
+    return charts.heatmap(tables.metric_clauses(spark, folder, judged=True), tables.metric_contracts(spark, folder))
 
 
 def contract_bar(spark, folder):
@@ -653,19 +644,19 @@ def contract_bar(spark, folder):
 
 
 def attribute_bar(spark, folder):
-    return charts.attribute_bars(tables.metric_clauses(spark, folder))
+    return charts.attribute_bars(tables.metric_clauses(spark, folder, judged=True))
 
 
 def similarity_boxplot(spark, folder):
-    return charts.similarity_box(tables.metric_clauses(spark, folder))
+    return charts.similarity_box(tables.metric_clauses(spark, folder, judged=True))
 
 
 def similarity_outliers(spark, folder):
-    return charts.similarity_outliers(tables.metric_clauses(spark, folder))
+    return charts.similarity_outliers(tables.metric_clauses(spark, folder, judged=True))
 
 
 def scatter_len_sim(spark, folder):
-    found = charts.length_scatter(tables.metric_clauses(spark, folder))
+    found = charts.length_scatter(tables.metric_clauses(spark, folder, judged=True))
     return found.withColumn("x", _long("x"))
 
 
@@ -718,7 +709,7 @@ def last_20_messages(spark, folder):
 
 def session_history(spark, folder):
     recent = search.recent_messages(tables.messages(spark, folder), 3)
-    return recent.select("session_id", "seq", "role")
+    return recent.select("session_id", "seq", "role", "text")
 
 
 def _first_session(messages: DataFrame) -> str:
