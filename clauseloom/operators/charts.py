@@ -16,6 +16,7 @@ from clauseloom.functions.lexicon import WORDCLOUD_STOP_WORDS
 from clauseloom.functions.text import words
 from clauseloom.operators.selection import select_positions
 from clauseloom.operators.sizing import broadcast_if_small
+from clauseloom.operators.topcounts import top_counts
 from clauseloom.session import cut_lineage, stored
 
 
@@ -226,12 +227,6 @@ def processing_timeline(timings: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def word_cloud(clauses: DataFrame, stop_words: Iterable[str] = WORDCLOUD_STOP_WORDS, top: int = 50) -> DataFrame:
     """Most frequent words longer than three characters; ties by word."""
-    # The outer form avoids splitting twice; its NULLs fail the length filter.
-    word = F.explode_outer(words(F.lower("text_snippet"))).alias("text")
-    counted = (
-        clauses.select(word)
-        .where((F.char_length("text") > 3) & ~F.col("text").isin(list(stop_words)))
-        .groupBy("text")
-        .agg(F.count("*").alias("value"))
-    )
-    return counted.withColumn("size", F.least(F.col("value") * 2, F.lit(100))).orderBy(F.desc("value"), F.asc("text")).limit(top)
+    kept = F.filter(words(F.lower("text_snippet")), lambda word: (F.char_length(word) > 3) & ~word.isin(list(stop_words)))
+    counted = top_counts(clauses, kept, top).select(F.col("item").alias("text"), F.col("amount").alias("value"))
+    return counted.withColumn("size", F.least(F.col("value") * 2, F.lit(100)))

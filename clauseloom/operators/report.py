@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.operators.topcounts import top_counts
+
 UNKNOWN = "unknown"
 
 
@@ -88,14 +90,12 @@ def breakdown(classified: DataFrame, key: Column, name: str) -> DataFrame:
 
 def flag_histogram(classified: DataFrame, top: int | None = 10) -> DataFrame:
     """Most frequent rule flags; ties by flag text."""
-    counted = (
-        classified.select(F.explode_outer("rule_flags").alias("flag"))
-        .where(F.col("flag").isNotNull())
-        .groupBy("flag")
-        .agg(F.count("*").alias("clauses"))
-    )
-    ordered = counted.orderBy(F.desc("clauses"), F.asc("flag"))
-    return ordered if top is None else ordered.limit(top)
+    if top is not None:
+        return top_counts(classified, F.col("rule_flags"), top).select(
+            F.col("item").alias("flag"), F.col("amount").alias("clauses")
+        )
+    flags = classified.select(F.explode_outer("rule_flags").alias("flag")).where(F.col("flag").isNotNull())
+    return flags.groupBy("flag").agg(F.count("*").alias("clauses")).orderBy(F.desc("clauses"), F.asc("flag"))
 
 
 def similarity_means(classified: DataFrame) -> DataFrame:
