@@ -130,11 +130,11 @@ def classified(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def metric_clauses(spark: SparkSession, folder: str, judged: bool = False) -> DataFrame:
+def metric_clauses(spark: SparkSession, folder: str, similar: bool = False, judged: bool = False) -> DataFrame:
     """Clauses as the dashboard sees them.
 
-    ``judged`` adds what the searches and the cascade find: ``similarity`` to the nearest
-    template, and ``classification``, where templates are standard themselves.
+    ``similar`` adds the ``similarity`` to the nearest template, ``judged`` that and the cascade's
+    ``classification``, where templates are standard themselves.
     """
     rows = clauses(spark, folder)
     known = rows.select(
@@ -146,7 +146,7 @@ def metric_clauses(spark: SparkSession, folder: str, judged: bool = False) -> Da
         F.col("raw_text").alias("text_snippet"),
         (F.col("is_standard") == 1).alias("is_template"),
     )
-    if not judged:
+    if not (similar or judged):
         return known.drop("clause_id", "is_template")
     templates, candidates = templates_and_candidates(rows)
     cell = ["state", "attribute_number"]
@@ -154,10 +154,13 @@ def metric_clauses(spark: SparkSession, folder: str, judged: bool = False) -> Da
         templates.select(F.col("template_id").alias("clause_id"), *cell, "embedding")
     )
     nearest = nearest_template(each, templates, cell, "cosine").select("clause_id", F.round("similarity", 6).alias("similarity"))
-    outcome = cascade(templates, candidates).select("clause_id", "is_standard")
-    standard = F.coalesce(F.col("is_template"), F.lit(False)) | (F.col("is_standard") == 1)
-    found = known.drop("text_snippet").join(nearest, "clause_id", "left").join(outcome, "clause_id", "left")
-    found = found.withColumn("classification", F.when(standard, F.lit("standard")).otherwise(F.lit("nonstandard")))
+    found = known.drop("text_snippet").join(nearest, "clause_id", "left")
+    if judged:
+        outcome = cascade(templates, candidates).select("clause_id", "is_standard")
+        standard = F.coalesce(F.col("is_template"), F.lit(False)) | (F.col("is_standard") == 1)
+        found = found.join(outcome, "clause_id", "left").withColumn(
+            "classification", F.when(standard, F.lit("standard")).otherwise(F.lit("nonstandard"))
+        )
     # Charts read these narrow rows more than once.
     return stored(found.drop("clause_id", "is_template", "is_standard"))
 

@@ -636,7 +636,7 @@ def token_stats(spark, folder):
 
 
 def heatmap_attr_state(spark, folder):
-    return charts.heatmap(tables.metric_clauses(spark, folder, judged=True), tables.metric_contracts(spark, folder))
+    return charts.heatmap(tables.metric_clauses(spark, folder, similar=True), tables.metric_contracts(spark, folder))
 
 
 def contract_bar(spark, folder):
@@ -648,11 +648,11 @@ def attribute_bar(spark, folder):
 
 
 def similarity_boxplot(spark, folder):
-    return charts.similarity_box(tables.metric_clauses(spark, folder, judged=True))
+    return charts.similarity_box(tables.metric_clauses(spark, folder, similar=True))
 
 
 def similarity_outliers(spark, folder):
-    return charts.similarity_outliers(tables.metric_clauses(spark, folder, judged=True))
+    return charts.similarity_outliers(tables.metric_clauses(spark, folder, similar=True))
 
 
 def scatter_len_sim(spark, folder):
