@@ -145,3 +145,11 @@ NO_CONTENT = "No preprocessed content"
 UNKNOWN_STATE = "Unknown state for collection"
 SEMANTIC_SCORE = "Semantic similarity: "
 PARAPHRASE_SCORE = "Paraphrase similarity: "
+RULE_FLAGS = "Rule flags triggered: "
+NEGATION_MISMATCH = "Negation scope mismatch: "
+NLI_PASSED = "NLI passed: "
+NLI_FAILED = "NLI failed: "
+
+# The line shown where no model answers.
+ANSWER_NOTHING = "No relevant information found"
+ANSWER_COUNT = " non-standard clauses"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.functions.lexicon import ANSWER_COUNT, ANSWER_NOTHING
 from clauseloom.functions.text import clause_number, contract_hint, query_keywords, single_line, standard_hint
 from clauseloom.operators.ordered import top_k
 
@@ -132,13 +133,13 @@ def fallback_answer(found: DataFrame, is_standard: int | None) -> DataFrame:
     summary = found.agg(first.alias("first"), F.count("*").alias("rows"))
     shown = lambda name: F.coalesce(F.col(f"first.{name}").cast("string"), F.lit("N/A"))
     counted = F.concat(
-        F.col("first.source_filename"), F.lit(": "), F.col("rows").cast("string"), F.lit(" non-standard clauses")
+        F.col("first.source_filename"), F.lit(": "), F.col("rows").cast("string"), F.lit(ANSWER_COUNT)
     )
     item = F.concat(
         F.lit("Clause "), shown("clause_number"), F.lit(" page "), shown("page"), F.lit(" - "), shown("attribute_name")
     )
     return summary.select(
-        F.when(F.col("rows") == 0, F.lit("No relevant information found"))
+        F.when(F.col("rows") == 0, F.lit(ANSWER_NOTHING))
         .when(F.lit(is_standard == 0), counted)
         .otherwise(item)
         .alias("answer")
