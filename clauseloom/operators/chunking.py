@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from clauseloom.functions.markdown import clean_page, large_file_fields, pages
-from clauseloom.functions.text import clean_text, file_stem, strip, token_count
+from clauseloom.functions.text import SPACE_CHARACTERS, clean_text, file_stem, strip, token_count
+from clauseloom.operators.sizing import broadcast_if_small
+from clauseloom.operators.splitting import Measure, split_places, word_length
 
 # Header levels, sizes, overlaps and separators of the chunk formats.
 LEVELS = ("section", "clause", "subclause")
@@ -28,161 +30,163 @@ def document_key(documents: DataFrame) -> Column:
     return F.col("document_id" if "document_id" in documents.columns else "source_file").cast("string")
 
 
+def document_pages(documents: DataFrame) -> DataFrame:
+    """(document_id, source_file, pages) of documents that are not blank; pages is an array of (page_number, content)."""
+    cleaned = F.transform(
+        pages(F.col("value")),
+        lambda page: F.struct(page["page_number"].alias("page_number"), clean_page(page["content"]).alias("content")),
+    )
+    return documents.where(strip(F.col("value")) != "").select(
+        document_key(documents).alias("document_id"), "source_file", cleaned.alias("pages")
+    )
+
+
 def split_pages(documents: DataFrame) -> DataFrame:
     """(document_id, source_file, segment_no, page_number, content) per page marker; blank documents are skipped.
 
     Every marker begins a segment of its own, also where a page number comes again.
     """
-    return (
-        documents.where(strip(F.col("value")) != "")
-        .select(
-            document_key(documents).alias("document_id"),
-            "source_file",
-            F.posexplode_outer(pages(F.col("value"))).alias("segment_no", "page"),
-        )
-        .where(F.col("page.page_number").isNotNull())
-        .select("document_id", "source_file", "segment_no", "page.page_number", clean_page(F.col("page.content")).alias("content"))
+    return document_pages(documents).select(
+        "document_id", "source_file", F.posexplode("pages").alias("segment_no", "page")
+    ).select("document_id", "source_file", "segment_no", "page.page_number", "page.content")
+
+
+# --- header state ---------------------------------------------------------------
+
+Headers = tuple[str | None, str | None, str | None]
+NO_HEADERS: Headers = (None, None, None)
+_HEADER_MARK = re.compile(r"(#{1,3})(?: .*)?\Z", re.DOTALL)
+_SECTION = f"segment_no int, section_no int, {', '.join(f'{level} string' for level in LEVELS)}, content string"
+
+
+def later_headers(left: Headers, right: Headers) -> Headers:
+    """Last known header of every level after two stretches of text.  Associative; ``NO_HEADERS`` changes nothing."""
+    section, clause, subclause = (after if after is not None else before for before, after in zip(left, right))
+    return section, clause, subclause
+
+
+def segment_sections(content: str) -> list[tuple[Headers, str]]:
+    """Headers and text of the sections of one segment, read line by line.
+
+    A new header closes deeper levels.  Lines under the same headers form one section;
+    blank lines separate its paragraphs.  Lines between code fences are text.
+    """
+    found: list[tuple[Headers, list[str]]] = []
+    open_headers, last_body, fenced = NO_HEADERS, -1, False
+    for number, raw in enumerate(content.split("\n")):
+        line = raw.strip(SPACE_CHARACTERS)
+        if line.startswith("```") and line.count("```") == 1:
+            fenced = not fenced
+        mark = None if fenced else _HEADER_MARK.match(line)
+        if mark:
+            level = len(mark[1])
+            title = line[level:].strip(SPACE_CHARACTERS)
+            section, clause, subclause = (*open_headers[: level - 1], title, *NO_HEADERS[level:])
+            open_headers = (section, clause, subclause)
+        elif line or fenced:
+            if found and found[-1][0] == open_headers:
+                found[-1][1].append(("  \n" if number - last_body > 1 else "\n") + line)
+            else:
+                found.append((open_headers, [line]))
+            last_body = number
+    return [(headers, "".join(parts)) for headers, parts in found]
+
+
+def sections_of(contents: Column, carry: bool) -> Column:
+    """ARRAY<STRUCT<segment_no, section_no, section, clause, subclause, content>> of the segments in an array.
+
+    Control and format characters are dropped first.  With ``carry``, sections without any
+    header take the last known header of every level from the segments before.
+    """
+    visible = F.transform(contents, lambda text: F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}&&[^\n]]", ""))
+
+    @F.pandas_udf(f"array<struct<{_SECTION.replace(' ', ':').replace(',:', ',')}>>")
+    def fold(texts: pd.Series) -> pd.Series:
+        def sections(segments: Sequence[str]) -> list[tuple]:
+            rows, known = [], NO_HEADERS
+            for segment_no, segment in enumerate(segments):
+                for section_no, (own, content) in enumerate(segment_sections(segment), start=1):
+                    known = later_headers(known, own)
+                    shown = known if carry and own == NO_HEADERS else own
+                    rows.append((segment_no, section_no, *shown, content))
+            return [dict(zip(names, row)) for row in rows]
+
+        names = [field.split(" ")[0] for field in _SECTION.split(", ")]
+        return texts.map(sections, na_action="ignore")
+
+    return fold(visible)
+
+
+def document_sections(documents: DataFrame) -> DataFrame:
+    """(document_id, source_file, sections): parsed where the document lies, headers carried from page to page.
+
+    A section is (segment_no, page_number, section_no, section, clause, subclause, content).  Nothing is
+    exchanged; ``header_sections`` and ``carry_headers`` do the same for documents of several rows.
+    """
+    parsed = document_pages(documents).withColumn("found", sections_of(F.col("pages.content"), carry=True))
+    section = F.transform(
+        "found",
+        lambda row: F.struct(
+            row["segment_no"].alias("segment_no"),
+            F.get("pages.page_number", row["segment_no"]).alias("page_number"),
+            row["section_no"].alias("section_no"),
+            *[row[level].alias(level) for level in LEVELS],
+            row["content"].alias("content"),
+        ),
     )
+    return parsed.select("document_id", "source_file", section.alias("sections"))
 
 
 def header_sections(page_rows: DataFrame) -> DataFrame:
     """(document_id, source_file, segment_no, page_number, section_no, section, clause, subclause, content).
 
-    A new header closes deeper levels within its segment.  Lines under the same
-    headers form one section; blank lines separate its paragraphs.  All steps
-    work per segment of one document, which is never larger than one input row,
-    and share a single shuffle by document.
+    Each segment is parsed in its row; headers of earlier segments come by ``carry_headers``.
     """
-    # Control and format characters are dropped before a line is looked at.
     page = ["document_id", "source_file", "segment_no", "page_number"]
-    line_text = strip(F.regexp_replace("line", r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]", ""))
-    lines = (
-        page_rows.repartition("document_id")
-        .select(*page, F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-        .withColumn("line", line_text)
-    )
-    so_far = Window.partitionBy(*page).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    fence = F.col("line").rlike("^```") & (F.size(F.split("line", "```")) == 2)
-    lines = lines.withColumn("_fences", F.sum(F.when(fence, 1).otherwise(0)).over(so_far))
-    in_fence = F.col("_fences") % 2 == 1
-    mark = F.when(~in_fence, F.char_length(F.regexp_extract("line", r"^(#{1,3})(?: .*)?$", 1))).otherwise(0)
-    lines = lines.withColumn("_level", mark).withColumn(
-        "_title", F.when(F.col("_level") > 0, strip(F.regexp_replace("line", r"^#{1,3}", "")))
-    )
-    for level, _ in enumerate(LEVELS, start=1):
-        # Last header of this level that no higher header has closed since.
-        here = F.col("_level") == level
-        lines = lines.withColumn(f"_at{level}", F.last(F.when(here, F.col("line_no")), ignorenulls=True).over(so_far))
-        lines = lines.withColumn(f"_text{level}", F.last(F.when(here, F.col("_title")), ignorenulls=True).over(so_far))
-    for level, name in enumerate(LEVELS, start=1):
-        open_ = F.lit(True)
-        for higher in range(1, level):
-            open_ = open_ & (F.coalesce(f"_at{higher}", F.lit(-1)) < F.col(f"_at{level}"))
-        lines = lines.withColumn(name, F.when(open_, F.col(f"_text{level}")))
-
-    body = lines.where((F.col("_level") == 0) & ((F.col("line") != "") | in_fence))
-    ordered = Window.partitionBy(*page).orderBy("line_no")
-    headers = F.struct(*LEVELS)
-    body = (
-        body.withColumn("_headers", headers)
-        .withColumn("_new", F.coalesce(~F.col("_headers").eqNullSafe(F.lag("_headers").over(ordered)), F.lit(True)))
-        .withColumn("_gap", F.col("line_no") - F.lag("line_no").over(ordered) > 1)
-        .withColumn(
-            "section_no",
-            F.sum(F.col("_new").cast("int")).over(
-                ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-    )
-    joint = F.when(F.col("_new"), F.lit("")).when(F.col("_gap"), F.lit("  \n")).otherwise(F.lit("\n"))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", F.concat(joint, F.col("line")).alias("text"))))
-    return (
-        body.groupBy(*page, "section_no")
-        .agg(
-            *[F.first(name).alias(name) for name in LEVELS],
-            F.array_join(F.transform(parts, lambda part: part["text"]), "").alias("content"),
-        )
-    )
+    found = page_rows.select(*page, F.explode(sections_of(F.array("content"), carry=False)).alias("found"))
+    return found.select(*page, *[f"found.{name}" for name in ("section_no", *LEVELS, "content")])
 
 
 def carry_headers(sections: DataFrame) -> DataFrame:
-    """Give sections without any header the last known header of every level."""
-    earlier = (
-        Window.partitionBy("document_id")
-        .orderBy("segment_no", "section_no")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    bare = F.col(LEVELS[0]).isNull() & F.col(LEVELS[1]).isNull() & F.col(LEVELS[2]).isNull()
-    carried = [
-        F.when(bare, F.last(name, ignorenulls=True).over(earlier)).otherwise(F.col(name)).alias(name) for name in LEVELS
+    """Give sections without any header the last known header of every level.
+
+    Only the first section of a segment can have none, so a prefix scan over one summary
+    per segment (its last header of every level) holds all it may take; texts are not
+    exchanged while the summaries are few enough to be sent to them.
+    """
+    segment = ["document_id", "segment_no"]
+    last = [
+        F.max_by(level, F.when(F.col(level).isNotNull(), F.col("section_no"))).alias(f"_{level}") for level in LEVELS
     ]
-    return sections.select("document_id", "source_file", "segment_no", "page_number", "section_no", *carried, "content")
+    before = Window.partitionBy("document_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
+    known = sections.groupBy(*segment).agg(*last).select(
+        *[F.col(name).alias(f"_{name}") for name in segment],
+        *[F.last(f"_{level}", ignorenulls=True).over(before).alias(f"_{level}") for level in LEVELS],
+    )
+    here = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in segment]
+    bare = F.coalesce(*LEVELS).isNull()
+    return sections.join(broadcast_if_small(known), here[0] & here[1], "left").select(
+        "document_id",
+        "source_file",
+        "segment_no",
+        "page_number",
+        "section_no",
+        *[F.when(bare, F.col(f"_{level}")).otherwise(F.col(level)).alias(level) for level in LEVELS],
+        "content",
+    )
 
 
-def header_path() -> Column:
-    parts = [F.concat(F.lit(f"{name}:"), F.col(name)) for name in LEVELS]
+def header_path(section: Column | None = None) -> Column:
+    """Headers as one line, of the row or of a section struct."""
+    level = F.col if section is None else section.getField
+    parts = [F.concat(F.lit(f"{name}:"), level(name)) for name in LEVELS]
     joined = F.concat_ws(" > ", *parts)
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_HEADER))
 
 
 # --- recursive splitting -------------------------------------------------------
 
-
-def word_length(text: str) -> int:
-    return len(text.split())
-
-
-def _cut(text: str, separator: str) -> list[str]:
-    """Pieces of ``text``, each later piece keeping its separator in front."""
-    if separator == "":
-        return list(text)
-    head, *rest = text.split(separator)
-    return [piece for piece in [head, *(separator + part for part in rest)] if piece]
-
-
-def _pack(pieces: list[str], size: int, overlap: int, length: Callable[[str], int]) -> list[str]:
-    """Fill chunks up to ``size``; each starts with the tail of the one before, up to ``overlap``."""
-    packed: list[str] = []
-    window: list[tuple[str, int]] = []
-    total = 0
-
-    def close() -> None:
-        text = "".join(piece for piece, _ in window).strip()
-        if text:
-            packed.append(text)
-
-    for piece in pieces:
-        cost = length(piece)
-        if window and total + cost > size:
-            close()
-            while total > overlap or (total > 0 and total + cost > size):
-                total -= window.pop(0)[1]
-        window.append((piece, cost))
-        total += cost
-    close()
-    return packed
-
-
-def split_recursively(
-    text: str, size: int, overlap: int, separators: Sequence[str], length: Callable[[str], int] = len
-) -> list[str]:
-    """Split at the coarsest separator present; pieces still too long go on with finer ones."""
-    position = next(
-        (index for index, separator in enumerate(separators) if separator == "" or separator in text),
-        len(separators) - 1,
-    )
-    finer = separators[position + 1 :]
-    chunks: list[str] = []
-    small: list[str] = []
-    for piece in _cut(text, separators[position]):
-        if length(piece) < size:
-            small.append(piece)
-            continue
-        chunks += _pack(small, size, overlap, length)
-        small = []
-        chunks += split_recursively(piece, size, overlap, finer, length) if finer else [piece]
-    return chunks + _pack(small, size, overlap, length)
+_PIECE = "struct<start:int,content:string>"
 
 
 def recursive_splits(
@@ -190,69 +194,107 @@ def recursive_splits(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     separators: Sequence[str] = SEPARATORS,
-    length: Callable[[str], int] = word_length,
+    length: Measure = word_length,
 ) -> Column:
-    """ARRAY<STRING> of the pieces of each text; ``length`` measures tokens or characters."""
+    """ARRAY<STRUCT<start, content>>: pieces of each text and their places; ``length`` measures tokens or characters."""
 
-    @F.pandas_udf(ArrayType(StringType()))
+    @F.pandas_udf(f"array<{_PIECE}>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda value: split_recursively(value, size, overlap, separators, length), na_action="ignore"
-        )
+        return texts.map(lambda value: _pieces(value, size, overlap, separators, length), na_action="ignore")
 
     return split(text)
 
 
-def number_chunks(pieces: DataFrame) -> DataFrame:
-    """Assign chunk ids; ``pieces`` has document_id, source_file, segment_no, page_number, section_no,
-    header_path, piece_no, content.
+def split_each(
+    texts: Column,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    separators: Sequence[str] = SEPARATORS,
+    length: Measure = word_length,
+) -> Column:
+    """``recursive_splits`` of every text in an array of texts."""
+
+    @F.pandas_udf(f"array<array<{_PIECE}>>")
+    def split(arrays: pd.Series) -> pd.Series:
+        return arrays.map(
+            lambda values: [_pieces(value, size, overlap, separators, length) for value in values], na_action="ignore"
+        )
+
+    return split(texts)
+
+
+def _pieces(text: str, size: int, overlap: int, separators: Sequence[str], length: Measure) -> list[dict]:
+    found = split_places(text, size, overlap, separators, length)
+    return [{"start": start, "content": piece} for start, piece in found]
 
-    The running number restarts per document, so the window never spans more
-    than the chunks of one input row.
+
+def number_chunks(sections: DataFrame, pieces: Column) -> DataFrame:
+    """Chunk rows of ``document_sections``; ``pieces`` holds an array of (start, content) for every section.
+
+    Blank pieces are dropped.  The running number counts through the document, whose
+    sections are one row, so it is a place in an array and nothing is exchanged.
+    ``segment_no``, ``section_no`` and ``start`` say where a chunk lies.
     """
-    window = Window.partitionBy("document_id").orderBy("segment_no", "section_no", "piece_no")
-    kept = pieces.withColumn("content", strip(F.col("content"))).where(F.col("content") != "")
-    number = F.row_number().over(window).cast("string")
-    return kept.select(
-        F.concat(
-            file_stem(F.col("source_file")), F.lit("_p"), F.col("page_number").cast("string"), F.lit("_c"), number
-        ).alias("chunk_id"),
-        "page_number",
-        "header_path",
-        (F.col("piece_no") + 1).cast("int").alias("chunk_index"),
-        "content",
-        token_count(F.col("content")).alias("token_count"),
+    entries = F.flatten(
+        F.zip_with(
+            "sections",
+            pieces,
+            lambda section, parts: F.transform(
+                parts,
+                lambda part, place: F.struct(
+                    section["page_number"].alias("page_number"),
+                    header_path(section).alias("header_path"),
+                    (place + 1).cast("int").alias("chunk_index"),
+                    strip(part["content"]).alias("content"),
+                    section["segment_no"].alias("segment_no"),
+                    section["section_no"].alias("section_no"),
+                    part["start"].alias("start"),
+                ),
+            ),
+        )
+    )
+    kept = F.filter(entries, lambda entry: entry["content"] != "")
+    rows = sections.select("document_id", "source_file", F.posexplode(kept).alias("place", "entry"))
+    number = (F.col("place") + 1).cast("string")
+    page = F.col("entry.page_number").cast("string")
+    return rows.select(
+        F.concat(file_stem(F.col("source_file")), F.lit("_p"), page, F.lit("_c"), number).alias("chunk_id"),
+        "entry.page_number",
+        "entry.header_path",
+        "entry.chunk_index",
+        "entry.content",
+        token_count(F.col("entry.content")).alias("token_count"),
         "source_file",
         "document_id",
+        "entry.segment_no",
+        "entry.section_no",
+        "entry.start",
     )
 
 
+def placed_chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``chunk_documents`` with segment_no, section_no and start: where in its section's text a chunk begins."""
+    return number_chunks(document_sections(documents), split_each(F.col("sections.content"), size, overlap))
+
+
 def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(source_file, value) markdown documents to chunk rows.
+    """(source_file, value) markdown documents to chunk rows, each document where it lies.
 
     A column ``document_id`` keeps apart documents with the same file name.
     """
-    sections = carry_headers(header_sections(split_pages(documents)))
-    pieces = sections.select(
-        "document_id",
-        "source_file",
-        "segment_no",
-        "page_number",
-        "section_no",
-        header_path().alias("header_path"),
-        F.posexplode(recursive_splits(F.col("content"), size, overlap)).alias("piece_no", "content"),
-    )
-    return number_chunks(pieces).withColumn("document_type", F.lit("legal_contract"))
+    chunks = placed_chunks(documents, size, overlap).drop("segment_no", "section_no", "start")
+    return chunks.withColumn("document_type", F.lit("legal_contract"))
 
 
-def chunk_large_documents(
+def placed_large_chunks(
     documents: DataFrame, size: int = LARGE_CHUNK_SIZE, overlap: int = LARGE_CHUNK_OVERLAP
 ) -> DataFrame:
-    """Character-sized chunks of whole documents; page, section and clause come from each chunk's text."""
+    """``chunk_large_documents`` with ``start``: where in the document's text a chunk begins."""
     splits = recursive_splits(F.col("value"), size, overlap, LARGE_SEPARATORS, len)
     pieces = documents.select("source_file", document_key(documents).alias("document_id"), splits.alias("pieces")).select(
-        "source_file", "document_id", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "piece")
+        "source_file", "document_id", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "found")
     )
+    pieces = pieces.withColumn("piece", F.col("found.content"))
     return pieces.select(
         F.concat(
             file_stem(F.col("source_file")),
@@ -265,9 +307,17 @@ def chunk_large_documents(
         "chunk_index",
         "total_chunks",
         "document_id",
+        "found.start",
     )
 
 
+def chunk_large_documents(
+    documents: DataFrame, size: int = LARGE_CHUNK_SIZE, overlap: int = LARGE_CHUNK_OVERLAP
+) -> DataFrame:
+    """Character-sized chunks of whole documents; page, section and clause come from each chunk's text."""
+    return placed_large_chunks(documents, size, overlap).drop("start")
+
+
 # --- attribute sheets and batches ------------------------------------------------
 
 

