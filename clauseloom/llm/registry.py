@@ -61,7 +61,8 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_reputation.judge(table(spark, folder, "pages"), outcomes).drop("reputation")
+    judged = url_reputation.judge(table(spark, folder, "pages"), outcomes)
+    return judged.withColumn("reputation", F.round("reputation", 6))
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Labelled page outcomes are counted per host, registered domain and suffix.  Each level
 is shrunk to the one above by a beta-binomial prior: its mean is the level above, its
 strength is fitted to the spread of the rates at that level by the method of moments.
-A page whose host is bad beyond doubt - the lower bound of its posterior bad rate lies
-above a limit - is blocked.
+A page whose host is worse than most beyond doubt - the lower bound of its posterior bad
+rate lies above a multiple of the rate of all pages - is blocked.
 """
 
 from __future__ import annotations
@@ -43,9 +43,11 @@ RULES = (
 
 @dataclass(frozen=True)
 class Reputation:
-    """``limit``: highest bad rate that is let through; ``z``: posterior standard deviations of
+    """``lift``: how many times the bad rate of all pages a host's bound may be to be let through, and
+    ``limit``: the highest bound let through whatever that rate; ``z``: posterior standard deviations of
     the bound; strengths of fitted priors lie between ``weakest`` and ``strongest`` outcomes."""
 
+    lift: float = 1.25
     limit: float = 0.5
     z: float = 1.645
     weakest: float = 2.0
@@ -151,7 +153,8 @@ def judge(
 
     ``outcomes`` holds (page_id, bad boolean): pages labelled good or bad.  The longest
     rule that fits decides; without one, a page is blocked if the lower posterior bound of
-    its host lies above the limit, and allowed otherwise.  A host without labelled pages
+    its host lies above ``lift`` times the rate of all pages or above ``limit``, and allowed
+    otherwise.  A host without labelled pages
     takes the bound of its domain, then its suffix, then of all pages.  ``reputation`` is
     the bound.  Null urls and urls without ``://`` have an empty host and path, and
     empty hosts share a reputation.  Repeated rows are judged one by one; null page ids
@@ -174,7 +177,8 @@ def judge(
         .select("host", F.coalesce("_host", "_domain", "_suffix", F.lit(levels.lower)).alias("reputation"))
     )
     host, path = F.col("host"), F.col("path")
-    by_reputation = F.when(F.col("reputation") > options.limit, F.lit("block")).otherwise(F.lit("allow"))
+    limit = min(options.limit, options.lift * levels.rate)
+    by_reputation = F.when(F.col("reputation") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return read.join(known, "host").select(
         "page_id",
         "host",
@@ -186,7 +190,7 @@ def judge(
 
 
 def oracle_sql() -> str:
-    """DuckDB twin of ``judge`` on pages and labels with the default options (without ``reputation``)."""
+    """DuckDB twin of ``judge`` on pages and labels with the default options, ``reputation`` to six digits."""
     o = Reputation()
     ordered = sorted(RULES, key=lambda r: -len(r.text))
 
@@ -225,8 +229,9 @@ def oracle_sql() -> str:
     g0 as (select h1.host, h1.n, h1.bad, d_p.rate as mean from h1 join d_p on h1.domain = d_p.domain),
     {shrunk("g", "g0")}
     select page_id, r.host, path, {cases("text")} as rule,
-        coalesce({cases("verdict")}, case when coalesce(g_p.lower, d_p.lower, s_p.lower, t.lower) > {o.limit}
-            then 'block' else 'allow' end) as verdict
+        coalesce({cases("verdict")}, case when coalesce(g_p.lower, d_p.lower, s_p.lower, t.lower)
+            > least({o.limit}, {o.lift} * t.rate) then 'block' else 'allow' end) as verdict,
+        round(coalesce(g_p.lower, d_p.lower, s_p.lower, t.lower), 6) as reputation
     from r cross join t left join g_p on r.host = g_p.host
         left join d_p on regexp_extract(r.host, '([^.]*[.])?[^.]*$') = d_p.domain
         left join s_p on regexp_extract(r.host, '[^.]*$') = s_p.suffix

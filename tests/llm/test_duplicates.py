@@ -281,3 +281,53 @@ def test_urls_by_rule_and_reputation(spark):
     none = spark.createDataFrame([], "page_id long, bad boolean")
     assert {r["verdict"] for r in url_reputation.judge(pages.where("page_id < 2"), none).collect()} == {"allow"}
     assert url_reputation.judge(pages.limit(0), outcomes).count() == 0
+
+
+def test_reputation_shrinks_to_domain_suffix_and_all_pages(spark):
+    """Three levels against the same formulas worked out one host at a time."""
+    counts = {  # host: labelled pages, bad ones
+        "a.bad.org": (40, 30), "b.bad.org": (30, 24), "c.bad.org": (1, 1), "x.good.org": (60, 3), "y.good.org": (50, 1),
+        "z.good.org": (1, 1), "one.fine.com": (80, 4), "two.fine.com": (90, 5),
+    }
+    rows = [(host, at < bad) for host, (n, bad) in counts.items() for at in range(n)]
+    pages = [(i, f"http://{host}/p") for i, (host, _) in enumerate(rows)]
+    pages += [(9001, "http://new.bad.org/"), (9002, "http://new.org/"), (9003, "http://new.xyz/"), (9004, "http://z.good.org/q")]
+    pages += [(9004, "http://z.good.org/q"), (None, "http://a.bad.org/")]
+    outcomes = [(i, bad) for i, (_, bad) in enumerate(rows)]
+    judged = url_reputation.judge(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad boolean")
+    ).collect()
+
+    z, total, ills = 1.645, sum(n for n, _ in counts.values()), sum(bad for _, bad in counts.values())
+
+    def posterior(alpha, beta):
+        size = alpha + beta
+        return alpha / size, alpha / size - z * (alpha * beta / (size * size * (size + 1))) ** 0.5
+
+    def level(names, mean):
+        tally = {}
+        for host, (n, bad) in counts.items():
+            name = names(host)
+            had = tally.get(name, (0, 0, mean(host)))
+            tally[name] = (had[0] + n, had[1] + bad, had[2])
+        spread = sum(n * (bad / n - m) ** 2 - m * (1 - m) for n, bad, m in tally.values())
+        weight = sum(m * (1 - m) * (n - 1) for n, _, m in tally.values())
+        rho = spread / weight
+        strength = max(2.0, min(1000.0, 1 / rho - 1 if rho > 0 else 1000.0))
+        return {name: posterior(strength * m + bad, strength * (1 - m) + n - bad) for name, (n, bad, m) in tally.items()}
+
+    rate, bound = posterior(ills + 1, total - ills + 1)
+    suffix = level(lambda h: h.split(".")[-1], lambda h: rate)
+    domain = level(lambda h: ".".join(h.split(".")[-2:]), lambda h: suffix[h.split(".")[-1]][0])
+    host = level(lambda h: h, lambda h: domain[".".join(h.split(".")[-2:])][0])
+    want = {name: lower for name, (_, lower) in host.items()}
+    want |= {"new.bad.org": domain["bad.org"][1], "new.org": suffix["org"][1], "new.xyz": bound}
+    for row in judged:
+        assert abs(row["reputation"] - want[row["host"]]) < 1e-9
+        if row["rule"] is None:
+            assert row["verdict"] == ("block" if row["reputation"] > min(0.5, 1.25 * rate) else "allow")
+    verdicts = {r["host"]: r["verdict"] for r in judged}
+    # One bad page of one condemns a host below a bad domain; below a good one it is shrunk away.
+    assert verdicts["c.bad.org"] == verdicts["a.bad.org"] == verdicts["new.bad.org"] == "block"
+    assert verdicts["z.good.org"] == verdicts["x.good.org"] == "allow"
+    assert len(judged) == len(pages) and sum(r["page_id"] == 9004 for r in judged) == 2
