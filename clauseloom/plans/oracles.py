@@ -581,6 +581,11 @@ SELECT session_id, seq, CASE WHEN contains(t, 'tn contract 1') OR contains(t, 'c
 r AS (SELECT doc_id, list_transform(l, lambda x: '| ' || array_to_string(string_split(x, ' '), ' | ') || ' |') AS r,
   '| ' || array_to_string(list_transform(string_split(l[1], ' '), lambda x: '---'), ' | ') || ' |' AS rule FROM l)
 SELECT doc_id, array_to_string(list_concat([r[1], rule], r[2:]), chr(10)) AS markdown FROM r""",
+    "collection_versions": """WITH rows AS (
+  SELECT doc_id::VARCHAR AS row_id, source AS collection_key, lang, n_chars::BIGINT AS n FROM documents)
+SELECT row_id, collection_key, lang, n AS n_chars, 'first' AS version FROM rows WHERE lang <> 'de'
+UNION ALL SELECT row_id, collection_key, lang, CASE WHEN regexp_matches(collection_key, '[02468]$') THEN 2 * n
+  WHEN lang <> 'de' THEN n ELSE -n END, 'newest' FROM rows""",
     "parse_pages": f"WITH {PAGES} SELECT source_file, page_number, content FROM page_rows",
     "header_paths": f"WITH {SECTIONS} SELECT source_file, page_number, section_no::BIGINT AS section_no, header_path, content FROM paths",
     "header_paths_repeated": f"""WITH {REPEATED_SECTIONS} SELECT document_id, source_file, segment_no::BIGINT - 1 AS segment_no,

@@ -17,6 +17,7 @@ from clauseloom.operators.ordered import top_k
 from clauseloom.operators.sizing import fits
 from clauseloom.plans import driver_tables as tables
 from clauseloom.session import ensure_checkpoint_dir
+from clauseloom.sources import versions
 from clauseloom.sources.scans import not_processed, read_similarities
 from clauseloom.sources.sinks import collection_documents, similarity_documents, write_similarities
 from clauseloom.streaming.ingest import ingest
@@ -207,6 +208,21 @@ def _written_and_read(documents: DataFrame) -> DataFrame:
     )
 
 
+def collection_versions(spark, folder):
+    """Replace, append and replace again in one table, then read its newest and its first version."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/collections-{uuid.uuid4().hex}"
+    rows = _documents(spark, folder).select(
+        F.col("doc_id").cast("string").alias("row_id"), F.col("source").alias("collection_key"), "lang", _long("n_chars")
+    )
+    versions.replace_collections(rows.where("lang <> 'de'"), path)
+    # Ids that are held stay as they are, whatever the appended rows say.
+    versions.append_rows(rows.withColumn("n_chars", -F.col("n_chars")), path)
+    second = rows.where(F.col("collection_key").rlike("[02468]$")).withColumn("n_chars", 2 * F.col("n_chars"))
+    versions.replace_collections(second, path)
+    newest = versions.read_collections(spark, path).withColumn("version", F.lit("newest"))
+    return newest.unionByName(versions.read_collections(spark, path, 1).withColumn("version", F.lit("first")))
+
+
 def similarity_roundtrip(spark, folder):
     attributes, chunks = tables.attributes(spark, folder), tables.chunks(spark, folder)
     matches = ranking.format_matches(ranking.rrf_top_k(attributes, chunks), chunks, attributes, per_attribute=20)
@@ -805,6 +821,7 @@ QUERIES: dict[str, Query] = {
     "nearest_three": nearest_three,
     "similarity_json": similarity_json,
     "similarity_roundtrip": similarity_roundtrip,
+    "collection_versions": collection_versions,
     "similarity_roundtrip_per_source": similarity_roundtrip_per_source,
     "tokens": tokens,
     "clean_text": clean_text,

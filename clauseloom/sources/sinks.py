@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import file_slug
 from clauseloom.operators.report import table_text
+from clauseloom.sources.versions import Version, append_rows, replace_collections
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -18,28 +19,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("source_file").json(path)
 
 
-def replace_collection(rows: DataFrame, path: str) -> None:
-    """Overwrite the collections present in ``rows``; other collections stay."""
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("collection_key")
-        .parquet(path)
-    )
+def replace_collection(rows: DataFrame, path: str, key: str = "row_id") -> Version:
+    """Replace the collections present in ``rows`` at once; other collections stay.  ``read_collections`` reads them."""
+    return replace_collections(rows, path, key)
 
 
-def add_to_collection(rows: DataFrame, path: str, key: str = "row_id") -> None:
-    """Append rows whose id the collection does not hold yet; rows without a vector are left out."""
-    fresh = rows.where(F.size("embedding") > 0).dropDuplicates([key])
-    spark = rows.sparkSession
-    try:
-        known = spark.read.parquet(path).select(key)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    else:
-        fresh = fresh.join(known, key, "left_anti")
-    fresh.write.mode("append").partitionBy("collection_key").parquet(path)
+def add_to_collection(rows: DataFrame, path: str, key: str = "row_id") -> Version:
+    """Append rows whose id the table does not hold yet; rows without a vector are left out."""
+    return append_rows(rows.where(F.size("embedding") > 0), path, key)
 
 
 def write_datasets(clauses: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from clauseloom.operators import ranking
 from clauseloom.operators.clauses import collection_kind, metadata, provenance
 from clauseloom.plans.pipeline import Pipeline
 from clauseloom.sources import scans, sinks
+from clauseloom.sources.versions import read_collections
 from clauseloom.streaming.ingest import HISTORY_SCHEMA, ingest, session_histories, stream_chunks
 
 
@@ -91,13 +92,13 @@ def test_collections(spark, tmp_path):
     first = spark.createDataFrame([("1", "TN", [1.0]), ("2", "WA", [1.0])], schema)
     sinks.replace_collection(first, path)
     sinks.replace_collection(spark.createDataFrame([("3", "TN", [2.0])], schema), path)
-    assert sorted(r.row_id for r in spark.read.parquet(path).collect()) == ["2", "3"]
+    assert sorted(r.row_id for r in read_collections(spark, path).collect()) == ["2", "3"]
     more = spark.createDataFrame([("3", "TN", [9.0]), ("4", "TN", []), ("5", "TN", None), ("6", "TN", [1.0]), ("6", "TN", [1.0])], schema)
     sinks.add_to_collection(more, path)
-    assert sorted(r.row_id for r in spark.read.parquet(path).collect()) == ["2", "3", "6"]
+    assert sorted(r.row_id for r in read_collections(spark, path).collect()) == ["2", "3", "6"]
     fresh = str(tmp_path / "fresh")
     sinks.add_to_collection(first, fresh)
-    assert spark.read.parquet(fresh).count() == 2
+    assert read_collections(spark, fresh).count() == 2
 
 
 def test_writers(spark, tmp_path):
