@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.text import file_slug
+from clauseloom.functions.text import file_slug, file_stem
 from clauseloom.operators.report import table_text
+from clauseloom.sources.named_files import write_named
 from clauseloom.sources.versions import Version, append_rows, replace_collections
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk rows as JSON, one folder per source file.
+    """Chunk rows as JSON, one file ``<stem>_chunks.json`` per source file; ``read_chunks`` reads them.
 
-    Range partitioning keeps a file's chunks together and still splits a large one.
+    The order in a file is that of the chunk's index, where there is one, then of its id.
     """
-    ordered = chunks.repartitionByRange("source_file", "chunk_id")
-    ordered.write.mode("overwrite").partitionBy("source_file").json(path)
+    order = [name for name in ("chunk_index", "chunk_id") if name in chunks.columns]
+    values = F.to_json(F.struct(*chunks.columns)).alias("value")
+    write_named(chunks.select(file_stem(F.col("source_file")).alias("file"), values, *order), path, order, "_chunks.json")
 
 
 def replace_collection(rows: DataFrame, path: str, key: str = "row_id") -> Version:
@@ -30,12 +32,10 @@ def add_to_collection(rows: DataFrame, path: str, key: str = "row_id") -> Versio
 
 
 def write_datasets(clauses: DataFrame, path: str) -> None:
-    """Clauses as JSON, one folder per collection and source slug."""
-    named = clauses.withColumn(
-        "dataset", F.concat("collection_key", F.lit("_"), file_slug(F.col("source_file")), F.lit("_dataset"))
-    )
-    ordered = named.repartitionByRange("dataset", "chunk_id")
-    ordered.write.mode("overwrite").partitionBy("dataset").json(path)
+    """Clauses as JSON, one file per collection and source slug; ``read_clauses`` reads them."""
+    name = F.concat("collection_key", F.lit("_"), file_slug(F.col("source_file")), F.lit("_dataset"))
+    value = F.to_json(F.struct(*clauses.columns)).alias("value")
+    write_named(clauses.select(name.alias("file"), value, "chunk_id"), path, ["chunk_id"])
 
 
 def write_classified(classified: DataFrame, path: str, standard_path: str) -> None:
@@ -120,15 +120,9 @@ def write_similarities(documents: DataFrame, path: str) -> None:
 
 
 def write_markdown_pages(pages: DataFrame, path: str) -> None:
-    """Page texts in page order, one folder per source file."""
-    (
-        pages.repartitionByRange("source_file", "page_number")
-        .sortWithinPartitions("source_file", "page_number")
-        .select("source_file", "value")
-        .write.mode("overwrite")
-        .partitionBy("source_file")
-        .text(path)
-    )
+    """Page texts in page order, one file ``<stem>.md`` per source file; ``read_markdown`` reads them."""
+    named = pages.select(file_stem(F.col("source_file")).alias("file"), "value", "page_number")
+    write_named(named, path, ["page_number"], ".md", "text")
 
 
 def dense_report(matches: DataFrame, stats: DataFrame, top: int = 3) -> str:

@@ -104,16 +104,16 @@ def test_collections(spark, tmp_path):
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([("TN", "a b.md", "c1", 1), ("TN", "c.md", "c2", 0)], "collection_key string, source_file string, chunk_id string, is_standard int").withColumn("contract", F.col("chunk_id"))
     sinks.write_datasets(rows, str(tmp_path / "sets"))
-    names = {p.name for p in (tmp_path / "sets").iterdir() if p.is_dir()}
-    assert names == {"dataset=TN_a_b_dataset", "dataset=TN_c_dataset"}
+    assert {p.name for p in (tmp_path / "sets").iterdir()} == {"TN_a_b_dataset.json", "TN_c_dataset.json"}
     sinks.write_classified(rows, str(tmp_path / "all"), str(tmp_path / "standard"))
     assert spark.read.parquet(str(tmp_path / "all")).count() == 2
     assert spark.read.parquet(str(tmp_path / "standard")).count() == 1
     pages = spark.createDataFrame([("f", 2, "two"), ("f", 1, "one")], "source_file string, page_number int, value string")
     sinks.write_markdown_pages(pages, str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md")).count() == 2
+    assert [(p.name, p.read_text()) for p in (tmp_path / "md").iterdir()] == [("f.md", "one\ntwo\n")]
     sinks.write_chunks(rows, str(tmp_path / "chunks"))
-    assert spark.read.json(str(tmp_path / "chunks")).count() == 2
+    assert {p.name for p in (tmp_path / "chunks").iterdir()} == {"a b_chunks.json", "c_chunks.json"}
+    assert sorted(r.chunk_id for r in scans.read_chunks(spark, str(tmp_path / "chunks")).collect()) == ["c1", "c2"]
 
 
 def test_not_processed(spark):
