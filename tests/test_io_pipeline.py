@@ -10,7 +10,7 @@ from clauseloom.operators.clauses import collection_kind, metadata, provenance
 from clauseloom.plans.pipeline import Pipeline
 from clauseloom.sources import scans, sinks
 from clauseloom.sources.versions import read_collections
-from clauseloom.streaming.ingest import HISTORY_SCHEMA, ingest, session_histories, stream_chunks
+from clauseloom.streaming.ingest import ingest, stream_chunks
 
 
 def test_read_markdown_and_chunk_files(spark, tmp_path):
@@ -157,22 +157,6 @@ def test_stream_ingest_reads_each_file_once(spark, tmp_path):
     assert [(r.doc_id, r.preprocessed_final_content, r.preprocessed_token_count) for r in rows] == [(1, "fee num", 2), (2, "others", 1)]
 
 
-def test_stream_session_histories(spark, tmp_path):
-    source = str(tmp_path / "messages")
-    spark.createDataFrame([("a", i, "user", f"m{i}") for i in range(5)], HISTORY_SCHEMA).coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(HISTORY_SCHEMA).parquet(source)
-    query = (
-        session_histories(stream, keep=4).writeStream.format("memory").queryName("histories").outputMode("update")
-        .option("checkpointLocation", str(tmp_path / "state")).start()
-    )
-    query.processAllAvailable()
-    spark.createDataFrame([("a", 5, "bot", "m5"), ("b", 1, "user", "x")], HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-    query.processAllAvailable()
-    query.stop()
-    rows = [(r.session_id, r.seq) for r in spark.table("histories").collect()]
-    assert sorted(rows) == sorted([("a", i) for i in (1, 2, 3, 4)] + [("a", i) for i in (2, 3, 4, 5)] + [("b", 1)])
-
-
 def test_reports_and_json(spark):
     chunks = spark.createDataFrame(
         [(i, f"c{i}", 1, "section:A", f"fee rate {i}", "s.md", [1.0, float(i)]) for i in range(6)],
