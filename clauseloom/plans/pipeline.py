@@ -1,13 +1,25 @@
-"""The batch pipeline: rank, prepare, classify, summarise, with a table after each step."""
+"""The batch pipeline: rank, prepare, classify, summarise, with a table after each step.
+
+A table is made again only if what it depends on has changed.  Each has a manifest under
+``folder/_steps`` with a fingerprint of what it was made from - the content of its inputs, the
+parameters, the release of this package - and one of its own content, counted while it is
+written.  A step that comes to the same content as before lets the steps after it stand.
+A manifest is cleared before its table is written, so that an interrupted step runs again.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from clauseloom import __version__
 from clauseloom.functions.text import state_of_collection, text_to_embed
 from clauseloom.models import embed
 from clauseloom.operators import classify as cascade
@@ -20,13 +32,36 @@ from clauseloom.operators.report import summary
 STEPS = ("chunk", "rank", "prepare", "classify", "summarise")
 
 
+def _content_columns(schema: StructType) -> list[Column]:
+    """Number of rows and two sums of row hashes: equal for equal rows in any order, however often each comes."""
+    parts: list[Column] = []
+    for field_ in sorted(schema.fields, key=lambda field_: field_.name):
+        column = F.col(f"`{field_.name}`")
+        # Hashes skip nulls, so their places are hashed as well.
+        parts += [column, column.isNull()]
+        if isinstance(field_.dataType, ArrayType):
+            parts.append(F.transform(column, lambda value: value.isNull()))
+    total = lambda *seed: F.sum(F.xxhash64(*parts, *seed).cast("decimal(38,0)")).cast("string")
+    return [F.count(F.lit(1)).alias("rows"), total().alias("first"), total(F.lit(1)).alias("second")]
+
+
+def _content_text(schema: StructType, found: dict) -> str:
+    return json.dumps([sorted((f.name, f.dataType.simpleString()) for f in schema.fields), [found[k] for k in ("rows", "first", "second")]])
+
+
+def fingerprint(df: DataFrame) -> str:
+    """The content of a DataFrame in a few bytes, whatever the order of its rows: one aggregate over its rows."""
+    return _content_text(df.schema, df.agg(*_content_columns(df.schema)).first().asDict())
+
+
 @dataclass
 class Pipeline:
     """Runs the steps in order and stores each result as Parquet under ``folder``.
 
     A step reads its inputs back from the stored tables, so a run can resume at
     any step and lost executors never reach beyond one step.  ``documents`` has
-    collection_key, source_file and value.
+    collection_key, source_file and value.  ``made`` lists the tables that this object has written.
+    Embedders count by their names; ``embedder_version`` tells releases of one embedder apart.
     """
 
     spark: SparkSession
@@ -37,14 +72,55 @@ class Pipeline:
     # A second model for the paraphrase gate; without one both gates share vectors.
     paraphrase_embedder: Callable[[DataFrame], DataFrame] | None = None
 
+    embedder_version: str = "1"
+    resume: bool = True
+    made: list[str] = field(default_factory=list)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def store(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        return self.table(name)
+    def store(self, name: str, df: DataFrame, made_from: str = "") -> DataFrame:
+        """Write a table and its manifest; ``made_from`` is the fingerprint of what it was made from."""
+        self._keep_manifest(name, {})
+        counted = Observation()
+        df.observe(counted, *_content_columns(df.schema)).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        written, found = self.table(name), counted.get
+        # A plan without rows may lose its counters.
+        content = _content_text(df.schema, found) if "rows" in found else fingerprint(written)
+        self._keep_manifest(name, {"made_from": made_from, "content": content})
+        self.made.append(name)
+        return written
+
+    def _manifest(self, name: str) -> dict:
+        try:
+            self.table(name)
+            return json.loads(self.spark.read.text(f"{self.folder}/_steps/{name}").first()[0])
+        except (AnalysisException, TypeError, ValueError):  # no table, no manifest, or an unfinished one
+            return {}
+
+    def _keep_manifest(self, name: str, manifest: dict) -> None:
+        text = self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)
+        text.write.mode("overwrite").text(f"{self.folder}/_steps/{name}")
+
+    def _content(self, name: str) -> str:
+        return self._manifest(name).get("content") or fingerprint(self.table(name))
+
+    def _embedders(self) -> list[str]:
+        named = (self.embedder, self.paraphrase_embedder)
+        return [f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', type(f).__name__)}" for f in named] + [self.embedder_version]
+
+    def keep(self, name: str, contents: Iterable[str], parameters: Iterable, build: Callable[[], DataFrame]) -> None:
+        """Make table ``name`` unless it was made from the same contents and parameters."""
+        known = json.dumps([__version__, name, list(contents), [repr(value) for value in parameters]])
+        made_from = hashlib.sha256(known.encode()).hexdigest()
+        if not (self.resume and self._manifest(name).get("made_from") == made_from):
+            self.store(name, build(), made_from)
 
     def chunk(self, documents: DataFrame, attributes: DataFrame) -> None:
+        self.keep("chunks", [fingerprint(documents)], self._embedders(), lambda: self._chunks(documents))
+        self.keep("attributes", [fingerprint(attributes)], self._embedders(), lambda: self.embedder(attributes))
+
+    def _chunks(self, documents: DataFrame) -> DataFrame:
         # A file name may come in several collections, so documents are named by both.
         own = documents["document_id"] if "document_id" in documents.columns else documents["source_file"]
         named = documents.withColumn("document_id", F.concat_ws("/", "collection_key", own))
@@ -57,31 +133,33 @@ class Pipeline:
         shown = ordered.withColumnRenamed("content", "_content").withColumn(
             "content", text_to_embed(F.col("header_path"), F.col("_content"))
         )
-        embedded = self.embedder(shown).drop("content").withColumnRenamed("_content", "content")
-        self.store("chunks", embedded)
-        self.store("attributes", self.embedder(attributes))
+        return self.embedder(shown).drop("content").withColumnRenamed("_content", "content")
 
     def rank(self, collections: dict[str, bool]) -> None:
         """``collections`` maps a collection key to whether matches are kept per source."""
-        chunks, attributes = self.table("chunks"), self.table("attributes")
+        contents = [self._content("chunks"), self._content("attributes")]
         for key, per_source in collections.items():
-            part = chunks.where(F.col("collection_key") == key)
-            if per_source:
-                found = ranking.rrf_per_source(attributes, part, metric=self.metric)
-                rank = "rank_in_source"
-            else:
-                found = ranking.rrf_top_k(attributes, part, metric=self.metric)
-                rank = "rank"
-            per_attribute = None if per_source else ranking.GLOBAL_TOP_K
-            matches = ranking.format_matches(found, part, attributes, per_attribute=per_attribute)
-            self.store(f"matches/{key}", matches.withColumnRenamed(rank, "rank"))
+            self.keep(f"matches/{key}", contents, (per_source, self.metric), lambda: self._matches(key, per_source))
+
+    def _matches(self, key: str, per_source: bool) -> DataFrame:
+        attributes = self.table("attributes")
+        part = self.table("chunks").where(F.col("collection_key") == key)
+        if per_source:
+            found, rank = ranking.rrf_per_source(attributes, part, metric=self.metric), "rank_in_source"
+        else:
+            found, rank = ranking.rrf_top_k(attributes, part, metric=self.metric), "rank"
+        per_attribute = None if per_source else ranking.GLOBAL_TOP_K
+        matches = ranking.format_matches(found, part, attributes, per_attribute=per_attribute)
+        return matches.withColumnRenamed(rank, "rank")
 
     def prepare(self, collections: Iterable[str]) -> None:
         for key in collections:
-            kept = ranking.cap_matches(self.table(f"matches/{key}"))
-            clauses = with_row_id(clauses_from_matches(kept, key, "rank"))
-            clauses = clauses.withColumn("state", state_of_collection(F.col("collection_key")))
-            self.store(f"clauses/{key}", self.embedder_of_text(clauses))
+            self.keep(f"clauses/{key}", [self._content(f"matches/{key}")], self._embedders(), lambda: self._clauses(key))
+
+    def _clauses(self, key: str) -> DataFrame:
+        kept = ranking.cap_matches(self.table(f"matches/{key}"))
+        clauses = with_row_id(clauses_from_matches(kept, key, "rank"))
+        return self.embedder_of_text(clauses.withColumn("state", state_of_collection(F.col("collection_key"))))
 
     def embedder_of_text(self, clauses: DataFrame) -> DataFrame:
         texts = clauses.withColumn("content", F.col("preprocessed_final_content"))
@@ -93,6 +171,11 @@ class Pipeline:
         return second.withColumnRenamed("_first", "embedding").drop("content")
 
     def classify(self, templates: Iterable[str], contracts: Iterable[str]) -> None:
+        contents = [self._content(f"clauses/{key}") for key in (*templates, *contracts)]
+        parameters = (list(templates), list(contracts), self.metric, self.thresholds)
+        self.keep("classified", contents, parameters, lambda: self._classified(templates, contracts))
+
+    def _classified(self, templates: Iterable[str], contracts: Iterable[str]) -> DataFrame:
         text = F.col("preprocessed_final_content").alias("text")
 
         def load(keys: Iterable[str], row_id: str) -> DataFrame:
@@ -107,10 +190,10 @@ class Pipeline:
         exact = cascade.exact_match(clause_rows, template_rows)
         scored = cascade.score_against_templates(exact, template_rows, self.metric, with_text=False)
         result = cascade.classify(scored, self.thresholds, templates=template_rows)
-        self.store("classified", result.drop("embedding", "paraphrase_embedding"))
+        return result.drop("embedding", "paraphrase_embedding")
 
     def summarise(self) -> None:
-        self.store("summary", summary(self.table("classified")))
+        self.keep("summary", [self._content("classified")], (), lambda: summary(self.table("classified")))
 
     def run(
         self,
@@ -120,7 +203,7 @@ class Pipeline:
         contracts: Iterable[str],
         steps: Iterable[str] = STEPS,
     ) -> DataFrame:
-        """Run ``steps`` and return the summary."""
+        """Run ``steps``, those of them that ``resume`` does not let stand, and return the summary."""
         templates, contracts = list(templates), list(contracts)
         wanted = set(steps)
         unknown = wanted - set(STEPS)
