@@ -14,7 +14,6 @@ import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -28,6 +27,7 @@ from clauseloom.operators.chunking import chunk_documents
 from clauseloom.operators.clauses import clauses_from_matches, with_row_id
 from clauseloom.operators.ordered import group_rank
 from clauseloom.operators.report import summary
+from clauseloom.sources.versions import hadoop_path
 
 STEPS = ("chunk", "rank", "prepare", "classify", "summarise")
 
@@ -92,11 +92,13 @@ class Pipeline:
         return written
 
     def _manifest(self, name: str) -> dict:
-        try:
-            self.table(name)
-            return json.loads(self.spark.read.text(f"{self.folder}/_steps/{name}").first()[0])
-        except (AnalysisException, TypeError, ValueError):  # no table, no manifest, or an unfinished one
-            return {}
+        for path in (f"{self.folder}/{name}", f"{self.folder}/_steps/{name}"):
+            files, target = hadoop_path(self.spark, path)
+            if not files.exists(target):
+                return {}
+        # A manifest that was not written to its end has no line.
+        lines = self.spark.read.schema("value string").text(f"{self.folder}/_steps/{name}").head(1)
+        return json.loads(lines[0][0]) if lines else {}
 
     def _keep_manifest(self, name: str, manifest: dict) -> None:
         text = self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)

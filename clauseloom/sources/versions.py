@@ -55,7 +55,7 @@ class Version:
 # --- manifests ------------------------------------------------------------------
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
@@ -66,10 +66,10 @@ def write_new(spark: SparkSession, path: str, text: str) -> bool:
     A driver lost between the claim and the file leaves ``<path>.claim``, which stops later
     writers until ``release`` removes it; readers never look at it.
     """
-    files, target = _hadoop(spark, path)
+    files, target = hadoop_path(spark, path)
     if files.exists(target):
         return False
-    _, draft = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    _, draft = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}.draft")
     out = files.create(draft, False)
     out.write(bytearray(text.encode()))
     out.close()
@@ -85,12 +85,12 @@ def write_new(spark: SparkSession, path: str, text: str) -> bool:
 def release(spark: SparkSession, path: str) -> None:
     """Remove the claim of a writer that is known to be lost; manifests stay as they are."""
     number = current(spark, path).number + 1
-    files, claim = _hadoop(spark, f"{path}/versions/{number:08d}.json.claim")
+    files, claim = hadoop_path(spark, f"{path}/versions/{number:08d}.json.claim")
     files.delete(claim, False)
 
 
 def read_small(spark: SparkSession, path: str) -> str | None:
-    files, target = _hadoop(spark, path)
+    files, target = hadoop_path(spark, path)
     if not files.exists(target):
         return None
     source = files.open(target)
@@ -103,7 +103,7 @@ def read_small(spark: SparkSession, path: str) -> str | None:
 def current(spark: SparkSession, path: str, number: int | None = None) -> Version:
     """The newest version of the table, or the one asked for; version 0 holds nothing."""
     if number is None:
-        files, folder = _hadoop(spark, f"{path}/versions")
+        files, folder = hadoop_path(spark, f"{path}/versions")
         names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
         number = max((int(name[:-5]) for name in names if name.endswith(".json")), default=0)
     if number == 0:
