@@ -23,6 +23,7 @@ from clauseloom.streaming.ingest import keep_histories, latest_histories, sessio
 PAGES_PER_FILE = 200
 CLAUSES_PER_DOCUMENT = 500
 KEPT_MESSAGES = 3
+SESSIONS_PER_STORE = 20_000
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -167,7 +168,8 @@ def session_stream(spark, folder):
     cleared = told.where((F.col("session_id").cast("long") % 3 == 0) & (F.col("seq") == 1)).withColumn("role", F.lit("clear"))
     events = told.unionByName(cleared).repartition(3, "seq", "role")
     events.write.parquet(f"{path}/events")
-    own = stateful_session(spark)
+    sessions = told.agg(F.approx_count_distinct("session_id")).first()[0]
+    own = stateful_session(spark, 1 + sessions // SESSIONS_PER_STORE)
     stream = own.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/events")
     keep_histories(session_histories(stream, KEPT_MESSAGES), f"{path}/snapshots", f"{path}/state").awaitTermination()
     snapshots = spark.read.parquet(f"{path}/snapshots")

@@ -113,15 +113,22 @@ def session_histories(messages: DataFrame, keep: int = HISTORY_LENGTH, idle_ms:
     )
 
 
-def stateful_session(spark: SparkSession) -> SparkSession:
+def stateful_session(spark: SparkSession, stores: int | None = None) -> SparkSession:
     """A session of the same application whose streams keep their state in RocksDB.
 
     Expired messages are never read, so no batches without data are run to remove them; with
-    such batches a stream that has expiry would not end by itself.
+    such batches a stream that has expiry would not end by itself.  ``stores`` is the number of
+    stores that sessions are dealt to, fixed for the life of a stream's checkpoint; by default
+    that of shuffle partitions.  Stores upload changes instead of whole files, and reserve no
+    disk space ahead, which small ones would never fill.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    if stores is not None:
+        own.conf.set("spark.sql.shuffle.partitions", str(stores))
     return own
 
 
