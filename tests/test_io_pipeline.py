@@ -7,6 +7,7 @@ from clauseloom import models, schemas
 from clauseloom.functions import vectors
 from clauseloom.operators import ranking
 from clauseloom.operators.clauses import collection_kind, metadata, provenance
+from clauseloom.plans import queries
 from clauseloom.plans.pipeline import Pipeline
 from clauseloom.sources import scans, sinks
 from clauseloom.sources.versions import read_collections
@@ -215,3 +216,15 @@ def test_pipeline_end_to_end(spark, tmp_path):
     columns = pipeline.table("clauses/TNredacted").columns
     assert set(schemas.CLAUSES.replace(",", "").split()) >= {"preprocessed_sha256"} and "row_id" in columns
     assert metadata(pipeline.table("clauses/TNredacted"), "qwen").columns[-1] == "embedding_source"
+
+
+@pytest.mark.parametrize("files", ["one", "many"])
+def test_ingest_query_reads_a_table_of_one_or_many_files(spark, tmp_path, files):
+    rows = [(i, "The Fee 10" if i else None, "en", "src", 10) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    if files == "one":
+        table.toPandas().to_parquet(tmp_path / "documents.parquet")
+    else:
+        table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.incremental_ingest(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.token_count) for r in found] == [(0, 0), *[(i, 2) for i in range(1, 6)]]
