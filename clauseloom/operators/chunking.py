@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.markdown import clean_page, large_file_fields, pages
-from clauseloom.functions.text import SPACE_CHARACTERS, clean_text, file_stem, strip, token_count
+from clauseloom.functions.steps import each
+from clauseloom.functions.text import SPACE_CHARACTERS, clean_text, file_stem, once, strip, token_count
 from clauseloom.operators.sizing import broadcast_if_small
 from clauseloom.operators.splitting import Measure, split_places, word_length
 
@@ -56,7 +57,10 @@ def split_pages(documents: DataFrame) -> DataFrame:
 Headers = tuple[str | None, str | None, str | None]
 NO_HEADERS: Headers = (None, None, None)
 _HEADER_MARK = re.compile(r"(#{1,3})(?: .*)?\Z", re.DOTALL)
-_SECTION = f"segment_no int, section_no int, {', '.join(f'{level} string' for level in LEVELS)}, content string"
+_SECTION = pa.struct(
+    [("segment_no", pa.int32()), ("section_no", pa.int32()), *[(level, pa.string()) for level in LEVELS], ("content", pa.string())]
+)
+_SECTIONS = f"array<struct<segment_no:int,section_no:int,{','.join(f'{level}:string' for level in LEVELS)},content:string>>"
 
 
 def later_headers(left: Headers, right: Headers) -> Headers:
@@ -100,21 +104,18 @@ def sections_of(contents: Column, carry: bool) -> Column:
     """
     visible = F.transform(contents, lambda text: F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}&&[^\n]]", ""))
 
-    @F.pandas_udf(f"array<struct<{_SECTION.replace(' ', ':').replace(',:', ',')}>>")
-    def fold(texts: pd.Series) -> pd.Series:
-        def sections(segments: Sequence[str]) -> list[tuple]:
-            rows, known = [], NO_HEADERS
-            for segment_no, segment in enumerate(segments):
-                for section_no, (own, content) in enumerate(segment_sections(segment), start=1):
-                    known = later_headers(known, own)
-                    shown = known if carry and own == NO_HEADERS else own
-                    rows.append((segment_no, section_no, *shown, content))
-            return [dict(zip(names, row)) for row in rows]
+    names = [field.name for field in _SECTION]
 
-        names = [field.split(" ")[0] for field in _SECTION.split(", ")]
-        return texts.map(sections, na_action="ignore")
+    def sections(segments: Sequence[str]) -> list[dict]:
+        rows, known = [], NO_HEADERS
+        for segment_no, segment in enumerate(segments):
+            for section_no, (own, content) in enumerate(segment_sections(segment), start=1):
+                known = later_headers(known, own)
+                shown = known if carry and own == NO_HEADERS else own
+                rows.append((segment_no, section_no, *shown, content))
+        return [dict(zip(names, row)) for row in rows]
 
-    return fold(visible)
+    return each(sections, _SECTIONS, pa.list_(_SECTION))(visible)
 
 
 def document_sections(documents: DataFrame) -> DataFrame:
@@ -124,16 +125,21 @@ def document_sections(documents: DataFrame) -> DataFrame:
     exchanged; ``header_sections`` and ``carry_headers`` do the same for documents of several rows.
     """
     parsed = document_pages(documents).withColumn("found", sections_of(F.col("pages.content"), carry=True))
-    section = F.transform(
-        "found",
-        lambda row: F.struct(
-            row["segment_no"].alias("segment_no"),
-            F.get("pages.page_number", row["segment_no"]).alias("page_number"),
-            row["section_no"].alias("section_no"),
-            *[row[level].alias(level) for level in LEVELS],
-            row["content"].alias("content"),
-        ),
-    )
+
+    def numbered(numbers: Column) -> Column:
+        return F.transform(
+            "found",
+            lambda row: F.struct(
+                row["segment_no"].alias("segment_no"),
+                F.get(numbers, row["segment_no"]).alias("page_number"),
+                row["section_no"].alias("section_no"),
+                *[row[level].alias(level) for level in LEVELS],
+                row["content"].alias("content"),
+            ),
+        )
+
+    # Read for every section, the array of numbers would be made anew each time.
+    section = once(F.col("pages.page_number"), numbered)
     return parsed.select("document_id", "source_file", section.alias("sections"))
 
 
@@ -187,6 +193,7 @@ def header_path(section: Column | None = None) -> Column:
 # --- recursive splitting -------------------------------------------------------
 
 _PIECE = "struct<start:int,content:string>"
+_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("content", pa.string())]))
 
 
 def recursive_splits(
@@ -198,11 +205,10 @@ def recursive_splits(
 ) -> Column:
     """ARRAY<STRUCT<start, content>>: pieces of each text and their places; ``length`` measures tokens or characters."""
 
-    @F.pandas_udf(f"array<{_PIECE}>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda value: _pieces(value, size, overlap, separators, length), na_action="ignore")
+    def split(value: str) -> list[dict]:
+        return _pieces(value, size, overlap, separators, length)
 
-    return split(text)
+    return each(split, f"array<{_PIECE}>", _PIECES)(text)
 
 
 def split_each(
@@ -214,13 +220,10 @@ def split_each(
 ) -> Column:
     """``recursive_splits`` of every text in an array of texts."""
 
-    @F.pandas_udf(f"array<array<{_PIECE}>>")
-    def split(arrays: pd.Series) -> pd.Series:
-        return arrays.map(
-            lambda values: [_pieces(value, size, overlap, separators, length) for value in values], na_action="ignore"
-        )
+    def split(values: list[str]) -> list[list[dict]]:
+        return [_pieces(value, size, overlap, separators, length) for value in values]
 
-    return split(texts)
+    return each(split, f"array<array<{_PIECE}>>", pa.list_(_PIECES))(texts)
 
 
 def _pieces(text: str, size: int, overlap: int, separators: Sequence[str], length: Measure) -> list[dict]:

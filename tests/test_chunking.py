@@ -1,8 +1,12 @@
+import re
+
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clauseloom.functions import markdown as M
+from clauseloom.functions.steps import STEP_ROWS, each
 from clauseloom.operators import chunking as C
 from clauseloom.operators import splitting as S
 
@@ -203,3 +207,22 @@ def test_parsing_and_chunking_exchange_nothing(spark):
     for rows in (C.chunk_documents(documents), C.chunk_large_documents(documents), C.document_sections(documents)):
         assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [r.content for r in C.chunk_documents(documents).collect()] == ["x"]
+
+
+def test_page_numbers_are_not_made_anew_for_every_section(spark):
+    table = spark.createDataFrame([("a.md", "--- Page 4 ---\n# A\nx\n--- Page 6 ---\ny")], "source_file string, value string")
+    sections = C.document_sections(table)
+    assert [(s.page_number, s.section, s.content) for s in sections.first().sections] == [(4, "A", "x"), (6, "A", "y")]
+    plan = sections._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"get\(pages#\d+\.page_number", plan)
+
+
+def test_python_steps_bound_the_rows_held_as_objects(spark):
+    made = each(lambda value: [value] * 2, "array<string>", pa.list_(pa.string()))
+    pieces = list(made.func(iter([pa.array([None, *map(str, range(199))]), pa.array([], pa.string())])))
+    assert max(map(len, pieces)) <= STEP_ROWS and sum(map(len, pieces)) == 200
+    assert pieces[0][:2].to_pylist() == [None, ["0", "0"]]
+    texts = spark.range(0, 500, 1, 1).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("a b "), F.col("id").cast("string"))).alias("t"))
+    found = texts.select("t", C.recursive_splits(F.col("t"), 2, 0).alias("parts")).collect()
+    assert all((r.t is None) == (r.parts is None) for r in found)
+    assert all("".join(p.content for p in r.parts).replace(" ", "") == r.t.replace(" ", "") for r in found if r.t)
