@@ -2,6 +2,7 @@ import hashlib
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,3 +162,9 @@ def test_fixed_values_are_whole():
     assert len(RULE_PATTERNS) == 23
     assert len(NUMBER_WORDS) == 32
     assert len(set(STOP_WORDS)) == len(STOP_WORDS)
+
+
+def test_nfkc_makes_objects_of_a_few_rows_at_a_time():
+    pieces = list(T._nfkc.func(iter([pa.array(["ﬁ"] * 300 + [None])])))
+    assert max(map(len, pieces)) <= 64
+    assert [value for piece in pieces for value in piece.to_pylist()] == ["fi"] * 300 + [None]
