@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from clauseloom.functions.steps import STEP_ROWS
+
 STAGED = "_staged-"
 # What stands before the first, between and after the last value of a file.
 LAYOUTS = {"array": ("[\n", ",\n", "\n]\n"), "text": ("", "\n", "\n")}
@@ -53,7 +55,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
         out = None
         try:
             for batch in iterator:
-                for name, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                # A few rows become objects at a time, whatever their texts hold.
+                steps = (batch.slice(at, STEP_ROWS) for at in range(0, batch.num_rows, STEP_ROWS))
+                rows = (row for step in steps for row in zip(step.column("file").to_pylist(), step.column("value").to_pylist()))
+                for name, value in rows:
                     if out is None or files[-1][0] != name:
                         if out is not None:
                             out.write(self.closing)
