@@ -77,3 +77,36 @@ def test_scattered_vectors_are_compared_with_all(spark):
     tables = spark.createDataFrame(rows[100:], SCHEMA.format("clause_id")), spark.createDataFrame(rows[:100], SCHEMA.format("template_id"))
     report = nearest.pruning(*tables, ["state"], template_block=20).first()
     assert 0 < report.compared <= report.pairs == 10_000
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_copies_of_a_row_do_not_grow_with_the_other_side(spark, monkeypatch, metric):
+    rng = np.random.default_rng(8)
+    rows = [(i, "s", rng.normal(size=4).tolist()) for i in range(2400)]
+    clauses, templates = (spark.createDataFrame(part, SCHEMA.format(name)) for part, name in ((rows[1200:], "clause_id"), (rows[:1200], "template_id")))
+    whole = nearest.nearest_template(clauses, templates, ["state"], metric).collect()
+    used = {}
+    real = nearest._with_blocks
+
+    def watched(left, right, cell, metric, template_block, clause_block):
+        used.update(copies=left.count() / 1200, blocks=1200 / template_block, clause_blocks=1200 / clause_block)
+        return real(left, right, cell, metric, template_block, clause_block)
+
+    monkeypatch.setattr(nearest, "_with_blocks", watched)
+    found = nearest.nearest_template(clauses, templates, ["state"], metric, broadcast_limit=0, template_block=2, clause_block=4)
+    rows = lambda found: sorted((r.clause_id, round(r.similarity, 9), r.template_id) for r in found)
+    assert rows(found.collect()) == rows(whole) and len(whole) == 1200
+    assert used["blocks"] <= nearest.BLOCKS and used["clause_blocks"] <= nearest.BLOCKS and used["copies"] <= 3 * nearest.BLOCKS
+
+
+def test_scores_are_compared_in_bounded_steps(monkeypatch):
+    rng = np.random.default_rng(9)
+    left, right, ids = rng.normal(size=(50, 3)), rng.normal(size=(20, 3)), np.arange(20)[::-1]
+    whole = nearest._best(left, right, ids, "cosine")
+    sizes = []
+    real = nearest.similarities
+    monkeypatch.setattr(nearest, "similarities", lambda a, b, metric: sizes.append(len(a) * len(b)) or real(a, b, metric))
+    monkeypatch.setattr(nearest, "SCORES", 100)
+    stepped = nearest._best(left, right, ids, "cosine")
+    assert max(sizes) <= 100 and all((a == b).all() for a, b in zip(whole, stepped))
+    assert [len(part) for part in nearest._best(left[:0], right, ids, "cosine")] == [0, 0]
