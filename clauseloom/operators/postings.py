@@ -28,6 +28,7 @@ from clauseloom.session import stored
 BLOCK = 1024  # chunk numbers of one block
 FIRST_BLOCKS = 4  # blocks of a query that are scored before any bound is known
 SLACK = 1e-9  # sums of bounds and of scores may differ in their last digits
+ASKED_ROWS = 10_000  # rows of the index with the attributes that ask for them that may be broadcast
 NAMED_TERMS = 2000  # terms that are named to the Parquet reader, which then skips other row groups
 
 
@@ -133,14 +134,18 @@ def _scores(index: PostingsIndex, weighed: DataFrame, blocks: DataFrame) -> Data
     terms = needed.select("term").distinct()
     if fits(terms, NAMED_TERMS):
         postings = postings.where(F.col("term").isin([row.term for row in terms.collect()]))
-    entry = F.col("entry")
-    part = F.col("weight") * saturation(entry["tf"], entry["length"], index.average_length, index.k1, index.b)
+    # Each row of the index travels once, to its block, however many attributes ask for it.
+    asked = needed.groupBy("term", "block").agg(F.collect_list(F.struct("attribute_number", "weight")).alias("asked"))
+    met = postings.join(broadcast_if_small(asked, ASKED_ROWS), ["term", "block"]).select("block", "entries", "asked").repartition("block")
+    entry, ask = F.col("entry"), F.col("ask")
+    part = ask["weight"] * saturation(entry["tf"], entry["length"], index.average_length, index.k1, index.b)
     # Whole numbers add up alike in any order, so equal texts get equal scores.
     return (
-        postings.join(broadcast_if_small(needed), ["term", "block"])
-        .select("attribute_number", "weight", F.explode("entries").alias("entry"))
-        .groupBy("attribute_number", entry["doc_idx"].alias("doc_idx"))
+        met.select("block", "asked", F.explode("entries").alias("entry"))
+        .select("block", "entry", F.explode("asked").alias("ask"))
+        .groupBy("block", ask["attribute_number"].alias("attribute_number"), entry["doc_idx"].alias("doc_idx"))
         .agg((F.sum(F.round(part * SCALE).cast("long")) / SCALE).alias("bm25_score"))
+        .drop("block")
     )
 
 

@@ -1,5 +1,7 @@
 """The postings index against the map-only BM25 ranking."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,15 @@ def test_index_of_nothing(spark, tables, tmp_path):
     blank = spark.createDataFrame([(i, "c", 1, "", None, "s", None) for i in range(5)], CHUNKS)
     found = postings.bm25_top_k(postings.write_index(blank, str(tmp_path / "blank")), attributes, 2).top
     assert rows(found) == [(n, r, r - 1, 0.0) for n in range(1, 7) for r in (1, 2)]
+
+
+def test_postings_travel_to_their_block_once(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"fee rate w{i % 7} w{i % 3}") for i in range(60)], "doc_idx long, content string")
+    asked = spark.createDataFrame([(n, f"fee rate w{n % 7}") for n in range(30)], "attribute_number long, content string")
+    index = postings.write_index(table, str(tmp_path / "index"), block=8)
+    weighed = postings._weighed(index, postings.query_terms(asked))
+    found = postings._scores(index, weighed, weighed.select("attribute_number", "block").distinct())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # No exchange carries a pair of attribute and chunk.
+    assert not re.search(r"hashpartitioning\([^)]*doc_idx", plan) and "hashpartitioning(block" in plan
+    assert found.count() == found.select("attribute_number", "doc_idx").distinct().count() == 30 * 60
