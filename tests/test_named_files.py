@@ -1,8 +1,10 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clauseloom.sources import named_files
 from clauseloom.sources.named_files import write_named
 
 
@@ -76,3 +78,19 @@ def test_a_failed_task_removes_its_own_files(tmp_path):
     assert names(staged) == []
     writer.abort([None])
     assert names(tmp_path / "out") == []
+
+
+def test_a_batch_becomes_objects_a_few_rows_at_a_time(tmp_path):
+    sizes = []
+
+    class Watched:
+        num_rows = 200
+
+        def slice(self, at, length):
+            part = pa.RecordBatch.from_pydict({"file": ["a"] * 200, "value": [str(i) for i in range(200)]}).slice(at, length)
+            sizes.append(part.num_rows)
+            return part
+
+    writer = named_files.NamedFilesWriter(str(tmp_path), ".txt", "text", True)
+    writer.commit([writer.write(iter([Watched()]))])
+    assert max(sizes) <= 64 and (tmp_path / "a.txt").read_text().split() == [str(i) for i in range(200)]
