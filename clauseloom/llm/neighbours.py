@@ -22,6 +22,9 @@ from clauseloom.llm.common import stored
 from clauseloom.llm.vectors import matrix, packed, runs
 
 DIGITS = 12  # of scores that are told apart
+PART = 4096  # vectors whose collisions are counted together
+FEW = 32  # queries that are multiplied with a block together
+STEP = 512  # queries whose windows are held at the same time
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,7 @@ class Options:
     growth: float = 1.25
     slack: float = 2.3
     block: int = 32_768
-    query_block: int = 2_048
+    query_block: int = 32_768
     seed: int = 5
 
 
@@ -58,7 +61,10 @@ def ranked(scores: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors: for every vector its place in each sorted array.
+
+    A vector lies in a window if its place falls between the places where the window begins and ends.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, options: Options):
         self.ids = ids
@@ -67,48 +73,83 @@ class Index:
         rng = np.random.default_rng([options.seed, vectors.shape[1]])
         self.directions = rng.standard_normal((vectors.shape[1], options.directions))
         projected = np.ascontiguousarray((self.unit @ self.directions).T)
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        places = np.empty(order.shape, self.kind)
+        np.put_along_axis(places, order, np.arange(len(ids), dtype=self.kind)[None], axis=1)
+        # Cut so that one part and what is made of it stay in the processor's cache.
+        self.places = [np.ascontiguousarray(places[:, at : at + PART]) for at in range(0, len(ids), PART)]
         self.least = threshold(options)
 
     def search(self, own: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its number, and ids and cosines of the nearest found, nearest first."""
-        options, n = self.options, len(self.ids)
-        units = _units(queries)
-        at = units @ self.directions
-        radii = self._radii()
-        reach = np.array([options.width * radius / 2 for radius in radii])
-        # Where the windows of all queries and radii begin and end in every sorted array.
-        begins = np.stack([line.searchsorted(at[:, j, None] - reach) for j, line in enumerate(self.sorted)], axis=1)
-        ends = np.stack([line.searchsorted(at[:, j, None] + reach, "right") for j, line in enumerate(self.sorted)], axis=1)
-        lines = list(self.order)
-        for q in range(len(queries)):
-            counts = np.zeros(n, np.int16)
-            open_ = self.ids != own[q]
-            best_ids, best = np.zeros(0, self.ids.dtype), np.zeros(0)
-            low = high = [0] * len(lines)
-            for step, radius in enumerate(radii):
-                a, b = begins[q, :, step].tolist(), ends[q, :, step].tolist()
-                for order, i, j, k, m in zip(lines, a, low, high, b, strict=True):
-                    if step == 0:
-                        counts[order[i:m]] += 1
-                        continue
-                    if i < j:
-                        counts[order[i:j]] += 1
-                    if k < m:
-                        counts[order[k:m]] += 1
-                low, high = a, b
-                fresh = np.flatnonzero((counts >= self.least) & open_)
-                if len(fresh):
-                    open_[fresh] = False
-                    ids = np.concatenate([best_ids, self.ids[fresh]])
-                    # Row by row in one order of sums: equal vectors score alike wherever they lie.
-                    scores = np.concatenate([best, (self.unit[fresh] * units[q]).sum(axis=1)])
-                    order = np.lexsort((ids, -ranked(scores)))[: options.k]
-                    best_ids, best = ids[order], scores[order]
-                if len(best) == options.k and math.sqrt(max(0.0, 2 - 2 * best[-1])) <= radius:
-                    break
-            yield q, best_ids, best
+        radii, guess = self._radii(), 0
+        reach = np.array([self.options.width * radius / 2 for radius in radii])
+        for first in range(0, len(queries), STEP):
+            units = _units(queries[first : first + STEP])
+            at = units @ self.directions
+            # Where the windows of some queries and all radii begin and end in every sorted array.
+            begins = np.stack([line.searchsorted(at[:, j, None] - reach) for j, line in enumerate(self.sorted)], axis=1)
+            ends = np.stack([line.searchsorted(at[:, j, None] + reach, "right") for j, line in enumerate(self.sorted)], axis=1)
+            for q, unit in enumerate(units):
+                if q % FEW == 0:
+                    about = units[q : q + FEW] @ self.unit.T
+                others = self.ids != own[first + q]
+                guess, found, scores = self._nearest(unit, about[q % FEW], others, begins[q], ends[q], radii, guess)
+                yield first + q, self.ids[found], scores
+
+    def _nearest(
+        self, unit: np.ndarray, about: np.ndarray, others: np.ndarray, begins: np.ndarray, ends: np.ndarray,
+        radii: list[float], guess: int,
+    ) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first radius whose vectors hold ``k`` within it, and their nearest: places and cosines.
+
+        ``about``: cosines of all vectors but for rounding; those that decide are computed row by row.
+
+        Windows only widen, so any radius at which the search may end tells which smaller ones can be the
+        first: none below the k-th best distance.  Of those, only vectors within the radius matter.
+        """
+        for step in range(guess, len(radii)):
+            met = np.flatnonzero((self._collisions(begins[:, step], ends[:, step]) >= self.least) & others)
+            found, scores = self._best(unit, met, about)
+            if self._ends(scores, radii[step]):
+                break
+        if step and len(scores) == self.options.k:
+            near = met[about[met] >= 1 - radii[step - 1] ** 2 / 2 - 1e-9]
+            cuts = near.searchsorted(np.arange(len(self.places) + 1) * PART)
+            places = [part[:, near[cuts[i] : cuts[i + 1]] - i * PART] for i, part in enumerate(self.places)]
+            places = np.concatenate(places, axis=1)
+            for earlier in range(step):
+                if not self._ends(scores, radii[earlier]):
+                    continue
+                begin, end = begins[:, earlier, None], ends[:, earlier, None]
+                inside = near[((places >= begin) & (places < end)).sum(axis=0) >= self.least]
+                closer, their = self._best(unit, inside, about)
+                if self._ends(their, radii[earlier]):
+                    return earlier, closer, their
+        return step, found, scores
+
+    def _ends(self, scores: np.ndarray, radius: float) -> bool:
+        return len(scores) == self.options.k and math.sqrt(max(0.0, 2 - 2 * scores[-1])) <= radius
+
+    def _collisions(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """In how many of the windows each vector lies."""
+        begin, width = (x.astype(self.kind)[:, None] for x in (begins, ends - begins))
+        counts = np.uint8 if len(begins) < 256 else np.uint16
+        # Places before a window wrap round to numbers above its width.
+        return np.concatenate([np.add.reduce((part - begin < width).view(np.uint8), axis=0, dtype=counts) for part in self.places])
+
+    def _best(self, unit: np.ndarray, among: np.ndarray, about: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the ``k`` nearest of some vectors."""
+        k = self.options.k
+        if len(among) > k:
+            some = about[among]
+            among = among[some >= np.partition(some, len(some) - k)[len(some) - k] - 1e-9]
+        # Row by row in one order of sums: equal vectors score alike wherever they lie.
+        scores = (self.unit[among] * unit).sum(axis=1)
+        order = np.lexsort((self.ids[among], -ranked(scores)))[:k]
+        return among[order], scores[order]
 
     def _radii(self) -> list[float]:
         """Radii of the rehashing up to 2, the greatest distance of unit vectors, and one that holds all."""

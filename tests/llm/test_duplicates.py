@@ -252,6 +252,34 @@ def test_neighbours_order_ties_by_id(spark):
             assert own == [(i, i) for i in range(1, 6)], (block, q, own)
 
 
+def test_neighbours_count_each_query_about_once(monkeypatch):
+    """The search ends at the same radius as one that widens step by step, without a count for every step."""
+    rng = np.random.default_rng(6)
+    options = neighbours.Options(directions=40)
+    counted, count = [], neighbours.Index._collisions
+    monkeypatch.setattr(neighbours.Index, "_collisions", lambda *own: counted.append(1) or count(*own))
+    monkeypatch.setattr(neighbours, "PART", 64)
+    vectors = rng.normal(size=(300, 24))
+    vectors[200:230] = vectors[:30] * rng.uniform(0.1, 9, (30, 1))
+    vectors[230:260] = vectors[:30] + rng.normal(scale=0.1, size=(30, 24))
+    vectors[260:300] = vectors[0] + rng.normal(scale=0.03, size=(40, 24))
+    ids = rng.permutation(300)
+    index = neighbours.Index(ids, vectors, options)
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    lines = units @ index.directions
+    for q, found, scores in index.search(ids, vectors):
+        cosines = np.round((units * units[q]).sum(axis=1), 12)
+        for radius in index._radii():
+            met = np.flatnonzero((np.abs(lines - lines[q]) <= options.width * radius / 2).sum(axis=1) >= index.least)
+            met = met[met != q]
+            best = met[np.lexsort((ids[met], -cosines[met]))][:5]
+            if len(best) == 5 and 2 - 2 * cosines[best[-1]] <= radius**2:
+                break
+        assert found.tolist() == ids[best].tolist()
+        assert np.abs(scores - cosines[best]).max() < 1e-11
+    assert len(counted) < 2 * 300
+
+
 def test_neighbours_of_odd_tables(spark):
     assert neighbours.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     few = vectors(spark, [(20, [1.0, 0.0], 0), (1, [0.0, -1.0], 0), (2, [0.0, 2.0], 0), (3, [-1.0, 0.0], 0), *ODD[:4]])
