@@ -30,9 +30,10 @@ from clauseloom.operators.sizing import broadcast_if_small
 @dataclass(frozen=True)
 class Options:
     """``length`` of a repeated string in bytes, ``gram`` of an anchor.  ``parts``: ranges of a string's
-    start before its anchor that are sorted apart.  ``sorted_bytes``: text of one suffix array, about
+    start before its anchor that are sorted apart.  ``sorted_bytes``: symbols of one suffix array, about
     (short ones stay in the processor's cache; the pieces of one anchor stay together).
-    ``buckets``: shares of the anchors; each is held by one task at a time."""
+    ``buckets``: shares of the anchors; each is held by one task at a time.  ``doc_buckets``: shares of the
+    documents, by which the places of shared anchors travel to their texts."""
 
     length: int = 50
     gram: int = 16
@@ -40,6 +41,7 @@ class Options:
     sorted_bytes: int = 1 << 14
     flush_bytes: int = 12 << 20
     buckets: int = 256
+    doc_buckets: int = 1024
 
     @property
     def reach(self) -> int:
@@ -174,19 +176,26 @@ def _unpacked(data: bytes, full: bool) -> list[np.ndarray]:
     return found + ([out[4].astype(np.uint64) | out[5].astype(np.uint64) << np.uint64(32), out[6]] if full else [])
 
 
-def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, places) of anchors that several documents share, bucket by bucket."""
+def _shared_places(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """Anchors that several documents share, bucket by bucket, packed by shares of the documents.
+
+    A row holds all places that go to one share, so that rows number as the shares, not as the documents.
+    """
     held: list[list[np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
         doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
+        share = ((doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(options.doc_buckets)
+        order = np.lexsort((place, doc, share))
+        doc, place, share = doc[order], place[order], share[order]
+        cuts = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(share)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[cuts[:-1]]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place, pa.int32()))],
-            names=["doc", "places"],
+            [
+                pa.array(share[cuts[:-1]].astype(np.int32)),
+                pa.array([_packed(doc[i:j], place[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+            ],
+            names=["share", "packed"],
         )
 
     for table in runs(batches, ("bucket",)):
@@ -206,6 +215,19 @@ def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, places): one row for each document of the shares, its places in order."""
+    for table in runs(batches, ("share",)):
+        doc, place = (np.concatenate(x) for x in zip(*(_unpacked(x, False) for x in table.column("packed").to_pylist()), strict=True))
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[cuts[:-1]]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place, pa.int32()))],
+            names=["doc", "places"],
+        )
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
     """Surroundings of shared anchors; equal ones of a task are one row with all their (doc, mark, place)."""
     held: dict[tuple[bytes, int], list[int]] = {}
@@ -235,7 +257,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.
         for doc, mark, text, places in zip(*columns, strict=True):
             data = text.encode()
             # Places of another text with the same doc_id may lie beyond this one.
-            for place in {p for some in places for p in some if p + length - reach <= len(data)}:
+            for place in {p for p in places if p + length - reach <= len(data)}:
                 start = place - reach if place > reach else 0
                 held.setdefault((data[start : place + length], place - start), []).extend((doc, mark, place))
                 size += 1
@@ -245,37 +267,42 @@ def _pieces(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.
 
 
 class _Sorter:
-    """Smallest document of every string of the pieces given to it, by suffix arrays."""
+    """Smallest document of every string of the pieces given to it, by suffix arrays.
+
+    All strings of a group hold the same bytes around their anchor, its core, and equal strings are of
+    one group.  A core is one symbol of the text, which no other group uses.
+    """
 
     def __init__(self, options: Options):
         self.options = options
-        self.pieces: list[bytes] = []
-        self.lows: list[list[int]] = []
-        self.size = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.symbols: list[int] = []
+        self.owner: list[tuple[list[int], int, int] | None] = []
+        self.groups = 0
+
+    def group(self) -> int:
+        """A symbol for the core of a new group; bytes take 1 to 256."""
+        self.groups += 1
+        return 256 + self.groups
 
-    def add(self, piece: bytes, doc: int) -> list[int]:
-        """List of the smallest document of each string of ``piece``, right after ``finish``."""
+    def add(self, piece: bytes, doc: int, symbol: int, start: int, end: int) -> list[int]:
+        """List of the smallest document of each string of ``piece``, right after ``finish``; the core is at start:end."""
         lows = [doc] * (len(piece) - self.options.length + 1)
-        self.pieces.append(piece)
-        self.lows.append(lows)
-        self.size += len(piece) + 1
+        # Symbols of a string, and of what follows the last string's first symbol and ends the piece.
+        width = self.options.length - (end - start) + 1
+        self.symbols += [byte + 1 for byte in piece[:start]]
+        self.symbols.append(symbol)
+        self.symbols += [byte + 1 for byte in piece[end:]]
+        self.symbols.append(0)
+        self.owner += [(lows, i, width) for i in range(len(lows))]
+        self.owner += [None] * width
         return lows
 
     def finish(self) -> None:
-        if self.pieces:
-            self._sort(self.pieces, self.lows)
-        self.pieces, self.lows, self.size = [], [], 0
-
-    def _sort(self, pieces: list[bytes], lows: list[list[int]]) -> None:
-        length = self.options.length
-        symbols: list[int] = []
-        owner: list[tuple[list[int], bytes, int] | None] = []
-        for piece, low in zip(pieces, lows, strict=True):
-            symbols += [byte + 1 for byte in piece]
-            symbols.append(0)
-            owner += [(low, piece, i) for i in range(len(low))]
-            owner += [None] * (len(piece) + 1 - len(low))
-        before: bytes | None = None
+        symbols, owner = self.symbols, self.owner
+        before: list[int] | None = None
         same: list[tuple[list[int], int]] = []
 
         def settle() -> None:
@@ -288,14 +315,15 @@ class _Sorter:
             entry = owner[suffix]
             if entry is None:
                 continue
-            low, piece, i = entry
-            string = piece[i : i + length]
+            low, i, width = entry
+            string = symbols[suffix : suffix + width]
             if string != before:
                 settle()
                 same = []
                 before = string
             same.append((low, i))
         settle()
+        self.clear()
 
 
 def _spans(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
@@ -355,9 +383,11 @@ def _spans(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.R
                 keys = [key for some in parts.values() for key in some]
                 if len(keys) == 1 and lowest[keys[0]] == max(pieces[keys[0]][::3]):
                     continue
+                symbol = sorter.group() if len(parts) > 1 else 0
                 for (part, most), some in parts.items():
                     doc = min(map(lowest.__getitem__, some))
-                    lows = sorter.add(part, doc) if len(parts) > 1 else [doc] * (len(part) - length + 1)
+                    core = (most - low, most - high + 1 + length)
+                    lows = sorter.add(part, doc, symbol, *core) if symbol else [doc] * (len(part) - length + 1)
                     waiting.extend((pieces[key], most, lows) for key in some)
 
     current, pieces = None, {}
@@ -367,7 +397,7 @@ def _spans(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.R
                 if pieces:
                     take(pieces)
                 current, pieces = anchor, {}
-                if sorter.size > options.sorted_bytes or len(waiting) > 100_000:
+                if len(sorter.symbols) > options.sorted_bytes or len(waiting) > 100_000:
                     settle()
                     if len(found) > 60_000:
                         yield flush()
@@ -459,9 +489,9 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
         lambda b: _anchor_blocks(b, options), "bucket int, asked binary, known binary"
     )
     places = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _shared_places, "doc long, places array<int>"
+        lambda b: _shared_places(b, options), "share int, packed binary"
     )
-    places = places.groupBy("doc").agg(F.collect_list("places").alias("places"))
+    places = places.repartition("share").sortWithinPartitions("share").mapInArrow(_by_document, "doc long, places array<int>")
     # Dealt once for both joins: each reads all columns, so that Spark sees one exchange.
     texts = flagged.repartition("doc")
     pieces = texts.join(places, "doc").select(*texts.columns, "places").mapInArrow(

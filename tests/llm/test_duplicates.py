@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,48 @@ def test_repeats_equal_brute_force(spark, parts):
     assert bytes(one["kept"]) == left
 
 
+def test_rows_of_shared_places_number_as_the_shares_of_documents():
+    """Many documents that share anchors in many buckets: no row for each document and bucket."""
+    options = suffix_dedup.Options(doc_buckets=16)
+    docs = np.array([-(1 << 63), *range(-500, 2499)], np.int64)
+    rows = []
+    for bucket in range(8):
+        # An anchor in all documents, and another that the documents of one task are known to share.
+        h, flag = np.full(len(docs), bucket + 1, np.uint64), np.zeros(len(docs), np.uint8)
+        asked = suffix_dedup._packed(docs, np.full(len(docs), 70_000 + bucket), h, flag)
+        known = suffix_dedup._packed(docs[::2], np.full(len(docs[::2]), bucket))
+        batch = pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "asked": [asked], "known": [known]})
+        rows += [r for out in suffix_dedup._shared_places(iter([batch]), options) for r in out.to_pylist()]
+    assert len(rows) <= 8 * options.doc_buckets
+    rows.sort(key=lambda r: r["share"])
+    dealt = pa.RecordBatch.from_pydict({"share": pa.array([r["share"] for r in rows], pa.int32()), "packed": [r["packed"] for r in rows]})
+    cut = [dealt.slice(at, 7) for at in range(0, dealt.num_rows, 7)]
+    got = [r for out in suffix_dedup._by_document(iter(cut)) for r in out.to_pylist()]
+    far = list(range(70_000, 70_008))
+    assert sorted((r["doc"], r["places"]) for r in got) == [(d, list(range(8)) * (i % 2 == 0) + far) for i, d in enumerate(docs.tolist())]
+
+
+def test_bytes_common_to_a_group_are_one_symbol(monkeypatch):
+    """Parts of 58 bytes around one anchor, 42 of them in common: 17 symbols and an end are sorted, not 59."""
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: seen.append(len(symbols)) or suffix_array(symbols))
+    options = suffix_dedup.Options()
+    rng = random.Random(4)
+    core, ends = bytes(rng.choices(range(97, 123), k=42)), [bytes(rng.choices(b"xy", k=8)) for _ in range(12)]
+    sorter = suffix_dedup._Sorter(options)
+    symbol, other = sorter.group(), sorter.group()
+    pieces = [(left + core + right, doc) for doc, (left, right) in enumerate((a, b) for a in ends for b in ends)]
+    lows = [sorter.add(piece, doc, symbol, 8, 50) for piece, doc in pieces]
+    alone = sorter.add(pieces[0][0], 999, other, 8, 50)
+    sorter.finish()
+    assert seen == [18 * (len(pieces) + 1)] and alone == [999] * 9
+    first = {}
+    for piece, doc in pieces:
+        for i in range(9):
+            first.setdefault(piece[i : i + 50], doc)
+    assert lows == [[first[piece[i : i + 50]] for i in range(9)] for piece, _ in pieces]
+
+
 def test_repeats_of_awkward_rows(spark):
     rows = suffix_dedup.remove_repeats(awkward(spark)).collect()
     assert len(rows) == 7 and all(r["n_removed"] == 0 for r in rows)
