@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.operators.sizing import broadcast_if_small
-from clauseloom.session import cut_lineage
+from clauseloom.session import stored
 
 _POSITION = "_position"
 
@@ -21,10 +21,11 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], out
     partitions is stored, and each (group, partition) block learns how many rows
     of its group lie in earlier blocks.  The block table has at most one row per
     partition plus one per group: measured small it is broadcast and the rows are
-    shuffled once, otherwise the join spreads them by group and block.
+    shuffled once, otherwise the join spreads them by group and block.  Both are
+    stored as columns, so that counting a block reads its group and positions only.
     """
     keys = [F.col(name) for name in group] + list(order)
-    positioned = cut_lineage(
+    positioned = stored(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn(_POSITION, F.monotonically_increasing_id())
@@ -34,7 +35,7 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], out
         F.min(_POSITION).alias("_first"), F.count("*").alias("_rows")
     )
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    blocks = stored(blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
     return (
         positioned.withColumn("_block", block)
         .join(broadcast_if_small(blocks), [*group, "_block"])

@@ -27,7 +27,7 @@ from clauseloom.operators.scoring import (
     task_best,
 )
 from clauseloom.operators.sizing import BROADCAST_ROWS, fits
-from clauseloom.session import cut_lineage
+from clauseloom.session import stored
 
 RRF_K = 20
 GLOBAL_TOP_K = 20
@@ -78,12 +78,12 @@ def rrf_scores(attributes: DataFrame, chunks: DataFrame, rrf_k: int = RRF_K, met
     no attribute's list is gathered in one task.  A chunk without a vector gets
     the rank behind the last dense one and similarity 0.0.
     """
-    scored = cut_lineage(_union([pairs(block.rows, block.scorer) for block in scored_blocks(attributes, chunks, metric)]))
+    scored = stored(_union([pairs(block.rows, block.scorer) for block in scored_blocks(attributes, chunks, metric)]))
     by_dense = group_rank(
         scored, ["attribute_number"], [F.col("dense_similarity").desc_nulls_last(), F.col("doc_idx").asc()], "dense_rank"
     )
     ranked = group_rank(by_dense, ["attribute_number"], [F.col("bm25_score").desc(), F.col("doc_idx").asc()], "bm25_rank")
-    lengths = ranked.groupBy("attribute_number").agg(
+    lengths = scored.groupBy("attribute_number").agg(
         F.count("dense_similarity").alias("_dense"), F.count("*").alias("_all")
     )
     if fits(attributes):
