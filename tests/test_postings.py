@@ -8,7 +8,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from clauseloom.operators import postings, ranking
-from clauseloom.plans import driver_tables
+from clauseloom.plans import driver_tables, queries
 from tests.test_ranking import ATTRIBUTES, CHUNKS
 
 
@@ -168,3 +168,25 @@ def test_chunk_texts_are_those_of_the_chunks(spark, tmp_path):
     chunks = driver_tables.chunks(spark, str(tmp_path)).select("doc_idx", "content")
     assert found.schema == chunks.schema and found.count() == 11
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, chunks.collect()), key=str)
+
+
+def test_indexed_texts_are_not_sent_to_their_vectors(spark, tmp_path, monkeypatch):
+    documents = [(256 * i, f"the fee w{i}", "en", "s", 10) for i in range(12)]
+    documents = spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long")
+    vectors = spark.createDataFrame([(256 * i, [0.5]) for i in (0, 0, 1, 2)], "vec_id long, embedding array<float>")
+    for name, table in (("documents", documents), ("embeddings", vectors)):
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    plans, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *rest):
+        plans[path.rsplit("/", 1)[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        write(self, path, *rest)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = queries._postings(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert index.documents == 13 and index.average_length == 3
+    assert "SortMergeJoin" not in plans["postings"] and plans["postings"].count("hashpartitioning(block") == 1
